@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from deltaloom.llm import bpe
+from deltaloom.llm import bpe, simhash
 
-QUERIES = {"op4_byte_bpe": bpe.op4_byte_bpe}
+QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
+}
 ORACLE_SQL: dict[str, str] = {}
