@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from deltaloom.llm import bpe, simhash
+from deltaloom.llm import bpe, secrets, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_secrets": secrets.op3_secrets,
     "op4_byte_bpe": bpe.op4_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
