@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from deltaloom.llm import bpe, secrets, simhash
+from deltaloom.llm import bpe, langid, secrets, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_secrets": secrets.op3_secrets,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op8_language_id": langid.op8_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
