@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one vectorised step looks at (a single longer document is still taken whole).
@@ -29,6 +30,11 @@ def training_part(id_col, modulus: int):
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def share(spark: SparkSession, value):
+    """Broadcast an object of bounded size as bytes that executors can read without this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of our own is set only where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

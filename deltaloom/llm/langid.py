@@ -8,6 +8,7 @@ a bounded sample of labelled documents. Each task remembers the scores of words
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltaloom.llm._shared import SpanHasher, documents, mix, training_part
+from deltaloom.llm._shared import SpanHasher, documents, mix, share, training_part
 from deltaloom.llm.bpe import _LETTER, classes
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -228,11 +229,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     0, as is everything if no language was learned. Ties go to the smaller name. Other columns are not carried.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: vocabulary times languages
+    model.pieces.hasher = _CodeHasher()
+    shared = share(docs.sparkSession, model)  # bounded: vocabulary times languages
 
     def run(batches):
-        scorer = Scorer(shared.value)
-        names = np.array(["und", *shared.value.languages], dtype=object)
+        scorer = Scorer(pickle.loads(shared.value))
+        names = np.array(["und", *scorer.model.languages], dtype=object)
         for batch in batches:
             texts, pred, score = batch.column(1).fill_null("").to_pylist(), [], []
             first = 0
