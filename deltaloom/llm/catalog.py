@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from deltaloom.llm import bpe, langid, secrets, simhash
+from deltaloom.llm import bpe, langid, quality, secrets, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_secrets": secrets.op3_secrets,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op8_language_id": langid.op8_language_id,
+    "op9_quality": quality.op9_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
