@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deltaloom.llm import bpe, langid, quality, secrets, simhash
+from deltaloom.llm import bpe, langid, quality, secrets, simhash, substring
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,5 +10,6 @@ QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op8_language_id": langid.op8_language_id,
     "op9_quality": quality.op9_quality,
+    "op10_substring": substring.op10_substring,
 }
 ORACLE_SQL: dict[str, str] = {}
