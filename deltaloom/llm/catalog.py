@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from deltaloom.llm import bpe, langid, quality, secrets, simhash, substring
+from deltaloom.llm import bpe, langid, lm, quality, secrets, simhash, substring
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_secrets": secrets.op3_secrets,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op7_lm_scores": lm.op7_lm_scores,
     "op8_language_id": langid.op8_language_id,
     "op9_quality": quality.op9_quality,
     "op10_substring": substring.op10_substring,
