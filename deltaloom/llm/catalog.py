@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from deltaloom.llm import bpe, langid, lm, quality, secrets, simhash, substring
+from deltaloom.llm import bpe, decontaminate, langid, licenses, lm, quality, secrets, simhash, substring
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_secrets": secrets.op3_secrets,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_licenses": licenses.op5_licenses,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_lm_scores": lm.op7_lm_scores,
     "op8_language_id": langid.op8_language_id,
     "op9_quality": quality.op9_quality,
