@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from deltaloom.llm import bpe, decontaminate, langid, licenses, lm, quality, secrets, simhash, substring
+from deltaloom.llm import bpe, decontaminate, embeddings, langid, licenses, lm, quality, secrets, simhash, substring
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_embeddings": embeddings.op2_embeddings,
     "op3_secrets": secrets.op3_secrets,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_licenses": licenses.op5_licenses,
