@@ -1,10 +1,68 @@
-"""Corpus pipeline: each stage's output is written and read again as the next one's documents."""
+"""Corpus pipeline: language ID, near-dedup, decontamination, secret redaction, tokenisation.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents. Stages learn from, and judge, what the one before kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from deltaloom.llm import bpe, decontaminate, langid, secrets, simhash
+from deltaloom.llm._shared import training_part, write_out
+
+#: A document stays if its language is known and has at least this share of the probability.
+LEAST_SCORE = 0.5
+#: Ids are broadcast up to this number (16 MB), and joined by shuffle beyond it.
+BROADCAST_IDS = 2_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not among ``ids``; ids that are null stay."""
+    ids, _ = write_out(ids.distinct(), "removed")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified; texts that are null or hold no letter go."""
+    held = F.coalesce(training_part(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = langid.train(docs.where(~held), "doc_id", "text", "lang")
+    found = langid.identify(docs, model, carry=True)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    found = simhash.near_duplicates(docs)
+    return _without(docs, found.where("doc_id <> component_id").select("doc_id"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontaminate.contaminated(docs, items).select("doc_id"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets masked and n_chars counted anew."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document (little-endian unsigned 32-bit integers), and whether they decode to its text."""
+    coded = bpe.encode_decode(docs)
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("secrets", secret_scan), ("tokens", tokens)]
+#: The stages hold trained models and hashes that SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; what lies between two stages is a written table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs, _ = write_out(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

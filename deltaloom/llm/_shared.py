@@ -25,6 +25,14 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> tuple[DataFrame, str]:
+    """(what a text operator reads: the id, or with ``carry`` a struct of the whole row, and the text; the key's DDL)."""
+    name = "row" if carry else id_col
+    key = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name) if carry else F.col(id_col)
+    source = docs.select(key, F.col(text_col).cast("string").alias("text_"))
+    return source, f"`{name}` {source.schema[0].dataType.simpleString()}"
+
+
 def training_part(id_col, modulus: int):
     """crc32 of the id as text, modulo ``modulus``."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(modulus)

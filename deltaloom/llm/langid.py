@@ -17,7 +17,7 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltaloom.llm._shared import SpanHasher, documents, mix, share, training_part
+from deltaloom.llm._shared import SpanHasher, documents, keyed_texts, mix, share, training_part
 from deltaloom.llm.bpe import _LETTER, classes
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -222,13 +222,15 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, path: str
     return Model(path, texts)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Rows (id_col, lang_pred string, score double): the likeliest learned language of every whole text.
 
     ``score`` is its share of the probability, 0 to 1. Texts that are null or hold no letter are ``und`` with score
-    0, as is everything if no language was learned. Ties go to the smaller name. Other columns are not carried.
+    0, as is everything if no language was learned. Ties go to the smaller name. Other columns are not carried;
+    with ``carry`` the first column is not the id but ``row``, a struct of the whole input row.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    source, head = keyed_texts(docs, id_col, text_col, carry)
+    key = source.columns[0]
     model.pieces.hasher = _CodeHasher()
     shared = share(docs.sparkSession, model)  # bounded: vocabulary times languages
 
@@ -254,9 +256,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     score.append(np.zeros(last - first))
                 first = last
             arrays = [pa.array(np.concatenate(pred), pa.string()), pa.array(np.concatenate(score))] if pred else [pa.array([], pa.string()), pa.array([], pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[id_col, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[key, "lang_pred", "score"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text_")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return source.mapInArrow(run, f"{head}, lang_pred string, score double")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltaloom.llm._shared import SpanHasher, documents, fold_case, text_chunks, word_spans
+from deltaloom.llm._shared import SpanHasher, documents, fold_case, keyed_texts, text_chunks, word_spans
 
 #: The patterns, in the order in which spans of equal start are listed.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -267,16 +267,18 @@ def _joined(spans: list) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None, carry: bool = False) -> DataFrame:
     """Secrets of every whole text.
 
     Returns id_col, n_assign, n_access, n_hex, n_crf (long), base_spans and spans (string: kind:start:end by start, then
     kind; code points, end exclusive), a row for each input row. ``spans`` holds every base span and those
-    of the field that touch none. Null and empty texts have no spans. Other columns are not carried. Without
-    ``field`` one is trained on a sample of ``docs`` (SAMPLE_DOCS documents at most).
+    of the field that touch none. Null and empty texts have no spans. Other columns are not carried; with
+    ``carry`` the first column is not the id but ``row``, a struct of the whole input row. Without ``field`` one is
+    trained on a sample of ``docs`` (SAMPLE_DOCS documents at most).
     """
     field = field or train(sample_texts(docs, id_col, text_col))
-    kind = docs.schema[id_col].dataType.simpleString()
+    source, head = keyed_texts(docs, id_col, text_col, carry)
+    key = source.columns[0]
     trim = np.zeros(256, dtype=bool)
     trim[[ord(c) for c in "\"'`,;:.!?()[]{}<>#$%&|="]] = True
 
@@ -312,10 +314,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
                     rows.append((*counts, _joined(base), _joined(spans)))
             columns = [list(c) for c in zip(*rows)] or [[]] * 6
             arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(c, pa.string()) for c in columns[4:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[id_col, "n_assign", "n_access", "n_hex", "n_crf", "base_spans", "spans"])
-
-    schema = f"`{id_col}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_crf bigint, base_spans string, spans string"
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text_")).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[key, "n_assign", "n_access", "n_hex", "n_crf", "base_spans", "spans"])
+
+    schema = f"{head}, n_assign bigint, n_access bigint, n_hex bigint, n_crf bigint, base_spans string, spans string"
+    return source.mapInArrow(run, schema)
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None, mask: str = "[SECRET]") -> DataFrame:
+    """The input with every found span of its texts replaced by ``mask`` (spans that overlap: once)."""
+    found = scan(docs, id_col, text_col, field, carry=True)
+    spans = F.expr("transform(filter(split(spans, ','), s -> s <> ''), s -> struct(cast(split(s, ':')[1] as int) as a, cast(split(s, ':')[2] as int) as b))")
+    text = F.expr(
+        f"""aggregate(spans, struct('' as done, 0 as at),
+            (x, s) -> if(s.b <= x.at, x, struct(concat(x.done, if(s.a >= x.at, concat(substring(row.`{text_col}`, x.at + 1, s.a - x.at), '{mask}'), '')) as done, s.b as at)),
+            x -> concat(x.done, substring(row.`{text_col}`, x.at + 1)))"""
+    )
+    clean = F.when(F.size("spans") > 0, text).otherwise(F.col(f"row.`{text_col}`"))
+    table = found.select("row", spans.alias("spans")).withColumn("clean", clean)
+    return table.select(*[F.col("clean").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
