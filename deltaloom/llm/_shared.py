@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one vectorised step looks at (a single longer document is still taken whole).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
@@ -38,11 +38,25 @@ def training_part(id_col, modulus: int):
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of fewer rows: whole texts make large rows, and each Python worker holds a few batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def share(spark: SparkSession, value):
     """Broadcast an object of bounded size as bytes that executors can read without this package."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
 
+def share_bits(spark: SparkSession, bits: np.ndarray):
+    """Broadcast a bitmap as raw bytes, which workers view without a copy."""
+    return spark.sparkContext.broadcast(bits.tobytes())
+
+
+def view_bits(shared) -> np.ndarray:
+    return np.frombuffer(shared.value, dtype=np.uint8)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of our own is set only where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

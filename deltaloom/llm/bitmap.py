@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from deltaloom.llm._shared import share
+from deltaloom.llm._shared import share_bits
 
 #: 2**27 bits are 16 MB, whatever the input. Beyond some 10**8 entries it lets more rows through, none less.
 BITS = 27
@@ -42,4 +42,4 @@ def shared_bitmap(hashes: DataFrame):
     width = 1 << (_SEGMENT - 3)
     for row in dealt.mapInArrow(run, "segment bigint, bits binary").toLocalIterator():
         bits[row.segment * width : (row.segment + 1) * width] = np.frombuffer(row.bits, dtype=np.uint8)
-    return share(hashes.sparkSession, bits)
+    return share_bits(hashes.sparkSession, bits)

@@ -11,13 +11,12 @@ windows that were found are the factors whose words go. Texts are read again in
 from __future__ import annotations
 
 import hashlib
-import pickle
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltaloom.llm._shared import SpanHasher, documents, mix, powers, text_chunks, word_spans, write_out
+from deltaloom.llm._shared import SpanHasher, documents, mix, powers, small_batches, text_chunks, view_bits, word_spans, write_out
 from deltaloom.llm.bitmap import holds, shared_bitmap
 
 WINDOW = 50
@@ -106,7 +105,7 @@ def duplicate_windows(docs: DataFrame, id_col: str, text_col: str, window: int =
     shared = shared_bitmap(blocks.where("a < b").select("anchor"))
 
     def occurrences(batches):
-        find, bits = Windows(window), pickle.loads(shared.value)
+        find, bits = Windows(window), view_bits(shared)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, _, data, bounds in text_chunks(batch.column(1)):
@@ -137,13 +136,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<start:int,end:int>>"
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def chosen(inside: bool):
-        def run(batches):
-            bits = pickle.loads(marked.value)
-            for batch in batches:
-                yield batch.filter(pa.array(holds(bits, batch.column(2).to_numpy()) == inside))
+    def marked_rows(batches):
+        bits = view_bits(marked)
+        for batch in batches:
+            yield batch.filter(pa.array(holds(bits, batch.column(2).to_numpy())))
 
-        return run
+    def clear_rows(batches):
+        bits = view_bits(marked)
+        for batch in batches:
+            rest = batch.filter(pa.array(~holds(bits, batch.column(2).to_numpy())))
+            yield from cut([pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), pa.nulls(rest.num_rows, pa.list_(pa.int32()))], names=[id_col, "text_", "positions"])])
 
     def cut(batches):
         for batch in batches:
@@ -155,12 +157,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_words", "n_removed", "kept_sha256", "spans"])
 
     row = f"`{id_col}` {kind}, text_ string, slot_ bigint"
-    clear = source.mapInArrow(chosen(False), row).select(id_col, "text_", F.lit(None).cast("array<int>").alias("positions"))
-    other = source.mapInArrow(chosen(True), row)
+    clear = source.mapInArrow(clear_rows, schema)
+    other = source.mapInArrow(marked_rows, row)
     other = other.join(lists.withColumnRenamed("id", "id_"), F.col(id_col).cast("long") == F.col("id_"), "left").select(id_col, "text_", "positions")
-    return clear.unionByName(other).mapInArrow(cut, schema)
+    return clear.unionByName(other.mapInArrow(cut, schema))
 
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, removed words and a digest of the kept words of every document."""
+    small_batches(spark)
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
