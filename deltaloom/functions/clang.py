@@ -13,10 +13,11 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 _TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
+_DIRECTIVE = re.compile(r"^[ \t]*#(?:\\\n|[^\n])*", re.M)
 _HEAD = re.compile(r"([A-Za-z_][\w\s\*]*?[\s\*])([A-Za-z_]\w*)\s*\(([^;{}]*)\)\s*\{")
 _CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
 _NOT_CALLS = frozenset("if for while switch return sizeof do else case".split())
-_ASSIGN = re.compile(r"(?P<left>[A-Za-z_][\w\.\[\]>\-\*]*)\s*(?P<op>\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<=|>>=|=(?!=))\s*(?P<right>[^;]+);")
+_ASSIGN = re.compile(r"(?P<left>\**[A-Za-z_][\w\.\[\]>\-\*]*)\s*(?P<op>\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<=|>>=|=(?!=))\s*(?P<right>[^;]+);")
 _DECLARE = re.compile(r"^\s*(?:const\s+|static\s+|volatile\s+|register\s+|unsigned\s+|signed\s+|struct\s+)*[A-Za-z_]\w*(?:\s*\*+\s*|\s+)([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\s*(?:=\s*([^;]*))?;", re.M)
 _STEP = re.compile(r"\+\+\s*([A-Za-z_]\w*)|([A-Za-z_]\w*)\s*\+\+|--\s*([A-Za-z_]\w*)|([A-Za-z_]\w*)\s*--")
 _KEYWORDS = frozenset("return if else for while do switch case break continue goto default sizeof typedef".split())
@@ -88,7 +89,7 @@ def split_top(text: str, at: str = ",") -> list[str]:
 
 def functions(code: str) -> list[dict]:
     """Function definitions: name, signature, parameters, offsets, line numbers and body, in order."""
-    plain, found, at = mask(code), [], 0
+    plain, found, at = _DIRECTIVE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), mask(code)), [], 0
     while m := _HEAD.search(plain, at):
         brace = m.end() - 1
         end = closing(plain, brace)
@@ -122,7 +123,7 @@ def accesses(body: str) -> list[dict]:
 
     inside = plain.find("{") + 1
     for m in _ASSIGN.finditer(plain, inside):
-        add(re.match(r"\**([A-Za-z_]\w*)", m["left"])[1] if m["left"].lstrip("*")[:1].isalpha() or m["left"].lstrip("*")[:1] == "_" else m["left"], "write", m["op"], m.start())
+        add(re.match(r"\**([A-Za-z_]\w*)", m["left"])[1], "write", m["op"], m.start())
         if m["op"] != "=":
             add(found[-1]["symbol"], "read", m["op"], m.start())
         for word in re.finditer(r"\b[A-Za-z_]\w*\b(?!\s*\()", m["right"]):
