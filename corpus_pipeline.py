@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deltaloom.llm import bpe, decontaminate, langid, secrets, simhash
-from deltaloom.llm._shared import training_part, write_out
+from deltaloom.llm._shared import small_batches, training_part, write_out
 
 #: A document stays if its language is known and has at least this share of the probability.
 LEAST_SCORE = 0.5
@@ -25,6 +25,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; texts that are null or hold no letter go."""
+    small_batches(spark)
     held = F.coalesce(training_part(F.col("doc_id"), 4) == 2, F.lit(False))
     model = langid.train(docs.where(~held), "doc_id", "text", "lang")
     found = langid.identify(docs, model, carry=True)
@@ -33,6 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
+    small_batches(spark)
     found = simhash.near_duplicates(docs)
     return _without(docs, found.where("doc_id <> component_id").select("doc_id"))
 
@@ -45,12 +47,14 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets masked and n_chars counted anew."""
+    small_batches(spark)
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (little-endian unsigned 32-bit integers), and whether they decode to its text."""
+    small_batches(spark)
     coded = bpe.encode_decode(docs)
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

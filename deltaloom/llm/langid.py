@@ -106,6 +106,14 @@ class Lattice:
         return uses
 
 
+def split_lattices(pieces: Pieces, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: int = 8192):
+    """Yield (word numbers, lattice) for words in groups of similar length, so that no table is large."""
+    order = np.argsort(ends - starts, kind="stable")
+    for first in range(0, len(order), words):
+        own = order[first : first + words]
+        yield own, Lattice(pieces, codes, starts[own], ends[own])
+
+
 class _CodeHasher(SpanHasher):
     """Hashes of spans of one array of code points, asked for again and again."""
 
@@ -158,9 +166,9 @@ class Model:
         language = np.array([k for k, _ in flat])[owner]
         counts = np.zeros((len(first), len(self.languages)))
         np.add.at(counts, (word, language), 1.0)
-        lattice = Lattice(self.pieces, codes, starts[first], ends[first])
+        lattices = list(split_lattices(self.pieces, codes, starts[first], ends[first]))
         for _ in range(rounds):
-            uses = lattice.expected(self.p, counts)
+            uses = sum(lattice.expected(self.p, counts[own]) for own, lattice in lattices)
             pooled = uses.sum(1, keepdims=True)
             pooled = (pooled + 0.01) / (pooled + 0.01).sum()
             own = (uses + 5.0 * pooled) / (uses.sum(0) + 5.0)
@@ -194,9 +202,9 @@ class Scorer:
             at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
             new = np.flatnonzero(self.known[at] != hashes) if len(self.known) else np.arange(len(hashes))
             if len(new):
-                lattice = Lattice(pieces, codes, starts[first[new]], ends[first[new]])
                 fresh = np.empty((len(new), total.shape[1]))
-                fresh[lattice.order] = np.log(lattice.totals(lattice.forward(self.model.p)))
+                for own, lattice in split_lattices(pieces, codes, starts[first[new]], ends[first[new]]):
+                    fresh[own[lattice.order]] = np.log(lattice.totals(lattice.forward(self.model.p)))
                 known = np.concatenate((self.known, hashes[new]))
                 order = np.argsort(known, kind="stable")
                 self.known, self.values = known[order], np.concatenate((self.values, fresh))[order]

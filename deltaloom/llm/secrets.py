@@ -25,7 +25,9 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "crf")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Bound of the training sample: so many documents at most, those with the smallest crc32 of the id.
-SAMPLE_DOCS = 3000
+SAMPLE_DOCS = 2000
+#: Features met less often in training carry no weight.
+LEAST_SEEN = 5
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = 1 << 13
 _SHAPES = 6 * 4 * 3 * 3 * 8
@@ -81,6 +83,7 @@ class Features:
         has = lambda c: of(total((data == ord(c)).astype(np.int32))) > 0
         shape = shape * 8 + has("@") * 4 + (marks > 2) * 2 + (has("=") | has(":"))
         words = (self.hasher(fold_case(data), starts, ends) >> np.uint64(64 - 13)).astype(np.int64) if n else np.zeros(0, np.int64)
+        words[(d > 0) | (size > 24)] = _WORDS + 1  # what looks like a code is told by its shape alone
         around = np.full(n + 3, _WORDS, dtype=np.int64)
         around[2 : n + 2] = words
         owner = np.repeat(np.arange(len(per_doc)), per_doc)
@@ -102,7 +105,7 @@ class Features:
 class Field:
     """Weights of the conditional random field and its decoder."""
 
-    FAMILIES = (("shape", _SHAPES), ("word", _WORDS + 1), ("prev1", _WORDS + 1), ("prev2", _WORDS + 1), ("next", _WORDS + 1), ("file", _FILES))
+    FAMILIES = (("shape", _SHAPES), ("word", _WORDS + 2), ("prev1", _WORDS + 2), ("prev2", _WORDS + 2), ("next", _WORDS + 2), ("file", _FILES))
 
     def __init__(self):
         self.weights = {name: np.zeros((size, 3), dtype=np.float32) for name, size in self.FAMILIES}
@@ -128,6 +131,7 @@ class Field:
         if not n:
             return
         heads, reach = self.rounds(features["first"], n)
+        rare = {name: np.bincount(features[name], minlength=len(w)) < LEAST_SEEN for name, w in self.weights.items()}
         squares = {name: np.full_like(w, 1e-6) for name, w in self.weights.items()}
         move_squares, truth = np.full((3, 3), 1e-6), np.eye(3)[labels]
         inner = np.ones(n, dtype=bool)
@@ -156,6 +160,7 @@ class Field:
                 for k in range(3):
                     slope[:, k] = np.bincount(features[name], weights=wrong[:, k], minlength=len(w))
                 slope -= 0.02 * w
+                slope[rare[name]] = 0
                 squares[name] += slope**2
                 w += (rate * slope / np.sqrt(squares[name])).astype(np.float32)
             move_squares += moved**2
@@ -229,9 +234,9 @@ def train(texts: list[str]) -> Field:
     for text in texts:
         spans = [(value, end) for _, _, end, value in base_spans(text)]
         at = 0
-        for line in text.split("\n"):  # keep lines with a span or a digit, and every fourth of the others
+        for line in text.split("\n"):  # keep lines with a span or a digit, and an eighth of the others
             own = [(max(a - at, 0), b - at) for a, b in spans if a < at + len(line) and b > at]
-            if own or len(line) % 4 == 0 or any(c.isdigit() for c in line):
+            if own or len(line) % 8 == 0 or any(c.isdigit() for c in line):
                 whole.append(line)
                 marks.append(own)
             at += len(line) + 1
