@@ -108,6 +108,7 @@ def function_changes(old: DataFrame, new: DataFrame, most_rows: int = 100_000) -
         names = ["rel_path", "change_kind", "old_name", "new_name", "old_signature", "new_signature", "old_body", "new_body"]
         return pd.DataFrame(rows, columns=names)
 
+    old, new = (df.toDF(*df.columns) for df in (old, new))  # names of their own, even if both are one table
     return old.groupBy("rel_path").cogroup(new.groupBy("rel_path")).applyInPandas(align, schema)
 
 

@@ -101,7 +101,7 @@ def read_decisions(spark: SparkSession, path: str, version: int = 1) -> DataFram
 def read_failures(spark: SparkSession, path: str) -> DataFrame:
     """Failure rows (func_name, file_path, error_type, error_message), listed or under ``failures``."""
     one = "struct<func_name:string,file_path:string,error_type:string,error_message:string,task:struct<func_name:string,source_file:string>>"
-    raw = spark.read.option("multiLine", True).schema(f"failures array<{one}>, {one[7:-1]}").json(path)
+    raw = spark.read.option("multiLine", True).schema(f"failures array<{one}>, func_name string, file_path string, error_type string, error_message string, task struct<func_name:string,source_file:string>").json(path)
     rows = raw.select(F.explode("failures").alias("f")).select("f.*").unionByName(raw.where("failures is null").drop("failures"))
     return rows.select(F.coalesce("func_name", "task.func_name").alias("func_name"), F.coalesce("file_path", "task.source_file", F.lit("")).alias("file_path"), F.coalesce("error_type", F.lit("unknown")).alias("error_type"), F.coalesce("error_message", F.lit("")).alias("error_message")).where("func_name is not null")
 
