@@ -38,8 +38,9 @@ def training_part(id_col, modulus: int):
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of fewer rows: whole texts make large rows, and each Python worker holds a few batches."""
+def small_batches(spark: SparkSession, size: int = 4 << 20, rows: int = 200_000) -> None:
+    """Arrow batches bounded by bytes: few whole texts, for each Python worker holds a few batches, but many numbers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
