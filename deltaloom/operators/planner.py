@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from deltaloom.functions import similarity, text
 from deltaloom.operators.assign import greedy
 from deltaloom.operators.graph import reach
+from deltaloom.operators.ordering import block_join
 
 #: Bars of a rename and of an alignment.
 RENAME_SCORE, RENAME_LENGTH = 0.78, 20
@@ -110,7 +111,7 @@ def decide(items: DataFrame, decisions: DataFrame) -> DataFrame:
 def match_decisions(decisions: DataFrame, items: DataFrame) -> DataFrame:
     """Decisions (decision_id, action, rel_path, function_name; null: any) that fit exactly one item, with its idx."""
     fits = lambda c: F.col(f"d.{c}").isNull() | (F.col(f"d.{c}") == F.col(f"i.{c}"))
-    met = decisions.alias("d").join(items.alias("i"), fits("action") & fits("rel_path") & fits("function_name"))
+    met = block_join(items.alias("i"), decisions.alias("d"), "decision_id", fits("action") & fits("rel_path") & fits("function_name"))
     counted = met.groupBy(F.col("d.decision_id").alias("decision_id")).agg(F.count("*").alias("n"), F.min("i.idx").alias("idx"))
     return counted.where("n = 1").select("decision_id", "idx")
 

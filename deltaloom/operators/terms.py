@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deltaloom.functions import text
+from deltaloom.operators.ordering import number_rows
 
 #: Trust in where a term comes from.
 SOURCE_RANK = {
@@ -167,9 +168,5 @@ def concept_confidence(n: Column, same_module: Column, local_hits: Column, same_
 def batches(symbols: DataFrame, column: str, size: int = 50) -> DataFrame:
     """Symbols in batches of ``size`` in order of their first token and name."""
     prefix = F.lower(F.regexp_extract(column, r"^([A-Za-z0-9]+)", 1))
-    named = symbols.select(column).distinct().withColumn("prefix", prefix)
-    sizes = named.groupBy("prefix").agg(F.count("*").alias("n"))  # only one row for each prefix is ordered globally
-    before = F.coalesce(F.sum("n").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = named.join(sizes.select("prefix", before.alias("before")), "prefix")
-    nth = F.col("before") + F.row_number().over(Window.partitionBy("prefix").orderBy(column)) - 1
-    return ranked.select(column, F.floor(nth / size).cast("long").alias("batch"))
+    ranked = number_rows(symbols.select(column).distinct(), [prefix, F.col(column)], "n", 0)
+    return ranked.select(column, F.floor(F.col("n") / size).cast("long").alias("batch"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deltaloom.functions import similarity, text
 from deltaloom.operators.assign import greedy
+from deltaloom.operators.ordering import block_join, number_rows
 
 #: Least scores of the rules and of an external matcher.
 LEAST_RULES, LEAST_EXTERNAL = 0.42, 0.55
@@ -15,8 +16,6 @@ LEAST_RULES, LEAST_EXTERNAL = 0.42, 0.55
 STOP_WORDS = "int void char return if else for while switch case const static struct uint16 uint32 uint8 true false null".split()
 PATH = r"[A-Za-z0-9_./\\-]+\.(?:c|h|cpp|hpp|py|java)\b"
 IDENT = r"\b[A-Za-z_][A-Za-z0-9_]+\b"
-#: Tickets are broadcast up to this number and joined through an inverted index beyond it.
-BROADCAST_TICKETS = 10_000
 
 
 def ticket_prefix(prefix) -> Column:
@@ -53,7 +52,7 @@ def last_by_seq(rows: DataFrame, seq: str = "seq", ord_col: str = "ord") -> Data
 
 def by_position(changes: DataFrame, tickets: DataFrame, ord_col: str = "ord", start: int = 1, prefix: str = "") -> DataFrame:
     """Changes numbered from ``start`` in order, with the ticket of that number; numbers are made from ``prefix``."""
-    numbered = changes.withColumn("problem_index", (F.row_number().over(Window.orderBy(ord_col)) + max(1, start) - 1).cast("long"))
+    numbered = number_rows(changes, [F.col(ord_col)], "problem_index", max(1, start))
     both = numbered.join(tickets.select(F.col("seq").cast("long").alias("problem_index"), F.col("title").alias("ticket_title"), "ticket_no"), "problem_index", "left")
     return both.withColumn("ticket_no", ensure_number("ticket_no", "problem_index", F.lit(prefix))).withColumn("ticket_title", F.coalesce("ticket_title", F.lit("")))
 
@@ -81,12 +80,10 @@ def rule_scores(tickets: DataFrame, changes: DataFrame, least: float = LEAST_RUL
     """Rows (change_id, seq, score, reason) of pairs that reach ``least`` by the best rule.
 
     ``tickets``: (seq, title, ids, paths, idents); ``changes``: (change_id, key, seg, blob, ids, paths, idents). The stated set
-    of tickets is scored against all changes: every rule looks at both texts, so no equi-join covers them.
+    of tickets is scored against all changes in blocks: every rule looks at both texts, so no equi-join covers them.
     """
     t = tickets.select("seq", F.trim(F.coalesce("title", F.lit(""))).alias("title"), F.col("ids").alias("t_ids"), F.col("paths").alias("t_paths"), F.col("idents").alias("t_idents"))
     c = changes.select("change_id", *[F.coalesce(x, F.lit("")).alias(x) for x in ("key", "seg", "blob")], "ids", "paths", "idents")
-    small = tickets.count() <= BROADCAST_TICKETS
-    pairs = c.join(F.broadcast(t) if small else t, F.lit(True))
     base = lambda ps: F.transform(ps, lambda p: F.element_at(F.split(p, "/"), -1))
     key_path = F.lower(F.replace("key", F.lit("\\"), F.lit("/")))
     paths = F.when(key_path.contains("/") | key_path.rlike(r"\.[ch]$"), F.array_append("paths", key_path)).otherwise(F.col("paths"))
@@ -101,7 +98,6 @@ def rule_scores(tickets: DataFrame, changes: DataFrame, least: float = LEAST_RUL
     short, body = squeeze(title), squeeze(F.substring("blob", 1, 500))
     part = F.substring(body, F.lit(1), F.greatest(F.length(short) * 3, F.lit(80)))
     ratio = F.when(similarity.length_bound(short, part) >= 0.55, similarity.ratio(short, part, junk=True)).otherwise(0.0) if with_text else F.lit(0.0)
-    pairs = pairs.withColumn("paths", paths).withColumn("hit", hit).withColumn("ratio", ratio)
     rules = [
         (F.arrays_overlap("t_ids", "ids"), F.lit(0.95), F.concat(F.lit("doc_id:"), F.array_min(F.array_intersect("t_ids", "ids")))),
         (F.arrays_overlap("t_paths", "paths"), F.lit(0.88), F.concat(F.lit("path:"), F.array_min(F.array_intersect("t_paths", "paths")))),
@@ -115,7 +111,13 @@ def rule_scores(tickets: DataFrame, changes: DataFrame, least: float = LEAST_RUL
     rules += [(F.col("ratio") >= 0.55, 0.45 + 0.25 * F.col("ratio"), F.concat(F.lit("sim:"), F.format_number("ratio", 2)))]
     score = F.greatest(*[F.when(F.coalesce(test, F.lit(False)), value).otherwise(0.0) for test, value, _ in rules])
     reasons = F.array_join(F.slice(F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), why) for test, _, why in rules])), 1, 3), "+")
-    return pairs.select("change_id", "seq", F.least(F.lit(1.0), score).alias("score"), reasons.alias("reason")).where(F.col("score") >= least)
+
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.withColumn("paths", paths).withColumn("hit", hit).withColumn("ratio", ratio)
+        return pairs.select("change_id", "seq", F.least(F.lit(1.0), score).alias("score"), reasons.alias("reason")).where(F.col("score") >= least)
+
+    return block_join(c, t, "seq", F.lit(True), scored)
 
 
 def assign(scores: DataFrame) -> DataFrame:
@@ -126,8 +128,7 @@ def assign(scores: DataFrame) -> DataFrame:
 def ordered(changes: DataFrame, matches: DataFrame, ord_col: str = "ord") -> DataFrame:
     """Changes with their ticket: matched ones first by ticket number, then the rest in order; position from 1."""
     both = changes.join(matches.select("change_id", "seq", "score", "reason"), "change_id", "left")
-    order = Window.orderBy(F.col("seq").isNull(), "seq", ord_col)
-    return both.withColumn("position", F.row_number().over(order))
+    return number_rows(both, [F.col("seq").isNull(), F.col("seq"), F.col(ord_col)], "position")
 
 
 def match_report(changes: DataFrame, tickets: DataFrame, matches: DataFrame) -> DataFrame:

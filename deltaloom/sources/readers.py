@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from pyspark.sql.functions import pandas_udf
 
 from deltaloom.functions import text
+from deltaloom.operators.ordering import number_rows
 
 #: Header names of a ticket ledger, by the column they mean.
 ALIASES = {
@@ -135,7 +136,7 @@ def ordered_files(files: DataFrame, wanted: DataFrame, explicit_only: bool = Fal
     first = files.join(wanted.select("rel_path", "ord"), "rel_path").select("rel_path", F.lit(0).alias("part"), "ord", F.lit("").alias("layer"))
     rest = files.join(wanted, "rel_path", "left_anti").select("rel_path", F.lit(1).alias("part"), F.lit(0).cast("long").alias("ord"), layer(F.col("rel_path")).alias("layer"))
     both = first if explicit_only else first.unionByName(rest)
-    return both.withColumn("position", F.row_number().over(Window.orderBy("part", "ord", "layer", "rel_path"))).select("rel_path", "position")
+    return number_rows(both, [F.col(c) for c in ("part", "ord", "layer", "rel_path")], "position").select("rel_path", "position")
 
 
 def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

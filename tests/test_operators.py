@@ -167,3 +167,18 @@ def test_revise_and_quality(spark):
     assert [r.codes for r in lines.collect()] == [["unbalanced"], [], ["doubled"], []]
     one = spark.range(1).select(quality.score(F.lit(10), F.lit(1), F.lit(1), F.lit(4), F.lit(1), F.lit(0), F.lit(0), F.lit(False), F.lit(True)))
     assert one.first()[0] == 100 - 3 - 2 - 5 - 10 - 5
+
+
+def test_global_numbers_and_blocks(spark):
+    from deltaloom.operators.ordering import block_join, number_rows
+
+    values = list(range(200))
+    random.Random(5).shuffle(values)
+    df = spark.createDataFrame([(v,) for v in values], "v int").repartition(5)
+    assert {r.v: r.n for r in number_rows(df, [F.col("v")], "n", 10).collect()} == {v: v + 10 for v in values}
+    few = spark.createDataFrame([(k,) for k in range(25)], "k int")
+    met = block_join(df, few, "k", F.col("v") % 50 == F.col("k"), most=4)
+    assert rows(met, "v", "k") == sorted((v, v % 50) for v in values if v % 50 < 25)
+    decisions = spark.createDataFrame([(1, "safe", None, None), (2, None, "a.c", "f"), (3, None, None, None)], "decision_id int, action string, rel_path string, function_name string")
+    items = spark.createDataFrame([(7, "safe", "a.c", "f"), (8, "edit", "b.c", "g")], "idx int, action string, rel_path string, function_name string")
+    assert rows(planner.match_decisions(decisions, items), "decision_id", "idx") == [(1, 7), (2, 7)]
