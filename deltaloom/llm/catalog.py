@@ -1,4 +1,4 @@
-"""Queries of this subpackage and the SQL that gives the same rows."""
+"""Queries of this subpackage and the SQL that gives the same rows, where SQL can express them."""
 
 from __future__ import annotations
 
@@ -16,4 +16,25 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_substring": substring.op10_substring,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+#: The others hold trained models, seeded 64-bit hashes, tokenizers or look-behind patterns; tests/llm has their brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_embeddings": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::double) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node),
+parts AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN parts ON node = vec_id LEFT JOIN counts ON a = vec_id""",
+    "op10_substring": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+f AS (SELECT h, min(doc_id) AS first FROM p GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM p JOIN f USING (h) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+kept AS (SELECT words.doc_id, count(*) AS n, sha256(string_agg(word, ' ' ORDER BY words.k)) AS digest FROM words ANTI JOIN gone ON gone.doc_id = words.doc_id AND gone.k = words.k GROUP BY 1)
+SELECT w.doc_id, len(ws)::bigint AS n_words, len(ws) - coalesce(n, 0) AS n_removed, coalesce(digest, sha256('')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+}
