@@ -5,7 +5,9 @@ factors of WINDOW words or more count, and such a factor is a run of windows tha
 So the index holds reference blocks: a block is named by its anchor, the least hash of the GRAM-word groups in a
 window, which depends on nothing but the window's words. Blocks that one document alone holds are left out; for the
 others the first document of each window is looked up by hash and by a second, independent check, and the runs of
-windows that were found are the factors whose words go. Texts are read again in each step rather than shuffled.
+windows that were found are the factors whose words go. Documents that are copies of an earlier one as a whole are a
+single factor each; they are settled by a digest first, so that no block is held by thousands of copies. Texts are read
+again in each step rather than shuffled.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from deltaloom.llm.bitmap import holds, shared_bitmap
 
 WINDOW = 50
 GRAM = 16
+#: Ids of exact copies are broadcast up to this number (16 MB), and joined by shuffle beyond it.
+BROADCAST_IDS = 2_000_000
 
 
 class Windows:
@@ -70,9 +74,11 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def _kept(text: bytes, positions: np.ndarray, window: int) -> tuple[int, int, str, list]:
-    """(words, removed words, digest of the kept words, removed spans of words) of one text."""
+def _kept(text: bytes, positions: np.ndarray, window: int, whole: bool = False) -> tuple[int, int, str, list]:
+    """(words, removed words, digest of the kept words, removed spans of words) of one text; ``whole``: an exact copy."""
     words = text.split()
+    if whole:
+        return len(words), len(words), hashlib.sha256(b"").hexdigest(), [(0, len(words))]
     spans = []
     if len(positions):
         positions = np.unique(positions)
@@ -87,9 +93,28 @@ def _kept(text: bytes, positions: np.ndarray, window: int) -> tuple[int, int, st
     return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), spans
 
 
-def duplicate_windows(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
-    """Rows (id, positions array<int>): first words of windows that start in a document with a smaller id too."""
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text_"))
+def whole_copies(source: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Ids of rows (id, text_) whose whole sequence of ``window`` words or more is that of a smaller id."""
+
+    def digests(batches):
+        for batch in batches:
+            ids, found = batch.column(0).to_numpy(), ([], [])
+            for first, last, data, bounds in text_chunks(batch.column(1)):
+                text = data.tobytes()
+                for k in range(last - first):
+                    words = text[bounds[k] : bounds[k + 1]].split()
+                    if len(words) >= window:
+                        found[0].append(ids[first + k])
+                        found[1].append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.binary())], names=["id", "digest"])
+
+    marked, _ = write_out(source.mapInArrow(digests, "id bigint, digest binary"), "digests")
+    groups = marked.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
+    return marked.join(groups, "digest").where("id > first").select("id").distinct()
+
+
+def duplicate_windows(source: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows (id, positions array<int>) of rows (id, text_): first words of windows that start in a document with a smaller id too."""
 
     def anchors(batches):
         find = Windows(window)
@@ -117,6 +142,7 @@ def duplicate_windows(docs: DataFrame, id_col: str, text_col: str, window: int =
 
     found = source.mapInArrow(occurrences, "hash bigint, check int, id bigint, position int")
     index = found.groupBy("hash", "check").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    index, _ = write_out(index, "reference")  # as a table, both sides of the join are plain exchanges, whose hot windows AQE splits
     repeated = found.join(index, ["hash", "check"]).where("id > first")
     return repeated.groupBy("id").agg(F.collect_list("position").alias("positions"))
 
@@ -130,7 +156,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     remove each other. Other columns are not carried.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    lists, _ = write_out(duplicate_windows(docs, id_col, text_col, window), "repeats")
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text_"))
+    copies, _ = write_out(whole_copies(named, window), "copies")
+    hint = F.broadcast if copies.count() <= BROADCAST_IDS else (lambda df: df)
+    found = duplicate_windows(named.join(hint(copies), "id", "left_anti"), window).withColumn("whole", F.lit(False))
+    lists, _ = write_out(found.unionByName(copies.select("id", F.lit(None).cast("array<int>").alias("positions"), F.lit(True).alias("whole"))), "repeats")
     marked = shared_bitmap(lists.select(F.xxhash64("id")))
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text_"), F.xxhash64(F.col(id_col).cast("long")).alias("slot_"))
     schema = f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<start:int,end:int>>"
@@ -145,12 +175,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bits = view_bits(marked)
         for batch in batches:
             rest = batch.filter(pa.array(~holds(bits, batch.column(2).to_numpy())))
-            yield from cut([pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), pa.nulls(rest.num_rows, pa.list_(pa.int32()))], names=[id_col, "text_", "positions"])])
+            yield from cut([pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), pa.nulls(rest.num_rows, pa.list_(pa.int32())), pa.nulls(rest.num_rows, pa.bool_())], names=[id_col, "text_", "positions", "whole"])])
 
     def cut(batches):
         for batch in batches:
             texts, lists = batch.column(1).fill_null("").cast(pa.large_binary()), batch.column(2)
-            rows = [_kept(texts[i].as_py(), np.array(lists[i].as_py() or [], dtype=np.int64), window) for i in range(batch.num_rows)]
+            rows = [_kept(texts[i].as_py(), np.array(lists[i].as_py() or [], dtype=np.int64), window, bool(batch.column(3)[i].as_py())) for i in range(batch.num_rows)]
             columns = list(zip(*rows)) or [[]] * 4
             spans = pa.array([[{"start": a, "end": b} for a, b in s] for s in columns[3]], span)
             arrays = [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), spans]
@@ -159,7 +189,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row = f"`{id_col}` {kind}, text_ string, slot_ bigint"
     clear = source.mapInArrow(clear_rows, schema)
     other = source.mapInArrow(marked_rows, row)
-    other = other.join(lists.withColumnRenamed("id", "id_"), F.col(id_col).cast("long") == F.col("id_"), "left").select(id_col, "text_", "positions")
+    other = other.join(lists.withColumnRenamed("id", "id_"), F.col(id_col).cast("long") == F.col("id_"), "left").select(id_col, "text_", "positions", "whole")
     return clear.unionByName(other.mapInArrow(cut, schema))
 
 
