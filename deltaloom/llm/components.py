@@ -6,11 +6,36 @@ split the joins), nothing is collected, and each round is cut by a written table
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from deltaloom.llm._shared import remove, write_out
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges with the same components, batch by batch at most one for each node: a dense group keeps a few, not its square."""
+
+    def run(batches):
+        for batch in batches:
+            nodes, ends = np.unique(np.concatenate((batch.column(0).to_numpy(), batch.column(1).to_numpy())), return_inverse=True)
+            parent = list(range(len(nodes)))
+            for a, b in zip(ends[: batch.num_rows].tolist(), ends[batch.num_rows :].tolist()):
+                while parent[a] != a:
+                    parent[a] = a = parent[parent[a]]
+                while parent[b] != b:
+                    parent[b] = b = parent[parent[b]]
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            up = np.array(parent, dtype=np.int64)
+            while len(up) and (up[up] != up).any():
+                up = up[up]
+            moved = np.flatnonzero(up != np.arange(len(up)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[up[moved]])], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u bigint, v bigint")
+
+
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Rows (node, component): the smallest node reachable, for each node that has an edge to another one.
 
@@ -18,7 +43,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     """
     spark = edges.sparkSession
     a, b = (F.col(c) for c in edges.columns)
-    edges = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    edges = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    edges = forest(edges).distinct()
     current, path = write_out(edges, label)
     state = None
     while True:
