@@ -110,6 +110,7 @@ def whole_copies(source: DataFrame, window: int = WINDOW) -> DataFrame:
 
     marked, _ = write_out(source.mapInArrow(digests, "id bigint, digest binary"), "digests")
     groups = marked.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
+    groups, _ = write_out(groups, "copy-groups")  # a table again: one digest may be a third of all documents
     return marked.join(groups, "digest").where("id > first").select("id").distinct()
 
 
