@@ -1,9 +1,10 @@
 """LM scoring with a log-frequency Bloom filter.
 
 Counts of words and word pairs are quantised on a logarithmic scale, and an n-gram enters the filter once for each
-level up to its own. Reading a count is probing level after level until one is missing. The filter has a fixed
-size, so broadcasting it is bounded; each n-gram's bits lie in one segment, so executors build the segments. If
-the pairs to be kept overflow it, the count from which pairs are kept rises until they fit.
+level up to its own. Reading a count is probing level after level until one is missing. The filter grows with the
+levels that were counted, so every word and every pair is in it at every size; each n-gram's bits lie in one segment, so
+executors build the segments. A filter of 2**BROADCAST_BITS bits or less is broadcast; the n-grams of the texts are joined
+to the segments of a larger one.
 
 p(w | u) interpolates the pair's share with the add-one unigram. A quantised numerator is its level's least
 count and a denominator its level's largest, so quantisation alone never adds probability mass.
@@ -23,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deltaloom.llm._shared import SpanHasher, documents, fold_case, mix, remove, share, share_bits, small_batches, text_chunks, training_part, view_bits, word_spans, write_out
 
-SEGMENTS, SEGMENT_BITS = 8, 21  # 2**8 segments of 2**21 bits: 64 MB
+#: 2**SEGMENTS segments of 2**LEAST_BITS bits (64 MB) or more; up to 2**BROADCAST_BITS bits (128 MB) are broadcast.
+SEGMENTS, LEAST_BITS, BROADCAST_BITS = 12, 17, 30
 PROBES = 6
 BASE = 1.5
-LEAST_PAIR = 2
 LAMBDA = 0.3
 HOT = 65_536
 #: Tokens that a counting task holds before it adds up equal n-grams, and bytes of text that one scoring step takes.
@@ -43,15 +44,16 @@ def level_of(count: np.ndarray) -> np.ndarray:
     return np.searchsorted(_FLOORS, count, side="right")
 
 
-def bit_positions(hashes: np.ndarray, level: int):
-    """Yield the PROBES positions of (n-gram, level) within the n-gram's segment.
+def bit_positions(hashes: np.ndarray, level: int, bits: int):
+    """Yield the PROBES positions of (n-gram, level) within the n-gram's segment of 2**bits bits.
 
     A reader that has ruled n-grams out sends the numbers of those that are left, and later positions are theirs alone.
     """
-    mask, x = np.uint64((1 << SEGMENT_BITS) - 1), hashes
-    for _ in range(PROBES // 3):
+    mask, x = np.uint64((1 << bits) - 1), hashes
+    shifts = (0, 21, 42) if bits <= 21 else (0, 32)
+    for _ in range(PROBES // len(shifts)):
         x = mix(x ^ (np.uint64(level) * _LEVEL))
-        for shift in (0, 21, 42):
+        for shift in shifts:
             left = yield ((x >> np.uint64(shift)) & mask).astype(np.int64)
             if left is not None:
                 x = x[left]
@@ -59,19 +61,19 @@ def bit_positions(hashes: np.ndarray, level: int):
 
 
 class CountFilter:
-    """Reads quantised counts."""
+    """Reads quantised counts from 2**segments segments; none: a single one that is known to be the n-grams'."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, bits: np.ndarray, segments: int = SEGMENTS):
+        self.bits, self.segments, self.size = bits, segments, (8 * len(bits)).bit_length() - 1 - segments
 
-    def levels(self, hashes: np.ndarray, first: int = 1) -> np.ndarray:
-        """Level of each n-gram, by probing from level ``first`` on; 0 if that one is missing."""
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """Level of each n-gram, by probing from level 1 on; 0 if that one is missing."""
         out = np.zeros(len(hashes), dtype=np.int64)
         active = np.arange(len(hashes))
-        base = (hashes >> np.uint64(64 - SEGMENTS)).astype(np.int64) << SEGMENT_BITS
-        level = first
+        base = (hashes >> np.uint64(64 - self.segments)).astype(np.int64) << self.size if self.segments else np.zeros_like(out)
+        level = 1
         while len(active) and level < len(_FLOORS):
-            alive, positions = active, bit_positions(hashes[active], level)
+            alive, positions = active, bit_positions(hashes[active], level, self.size)
             for at in positions:
                 at += base[alive]
                 left = np.flatnonzero((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
@@ -108,10 +110,10 @@ def pair_hash(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def count_ngrams(texts: DataFrame) -> DataFrame:
-    """Rows (hash, count) of the words and of the pairs that occur LEAST_PAIR times in a table with one column of texts.
+    """The words and pairs of a table with one column of texts, counted and packed.
 
     Few n-grams of a task are equal, so adding them up before the shuffle costs more than it saves: each task adds up what it
-    holds, the rows are sorted after the shuffle, and runs of equal hashes are summed as they stream by.
+    holds.
     """
 
     def run(batches):
@@ -128,81 +130,113 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
         yield from counted(found)
 
     def counted(found):
-        for parts in found:
+        for word, parts in zip((True, False), found):
             if parts:
                 hashes, count = np.unique(np.concatenate(parts), return_counts=True)
+                hashes = mix(hashes ^ _WORD_SALT) if word else hashes
                 for first in range(0, len(hashes), 1 << 18):
-                    part = slice(first, first + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[part].view(np.int64)), pa.array(count[part])], names=names)
+                    key, n = hashes[first : first + (1 << 18)].view(np.int64), count[first : first + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), word)), pa.array(n)], names=["key", "word", "count"])
 
-    def summed(batches):
-        last, total = None, 0
-        for batch in batches:
-            hashes, count = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(hashes):
-                continue
-            start = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-            key, sums = hashes[start], np.add.reduceat(count, start)
-            if last is not None:
-                if key[0] == last:
-                    sums[0] += total
-                else:
-                    key, sums = np.append(last, key), np.append(total, sums)
-            last, total = key[-1], sums[-1]
-            yield kept(key[:-1], sums[:-1])
-        if last is not None:
-            yield kept(np.array([last]), np.array([total]))
-
-    def kept(key, sums):
-        good = (key & 1 == 0) | (sums >= LEAST_PAIR)
-        return pa.RecordBatch.from_arrays([pa.array(key[good]), pa.array(sums[good])], names=names)
-
-    names, schema = ["hash", "count"], "hash bigint, count bigint"
-    return texts.mapInArrow(run, schema).repartition("hash").sortWithinPartitions("hash").mapInArrow(summed, schema)
+    return packed(texts.mapInArrow(run, "key bigint, word boolean, count bigint"))
 
 
-def build_filter(counts: DataFrame):
-    """(bits, least level of pairs): every word and, from that level on, every pair of rows (hash, count)."""
-    floors = ", ".join(f"{x:.0f}D" for x in _FLOORS[:90])
-    level = F.expr(f"size(filter(array({floors}), x -> x <= count))")
-    seen = {(r["size"], r["level"]): r["n"] for r in counts.groupBy(F.expr("cast(hash & 1 as int) + 1").alias("size"), level.alias("level")).agg(F.count("*").alias("n")).collect()}
-    first = int(level_of(np.array([LEAST_PAIR]))[0])
-    room = (1 << (SEGMENTS + SEGMENT_BITS)) * np.log(2) / PROBES - sum(n * k for (size, k), n in seen.items() if size == 1)
-    while first < 90 and sum(n * (k - first + 1) for (size, k), n in seen.items() if size == 2 and k >= first) > room:
-        first += 1
-    rows = counts.where(f"hash & 1 = 0 or count >= {_FLOORS[first - 1]:.0f}")
-
-    def spread(batches):
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows (key, word, count), summed: a row (key, count) for each word; a row (segment, load, hashes, levels) for each segment.
+
+    The segment is the first bits of the key, so rows sorted by key after the shuffle stream by segment after segment.
+    """
+
+    def run(batches):
+        rest = None
         for batch in batches:
-            hashes, count = (batch.column(k).to_numpy() for k in range(2))
-            word = hashes & 1 == 0
-            hashes = np.where(word, mix(hashes.view(np.uint64) ^ _WORD_SALT), hashes.view(np.uint64))
-            segment = (hashes >> np.uint64(64 - SEGMENTS)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(hashes.view(np.int64)), pa.array(np.where(word, 1, first).astype(np.int16)), pa.array(level_of(count).astype(np.int16))], names=["segment", "hash", "low", "high"])
+            here = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            here = here if rest is None else [np.concatenate(x) for x in zip(rest, here)]
+            if len(here[0]):
+                first = int(np.searchsorted(here[0], here[0][-1] >> (64 - SEGMENTS) << (64 - SEGMENTS)))
+                yield from summed(*(x[:first] for x in here))
+                here = [x[first:] for x in here]
+            rest = here
+        if rest is not None:
+            yield from summed(*rest)
+
+    def summed(key, word, count):
+        if not len(key):
+            return
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        key, word, count = key[start], word[start].astype(bool), np.add.reduceat(count, start)
+        level = level_of(count).astype(np.uint8)
+        segment = key.view(np.uint64) >> np.uint64(64 - SEGMENTS)
+        edges = np.concatenate(([0], np.flatnonzero(segment[1:] != segment[:-1]) + 1, [len(key)]))
+        parts, n = list(zip(edges[:-1], edges[1:])), int(word.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(key[word]), pa.array(count[word]), *(pa.nulls(n, kind) for kind in (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=names)
+        loads = np.add.reduceat(level.astype(np.int64), edges[:-1])
+        hashes, levels = (pa.array([x[a:b].tobytes() for a, b in parts], pa.binary()) for x in (key, level))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array(segment[edges[:-1]].astype(np.int32)), pa.array(loads), hashes, levels], names=names)
+
+    names = ["key", "count", "segment", "load", "hashes", "levels"]
+    dealt = rows.repartition(F.shiftrightunsigned("key", 64 - SEGMENTS)).sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "key bigint, count bigint, segment int, load bigint, hashes binary, levels binary")
+
+
+def filter_segments(counts: DataFrame):
+    """(rows (segment, bits), their path, the base-2 logarithm of the bits in one): every word and pair of a packed table."""
+    load = counts.agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0]
+    size = max(LEAST_BITS, int(np.ceil(np.log2(max(load, 1) * PROBES / np.log(2)))) - SEGMENTS)
 
     def fill(batches):
-        parts: dict = {}
         for batch in batches:
-            segment, hashes, low, high = (batch.column(k).to_numpy() for k in range(4))
-            hashes = hashes.view(np.uint64)
-            for k in np.unique(segment):
-                flags = parts.setdefault(int(k), np.zeros(1 << SEGMENT_BITS, dtype=bool))
-                own = segment == k
-                h, a, b = hashes[own], low[own], high[own]
-                for step in range(1, int(b.max()) + 1):
-                    here = h[(a <= step) & (step <= b)]
-                    for at in bit_positions(here, step):
+            for segment, hashes, levels in zip(*(batch.column(k) for k in range(3))):
+                flags = np.zeros(1 << size, dtype=bool)
+                hashes, levels = np.frombuffer(hashes.as_buffer(), dtype=np.uint64), np.frombuffer(levels.as_buffer(), dtype=np.uint8)
+                for step in range(1, int(levels.max()) + 1):
+                    for at in bit_positions(hashes[levels >= step], step, size):
                         flags[at] = True
-        for k, flags in parts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([segment.as_py()], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
+
+    rows = counts.where("segment is not null").select("segment", "hashes", "levels")
+    return *write_out(rows.mapInArrow(fill, "segment int, bits binary"), "filter-segments"), size
 
-    dealt = rows.mapInArrow(spread, "segment int, hash bigint, low smallint, high smallint").repartition("segment")
-    filled, path = write_out(dealt.mapInArrow(fill, "segment int, bits binary"), "filter-segments")
-    bits, width = np.zeros(1 << (SEGMENTS + SEGMENT_BITS - 3), dtype=np.uint8), 1 << (SEGMENT_BITS - 3)
-    for row in filled.toLocalIterator():  # made by all executors, read a part at a time: the driver holds the filter once
+
+def gathered(segments: DataFrame, size: int) -> np.ndarray:
+    """The whole filter; made by all executors, read a part at a time: the driver holds it once."""
+    bits, width = np.zeros(1 << (SEGMENTS + size - 3), dtype=np.uint8), 1 << (size - 3)
+    for row in segments.toLocalIterator():
         bits[row.segment * width : (row.segment + 1) * width] = np.frombuffer(row.bits, dtype=np.uint8)
+    return bits
+
+
+def build_filter(counts: DataFrame):
+    """(bits, the base-2 logarithm of the bits in a segment) of rows (hash, count); hashes of words are even."""
+
+    def keyed(batches):
+        for batch in batches:
+            hashes, count = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            word = hashes & 1 == 0
+            key = np.where(word, mix(hashes.view(np.uint64) ^ _WORD_SALT), hashes.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(word), pa.array(count)], names=["key", "word", "count"])
+
+    table, path = write_out(packed(counts.select("hash", "count").mapInArrow(keyed, "key bigint, word boolean, count bigint")), "ngrams")
+    segments, filled, size = filter_segments(table)
+    bits = gathered(segments, size)
     remove(counts.sparkSession, path)
-    return bits, first
+    remove(counts.sparkSession, filled)
+    return bits, size
+
+
+def read_segments(keys: DataFrame, segments: DataFrame) -> DataFrame:
+    """Rows (key, low, high) of distinct ``keys``: least and largest count of each one's level, each read where its segment is."""
+
+    def read(asked: pa.Table, held: pa.Table) -> pa.Table:
+        keys = asked.column("key").to_numpy()
+        level = np.zeros(len(keys), dtype=np.int64)
+        if len(keys) and held.num_rows:
+            level = CountFilter(np.frombuffer(held.column("bits")[0].as_buffer(), dtype=np.uint8), 0).levels(keys.view(np.uint64))
+        low, high = np.where(level > 0, _FLOORS[level - 1], 0.0), np.where(level > 0, _FLOORS[level] - 1, 0.0)
+        return pa.table({"key": pa.array(keys), "low": pa.array(low), "high": pa.array(high)})
+
+    asked = keys.distinct().withColumn("segment", F.shiftrightunsigned("key", 64 - SEGMENTS).cast("int"))
+    return asked.groupBy("segment").cogroup(segments.groupBy("segment")).applyInArrow(read, "key bigint, low double, high double")
 
 
 def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,26 +250,30 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     texts = training.select(F.col(text_col).cast("string").alias("t"))
     counts, _ = write_out(count_ngrams(texts), "ngrams")
-    words = counts.where("hash & 1 = 0")
+    words = counts.where("key is not null").select(F.col("key").alias("hash"), "count")
     total, kinds = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    trained = words.where(F.col("hash") == int(_END)).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    end = mix(np.array([_END]) ^ _WORD_SALT).view(np.int64)[0]
+    trained = words.where(F.col("hash") == int(end)).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     top = words.orderBy(F.desc("count"), "hash").limit(HOT).collect()
     order = np.argsort(np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64))
     hot = np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64)[order]
     hot_logs = np.log10(np.array([r["count"] for r in top], dtype=np.float64)[order] + 1)
-    bits, first_level = build_filter(counts)
-    shared, shared_bits = share(spark, (hot, hot_logs)), share_bits(spark, bits)  # HOT words, and 64 MB
-    del bits, top
+    segments, path, size = filter_segments(counts)
+    whole = SEGMENTS + size <= BROADCAST_BITS
+    shared, shared_bits = share(spark, (hot, hot_logs)), share_bits(spark, gathered(segments, size)) if whole else None  # HOT words, and 128 MB
+    if whole:
+        remove(spark, path)
+    del top
     room = float(total + kinds + 1)
 
     def logs(find: CountFilter, unique: np.ndarray, word: np.ndarray, tokens: np.ndarray, before: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
-        level = find.levels(mix(unique ^ _WORD_SALT))
+        level = find.levels(unique)
         low, high = np.where(level > 0, _FLOORS[level - 1], 0.0), np.where(level > 0, _FLOORS[level] - 1, 0.0)
         context = np.append(0.0, high[word[:-1]])  # the count of what stands before
         context[before == _START] = trained
         p = (low[word] + 1) / room
         seen = np.flatnonzero((p > 1 / room) & (context > 0))
-        pair = find.levels(pair_hash(before[seen], tokens[seen]), first_level)
+        pair = find.levels(pair_hash(before[seen], tokens[seen]))
         share_of = np.where(pair > 0, _FLOORS[pair - 1], 0.0) / context[seen]
         p[context > 0] *= 1 - LAMBDA
         p[seen] += LAMBDA * np.minimum(share_of, 1.0)
@@ -243,32 +281,49 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
 
     def run(batches):
         hot, hot_logs = pickle.loads(shared.value)
-        find, hasher = CountFilter(view_bits(shared_bits)), SpanHasher()
+        find, hasher = CountFilter(view_bits(shared_bits)) if whole else None, SpanHasher()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, last, data, bounds in text_chunks(batch.column(1), STEP):
                 tokens, before, owner = sequences(data, bounds, hasher)
                 docs = last - first
                 unique, word = np.unique(tokens, return_inverse=True)
+                unique = mix(unique ^ _WORD_SALT)
                 at = np.minimum(np.searchsorted(hot, unique), max(len(hot) - 1, 0))
                 is_hot = hot[at] == unique if len(hot) else np.zeros(len(unique), dtype=bool)
                 worth = np.where(is_hot, hot_logs[at], 0.0) if len(hot) else np.zeros(len(unique))
                 common = is_hot[word]
                 base, known = (np.bincount(owner, weights=x[word], minlength=docs) for x in (worth, is_hot.astype(float)))
                 known, size = known.astype(np.int64), np.bincount(owner, minlength=docs)
-                model = logs(find, unique, word, tokens, before, owner, docs)
+                model = pa.array(logs(find, unique, word, tokens, before, owner, docs)) if whole else pa.nulls(docs, pa.float64())
                 rows = row + np.arange(docs)
                 ids, empty = batch.column(0).slice(first, docs), pa.nulls(docs, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(rows), ids, pa.array(mix(rows.astype(np.uint64)).view(np.int64)), empty, pa.array(size), pa.array(known), pa.array(base), pa.array(model)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), ids, pa.array(mix(rows.astype(np.uint64)).view(np.int64)), empty, pa.array(size), pa.array(known), pa.array(base), model, *(pa.nulls(docs, pa.int64()) for _ in range(2))], names=names)
                 rare = np.flatnonzero(~common)
                 key, times = np.unique(owner[rare] * len(unique) + word[rare], return_counts=True)
                 n = len(key)
                 if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[key // len(unique)]), pa.nulls(n, ids.type), pa.array(unique[key % len(unique)].view(np.int64)), pa.array(times), *(pa.nulls(n, kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[key // len(unique)]), pa.nulls(n, ids.type), pa.array(unique[key % len(unique)].view(np.int64)), pa.array(times), *(pa.nulls(n, kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()))], names=names)
+                if not whole:  # a row for each different pair of a text; what stands before is null at its start
+                    prior = np.where(before == _START, len(unique), np.append(0, word[:-1]))
+                    _, at, times = np.unique((owner * (len(unique) + 1) + prior) * len(unique) + word, return_index=True, return_counts=True)
+                    n, pair = len(at), pair_hash(before[at], tokens[at])
+                    context = pa.array(np.append(unique, np.uint64(0))[prior[at]].view(np.int64), mask=before[at] == _START)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[owner[at]]), pa.nulls(n, ids.type), pa.array(unique[word[at]].view(np.int64)), pa.array(times), *(pa.nulls(n, kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), context, pa.array(pair.view(np.int64))], names=names)
                 row += docs
 
-    names = ["row", "id", "hash", "times", "n_tokens", "n_known", "base", "model"]
-    found = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text_")).mapInArrow(run, f"row bigint, id {kind}, hash bigint, times bigint, n_tokens bigint, n_known bigint, base double, model double")
+    names = ["row", "id", "hash", "times", "n_tokens", "n_known", "base", "model", "context", "pair"]
+    found = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text_")).mapInArrow(run, f"row bigint, id {kind}, hash bigint, times bigint, n_tokens bigint, n_known bigint, base double, model double, context bigint, pair bigint")
+    if not whole:
+        found, _ = write_out(found, "lm-tokens")
+        told = found.where("pair is not null").select("row", "hash", "times", "context", "pair")
+        read, _ = write_out(read_segments(told.select(F.explode(F.array("hash", "pair")).alias("key")), segments), "lm-levels")
+        for name in ("hash", "context", "pair"):
+            told = told.join(read.select(F.col("key").alias(name), F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high")), name, "left")
+        told = told.withColumn("held", F.expr(f"if(context is null, {trained}D, coalesce(context_high, 0D))")).withColumn("p", (F.col("hash_low") + 1) / room)
+        told = told.withColumn("p", F.expr(f"if(held > 0, {1 - LAMBDA}D * p + if(hash_low > 0, {LAMBDA}D * least(pair_low / held, 1D), 0D), p)"))
+        modelled = told.groupBy(F.col("row").alias("row_")).agg(F.sum(F.col("times") * F.log10(F.least("p", F.lit(1.0)))).alias("score_"))
+        found = found.where("pair is null")
     joined = found.join(words.withColumnRenamed("count", "c"), (found.hash == words.hash) & found.times.isNotNull(), "left")
     grouped = joined.groupBy("row").agg(
         F.max("id").alias(id_col),
@@ -277,6 +332,8 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
         (F.max("base") + F.coalesce(F.sum(F.col("times") * F.log10(F.col("c") + 1)), F.lit(0.0))).alias("base"),
         F.max("model").alias("score"),
     )
+    if not whole:
+        grouped = grouped.join(modelled, F.col("row") == F.col("row_")).withColumn("score", F.col("score_"))
     return grouped.select(id_col, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.log10(F.lit(room))).alias("base_score"), "score")
 
 

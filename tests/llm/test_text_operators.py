@@ -274,6 +274,29 @@ def test_count_filter_reads_what_was_written(spark):
     assert (lm.CountFilter(bits).levels(unseen) > 0).mean() < 0.01
 
 
+def test_filter_grows_and_keeps_every_ngram(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_BITS", 3)
+    pick = np.random.default_rng(4)
+    pairs, words = pick.integers(-(2**63), 2**63, 40_000) | 1, pick.integers(0, 2**62, 4_000) & ~1
+    bits, size = lm.build_filter(spark.createDataFrame([(int(h), 1) for h in [*pairs, *words]], "hash long, count long"))
+    assert size > 3 and 8 * len(bits) >= 44_000 * lm.PROBES / math.log(2)
+    find = lm.CountFilter(bits)
+    assert (find.levels(pairs.view(np.uint64)) >= 1).all() and (find.levels(lm.mix(words.astype(np.uint64) ^ lm._WORD_SALT)) >= 1).all()
+    assert (find.levels(pick.integers(-(2**63), 2**63, 20_000).view(np.uint64)) > 0).mean() < 0.05
+
+
+def test_lm_pairs_seen_once_and_joined_segments(spark, docs, edge_docs, monkeypatch):
+    near = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha gamma beta delta")], "doc_id long, text string")
+    once = {r.doc_id: r.score for r in lm.score(near, near.where("doc_id = 1")).collect()}
+    assert once[1] > once[2] + 0.5
+    wanted = {}
+    for bound in (lm.BROADCAST_BITS, 0):
+        monkeypatch.setattr(lm, "BROADCAST_BITS", bound)
+        for name, table, train in (("docs", docs.limit(300), docs.where("doc_id % 5 <> 0")), ("edges", edge_docs, edge_docs), ("none", edge_docs, edge_docs.limit(0))):
+            rows = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(table, train).collect())
+            assert wanted.setdefault(name, rows) == rows
+
+
 # language ID
 
 
