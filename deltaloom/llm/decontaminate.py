@@ -4,7 +4,8 @@ Numbers, units after a number and names (capitalised words inside a sentence) be
 five canonical words of documents and benchmark items meet in a hash join. An item leaks into a document that holds 0.8
 or more of its windows. If the item has placeholders, the document's words in their place must be a consistent
 re-parameterisation: each value of the item has one partner (the most frequent), and windows that contradict it do
-not count.
+not count. A document may hold several variants, so partners are chosen, and windows counted, in each occurrence alone,
+and the best one decides.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ WINDOW = 5
 COVERAGE = 0.8
 #: A window needs so many words that are no placeholders to identify an item.
 LITERALS = 2
+#: An occurrence is looked for among windows whose alignments differ by less than so many times the item's length.
+REACH = (0.5, 2, 8)
 #: Benchmark windows, and candidate pairs, beyond this number are joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 500_000
 _NUMBER, _NAME, _UNIT = "\ue000", "\ue001", "\ue002"  # private-use code points, taken out of the texts first
@@ -53,22 +56,36 @@ def windows(words: str) -> F.Column:
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (item, at, hash, slots, values, total): the windows that identify an item, and its placeholders' values."""
+    """Rows (item, at, hash, slots, values, total, span): the windows that identify an item, its placeholders' values, its length."""
     table = items.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("t")).dropDuplicates()
     table = table.select("item", canonical_words(F.col("t")).alias("w"), plain_words(F.col("t")).alias("p"))
     table = table.select("item", "w", "p", F.posexplode(windows("w")).alias("at", "hash"))
     slots = F.expr(f"filter(sequence(0, {WINDOW - 1}), k -> get(w, at + k) >= '{_NUMBER}' and get(w, at + k) <= '{_UNIT}')")
     table = table.withColumn("slots", slots).where(f"size(slots) <= {WINDOW - LITERALS}")
     table = table.select("item", "at", "hash", "slots", F.expr("transform(slots, k -> get(p, at + k))").alias("values"))
-    totals = table.groupBy("item").agg(F.countDistinct("at").alias("total"))
+    totals = table.groupBy("item").agg(F.countDistinct("at").alias("total"), (F.max("at") - F.min("at") + WINDOW).alias("span"))
     return table.join(totals, "item")
 
 
+def occurrences() -> F.Column:
+    """Structs (kind, place) of the groups that a window belongs to: the whole document, those at the item's own values,
+    those at one alignment of item and document, and buckets of near alignments.
+
+    Copies that follow each other differ in alignment by the item's length. Buckets of each width come twice, half a width
+    apart, so words put into or left out of a copy part it in at most one of them.
+    """
+    groups = ["if(size(values) = 0 or forall(sequence(0, size(values) - 1), k -> lower(get(values, k)) = lower(get(own, k))), struct(1, 0L), struct(0, 0L))", "struct(0, 0L)", "struct(2, cast(pos - at as bigint))"]
+    for k, reach in enumerate(REACH):
+        width = f"greatest(2, cast({reach} * span as int))"
+        groups += [f"struct({3 + 2 * k + half}, cast(floor((pos - at + {half} * ({width} div 2)) / {width}) as bigint))" for half in range(2)]
+    return F.expr(f"array_distinct(array({', '.join(groups)}))")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """Pairs of documents and the benchmark items they hold.
 
     Rows (id_col, item_id, n_windows, n_matched, coverage, reparameterised): the item's windows, how many the document
-    holds consistently, their share, and whether any placeholder has another value. Items without a window of
+    holds consistently in its best occurrence, their share, and whether any placeholder has another value there. Items without a window of
     five words of which two are no placeholders identify nothing, and null texts and ids match nothing. Rows that
     repeat an id count as one document. Other columns are not carried.
     """
@@ -89,13 +106,17 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     again = source.join(near.select("id_").distinct(), "id_", "left_semi").dropDuplicates()
     again = again.select("id_", canonical_words(F.col("text_")).alias("w"), plain_words(F.col("text_")).alias("p"))
     again = again.select("id_", "p", F.posexplode(windows("w")).alias("pos", "hash")).join(hint(bench), "hash").join(near, ["id_", "item"])
-    again = again.select("id_", "item", "total", "at", "pos", "values", F.expr("transform(slots, k -> get(p, pos + k))").alias("own"))
+    again = again.select("id_", "item", "total", "span", "at", "pos", "values", F.expr("transform(slots, k -> get(p, pos + k))").alias("own"))
     again, _ = write_out(again, "benchmark-slots")
-    partners = again.select("id_", "item", F.explode(F.arrays_zip("values", "own")).alias("z")).groupBy("id_", "item", F.lower("z.values").alias("value"), F.lower("z.own").alias("partner")).count()
-    order = Window.partitionBy("id_", "item", "value").orderBy(F.desc("count"), "partner")
-    agreed = partners.withColumn("rank", F.row_number().over(order)).where("rank = 1").groupBy("id_", "item").agg(F.map_from_entries(F.collect_list(F.struct("value", "partner"))).alias("agreed"), F.max(F.col("value") != F.col("partner")).alias("changed"))
-    judged = again.join(agreed, ["id_", "item"], "left").where("size(values) = 0 or forall(sequence(0, size(values) - 1), k -> element_at(agreed, lower(get(values, k))) = lower(get(own, k)))")
-    judged = judged.groupBy("id_", "item", "total").agg(F.countDistinct("at").alias("matched"), F.coalesce(F.max("changed"), F.lit(False)).alias("changed")).where(F.col("matched") >= coverage * F.col("total"))
+    again = again.select("id_", "item", "total", "at", "values", "own", F.explode(occurrences()).alias("o"))
+    place = ["id_", "item", "o"]
+    partners = again.select(*place, F.explode(F.arrays_zip("values", "own")).alias("z")).groupBy(*place, F.lower("z.values").alias("value"), F.lower("z.own").alias("partner")).count()
+    order = Window.partitionBy(*place, "value").orderBy(F.desc("count"), "partner")
+    agreed = partners.withColumn("rank", F.row_number().over(order)).where("rank = 1").groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct("value", "partner"))).alias("agreed"), F.max(F.col("value") != F.col("partner")).alias("changed"))
+    judged = again.join(agreed, place, "left").where("size(values) = 0 or forall(sequence(0, size(values) - 1), k -> element_at(agreed, lower(get(values, k))) = lower(get(own, k)))")
+    judged = judged.groupBy(*place, "total").agg(F.countDistinct("at").alias("matched"), F.coalesce(F.max("changed"), F.lit(False)).alias("changed")).where(F.col("matched") >= coverage * F.col("total"))
+    best = judged.groupBy("id_", "item", "total").agg(F.max(F.struct("matched", (~F.col("changed")).alias("same"))).alias("best"))
+    judged = best.select("id_", "item", "total", F.col("best.matched").alias("matched"), (~F.col("best.same")).alias("changed"))
 
     both = plain.unionByName(judged)
     return both.select(F.col("id_").alias(id_col), F.col("item").alias(item_id), F.col("total").cast("long").alias("n_windows"), F.col("matched").cast("long").alias("n_matched"), (F.col("matched") / F.col("total")).alias("coverage"), F.col("changed").alias("reparameterised"))

@@ -118,6 +118,32 @@ def test_decontamination_cases(spark):
         assert got[3, 1].n_matched < got[1, 1].n_matched
 
 
+SHORT = "yesterday Tom bought 3 apples for 2 dollars and Ann bought 4 pears for 5 dollars"
+
+
+def test_decontamination_of_several_variants(spark):
+    items = spark.createDataFrame([(1, SHORT)], "item_id long, text string")
+
+    def variant(who, a, other, b):
+        return f"yesterday {who} bought {a} apples for {a + 5} dollars and {other} bought {b} pears for {b + 3} dollars"
+
+    kim, eve, long = variant("Kim", 12, "Lea", 30), variant("Eve", 44, "Max", 70), "w " * 12
+    rows = [(1, f"{kim} {eve}"), (2, f"{SHORT} {kim}"), (3, f"{SHORT} {kim} {eve}"), (4, f"{kim} then {eve} then {variant('Pia', 9, 'Sam', 8)}"), (5, kim), (6, f"{eve} {long} {SHORT} and {kim}"), (7, "nothing of it"), (8, "bought 3 apples for 2 dollars " * 9)]
+    got = {r.doc_id: r for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6}
+    assert all(r.coverage == 1.0 for r in got.values())
+    assert {i for i, r in got.items() if not r.reparameterised} == {2, 3, 6}
+    near = spark.createDataFrame([(1, f"{ITEM} today")], "item_id long, text string")
+    same = ITEM.replace("40", "99").replace("Alice", "Bob").replace("15", "8")
+    other = ITEM.replace("40", "71").replace("Alice", "Eve").replace("15", "6")
+    loose = [x.replace("of track", "of very old track") for x in (same, other)]  # words put in
+    rows = [(1, " ".join(loose)), (2, same.replace("before 99", "before 12")), (3, ITEM.replace("40", "99", 1))]
+    got = {r.doc_id: r for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), near, coverage=0.7).collect()}
+    alone = {r.doc_id: r for r in decontaminate.contaminated(spark.createDataFrame([(1, loose[0])], "doc_id long, text string"), near, coverage=0.7).collect()}
+    assert got[1].n_matched == alone[1].n_matched
+    assert all(got[i].n_matched < got[1].n_windows for i in (2, 3) if i in got)
+
+
 def test_decontamination_against_brute_force(spark, docs, texts, sf_dir, edge_docs, no_docs):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
