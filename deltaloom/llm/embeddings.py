@@ -1,8 +1,8 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
 Equal vectors become one node with a multiplicity. Centroids fitted on a bounded sample split all nodes into
-overlapping shards (each node goes to its OVERLAP nearest centroids); a shard beyond BLOCK nodes is dealt out as
-hashed blocks and every pair of blocks is searched. Each block's graph keeps robust-pruned near and far neighbours; the
+overlapping shards. Each node goes to its OVERLAP nearest centroids, or to as many as it takes for TOGETHER of the
+sampled vectors to share one with a vector just at the threshold; a shard beyond BLOCK nodes is dealt out as hashed blocks and every pair of blocks is searched. Each block's graph keeps robust-pruned near and far neighbours; the
 adjacency lists of all blocks are united per node, and every node searches the blocks of its shards greedily
 from their medoids, then expands everything in range until nothing new is in range. Pairs are verified in double
 precision. ``audit_recall`` compares the links with brute force on a sample of queries.
@@ -23,6 +23,8 @@ THRESHOLD = 0.95
 #: Bound of the sample on which centroids are fitted; every vector is indexed.
 SAMPLE = 20_000
 SHARD, CENTROIDS, OVERLAP, BLOCK = 700, 1024, 2, 1024
+#: Share of pairs at the threshold that are to meet in a shard, and vectors of the sample on which it is measured.
+TOGETHER, PROBED = 0.99, 2_000
 NEAR, FAR, POOL, ALPHA, BEAM, WIDTH = 24, 8, 96, 1.2, 48, 4
 
 
@@ -44,6 +46,30 @@ def centroids(sample: np.ndarray, count: int, rounds: int = 8, seed: int = 5) ->
     return centre
 
 
+def overlap(centre: np.ndarray, sample: np.ndarray, threshold: float, seed: int = 7) -> int:
+    """Nearest centroids that each node goes to, so that TOGETHER of the pairs just at the threshold share one.
+
+    The pairs are vectors of ``sample``, turned by the threshold's angle at random and along differences of the sample. The
+    centroids should not be fitted on it: vectors that they were fitted on lie nearer to them than others.
+    """
+    pick = np.random.default_rng(seed)
+    x = sample[pick.permutation(len(sample))[:PROBED]]
+    one, other = (sample[pick.integers(0, len(sample), len(x))] for _ in range(2))
+
+    def ranks(rows):
+        order = np.argsort(-(rows @ centre.T), axis=1, kind="stable")
+        out = np.empty_like(order)
+        np.put_along_axis(out, order, np.arange(len(centre))[None, :], axis=1)
+        return out
+
+    own, wanted = ranks(x), [OVERLAP]
+    for turn in (pick.normal(size=x.shape), one - other):
+        turn = unit(turn - np.einsum("ij,ij->i", turn, x)[:, None] * x)
+        moved = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * turn
+        wanted.append(int(np.quantile(np.maximum(own, ranks(moved)).min(1), TOGETHER, method="higher")) + 1)
+    return max(wanted)
+
+
 def pruned_graph(vectors: np.ndarray, seed: int = 3) -> list[np.ndarray]:
     """Neighbours of each unit vector: robust pruning of its near pool and of a random far pool, edges both ways."""
     n = len(vectors)
@@ -148,11 +174,14 @@ def near_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return spark.createDataFrame([], "a long, b long, copies_a long, copies_b long")
     part = min(1.0, 1.5 * (SAMPLE + 100) / total)
     chosen = nodes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(part * (1 << 30))).orderBy(F.xxhash64("rep")).limit(SAMPLE).select("vector").collect()
-    centres = {}
+    centres, overlaps = {}, {}
     for size in sizes:
         sample = [row[0] for row in chosen if len(row[0]) == size] or [np.ones(size)]
         sample = unit(np.array(sample))
-        centres[size] = centroids(sample, max(1, min(CENTROIDS, len(sample), sizes[size] // SHARD)))
+        apart = min(PROBED, len(sample) // 5)
+        fitted = sample[apart:]
+        centres[size] = centroids(fitted, max(1, min(CENTROIDS, len(fitted), sizes[size] // SHARD)))
+        overlaps[size] = overlap(centres[size], sample[:apart] if apart else sample, threshold)
     shared = share(spark, centres)  # CENTROIDS vectors of each length at most
 
     def assign(batches):
@@ -162,7 +191,7 @@ def near_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for size in np.unique(length):
                 own = batch.filter(pa.array(length == size))
                 likeness = unit(_matrix(own.column(2))) @ centre[int(size)].T
-                count = min(OVERLAP, likeness.shape[1])
+                count = min(overlaps[int(size)], likeness.shape[1])
                 near = np.argsort(-likeness, axis=1, kind="stable")[:, :count]
                 for k in range(count):
                     yield pa.RecordBatch.from_arrays([pa.array([f"{size}:{x}" for x in near[:, k]]), *own.columns], names=["shard", "rep", "copies", "vector"])

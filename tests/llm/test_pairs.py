@@ -48,6 +48,34 @@ def test_embeddings_recall(spark, monkeypatch):
     assert sum(got[i] == wanted[i] for i in wanted) >= 0.95 * len(wanted)
 
 
+def spread_pairs(seed, pairs, dim=64, cosine=0.953):
+    """Unit vectors without clusters, and one for each that is turned by the cosine's angle."""
+    pick = np.random.default_rng(seed)
+    x = embeddings.unit(pick.normal(size=(pairs, dim)))
+    turn = pick.normal(size=x.shape)
+    turn = embeddings.unit(turn - np.einsum("ij,ij->i", turn, x)[:, None] * x)
+    return x, cosine * x + np.sqrt(1 - cosine**2) * turn
+
+
+def test_embeddings_overlap_of_a_thousand_shards():
+    sample, _ = spread_pairs(8, 8000)
+    centre = embeddings.centroids(sample, 1000, rounds=3)
+    count = embeddings.overlap(centre, spread_pairs(11, 1500)[0], 0.95)
+    near = [np.argsort(-(v @ centre.T), axis=1) for v in spread_pairs(9, 1500)]
+    together = lambda k: np.mean([len(set(a) & set(b)) > 0 for a, b in zip(near[0][:, :k], near[1][:, :k])])
+    assert together(embeddings.OVERLAP) < 0.93 and together(count) >= 0.98
+    assert count < 40
+
+
+def test_embeddings_recall_of_spread_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SHARD", 12)
+    monkeypatch.setattr(embeddings, "SAMPLE", 600)
+    x, y = spread_pairs(10, 1500)
+    vectors = [(i, [float(c) for c in v]) for i, v in enumerate(np.concatenate((x, y)))]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert embeddings.audit_recall(df, embeddings.near_duplicates(df), queries=3000) >= 0.97
+
+
 def test_embeddings_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [None, 1.0]), (8, [float("inf"), 0.0]), (9, [2.0, 0.1]), (10, [1.0, 0.0, 0.0]), (11, [-0.0, 1.0])]
