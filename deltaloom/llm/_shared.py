@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -59,9 +60,11 @@ def view_bits(shared) -> np.ndarray:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own is set only where it is unset (tests)."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder of our own, on one machine only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="deltaloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -141,8 +144,37 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out, dtype=np.uint64)
 
 
+class WordHasher:
+    """64-bit hashes of words that stand for the words: they have no algebra by which texts could be built to collide.
+
+    Words of one length up to 8 bytes never collide (every step is a bijection of their bytes); longer ones get a
+    cryptographic digest.
+    """
+
+    def __init__(self):
+        self.masks = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+        self.seeds = mix(np.arange(1, 10, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        size = ends - starts
+        long, short = np.flatnonzero(size > 8), np.minimum(size, 8)
+        out = mix((eight[starts] & self.masks[short]) ^ self.seeds[short])
+        if len(long):
+            text, digest = memoryview(data), hashlib.blake2b
+            found = b"".join([digest(text[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist())])
+            out[long] = np.frombuffer(found, dtype="<u8")
+        return out
+
+
 class SpanHasher:
-    """64-bit hashes of byte spans from one prefix sum; the tables of powers are reused between chunks."""
+    """64-bit hashes of byte spans from one prefix sum, for features only: texts can be built to collide.
+
+    The tables of powers are reused between chunks.
+    """
 
     def __init__(self):
         self.up = self.down = np.zeros(0, np.uint64)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltaloom.llm._shared import SpanHasher, documents, fold_case, mix, remove, share, share_bits, small_batches, text_chunks, training_part, view_bits, word_spans, write_out
+from deltaloom.llm._shared import WordHasher, documents, fold_case, mix, remove, share, share_bits, small_batches, text_chunks, training_part, view_bits, word_spans, write_out
 
 #: 2**SEGMENTS segments of 2**LEAST_BITS bits (64 MB) or more; up to 2**BROADCAST_BITS bits (128 MB) are broadcast.
 SEGMENTS, LEAST_BITS, BROADCAST_BITS = 12, 17, 30
@@ -84,7 +84,7 @@ class CountFilter:
         return out
 
 
-def sequences(data: np.ndarray, bounds: np.ndarray, hasher: SpanHasher):
+def sequences(data: np.ndarray, bounds: np.ndarray, hasher: WordHasher):
     """Tokens of some texts, an end after each: (token hashes, hashes of what stands before, owner).
 
     Hashes of words are even and those of pairs odd.
@@ -117,7 +117,7 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        hasher, found, held = SpanHasher(), ([], []), 0
+        hasher, found, held = WordHasher(), ([], []), 0
         for batch in batches:
             for _, _, data, bounds in text_chunks(batch.column(0)):
                 tokens, before, _ = sequences(data, bounds, hasher)
@@ -281,7 +281,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
 
     def run(batches):
         hot, hot_logs = pickle.loads(shared.value)
-        find, hasher = CountFilter(view_bits(shared_bits)) if whole else None, SpanHasher()
+        find, hasher = CountFilter(view_bits(shared_bits)) if whole else None, WordHasher()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, last, data, bounds in text_chunks(batch.column(1), STEP):

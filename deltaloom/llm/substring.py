@@ -1,13 +1,17 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-A document is parsed greedily into factors, each as long as blocks of earlier documents (smaller ids) can spell it. Only
-factors of WINDOW words or more count, and such a factor is a run of windows that all occur in the reference.
-So the index holds reference blocks: a block is named by its anchor, the least hash of the GRAM-word groups in a
-window, which depends on nothing but the window's words. Blocks that one document alone holds are left out; for the
-others the first document of each window is looked up by hash and by a second, independent check, and the runs of
-windows that were found are the factors whose words go. Documents that are copies of an earlier one as a whole are a
-single factor each; they are settled by a digest first, so that no block is held by thousands of copies. Texts are read
-again in each step rather than shuffled.
+The reference of a document is what the documents with smaller ids say first. Every distinct window of WINDOW words is indexed
+where it stands first (least id, then least position); a reference block is a stretch of first windows that follow each other. A
+document is parsed greedily against all blocks: a factor (source, position there, length) begins at the first window that a
+block holds and goes on as long as the same block spells the next word. Since a window stands in one block only, that
+is the longest factor there is. Where it ends, the factor boundary is checked: the windows that begin before the boundary and
+end beyond it are looked up as well, and the next factor begins with the first of them that another block holds, so factors
+may overlap and no repeated window is lost between two of them. Words under factors go; shorter matches are no factors.
+
+The identity of a window is a 128-bit cryptographic digest of its words as text, so equal digests are equal words; no hash
+that texts could be built to defeat decides. A block is found by its anchor, the least hash of the GRAM-word groups in a
+window, which depends on nothing but the window's words: anchors that one document alone holds are left out by
+a bitmap before windows are digested. Texts are read again in each step rather than shuffled.
 """
 
 from __future__ import annotations
@@ -18,49 +22,53 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltaloom.llm._shared import SpanHasher, documents, mix, powers, small_batches, text_chunks, view_bits, word_spans, write_out
+from deltaloom.llm._shared import WordHasher, documents, mix, powers, small_batches, text_chunks, view_bits, word_spans, write_out
 from deltaloom.llm.bitmap import holds, shared_bitmap
 
 WINDOW = 50
 GRAM = 16
-#: Ids of exact copies are broadcast up to this number (16 MB), and joined by shuffle beyond it.
-BROADCAST_IDS = 2_000_000
+_MULTIPLIER = 0xA0761D6478BD642F
 
 
 class Windows:
-    """Hashes of the windows of some texts, and the anchors that name their blocks."""
-
-    MULTIPLIERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+    """The windows of some texts, the anchors that name their blocks, and their digests."""
 
     def __init__(self, window: int = WINDOW):
-        self.window, self.gram, self.hasher = window, min(GRAM, window), SpanHasher()
-        self.tables = [(np.zeros(0, np.uint64),) * 2 for _ in self.MULTIPLIERS]
-
-    def _rolling(self, words: np.ndarray, width: int, which: int) -> np.ndarray:
-        n = len(words)
-        if len(self.tables[which][0]) < n:
-            base = self.MULTIPLIERS[which]
-            self.tables[which] = powers(base, n), powers(pow(base, -1, 1 << 64), n)
-        up, down = self.tables[which]
+        self.window, self.gram, self.hasher = window, min(GRAM, window), WordHasher()
+        self.table = (np.zeros(0, np.uint64),) * 2
+
+    def _grams(self, words: np.ndarray) -> np.ndarray:
+        n, width = len(words), self.gram
+        if len(self.table[0]) < n:
+            self.table = powers(_MULTIPLIER, n), powers(pow(_MULTIPLIER, -1, 1 << 64), n)
+        up, down = self.table
         prefix = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(words * up[:n], out=prefix[1:])
         return mix((prefix[width:] - prefix[:-width]) * down[: n - width + 1])
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray):
-        """(owner, position in its document, hash, check, anchor) of every window."""
+        """(owner, position in its document, anchor) of every window."""
         starts, ends, per_doc = word_spans(data, bounds)
         n, w = len(starts), self.window
         if n < w:
             none = np.zeros(0, np.int64)
-            return none, none, none.view(np.uint64), none.astype(np.int32), none.view(np.uint64)
-        words = self.hasher(data, starts, ends)
+            return none, none, none.view(np.uint64)
         owner = np.repeat(np.arange(len(per_doc)), per_doc)
-        first = np.flatnonzero(owner[: n - w + 1] == owner[w - 1 :])
-        hashes, grams = self._rolling(words, w, 0)[first], self._rolling(words, self.gram, 1)
-        check = (self._rolling(words, w, 1)[first] >> np.uint64(33)).astype(np.int32)
-        anchor = _sliding_min(grams, w - self.gram + 1)[first]
+        self.data, self.bounds, self.sizes = data, bounds, ends - starts
+        self.first = np.flatnonzero(owner[: n - w + 1] == owner[w - 1 :])
+        anchor = _sliding_min(self._grams(self.hasher(data, starts, ends)), w - self.gram + 1)[self.first]
         begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(per_doc)))
-        return owner[first], first - begin[owner[first]], hashes, check, anchor
+        return owner[self.first], self.first - begin[owner[self.first]], anchor
+
+    def digests(self, which: np.ndarray) -> np.ndarray:
+        """Digests of some windows of the last texts, two longs each: of the words joined by one space."""
+        text, bounds = self.data.tobytes(), self.bounds.tolist()
+        plain = memoryview(b" ".join([b" ".join(words) for a, b in zip(bounds[:-1], bounds[1:]) if (words := text[a:b].split())]))
+        ends = np.cumsum(self.sizes + 1) - 1
+        begins, stops = (ends - self.sizes)[self.first[which]], ends[self.first[which] + self.window - 1]
+        digest = hashlib.blake2b
+        found = b"".join([digest(plain[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), stops.tolist())])
+        return np.frombuffer(found, dtype="<i8").reshape(-1, 2)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -74,55 +82,46 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def _kept(text: bytes, positions: np.ndarray, window: int, whole: bool = False) -> tuple[int, int, str, list]:
-    """(words, removed words, digest of the kept words, removed spans of words) of one text; ``whole``: an exact copy."""
-    words = text.split()
-    if whole:
-        return len(words), len(words), hashlib.sha256(b"").hexdigest(), [(0, len(words))]
-    spans = []
-    if len(positions):
-        positions = np.unique(positions)
-        cut = np.flatnonzero(np.diff(positions) > window) + 1
-        spans = [(int(p[0]), int(p[-1]) + window) for p in np.split(positions, cut)]
-        keep = np.ones(len(words), dtype=bool)
-        for a, b in spans:
-            keep[a:b] = False
-        kept = [words[i] for i in np.flatnonzero(keep)]
-    else:
-        kept = words
-    return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), spans
-
-
-def whole_copies(source: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Ids of rows (id, text_) whose whole sequence of ``window`` words or more is that of a smaller id."""
+def factors(position: np.ndarray, source: np.ndarray, at: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, source, position in the source, words) of one document.
 
-    def digests(batches):
-        for batch in batches:
-            ids, found = batch.column(0).to_numpy(), ([], [])
-            for first, last, data, bounds in text_chunks(batch.column(1)):
-                text = data.tobytes()
-                for k in range(last - first):
-                    words = text[bounds[k] : bounds[k + 1]].split()
-                    if len(words) >= window:
-                        found[0].append(ids[first + k])
-                        found[1].append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.binary())], names=["id", "digest"])
-
-    marked, _ = write_out(source.mapInArrow(digests, "id bigint, digest binary"), "digests")
-    groups = marked.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
-    groups, _ = write_out(groups, "copy-groups")  # a table again: one digest may be a third of all documents
-    return marked.join(groups, "digest").where("id > first").select("id").distinct()
+    ``position`` holds the first words of the windows that the reference has, ``source`` and ``at`` where it has them. A factor
+    grows while the next window is the next one of the same block; the windows over its end are then tried one by one.
+    """
+    order = np.argsort(position, kind="stable")
+    position, source, at = position[order], source[order], at[order]
+    fresh = np.append(True, np.diff(position) > 0)[: len(position)]  # repeated rows of one id bring each window twice
+    position, source, at = position[fresh], source[fresh], at[fresh]
+    goes_on = (np.diff(position) == 1) & (np.diff(at) == 1) & (np.diff(source) == 0)
+    heads = np.flatnonzero(np.append(True, ~goes_on)[: len(position)])
+    length = np.diff(np.append(heads, len(position))) + window - 1
+    return list(zip(position[heads].tolist(), source[heads].tolist(), at[heads].tolist(), length.tolist()))
+
+
+def _kept(text: bytes, found: list[tuple[int, int, int, int]]) -> tuple[int, int, str, list]:
+    """(words, removed words, digest of the kept words, removed spans of words) of one text and its factors."""
+    words, spans = text.split(), []
+    kept = words
+    if found:
+        for a, _, _, n in found:
+            if spans and a <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(spans[-1][1], a + n))
+            else:
+                spans.append((a, a + n))
+        edges = [0, *(x for span in spans for x in span), len(words)]
+        kept = [w for a, b in zip(edges[::2], edges[1::2]) for w in words[a:b]]
+    return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), spans
 
 
-def duplicate_windows(source: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows (id, positions array<int>) of rows (id, text_): first words of windows that start in a document with a smaller id too."""
+def reference_windows(source: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows (id, found array<struct<position, source, at>>) of rows (id, text_): windows that stand in a smaller id too, and where first."""
 
     def anchors(batches):
         find = Windows(window)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, _, data, bounds in text_chunks(batch.column(1)):
-                owner, _, _, _, anchor = find(data, bounds)
+                owner, _, anchor = find(data, bounds)
                 if len(owner):
                     new = np.append(True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))
                     yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(ids[first + owner[new]])], names=["anchor", "id"])
@@ -135,37 +134,42 @@ def duplicate_windows(source: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, _, data, bounds in text_chunks(batch.column(1)):
-                owner, position, hashes, check, anchor = find(data, bounds)
+                owner, position, anchor = find(data, bounds)
                 hit = np.flatnonzero(holds(bits, anchor))
-                if len(hit):
-                    arrays = [hashes[hit].view(np.int64), check[hit], ids[first + owner[hit]], position[hit].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["hash", "check", "id", "position"])
+                for k in range(0, len(hit), 1 << 16):
+                    part = hit[k : k + (1 << 16)]
+                    digest = find.digests(part)
+                    arrays = [digest[:, 0], digest[:, 1], ids[first + owner[part]], position[part].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["high", "low", "id", "position"])
 
-    found = source.mapInArrow(occurrences, "hash bigint, check int, id bigint, position int")
-    index = found.groupBy("hash", "check").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    index, _ = write_out(index, "reference")  # as a table, both sides of the join are plain exchanges, whose hot windows AQE splits
-    repeated = found.join(index, ["hash", "check"]).where("id > first")
-    return repeated.groupBy("id").agg(F.collect_list("position").alias("positions"))
+    found = source.mapInArrow(occurrences, "high bigint, low bigint, id bigint, position int")
+    index = found.groupBy("high", "low").agg(F.min(F.struct("id", "position")).alias("first"), F.max("id").alias("last")).where("first.id < last")
+    index, _ = write_out(index.select("high", "low", F.col("first.id").alias("source"), F.col("first.position").alias("at")), "reference")  # as a table, both sides of the join are plain exchanges, whose hot windows AQE splits
+    repeated = found.join(index, ["high", "low"]).where("id > source")
+    return repeated.groupBy("id").agg(F.collect_list(F.struct("position", "source", "at")).alias("found"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Remove every word covered by a ``window``-word window that also starts in a document with a smaller id.
 
-    Returns id_col, n_words, n_removed (long), kept_sha256 (of the kept words joined by one space) and spans
-    (array of the removed [start, end) word ranges), a row for each input row. Null and empty texts have no words.
-    Rows with a null id lose nothing and are no reference. Repeated rows of one id are one document: they do not
-    remove each other. Other columns are not carried.
+    Returns id_col, n_words, n_removed (long), kept_sha256 (of the kept words joined by one space), spans (array of the
+    removed [start, end) word ranges) and factors (array of (start, source, at, words): where the parse found them), a row for each input row.
+
+    * Nulls: a null text has no words. Rows with a null id lose nothing and are no reference.
+    * Empty and short texts have no window and keep all words. Very long texts are parsed whole.
+    * Ties: windows are judged on the input, and a factor's source is the smallest id, then the first position there.
+    * Repeated rows: rows of one id are one document that they all get the result of; they do not remove each other.
+    * An empty table gives an empty result. Other columns are not carried, so their names cannot clash.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text_"))
-    copies, _ = write_out(whole_copies(named, window), "copies")
-    hint = F.broadcast if copies.count() <= BROADCAST_IDS else (lambda df: df)
-    found = duplicate_windows(named.join(hint(copies), "id", "left_anti"), window).withColumn("whole", F.lit(False))
-    lists, _ = write_out(found.unionByName(copies.select("id", F.lit(None).cast("array<int>").alias("positions"), F.lit(True).alias("whole"))), "repeats")
+    lists, _ = write_out(reference_windows(named, window), "repeats")
     marked = shared_bitmap(lists.select(F.xxhash64("id")))
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text_"), F.xxhash64(F.col(id_col).cast("long")).alias("slot_"))
-    schema = f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<start:int,end:int>>"
+    schema = f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<start:int,end:int>>, factors array<struct<start:int,source:bigint,at:int,words:int>>"
+    hit = pa.list_(pa.struct([("position", pa.int32()), ("source", pa.int64()), ("at", pa.int32())]))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    factor = pa.list_(pa.struct([("start", pa.int32()), ("source", pa.int64()), ("at", pa.int32()), ("words", pa.int32())]))
 
     def marked_rows(batches):
         bits = view_bits(marked)
@@ -176,21 +180,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bits = view_bits(marked)
         for batch in batches:
             rest = batch.filter(pa.array(~holds(bits, batch.column(2).to_numpy())))
-            yield from cut([pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), pa.nulls(rest.num_rows, pa.list_(pa.int32())), pa.nulls(rest.num_rows, pa.bool_())], names=[id_col, "text_", "positions", "whole"])])
+            yield from cut([pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), pa.nulls(rest.num_rows, hit)], names=[id_col, "text_", "found"])])
 
     def cut(batches):
         for batch in batches:
-            texts, lists = batch.column(1).fill_null("").cast(pa.large_binary()), batch.column(2)
-            rows = [_kept(texts[i].as_py(), np.array(lists[i].as_py() or [], dtype=np.int64), window, bool(batch.column(3)[i].as_py())) for i in range(batch.num_rows)]
-            columns = list(zip(*rows)) or [[]] * 4
+            texts, lists, rows = batch.column(1).fill_null("").cast(pa.large_binary()), batch.column(2), []
+            for i in range(batch.num_rows):
+                own = lists[i].values
+                parsed = factors(*(own.field(k).to_numpy().astype(np.int64) for k in range(3)), window) if own is not None and len(own) else []
+                rows.append((*_kept(texts[i].as_py(), parsed), parsed))
+            columns = list(zip(*rows)) or [[]] * 5
             spans = pa.array([[{"start": a, "end": b} for a, b in s] for s in columns[3]], span)
-            arrays = [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), spans]
-            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_words", "n_removed", "kept_sha256", "spans"])
+            parses = pa.array([[dict(zip(("start", "source", "at", "words"), x)) for x in s] for s in columns[4]], factor)
+            arrays = [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), spans, parses]
+            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_words", "n_removed", "kept_sha256", "spans", "factors"])
 
     row = f"`{id_col}` {kind}, text_ string, slot_ bigint"
     clear = source.mapInArrow(clear_rows, schema)
     other = source.mapInArrow(marked_rows, row)
-    other = other.join(lists.withColumnRenamed("id", "id_"), F.col(id_col).cast("long") == F.col("id_"), "left").select(id_col, "text_", "positions", "whole")
+    other = other.join(lists.withColumnRenamed("id", "id_"), F.col(id_col).cast("long") == F.col("id_"), "left").select(id_col, "text_", "found")
     return clear.unionByName(other.mapInArrow(cut, schema))
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from deltaloom.llm import bpe, langid, lm, quality, secrets, simhash, substring
-from deltaloom.llm._shared import SpanHasher, text_chunks, word_spans
+from deltaloom.llm._shared import SpanHasher, WordHasher, text_chunks, word_spans
 from deltaloom.llm.components import connected_components
 
 
@@ -237,6 +237,58 @@ def test_substring_planted(spark, edge_docs, edge_rows, no_docs):
     assert substring.remove_repeats(no_docs).count() == 0
 
 
+def test_substring_factors(spark):
+    pick = random.Random(9)
+    words = [f"w{k}" for k in pick.sample(range(10**6), 400)]
+    a, b = words[:150], words[130:300]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join([*"xy", *a[20:], *b[20:120], *"zz"])), (4, " ".join(words[60:140])), (5, " ".join(words[100:250]))]
+    found = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {i: [tuple(x) for x in r.factors] for i, r in found.items()}
+    texts = {i: t.split() for i, t in rows}
+    for i, parse in got.items():
+        for start, source, at, n in parse:
+            assert source < i and n >= 50 and texts[i][start : start + n] == texts[source][at : at + n]
+    first, wanted = {}, {}
+    for i, ws in texts.items():  # word by word: the longest factor that a block of first windows spells, and the windows over its end
+        p, wanted[i] = 0, []
+        while p + 50 <= len(ws):
+            held = first.setdefault(tuple(ws[p : p + 50]), (i, p))
+            n = 50
+            if held[0] < i:
+                while p + n < len(ws) and first.get(tuple(ws[p + n - 49 : p + n + 1])) == (held[0], held[1] + n - 49):
+                    n += 1
+                wanted[i].append((p, *held, n))
+            p += n - 49
+    assert got == wanted and got[4] == [(0, 1, 60, 80)] and got[5] == [(0, 1, 100, 50), (1, 3, 83, 78), (30, 2, 0, 120)]
+    assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in found.items()} == brute_repeats(rows)
+
+
+def colliding_words():
+    """Two words that differ and have one polynomial hash modulo 2**64, whatever its odd base (Thue-Morse)."""
+    bits = [bin(k).count("1") & 1 for k in range(2048)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_constructed_words_do_not_collide(spark):
+    one, other = colliding_words()
+    data = np.frombuffer(f"{one} {other}".encode(), np.uint8)
+    spans = np.array([0, 2049]), np.array([2048, 4097])
+    assert len(set(SpanHasher()(data, *spans).tolist())) == 1 and len(set(WordHasher()(data, *spans).tolist())) == 2
+    rest = " ".join(f"v{k}" for k in range(49))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{one}  {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 50}
+    scored = {r.doc_id: r for r in lm.score(docs, docs.where("doc_id = 1")).collect()}
+    assert scored[1].n_known == 51 and scored[2].n_known == 50
+
+
+def test_word_hashes_tell_words_apart():
+    words = [f"w{k}".encode() for k in range(5000)] + [b"w1", b"1w", b"ww", b"a\0", b"a", b"a\0\0", b"12345678", b"123456789", b"1234567890123456789"]
+    data = np.frombuffer(b"".join(words), dtype=np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    hashes = WordHasher()(data, ends - [len(w) for w in words], ends)
+    assert len(set(hashes.tolist())) == len(set(words)) and hashes[1] == hashes[5000]
+
+
 # language model
 
 
