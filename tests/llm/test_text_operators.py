@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -136,10 +137,33 @@ def test_bpe_equals_library(encoding):
     cases = ["".join(pick.choices(alphabet, k=pick.randint(0, 60))) for _ in range(3000)] + ["", "a" * 5000, "'" * 50, " " * 700, "ab'll've" * 300, "<|endoftext|>", "՘"]
     vocabulary = bpe.Vocabulary(public_tokenizers.path(bpe.VOCABULARY))
     ids = bpe.encode_texts(cases, bpe._Cache(vocabulary), bpe.classes())
-    for text, own in zip(cases, ids):
+    for text, (own, marks, counts) in zip(cases, ids):
         own = np.frombuffer(own, "<u4")
         assert own.tolist() == encoding.encode_ordinary(text)
         assert vocabulary.decode(own) == text.encode()
+        wanted = [m.span() for m in regex.finditer(public_tokenizers.PATTERN, text)]
+        assert [(a, b) for a, b in zip(marks, [*marks[1:], len(text)])] == wanted
+        assert vocabulary.slice_ends(own, np.array(counts, int)).tolist() == [len(text[:b].encode()) for _, b in wanted]
+
+
+def test_transition_functions_compose():
+    """The scan gives what the automaton gives step by step, whatever the blocks; composition is associative."""
+    step, pick = bpe.transitions(), np.random.default_rng(3)
+    f, g, h = (pick.integers(0, 10, (7, 10)) for _ in range(3))
+    assert (bpe.compose(bpe.compose(f, g), h) == bpe.compose(f, bpe.compose(g, h))).all()
+    text = "".join(random.Random(5).choices("abstrevlmd'' \n\t  19é.!-世", k=5000))
+    codes = np.append(np.frombuffer(text.encode("utf-32-le"), np.uint32), np.uint32(bpe._GAP_CODE))
+    state, wanted = 0, []
+    for k, kind in enumerate(bpe.scan_classes(codes, bpe.classes())):
+        found = int(step[16 * kind + state])
+        state = found & 15
+        wanted += [k] * (found >= bpe._BEGIN)
+    for size in (1, 3, 64, 10_000):
+        block, bpe.BLOCK = bpe.BLOCK, size
+        try:
+            assert bpe.token_starts(codes, bpe.classes()).tolist() == wanted
+        finally:
+            bpe.BLOCK = block
 
 
 def test_bpe_operator(edge_docs, edge_rows, no_docs, encoding):
@@ -147,6 +171,8 @@ def test_bpe_operator(edge_docs, edge_rows, no_docs, encoding):
     wanted = sorted(((i, np.array(encoding.encode_ordinary(t or ""), dtype="<u4").tobytes(), (t or "").encode()) for i, t, *_ in edge_rows), key=key)
     assert rows == wanted
     assert bpe.encode_decode(no_docs).count() == 0
+    for r in bpe.encode_decode(edge_docs, offsets=True).collect():
+        assert sum(s.tokens for s in r.slices) * 4 == len(r.ids) and [s.end_byte for s in r.slices][-1:] == [len(r.decoded)] * bool(r.slices)
 
 
 # secrets
