@@ -4,6 +4,9 @@ Every language has a probability for each piece of a fixed public vocabulary. A
 all its segmentations into pieces, which the forward algorithm computes for all languages at once; a text's is
 the product over its words. The piece probabilities come from expectation maximisation (forward and backward passes) on
 a bounded sample of labelled documents. Each task remembers the scores of words it has met, within a bound.
+
+A word is a whole run of letters, however long: the forward pass keeps as many positions as the longest piece has letters,
+scaled so that nothing underflows, so unspaced text is summed over all its segmentations in bounded memory.
 """
 
 from __future__ import annotations
@@ -15,16 +18,19 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import sentencepiece
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from deltaloom.llm._shared import SpanHasher, documents, keyed_texts, mix, share, training_part
+from deltaloom.llm._shared import SpanHasher, documents, keyed_texts, mix, share, small_batches, training_part
 from deltaloom.llm.bpe import _LETTER, classes
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Bound of the training sample: so many documents of each language at most, those with the smallest crc32 of the id.
-SAMPLE_DOCS = 400
-#: Longer runs of letters are scored in parts of so many letters.
+#: Bounds of the training sample: so many documents of each language at most, those with the smallest crc32 of the id, and
+#: whole documents until so many characters are reached.
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 8_000_000
+#: Training, which keeps whole tables, teaches from longer runs of letters in parts of so many (scoring never cuts).
 LONGEST = 32
+#: (word, position) pairs for which pieces are looked up at once, words that are scored together, and when to scale up.
+_CELLS, _TOGETHER, _TINY = 1 << 16, 8192, 2.0**-600
 #: Distinct words whose scores one task remembers.
 CACHE_WORDS = 300_000
 _STEP_CHARS = 1 << 20
@@ -46,7 +52,7 @@ class Pieces:
                 h = self.hasher(codes, np.array([0]), np.array([len(codes)]))[0]
                 keys.append((h ^ _START if head else h, len(codes)))
         self.keys, index = np.unique(np.array([k for k, _ in keys], dtype=np.uint64), return_index=True)
-        self.longest = min(LONGEST, max((n for _, n in keys), default=1))
+        self.longest = max((n for _, n in keys), default=1)
         self.there = np.zeros(1 << _BITS, dtype=bool)
         self.there[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
@@ -61,12 +67,18 @@ class Pieces:
 
 
 class Lattice:
-    """All segmentations of some words (spans of code points), words ordered by falling length."""
+    """All segmentations of some short words (spans of code points), words ordered by falling length, for training.
+
+    ``inner`` marks spans that begin inside a word.
+    """
 
-    def __init__(self, pieces: Pieces, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    def __init__(self, pieces: Pieces, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, inner: np.ndarray | None = None):
         self.pieces, size = pieces, ends - starts
         self.order = np.argsort(-size, kind="stable")
         self.starts, self.size = starts[self.order], size[self.order]
+        head = np.full(len(size), _START, dtype=np.uint64)
+        if inner is not None:
+            head[inner[self.order]] = 0
         self.most = int(self.size[0]) if len(size) else 0
         self.reach = np.searchsorted(-self.size, -np.arange(1, self.most + 1), side="right")
         self.arcs = []
@@ -74,7 +86,7 @@ class Lattice:
             n = self.reach[j - 1]
             for i in range(max(0, j - pieces.longest), j):
                 h = pieces.hasher.again(self.starts[:n] + i, self.starts[:n] + j)
-                found = pieces.find(h ^ _START if i == 0 else h)
+                found = pieces.find(h ^ head[:n] if i == 0 else h)
                 rows = np.flatnonzero(found < len(pieces.keys)) if j - i > 1 else np.arange(n)
                 if len(rows):
                     self.arcs.append((i, j, rows, found[rows]))
@@ -106,12 +118,64 @@ class Lattice:
         return uses
 
 
-def split_lattices(pieces: Pieces, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: int = 8192):
+def split_lattices(pieces: Pieces, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, inner: np.ndarray | None = None, words: int = _TOGETHER):
     """Yield (word numbers, lattice) for words in groups of similar length, so that no table is large."""
     order = np.argsort(ends - starts, kind="stable")
     for first in range(0, len(order), words):
         own = order[first : first + words]
-        yield own, Lattice(pieces, codes, starts[own], ends[own])
+        yield own, Lattice(pieces, codes, starts[own], ends[own], None if inner is None else inner[own])
+
+
+def log_totals(pieces: Pieces, starts: np.ndarray, ends: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log of the sum over all segmentations of each word in each language; the code points are loaded in the hasher.
+
+    Words of similar length go through the forward pass together, a ring of alphas as long as the longest piece.
+    """
+    out = np.empty((len(starts), p.shape[1]))
+    by_size = np.argsort(starts - ends, kind="stable")  # longest first
+    for first in range(0, len(by_size), _TOGETHER):
+        own = by_size[first : first + _TOGETHER]
+        out[own] = _forward(pieces, starts[own], ends[own] - starts[own], p)
+    return out
+
+
+def _forward(pieces: Pieces, starts: np.ndarray, size: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """log_totals of some words ordered by falling length."""
+    depth, n, most = pieces.longest + 1, len(size), int(size[0])
+    ring, scaled, out = np.zeros((depth, n, p.shape[1])), np.zeros((n, p.shape[1])), np.empty((n, p.shape[1]))
+    ring[0] = 1
+    low, first = np.log(_TINY), 1
+    while first <= most:
+        live = int(np.searchsorted(-size, -first, side="right"))
+        last = min(most, first + max(1, _CELLS // live) - 1)
+        word = np.repeat(np.arange(live), np.minimum(size[:live], last) - first + 1)  # all (word, end) of these steps
+        end = np.arange(len(word)) - np.repeat(np.searchsorted(word, np.arange(live)), np.minimum(size[:live], last) - first + 1) + first
+        hits = []
+        for length in range(1, min(pieces.longest, last) + 1):
+            some = slice(None) if length <= first else np.flatnonzero(end >= length)
+            w, e = word[some], end[some]
+            h = pieces.hasher.again(starts[w] + e - length, starts[w] + e)
+            found = pieces.find(np.where(e == length, h ^ _START, h) if first <= length else h)
+            kept = slice(None) if length == 1 else np.flatnonzero(found < len(pieces.keys))
+            hits.append((e[kept], w[kept], np.full(len(w[kept]), length), found[kept]))
+        e, w, length, found = (np.concatenate(x) for x in zip(*hits))
+        order = np.lexsort((w, e))
+        e, w, came, found = e[order], w[order], (e - length)[order] % depth, found[order]
+        heads = np.flatnonzero(np.append(True, (e[1:] != e[:-1]) | (w[1:] != w[:-1])))  # every (end, word) has its last letter
+        cuts, groups = np.searchsorted(e, np.arange(first, last + 2)), np.searchsorted(e[heads], np.arange(first, last + 2))
+        for k in range(last - first + 1):
+            a, b, j = cuts[k], cuts[k + 1], first + k
+            now = np.add.reduceat(ring[came[a:b], w[a:b]] * p[found[a:b]], heads[groups[k] : groups[k + 1]] - a, axis=0)
+            ring[j % depth, : len(now)] = now
+            small = np.nonzero(now < _TINY)
+            if len(small[0]):
+                ring[:, small[0], small[1]] /= _TINY
+                scaled[small] += low
+            done = slice(int(np.searchsorted(-size, -j, side="left")), len(now))
+            if done.start < done.stop:
+                out[done] = np.log(ring[j % depth, done]) + scaled[done]
+        first = last + 1
+    return out
 
 
 class _CodeHasher(SpanHasher):
@@ -133,15 +197,18 @@ def letter_runs(texts: list[str], table: np.ndarray):
     letter = np.concatenate(([False], table[codes] == _LETTER, [False]))
     starts = np.flatnonzero(letter[1:] & ~letter[:-1])
     ends = np.flatnonzero(letter[:-1] & ~letter[1:])
-    parts = (ends - starts + LONGEST - 1) // LONGEST
-    if len(parts) and parts.max() > 1:
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts = np.repeat(starts, parts) + nth * LONGEST
-        ends = np.minimum(np.repeat(ends, parts), starts + LONGEST)
     owner = np.searchsorted(np.cumsum([len(t) + 1 for t in low]), starts, side="right")
     return codes, starts, ends, owner
 
 
+def short_parts(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray):
+    """Runs in parts of LONGEST letters at most: (starts, ends, owner, which begin inside a run)."""
+    parts = (ends - starts + LONGEST - 1) // LONGEST
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts = np.repeat(starts, parts) + nth * LONGEST
+    return starts, np.minimum(np.repeat(ends, parts), starts + LONGEST), np.repeat(owner, parts), nth > 0
+
+
 class Model:
     """Piece probabilities of each language."""
 
@@ -160,13 +227,14 @@ class Model:
         codes, starts, ends, owner = letter_runs([t for _, t in flat], table)
         if not len(starts):
             return
+        starts, ends, owner, inner = short_parts(starts, ends, owner)
         self.pieces.hasher.load(codes)
-        hashes = self.pieces.hasher.again(starts, ends)
+        hashes = self.pieces.hasher.again(starts, ends) ^ np.where(inner, _START, np.uint64(0))
         _, first, word = np.unique(hashes, return_index=True, return_inverse=True)
         language = np.array([k for k, _ in flat])[owner]
         counts = np.zeros((len(first), len(self.languages)))
         np.add.at(counts, (word, language), 1.0)
-        lattices = list(split_lattices(self.pieces, codes, starts[first], ends[first]))
+        lattices = list(split_lattices(self.pieces, codes, starts[first], ends[first], inner[first]))
         for _ in range(rounds):
             uses = sum(lattice.expected(self.p, counts[own]) for own, lattice in lattices)
             pooled = uses.sum(1, keepdims=True)
@@ -202,9 +270,7 @@ class Scorer:
             at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
             new = np.flatnonzero(self.known[at] != hashes) if len(self.known) else np.arange(len(hashes))
             if len(new):
-                fresh = np.empty((len(new), total.shape[1]))
-                for own, lattice in split_lattices(pieces, codes, starts[first[new]], ends[first[new]]):
-                    fresh[own[lattice.order]] = np.log(lattice.totals(lattice.forward(self.model.p)))
+                fresh = log_totals(pieces, starts[first[new]], ends[first[new]], self.model.p)
                 known = np.concatenate((self.known, hashes[new]))
                 order = np.argsort(known, kind="stable")
                 self.known, self.values = known[order], np.concatenate((self.values, fresh))[order]
@@ -216,7 +282,10 @@ class Scorer:
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, path: str | None = None, bound: int = SAMPLE_DOCS) -> Model:
-    """Fit on ``bound`` documents of each language at most; rows without a text or a language teach nothing."""
+    """Fit on ``bound`` documents of each language at most; rows without a text or a language teach nothing.
+
+    Only whole documents are taken, until SAMPLE_CHARS characters are reached, one of each language at least.
+    """
     docs = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     counts = {row[0]: row[1] for row in docs.groupBy(F.col(lang_col).alias("l")).count().collect()}
     texts: dict[str, list[str]] = {name: [] for name in counts}
@@ -224,6 +293,9 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, path: str
         order = F.crc32(F.col(id_col).cast("string").cast("binary"))
         share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(2**32, int(1.5 * (bound + 20) / n * 2**32)))])
         rows = docs.where(order < share[F.col(lang_col)]).select(F.col(lang_col).alias("l"), order.alias("o"), F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+        size = F.sum(F.length("t")).over(Window.partitionBy("l").orderBy("o", F.col("i").cast("string")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        room = SAMPLE_CHARS // len(counts)
+        rows = rows.withColumn("held", size).where((F.col("held") <= room) | (F.col("held") == F.length("t")))
         for row in sorted(rows.collect(), key=lambda r: (r.o, str(r.i))):
             if len(texts[row.l]) < bound:
                 texts[row.l].append(row.t)
@@ -233,9 +305,14 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, path: str
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Rows (id_col, lang_pred string, score double): the likeliest learned language of every whole text.
 
-    ``score`` is its share of the probability, 0 to 1. Texts that are null or hold no letter are ``und`` with score
-    0, as is everything if no language was learned. Ties go to the smaller name. Other columns are not carried;
-    with ``carry`` the first column is not the id but ``row``, a struct of the whole input row.
+    ``score`` is its share of the probability, 0 to 1. With ``carry`` the first column is not the id but ``row``, a struct of the
+    whole input row.
+
+    * Nulls and empty texts: a text that is null or holds no letter is ``und`` with score 0, as is everything if no
+      language was learned; a null id stays.
+    * Very long texts, and very long runs of letters, are scored whole.
+    * Ties go to the smaller name. Repeated rows: a row for each input row. An empty table gives an empty result.
+    * Other columns are not carried but in ``row``, so their names cannot clash.
     """
     source, head = keyed_texts(docs, id_col, text_col, carry)
     key = source.columns[0]
@@ -271,6 +348,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; those whose crc32 modulo 4 is 2 are held out."""
+    small_batches(spark)
     held = training_part(F.col("doc_id"), 4) == 2
     model = train(documents(spark, sf_dir, "doc_id", "text", "lang").where(~held), "doc_id", "text", "lang")
     found = identify(documents(spark, sf_dir), model)

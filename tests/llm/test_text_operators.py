@@ -378,24 +378,52 @@ def test_lm_pairs_seen_once_and_joined_segments(spark, docs, edge_docs, monkeypa
 # language ID
 
 
-def test_forward_sums_all_segmentations():
-    pieces = langid.Pieces(["▁ab", "a", "b", "ab", "bc", "▁a", "c"])
-    pieces.hasher = langid._CodeHasher()
-    codes = np.frombuffer("abc".encode("utf-32-le"), dtype=np.uint32)
-    pieces.hasher.load(codes)
-    lattice = langid.Lattice(pieces, codes, np.array([0]), np.array([3]))
-    p = np.random.default_rng(1).random((len(pieces.keys) + 1, 2))
+def brute_segmentations(pieces, p, word):
+    """Logs of the sums over all segmentations, with as many digits and as small numbers as it takes."""
+    from decimal import Decimal
 
     def prob(piece, head):
         h = pieces.hasher(np.frombuffer(piece.encode("utf-32-le"), dtype=np.uint32), np.array([0]), np.array([len(piece)]))
         found = pieces.find(h ^ langid._START if head else h)[0]
-        return p[found] if found < len(pieces.keys) or len(piece) == 1 else 0 * p[0]
+        return [Decimal(float(x)) for x in p[found]] if found < len(pieces.keys) or len(piece) == 1 else None
+
+    sums = [[Decimal(1)] * p.shape[1]]
+    for j in range(1, len(word) + 1):
+        ways = [(sums[i], q) for i in range(max(0, j - pieces.longest), j) if (q := prob(word[i:j], i == 0))]
+        sums.append([sum(a[k] * q[k] for a, q in ways) for k in range(p.shape[1])])
+    return [float(x.ln()) for x in sums[-1]]
+
 
-    pieces.hasher.load(codes)
-    got = lattice.totals(lattice.forward(p))[0]
-    splits = [("a", "b", "c"), ("ab", "c"), ("a", "bc"), ("abc",)]
-    wanted = sum(np.prod([prob(x, k == 0) for k, x in enumerate(s)], axis=0) for s in splits)
-    assert got == pytest.approx(wanted)
+def test_forward_sums_all_segmentations():
+    pieces = langid.Pieces(["▁ab", "a", "b", "ab", "bc", "▁a", "c", "abcab", "▁cabca"])
+    p = np.random.default_rng(1).random((len(pieces.keys) + 1, 2)) * 0.01
+    pick = random.Random(4)
+    words = ["abc", "a", "x", "zab"] + ["".join(pick.choices("abcx", k=pick.randint(1, 300))) for _ in range(30)] + ["abcab" * 400, "é" * 50]
+    wanted = [brute_segmentations(pieces, p, w) for w in words]
+    pieces.hasher = langid._CodeHasher()
+    pieces.hasher.load(np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32))
+    ends = np.cumsum([len(w) for w in words])
+    for cells, together in ((1 << 16, 8192), (64, 5), (1, 1)):
+        langid._CELLS, langid._TOGETHER, before = cells, together, (langid._CELLS, langid._TOGETHER)
+        try:
+            got = langid.log_totals(pieces, ends - [len(w) for w in words], ends, p)
+        finally:
+            langid._CELLS, langid._TOGETHER = before
+        assert got == pytest.approx(np.array(wanted), rel=1e-9)
+
+
+def test_unspaced_text_is_scored_whole(spark, docs, texts):
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = langid.train(docs.where(~held), "doc_id", "text", "lang")
+    plain = docs.where(held & (F.length("text") > 300)).limit(40)
+    joined = langid.identify(plain.withColumn("text", F.regexp_replace("text", r"[^\p{L}]+", "")), model).join(plain.select("doc_id", "lang"), "doc_id").collect()
+    assert len(joined) > 10 and sum(r.lang == r.lang_pred for r in joined) >= 0.9 * len(joined)
+    word = "".join(c for c in texts[min(texts)].lower() if c.isalpha())[:400]
+    model.pieces.hasher = SpanHasher()
+    wanted = brute_segmentations(model.pieces, model.p, word)
+    model.pieces.hasher = langid._CodeHasher()
+    total, words = langid.Scorer(model)([word])
+    assert words.tolist() == [1] and total[0] == pytest.approx(wanted, rel=1e-9)
 
 
 def test_language_id(spark, docs, edge_docs, edge_rows, no_docs):
