@@ -98,7 +98,7 @@ def test_ring_links_find_every_component(spark):
     values = sorted(values)
     signed = [(v - 2**64 if v >= 2**63 else v, k) for k, v in enumerate(values)]
     for block in (1024, 3):  # the second deals every bucket out in blocks
-        links = simhash.ring_links(spark.createDataFrame(signed, "fingerprint long, rep long"), block=block)
+        links = simhash.ring_links(spark.createDataFrame(signed, "fingerprint long, node long"), block=block)
         found = {r.node: r.component for r in connected_components(links).collect()}
         parent = list(range(len(values)))
 
@@ -115,6 +115,92 @@ def test_ring_links_find_every_component(spark):
         assert all(found.get(k, k) == root(k) for k in range(len(values)))
 
 
+def test_hot_buckets_are_searched_whole(spark):
+    """A bucket of near copies far beyond a block, with strays that only single members are near to."""
+    pick = random.Random(12)
+    base = pick.getrandbits(64)
+    values = {base} | {base ^ (1 << a) ^ (1 << b) for a in range(0, 64, 2) for b in range(1, 64, 7)}
+    for v in list(values)[:12]:  # strays at three bits from one member
+        values.add(v ^ sum(1 << b for b in pick.sample(range(64), 3)))
+    for _ in range(40):  # others that share the first 16 bits only
+        values.add((base & ~((1 << 48) - 1)) | pick.getrandbits(48))
+    values = sorted(values)
+    signed = [(v - 2**64 if v >= 2**63 else v, k) for k, v in enumerate(values)]
+    parent = list(range(len(values)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(values)):
+        for j in range(i):
+            if bin(values[i] ^ values[j]).count("1") <= 3:
+                low, high = sorted((root(i), root(j)))
+                parent[high] = low
+    rows = spark.createDataFrame(signed, "fingerprint long, node long")
+    for block in (1024, 32, 2):
+        found = {r.node: r.component for r in connected_components(simhash.ring_links(rows, block=block)).collect()}
+        assert all(found.get(k, k) == root(k) for k in range(len(values)))
+
+
+def test_near_duplicates_end_to_end(spark, docs, texts):
+    rows = [*texts.items(), (100_001, texts[min(texts)]), (100_002, None), (100_003, "")]
+    prints = {i: brute_fingerprint(t) for i, t in rows}
+    ids, component = sorted(prints), {}
+    near = {i: [j for j in ids if bin(prints[i] ^ prints[j]).count("1") <= 3] for i in ids}
+    for i in ids:
+        stack = [] if i in component else [i]
+        while stack:
+            j = stack.pop()
+            if j not in component:
+                component[j] = i
+                stack += near[j]
+    got = {r.doc_id: (r.fingerprint & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (prints[i], component[i]) for i in ids}
+
+
+def jaccard(a, b):
+    one, other = ({tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b))
+    return len(one & other) / len(one | other)
+
+
+def test_similar_documents(spark, monkeypatch):
+    pick = random.Random(21)
+    rows, truth = [], []
+    for g in range(120):
+        words = [f"w{pick.randrange(3000)}" for _ in range(pick.choice((80, 200, 600)))]
+        changed = list(words)
+        for _ in range(max(1, round(len(words) * pick.choice((0.005, 0.01, 0.02, 0.05, 0.1))))):
+            changed[pick.randrange(len(words))] = "zz"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(changed).upper())]
+        truth.append(jaccard(rows[-2][1], rows[-1][1]))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (1024, 16):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = {r.doc_id: r for r in simhash.similar_documents(table).collect()}
+        prints = {i: int.from_bytes(r.fingerprint, "little") for i, r in got.items()}
+        limit = simhash.threshold(0.8, 512)
+        links = [(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= limit]
+        assert all(j == i + 1 and i % 2 == 0 for i, j in links)  # documents of different origin never link
+        joined = {g for g in range(120) if got[2 * g + 1].component_id == 2 * g}
+        wanted = {i // 2 for i, _ in links}
+        assert joined <= wanted and len(joined) >= 0.98 * len(wanted)
+        assert all(g in joined for g, s in enumerate(truth) if s >= 0.9) and not any(truth[g] < 0.6 for g in joined)
+        near = [g for g, s in enumerate(truth) if s >= 0.8]
+        assert sum(g in joined for g in near) >= 0.9 * len(near)
+
+
+def test_similar_documents_edges(spark, edge_docs, no_docs):
+    got = sorted((r.doc_id, r.component_id) for r in simhash.similar_documents(edge_docs, carry=("lang",)).collect())
+    assert [x for x in got if x[0] <= 3] == [(1, 1), (2, 1), (3, 1)] and len(got) == 11
+    assert simhash.similar_documents(no_docs).count() == 0
+    mixed = spark.createDataFrame([(5, "one two three four five six"), (5, "a b c d e f"), (3, "a b c d e f"), (6, "one two three four five six")], "doc_id long, text string")
+    for operator in (simhash.similar_documents, simhash.near_duplicates):
+        found = sorted((r.doc_id, r.component_id) for r in operator(mixed).collect())
+        assert found == [(3, 3), (5, 3), (5, 5), (6, 5)]
+
+
 def test_simhash_edges(edge_docs, no_docs):
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(edge_docs).collect()}
     assert {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)} <= got and simhash.near_duplicates(edge_docs).count() == 11
