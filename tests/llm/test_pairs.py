@@ -209,7 +209,7 @@ def test_pipeline(spark, sf_dir, texts):
         if name == "language":
             assert kept - now == {100001, 100002, 100003}
         if name == "near_duplicates":
-            groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(before).collect()}
+            groups = {r.doc_id: r.component_id for r in simhash.similar_documents(before).collect()}
             assert now == {i for i in kept if groups[i] == i}
         if name == "benchmark":
             leaks = {r.doc_id for r in decontaminate.contaminated(before, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
@@ -222,3 +222,38 @@ def test_pipeline(spark, sf_dir, texts):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     rows = out.join(docs.select("doc_id", F.sha2("text", 256).alias("h")), "doc_id")
     assert rows.count() == len(kept) and rows.where("decoded_sha256 <> h").count() == 0
+
+
+def stage_rows(spark, sf_dir, rows, extra="") -> dict:
+    """What each stage makes of the same rows, by name."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).withColumns({c: F.lit(1) for c in extra.split()})
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, sf_dir)
+        out[name] = sorted(([*r] for r in found.collect()), key=str)
+        assert name == "tokens" or found.columns == docs.columns
+    return out
+
+
+def test_stages_on_edge_rows(spark, sf_dir, texts):
+    pick = [texts[i] for i in sorted(texts) if len(texts[i].split()) > 60][:3]
+    items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(1).collect()]
+    leak = f"{pick[2]} {items[0]}"
+    rows = [(3, pick[0]), (5, pick[0]), (5, pick[1]), (7, pick[1]), (7, pick[1]), (8, leak), (8, pick[2]), (None, pick[0]), (None, leak), (9, None), (10, ""), (11, "word " * 40_000), (12, 'token = "abcdef123456" end')]
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in rows]
+    got = stage_rows(spark, sf_dir, rows, extra="key row fingerprint h ids")
+    by = {name: [(r[0], r[1]) for r in found] for name, found in got.items()}
+    same = lambda a, b: sorted(a, key=str) == sorted(b, key=str)
+    given = [r[:2] for r in rows]
+    assert same(by["language"], [(i, t) for i, t in given if t])
+    # 5 keeps the text that no smaller id has; the repeated row stays once; rows without an id stay
+    gone = [(5, pick[0]), (7, pick[1]), (7, pick[1]), (10, "")]
+    near = [x for x in given if x not in gone]
+    assert same([x for x in by["near_duplicates"] if x[0] != 8], [x for x in near if x[0] != 8])
+    assert same(by["benchmark"], [(i, t) for i, t in given if t != leak])
+    assert len(by["secrets"]) == len(given) and {i: t for i, t in by["secrets"]}[12].count("[SECRET]") == 1
+    assert len(got["tokens"]) == len(given)
+    assert all(found == [] for found in stage_rows(spark, sf_dir, []).values())
