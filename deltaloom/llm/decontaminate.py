@@ -6,6 +6,9 @@ or more of its windows. If the item has placeholders, the document's words in th
 re-parameterisation: each value of the item has one partner (the most frequent), and windows that contradict it do
 not count. A document may hold several variants, so partners are chosen, and windows counted, in each occurrence alone,
 and the best one decides.
+
+Items without a window that identifies them ("What is 2 + 2?") are looked for word by word with their own values: the
+whole item must occur, and one of fewer than LEAST_WORDS words must be the whole document.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ WINDOW = 5
 COVERAGE = 0.8
 #: A window needs so many words that are no placeholders to identify an item.
 LITERALS = 2
+#: Shorter items occur by chance in any text; they only match documents that hold nothing else.
+LEAST_WORDS = 3
 #: An occurrence is looked for among windows whose alignments differ by less than so many times the item's length.
 REACH = (0.5, 2, 8)
 #: Benchmark windows, and candidate pairs, beyond this number are joined by shuffle instead of broadcast.
@@ -81,13 +86,36 @@ def occurrences() -> F.Column:
     return F.expr(f"array_distinct(array({', '.join(groups)}))")
 
 
+def short_items(items: DataFrame, bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (item, words, seed, hash): items without a row in ``bench``, their words as they are, and a hash of the first ``seed``."""
+    table = items.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("t"))
+    table = table.join(bench.select("item").distinct(), "item", "left_anti").select("item", F.transform(plain_words(F.col("t")), F.lower).alias("words")).where("size(words) > 0").dropDuplicates()
+    table = table.withColumn("seed", F.expr(f"least({WINDOW}, size(words))"))
+    return table.withColumn("hash", F.expr("xxhash64(seed, array_join(slice(words, 1, seed), ' '))"))
+
+
+def short_hits(source: DataFrame, short: DataFrame) -> DataFrame:
+    """Rows (id_, item) of texts that hold a short item as a whole."""
+    seeds = [row.seed for row in short.select("seed").distinct().collect()]  # WINDOW of them at most
+    starts = lambda k: f"if(size(p) < {k}{f' or size(p) > {k}' if k < LEAST_WORDS else ''}, cast(array() as array<struct<pos:int,hash:bigint>>), transform(sequence(0, size(p) - {k}), i -> struct(i as pos, xxhash64({k}, array_join(slice(p, i + 1, {k}), ' ')) as hash)))"
+    words = source.select("id_", F.transform(plain_words(F.col("text_")), F.lower).alias("p"))
+    placed = words.select("id_", "p", F.inline(F.expr(f"concat({', '.join(starts(k) for k in seeds)})")))
+    return placed.join(short, "hash").where("slice(p, pos + 1, size(words)) = words").select("id_", "item").distinct()
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """Pairs of documents and the benchmark items they hold.
 
     Rows (id_col, item_id, n_windows, n_matched, coverage, reparameterised): the item's windows, how many the document
-    holds consistently in its best occurrence, their share, and whether any placeholder has another value there. Items without a window of
-    five words of which two are no placeholders identify nothing, and null texts and ids match nothing. Rows that
-    repeat an id count as one document. Other columns are not carried.
+    holds consistently in its best occurrence, their share, and whether any placeholder has another value there. An item without a
+    window of five words of which two are no placeholders counts as one window: the whole item with its own values.
+
+    * Nulls: null texts and ids, of documents or items, match nothing. Empty texts hold nothing, and items without a word are in nothing.
+    * Very long texts are searched whole.
+    * Ties: of partners met equally often the smallest string is chosen; of occurrences that hold equally many windows
+      one with the item's own values decides.
+    * Repeated rows of one id count as one document. Empty tables give an empty result.
+    * Other columns are not carried, so their names cannot clash.
     """
     bench, _ = write_out(benchmark_windows(items, item_id, item_text), "benchmark-windows")
     small = bench.count() <= BROADCAST_ROWS
@@ -119,6 +147,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     judged = best.select("id_", "item", "total", F.col("best.matched").alias("matched"), (~F.col("best.same")).alias("changed"))
 
     both = plain.unionByName(judged)
+    short, _ = write_out(short_items(items, bench, item_id, item_text), "benchmark-short")
+    listed = short.count()
+    if listed:
+        met = short_hits(source, F.broadcast(short) if listed <= BROADCAST_ROWS else short)
+        both = both.unionByName(met.select("id_", "item", F.lit(1).cast("long").alias("total"), F.lit(1).cast("long").alias("matched"), F.lit(False).alias("changed")))
     return both.select(F.col("id_").alias(id_col), F.col("item").alias(item_id), F.col("total").cast("long").alias("n_windows"), F.col("matched").cast("long").alias("n_matched"), (F.col("matched") / F.col("total")).alias("coverage"), F.col("changed").alias("reparameterised"))
 
 

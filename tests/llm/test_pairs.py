@@ -141,9 +141,7 @@ def test_decontamination_cases(spark):
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(spark.createDataFrame([(*r, "w", 1) for r in rows], "doc_id long, text string, item string, at int"), items).collect()}
     assert (1, 1) in got and not got[1, 1].reparameterised and got[1, 1].coverage >= 0.8
     assert (2, 1) in got and got[2, 1].reparameterised
-    assert (7, 4) in got and set(got) <= {(1, 1), (2, 1), (3, 1), (7, 4)}
-    if (3, 1) in got:
-        assert got[3, 1].n_matched < got[1, 1].n_matched
+    assert set(got) == {(1, 1), (2, 1), (7, 4)}  # in 3 one value has two partners
 
 
 SHORT = "yesterday Tom bought 3 apples for 2 dollars and Ann bought 4 pears for 5 dollars"
@@ -172,6 +170,79 @@ def test_decontamination_of_several_variants(spark):
     assert all(got[i].n_matched < got[1].n_windows for i in (2, 3) if i in got)
 
 
+def test_short_items_are_found_as_a_whole(spark):
+    items = [(1, "What is 2 + 2?"), (2, "7 8 9 10 11 12 13 Yes"), (3, "yes"), (4, "true false"), (5, "-- !"), (6, "Tom has 3 km"), (6, "Tom has 3 km")]
+    rows = [(1, "so what is 2 2 then"), (2, "what is 2 + 3"), (3, "WHAT IS\n2 - 2"), (4, "1 7 8 9 10 11 12 13 yes no"), (5, "7 8 9 10 11 12 13 no"), (6, "Yes!"), (7, "yes it is"), (8, "True, false."), (9, "tom HAS 3 km"), (10, "tom has 4 km"), (11, ""), (12, None), (None, "yes"), (1, "what is 2 2")]
+    got = sorted((r.doc_id, r.item_id, r.n_windows, r.n_matched, r.reparameterised) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == [(i, k, 1, 1, False) for i, k in ((1, 1), (3, 1), (4, 2), (6, 3), (8, 4), (9, 6))]
+
+
+def brute_slots(words, plain, item_words, item_plain, reach=decontaminate.REACH):
+    """(windows, best count of one occurrence, whether only with other values) of an item in a text, word by word."""
+    marks = (decontaminate._NUMBER, decontaminate._NAME, decontaminate._UNIT)
+    grams = {at: item_words[at : at + 5] for at in range(len(item_words) - 4)}
+    grams = {at: g for at, g in grams.items() if sum(w not in marks for w in g) >= 2}
+    span = max(grams) - min(grams) + 5 if grams else 0
+    hits = []
+    for pos in range(len(words) - 4):
+        for at, g in grams.items():
+            if words[pos : pos + 5] == g:
+                slots = [k for k in range(5) if g[k] in marks]
+                hits.append((at, pos, [(item_plain[at + k].lower(), plain[pos + k].lower()) for k in slots]))
+    places = {}
+    for at, pos, pairs in hits:
+        own = {("all",), ("line", pos - at)} | ({("same",)} if all(a == b for a, b in pairs) else set())
+        for r in reach:
+            width = max(2, int(r * span))
+            own |= {(r, half, (pos - at + half * (width // 2)) // width) for half in (0, 1)}
+        for place in own:
+            places.setdefault(place, []).append((at, pairs))
+    best = (0, False)
+    for found in places.values():
+        votes = {}
+        for _, pairs in found:
+            for a, b in pairs:
+                votes.setdefault(a, {}).setdefault(b, 0)
+                votes[a][b] += 1
+        agreed = {a: min(v, key=lambda b: (-v[b], b)) for a, v in votes.items()}
+        count = len({at for at, pairs in found if all(agreed[a] == b for a, b in pairs)})
+        best = max(best, (count, not any(a != b for a, b in agreed.items())))
+    return len(grams), best[0], not best[1]
+
+
+def test_slots_against_brute_force(spark):
+    import random
+
+    pick = random.Random(31)
+    items = [(1, SHORT), (2, f"{ITEM} today")]
+    names, rows = ("Kim", "Eve", "Lea", "Max", "Pia"), []
+    for i in range(60):
+        copies = []
+        for _ in range(pick.randint(1, 4)):
+            text = pick.choice(items)[1]
+            for old in ("40", "15", "3", "2", "4", "5"):
+                if pick.random() < 0.5:
+                    text = text.replace(f" {old} ", f" {pick.randint(6, 99)} ", pick.choice((1, -1)))
+            for old in ("Alice", "Tom", "Ann"):
+                if pick.random() < 0.5:
+                    text = text.replace(old, pick.choice(names))
+            words = text.split()
+            if pick.random() < 0.3:
+                del words[pick.randrange(len(words))]
+            copies.append(" ".join(words))
+        rows.append((i, " and ".join(copies)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    words = lambda df, i: {r[0]: ([w for w in r[1] if w], r[2]) for r in df.select(i, decontaminate.canonical_words(F.col("text")), decontaminate.plain_words(F.col("text"))).collect()}
+    wanted = {}
+    for item, (iw, ip) in words(bench, "item_id").items():
+        for doc, (dw, dp) in words(docs, "doc_id").items():
+            total, matched, changed = brute_slots(dw, dp, iw, ip)
+            if matched >= 0.8 * total:
+                wanted[doc, item] = (total, matched, changed)
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_matched, r.reparameterised) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == wanted and 20 < len(got) < 2 * len(rows)
+
+
 def test_decontamination_against_brute_force(spark, docs, texts, sf_dir, edge_docs, no_docs):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
