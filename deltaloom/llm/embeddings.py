@@ -1,34 +1,47 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
-Equal vectors become one node with a multiplicity. Centroids fitted on a bounded sample split all nodes into
-overlapping shards. Each node goes to its OVERLAP nearest centroids, or to as many as it takes for TOGETHER of the
-sampled vectors to share one with a vector just at the threshold; a shard beyond BLOCK nodes is dealt out as hashed blocks and every pair of blocks is searched. Each block's graph keeps robust-pruned near and far neighbours; the
-adjacency lists of all blocks are united per node, and every node searches the blocks of its shards greedily
-from their medoids, then expands everything in range until nothing new is in range. Pairs are verified in double
-precision. ``audit_recall`` compares the links with brute force on a sample of queries.
+Equal vectors become one node with a multiplicity. Nodes are dealt to overlapping shards level by level: a shard beyond BLOCK nodes
+gets centroids, fitted on a bounded sample of it by an executor, and every node goes to as many of the nearest as it takes
+for TOGETHER of sampled vectors to share one with a vector just at the threshold. So the number of shards grows
+with the table and their size does not. A shard that splitting does not help (one dense group) is dealt out as hashed blocks
+and every pair of blocks is searched. Each block's graph keeps robust-pruned near and far neighbours; the adjacency lists
+of all blocks are united per node, and in each pair of blocks every node searches greedily from the medoids, then
+expands everything in range until nothing new is in range. Pairs are verified in double precision.
+
+A pair that meets in several shards counts in one of them, the least that its nodes share. No pair leaves a task: a task returns
+how many links each of its nodes has, and a spanning forest of them. ``audit_recall`` compares the counts with brute force on a
+sample of queries; ``near_duplicates`` runs it and deals to twice as many centroids while the recall is below LEAST_RECALL.
 """
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltaloom.llm._shared import share, write_out
+from deltaloom.llm._shared import mix, small_batches, write_out
 from deltaloom.llm.components import connected_components
 
 THRESHOLD = 0.95
-#: Bound of the sample on which centroids are fitted; every vector is indexed.
-SAMPLE = 20_000
-SHARD, CENTROIDS, OVERLAP, BLOCK = 700, 1024, 2, 1024
+#: Bounds of the sample of a shard on which its centroids are fitted, in vectors and bytes; every vector is indexed.
+SAMPLE, SAMPLE_BYTES = 8192, 64 << 20
+#: Nodes that a shard should have, most centroids of one split, nearest centroids at least, nodes of a block.
+SHARD, CENTROIDS, OVERLAP, BLOCK = 250, 512, 2, 2048
+#: Bytes of vectors that one task deals out.
+DEAL_BYTES = 4 << 20
 #: Share of pairs at the threshold that are to meet in a shard, and vectors of the sample on which it is measured.
 TOGETHER, PROBED = 0.99, 2_000
 NEAR, FAR, POOL, ALPHA, BEAM, WIDTH = 24, 8, 96, 1.2, 48, 4
+#: Queries of the audit, and the recall below which the search is widened.
+AUDITED, LEAST_RECALL = 64, 0.95
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows at length one, whatever their scale; rows of zeros stay."""
+    if not rows.size:
+        return rows
+    _, power = np.frexp(np.abs(rows).max(axis=1, keepdims=True))
+    rows = np.ldexp(rows, -power)  # exact, and no square can over- or underflow
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
 
@@ -159,109 +172,173 @@ def _valid(column: str) -> str:
 def representatives(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """Rows (rep, copies, vector): one for each distinct usable vector; rep is its smallest id."""
     usable = vectors.where(F.col(id_col).isNotNull()).where(_valid(f"`{vector_col}`"))
-    return usable.groupBy(F.col(vector_col).cast("array<double>").alias("vector")).agg(F.min(F.col(id_col).cast("long")).alias("rep"), F.count("*").alias("copies"))
-
-
-def near_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b, copies_a, copies_b), a < b, between rows (rep, copies, vector) whose cosine is ``threshold`` or more.
-
-    Vectors of different lengths do not link.
-    """
-    spark = nodes.sparkSession
-    sizes = {row[0]: row[1] for row in nodes.groupBy(F.size("vector")).count().collect()}
-    total = sum(sizes.values())
-    if not total:
-        return spark.createDataFrame([], "a long, b long, copies_a long, copies_b long")
-    part = min(1.0, 1.5 * (SAMPLE + 100) / total)
-    chosen = nodes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(part * (1 << 30))).orderBy(F.xxhash64("rep")).limit(SAMPLE).select("vector").collect()
-    centres, overlaps = {}, {}
-    for size in sizes:
-        sample = [row[0] for row in chosen if len(row[0]) == size] or [np.ones(size)]
-        sample = unit(np.array(sample))
-        apart = min(PROBED, len(sample) // 5)
-        fitted = sample[apart:]
-        centres[size] = centroids(fitted, max(1, min(CENTROIDS, len(fitted), sizes[size] // SHARD)))
-        overlaps[size] = overlap(centres[size], sample[:apart] if apart else sample, threshold)
-    shared = share(spark, centres)  # CENTROIDS vectors of each length at most
-
-    def assign(batches):
-        centre = pickle.loads(shared.value)
-        for batch in batches:
-            length = np.diff(batch.column(2).offsets.to_numpy())
-            for size in np.unique(length):
-                own = batch.filter(pa.array(length == size))
-                likeness = unit(_matrix(own.column(2))) @ centre[int(size)].T
-                count = min(overlaps[int(size)], likeness.shape[1])
-                near = np.argsort(-likeness, axis=1, kind="stable")[:, :count]
+    return usable.groupBy(F.col(vector_col).alias("vector")).agg(F.min(F.col(id_col).cast("long")).alias("rep"), F.count("*").alias("copies"))
+
+
+def _fit(wide: int, sizes: tuple[int, int], threshold: float, row: tuple, sample: np.ndarray):
+    """(shard, centres, overlap, tasks, useful) of one shard by a sample of its vectors, ``wide`` times the overlap it takes."""
+    shard, count, tasks = row
+    sample = unit(sample)
+    apart = min(PROBED, len(sample) // 5)
+    fitted = sample[apart:]
+    centre = centroids(fitted, max(1, min(sizes[1], len(fitted) // 2, count // sizes[0])))
+    near = min(len(centre), wide * overlap(centre, sample[:apart] if apart else sample, threshold))
+    held = np.bincount(np.argsort(-(fitted @ centre.T), axis=1, kind="stable")[:, :near].ravel(), minlength=len(centre)) / len(fitted)
+    return shard, centre.astype(np.float64).tobytes(), near, tasks, bool((held**2).sum() <= 0.5)  # half of the comparisons at most
+
+
+def deal_shards(nodes: DataFrame, threshold: float = THRESHOLD, wide: int = 1) -> DataFrame:
+    """Rows (shard, rep, copies, vector, blocks): every node in each of its shards, those of a length apart from others."""
+    kind = nodes.schema["vector"].dataType.simpleString()
+    sizes, block, most, deal = (SHARD, CENTROIDS), BLOCK, SAMPLE, DEAL_BYTES
+    dealt, done, level = nodes.select(F.size("vector").cast("string").alias("shard"), "rep", "copies", "vector"), None, 0
+    while True:
+        dealt, _ = write_out(dealt, f"shards-{level}")
+        counts, _ = write_out(dealt.groupBy("shard").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("size")), f"shard-counts-{level}")
+        large = counts.where(F.col("n") > block)
+        room = F.least(F.lit(most), F.floor(F.lit(SAMPLE_BYTES / 8) / F.col("size")))
+        large = large.select("shard", "n", F.ceil(F.col("n") * F.col("size") * 8 / deal).cast("long").alias("tasks"), (room / F.col("n")).alias("part"))
+
+        def fit(table: pa.Table) -> pa.Table:
+            row = table.column("shard")[0].as_py(), table.column("n")[0].as_py(), table.column("tasks")[0].as_py()
+            order = np.argsort(mix(table.column("rep").to_numpy().view(np.uint64)), kind="stable")
+            found = _fit(wide, sizes, threshold, row, _matrix(table.column("vector").combine_chunks().take(pa.array(order))))
+            return pa.table({name: [x] for name, x in zip(("shard", "centres", "near", "tasks", "useful"), found)})
+
+        drawn = dealt.join(large, "shard").where(F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(1 << 30)) < F.col("part") * (1 << 30))
+        plans = drawn.select("shard", "n", "tasks", "rep", "vector").groupBy("shard").applyInArrow(fit, "shard string, centres binary, near bigint, tasks bigint, useful boolean")
+        plans, _ = write_out(plans.where("useful").drop("useful"), f"shard-plans-{level}")
+        split = plans.select("shard", "tasks")
+        rest = dealt.join(split, "shard", "left_anti").join(counts.select("shard", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "shard")
+        done = rest if done is None else done.unionByName(rest)
+        if plans.isEmpty():
+            return done
+
+        def assign(rows: pa.Table, plan: pa.Table) -> pa.Table:
+            out, names = [], ["shard", "rep", "copies", "vector"]
+            if rows.num_rows and plan.num_rows:
+                vectors, shard, count = unit(_matrix(rows.column("vector"))), plan.column("shard")[0].as_py(), plan.column("near")[0].as_py()
+                centre = np.frombuffer(plan.column("centres")[0].as_py(), dtype=np.float64).reshape(-1, vectors.shape[1])
+                nearest = np.argsort(-(vectors @ centre.T), axis=1, kind="stable")[:, :count]
                 for k in range(count):
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{size}:{x}" for x in near[:, k]]), *own.columns], names=["shard", "rep", "copies", "vector"])
-
-    dealt, _ = write_out(nodes.select("rep", "copies", "vector").mapInArrow(assign, "shard string, rep long, copies long, vector array<double>"), "shards")
-    counts = dealt.groupBy("shard").count().select("shard", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    blocks = {row.shard: row.blocks for row in counts.where("blocks > 1").collect()}  # shards are bounded by CENTROIDS
-    of = F.coalesce(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("shard")], F.lit(1)) if blocks else F.lit(1)
-    dealt = dealt.withColumn("blocks", of).withColumn("block", F.expr("cast(pmod(xxhash64(rep, 7), blocks) as int)"))
+                    out.append(pa.table([pa.array([f"{shard}.{c}" for c in nearest[:, k]]), *(rows.column(c) for c in names[1:])], names=names))
+            return pa.concat_tables(out) if out else rows.select(names).slice(0, 0)
+
+        asked = dealt.join(split, "shard").withColumn("task", F.expr(f"pmod(xxhash64(rep, {level}), tasks)")).drop("tasks")
+        told = plans.withColumn("task", F.explode(F.expr("sequence(0, tasks - 1)"))).drop("tasks")
+        dealt = asked.groupBy("shard", "task").cogroup(told.groupBy("shard", "task")).applyInArrow(assign, f"shard string, rep long, copies long, vector {kind}")
+        level += 1
+
+
+def _neighbours(table: pa.Table, reps: np.ndarray) -> np.ndarray:
+    """Numbers of the neighbours of each row that are rows themselves, -1 for none."""
+    order = np.argsort(reps)
+    near = table.column("near").combine_chunks()
+    flat, starts = near.flatten().to_numpy(), near.offsets.to_numpy()
+    at = np.minimum(np.searchsorted(reps[order], flat), len(reps) - 1)
+    inside = reps[order][at] == flat
+    owner = np.repeat(np.arange(len(reps)), np.diff(starts))[inside]
+    flat = order[at[inside]]
+    degree = np.bincount(owner, minlength=len(reps))
+    links = np.full((len(reps), max(1, int(degree.max()) if len(degree) else 1)), -1, dtype=np.int64)
+    links[owner, np.arange(len(owner)) - np.repeat(np.cumsum(degree) - degree, degree)] = flat
+    return links
+
+
+def _lesser_homes(table: pa.Table) -> np.ndarray:
+    """Bits for the shards before this one that each row is in as well; two rows with a common bit count elsewhere."""
+    homes, here = table.column("homes").combine_chunks(), table.column("home")[0].as_py()
+    flat, owner = homes.flatten().to_numpy(), np.repeat(np.arange(len(homes)), np.diff(homes.offsets.to_numpy()))
+    less = flat < here
+    names, number = np.unique(flat[less], return_inverse=True)
+    bits = np.zeros((len(homes), max(1, len(names))), dtype=bool)
+    bits[owner[less], number] = True
+    return np.packbits(bits, axis=1)
+
+
+def near_links(nodes: DataFrame, threshold: float = THRESHOLD, wide: int = 1) -> DataFrame:
+    """Rows (rep, other, n) of nodes (rep, copies, vector): ``n`` vectors, copies counted, whose cosine with it is ``threshold`` or more.
+
+    A node has a row for each task that found some; their n add up. ``other`` is a node of the same component, and
+    all rows together hold a spanning forest. Vectors of different lengths do not link.
+    """
+    dealt, _ = write_out(deal_shards(nodes, threshold, wide).withColumn("block", F.expr("cast(pmod(xxhash64(rep, 7), blocks) as int)")).withColumn("home", F.xxhash64("shard")), "shards")
 
     def build(table: pa.Table) -> pa.Table:
         reps = table.column("rep").to_numpy()
-        near = pruned_graph(unit(_matrix(table.column("vector"))))
+        near = pruned_graph(unit(_matrix(table.column("vector"))).astype(np.float32))
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in near])))
         flat = reps[np.concatenate(near)] if len(near) else reps
-        return pa.table({"rep": pa.array(reps), "near": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))})
+        return pa.table({"rep": pa.array(reps), "home": table.column("home"), "near": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))})
 
-    lists = dealt.select("shard", "block", "rep", "vector").groupBy("shard", "block").applyInArrow(build, "rep long, near array<long>")
-    united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    graph = dealt.join(united, "rep")
-    every = F.explode(F.expr("sequence(0, blocks - 1)"))
-    searched = graph.select("shard", "block", every.alias("other"), F.lit(True).alias("node"), "rep", "copies", "vector", "near")
-    asking = graph.select("shard", every.alias("block"), F.col("block").alias("other"), F.lit(False).alias("node"), "rep", "copies", "vector", F.lit(None).cast("array<long>").alias("near"))
+    lists = dealt.select("shard", "block", "home", "rep", "vector").groupBy("shard", "block").applyInArrow(build, "rep long, home long, near array<long>")
+    united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.sort_array(F.collect_set("home")).alias("homes"))
+    met = dealt.join(united, "rep").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    met = met.select("home", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "copies", "vector", "near", "homes")
 
     def search(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy().astype(bool)
-        here, ask = table.filter(pa.array(node)), table.filter(pa.array(~node))
-        result = {name: np.zeros(0, np.int64) for name in ("a", "b", "copies_a", "copies_b")}
-        if here.num_rows and ask.num_rows:
-            exact, wanted = unit(_matrix(here.column("vector"))), unit(_matrix(ask.column("vector")))
-            reps, theirs = here.column("rep").to_numpy(), ask.column("rep").to_numpy()
-            order = np.argsort(reps)
-            near = here.column("near").combine_chunks()
-            flat, starts = near.flatten().to_numpy(), near.offsets.to_numpy()
-            at = np.minimum(np.searchsorted(reps[order], flat), len(reps) - 1)
-            inside = reps[order][at] == flat
-            owner = np.repeat(np.arange(len(reps)), np.diff(starts))[inside]
-            flat = order[at[inside]]
-            degree = np.bincount(owner, minlength=len(reps))
-            links = np.full((len(reps), max(1, int(degree.max()) if len(degree) else 1)), -1, dtype=np.int64)
-            links[owner, np.arange(len(owner)) - np.repeat(np.cumsum(degree) - degree, degree)] = flat
-            q, v = range_search(exact.astype(np.float32), links, wanted.astype(np.float32), threshold - 1e-4)
-            good = np.einsum("ij,ij->i", wanted[q], exact[v]) >= threshold
-            q, v = q[good], v[good]
-            mine, copies, others = theirs[q], here.column("copies").to_numpy()[v], ask.column("copies").to_numpy()[q]
-            low = reps[v] < mine
-            keep = reps[v] != mine
-            columns = (np.where(low, reps[v], mine), np.where(low, mine, reps[v]), np.where(low, copies, others), np.where(low, others, copies))
-            result = {name: column[keep] for name, column in zip(result, columns)}
-        return pa.table({name: pa.array(column, pa.int64()) for name, column in result.items()})
-
-    found = searched.unionByName(asking).groupBy("shard", "block", "other").applyInArrow(search, "a long, b long, copies_a long, copies_b long")
-    return found.dropDuplicates(["a", "b"])
-
-
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+        reps, copies, block = (table.column(c).to_numpy() for c in ("rep", "copies", "block"))
+        exact = unit(_matrix(table.column("vector")))
+        single = exact.astype(np.float32)
+        q, v = range_search(single, _neighbours(table, reps), single, threshold - 1e-4)
+        both = np.unique(np.concatenate((q * len(reps) + v, v * len(reps) + q)))  # a pair that one side met counts for both
+        q, v = both // len(reps), both % len(reps)
+        keep = q != v
+        if table.column("x")[0].as_py() != table.column("y")[0].as_py():
+            keep &= block[q] != block[v]  # pairs within a block have a task of their own
+        q, v = q[keep], v[keep]
+        good = np.einsum("ij,ij->i", exact[q], exact[v]) >= threshold
+        q, v = q[good], v[good]
+        less = _lesser_homes(table)
+        own = ~(less[q] & less[v]).any(axis=1)
+        q, v = q[own], v[own]
+        count = np.bincount(q, weights=copies[v], minlength=len(reps)).astype(np.int64)
+        label = np.arange(len(reps))
+        i, j = q, v
+        while len(i):
+            up = np.arange(len(reps))
+            np.minimum.at(up, i, j)
+            while (up[up] != up).any():
+                up = up[up]
+            label, i, j = up[label], up[i], up[j]
+            i, j = i[i != j], j[i != j]
+        some = np.flatnonzero(count)
+        return pa.table({"rep": pa.array(reps[some]), "other": pa.array(reps[label[some]]), "n": pa.array(count[some])})
+
+    return met.groupBy("home", "x", "y").applyInArrow(search, "rep long, other long, n long")
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, audited: int = AUDITED) -> DataFrame:
     """Rows (id_col, n_links, component_id, kept) for every vector with an id.
 
     ``n_links`` counts other vectors linked directly, copies included; ``component_id`` is the smallest id reachable,
-    the own one included; ``kept`` marks it. Vectors that are null, empty or zero, or hold null or non-finite
-    components, link with nothing. Rows that repeat an id stay, as vectors of their own. Other columns are not carried.
+    the own one included; ``kept`` marks it. With ``audited`` queries the recall is measured by brute force, and the search widened
+    while it is below LEAST_RECALL.
+
+    * Nulls: a row with a null id is left out, as nothing could name it. Vectors that are null, empty or zero, or hold null or
+      non-finite components, link with nothing. Vectors of any finite scale count.
+    * Very long vectors count whole. Vectors of different lengths do not link.
+    * Ties: a cosine of exactly the threshold is a link. Of equal vectors the smallest id stands for all.
+    * Repeated rows: rows that repeat an id stay, as vectors of their own. An empty table gives an empty result.
+    * Other columns are not carried, so their names cannot clash.
     """
-    nodes, _ = write_out(representatives(vectors, id_col, vector_col), "vectors")
-    links, _ = write_out(near_links(nodes, threshold), "vector-links")
-    ends = links.select(F.col("a").alias("rep"), F.col("copies_b").alias("n")).unionByName(links.select(F.col("b").alias("rep"), F.col("copies_a").alias("n")))
-    near = ends.groupBy("rep").agg(F.sum("n").alias("n"))
-    joined = connected_components(links.select("a", "b"), "vector-components").withColumnRenamed("node", "rep")
-    named = nodes.join(near, "rep", "left").join(joined, "rep", "left")
-    named = named.select("vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id_"), F.expr(f"if({_valid(f'`{vector_col}`')}, cast(`{vector_col}` as array<double>), null)").alias("vector"))
+    nodes, _ = write_out(representatives(vectors, id_col, vector_col).withColumn("node", F.monotonically_increasing_id()), "vectors")
+    wide = 1
+    while True:
+        result, _ = write_out(_named(vectors, nodes, id_col, vector_col, threshold, wide), "vector-result")
+        if not audited or wide >= 16 or audit_recall(vectors, result, audited, id_col, vector_col, threshold) >= LEAST_RECALL:
+            return result
+        wide *= 2
+
+
+def _named(vectors: DataFrame, nodes: DataFrame, id_col: str, vector_col: str, threshold: float, wide: int) -> DataFrame:
+    links, _ = write_out(near_links(nodes.select(F.col("node").alias("rep"), "copies", "vector"), threshold, wide), "vector-links")
+    near = links.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n"))
+    joined = connected_components(links.where("rep <> other").select("rep", "other"), "vector-components")
+    named = nodes.join(near, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "component").select("vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id_"), F.expr(f"if({_valid(f'`{vector_col}`')}, `{vector_col}`, null)").alias("vector"))
     linked = rows.where("vector is not null").join(named, "vector").select("id_", "n_links", "component_id")
     alone = rows.where("vector is null").select("id_", F.lit(0).cast("long").alias("n_links"), F.col("id_").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id_").alias(id_col), "n_links", "component_id", (F.col("id_") == F.col("component_id")).alias("kept"))
@@ -283,7 +360,7 @@ def audit_recall(vectors: DataFrame, result: DataFrame, queries: int = 200, id_c
                 rows = unit(_matrix(batch.filter(pa.array(length == size)).column(1)))
                 for k, q in enumerate(wanted):
                     if len(q) == size:
-                        counts[k] += int((rows @ (q / np.linalg.norm(q)) >= threshold).sum())
+                        counts[k] += int((rows @ unit(q[None])[0] >= threshold).sum())
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts)], names=[id_col, "n"])
 
     truth = usable.mapInArrow(compare, f"`{id_col}` long, n long").groupBy(id_col).agg((F.sum("n") - 1).alias("n"))
@@ -293,4 +370,5 @@ def audit_recall(vectors: DataFrame, result: DataFrame, queries: int = 200, id_c
 
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
+    small_batches(spark)
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))

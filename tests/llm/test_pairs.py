@@ -38,8 +38,9 @@ def planted(seed, groups=25, size=8, dim=24):
 
 
 def test_embeddings_recall(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "SHARD", 60)
+    monkeypatch.setattr(embeddings, "SHARD", 30)
     monkeypatch.setattr(embeddings, "BLOCK", 64)
+    monkeypatch.setattr(embeddings, "LEAST_RECALL", 0.0)
     rows = planted(4)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
     wanted = brute_links(rows)
@@ -69,6 +70,7 @@ def test_embeddings_overlap_of_a_thousand_shards():
 
 def test_embeddings_recall_of_spread_vectors(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "SHARD", 12)
+    monkeypatch.setattr(embeddings, "BLOCK", 256)
     monkeypatch.setattr(embeddings, "SAMPLE", 600)
     x, y = spread_pairs(10, 1500)
     vectors = [(i, [float(c) for c in v]) for i, v in enumerate(np.concatenate((x, y)))]
@@ -76,6 +78,37 @@ def test_embeddings_recall_of_spread_vectors(spark, monkeypatch):
     assert embeddings.audit_recall(df, embeddings.near_duplicates(df), queries=3000) >= 0.97
 
 
+def test_embeddings_of_any_scale(spark):
+    pick = np.random.default_rng(2)
+    base = pick.normal(size=(20, 8))
+    rows = [*base, *(base + pick.normal(size=base.shape) * 1e-3), np.full(8, 1e-200), np.full(8, 2e-200), np.full(8, 1e200), np.full(8, -1e200), np.full(8, 5e-324)]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rows)]
+    scaled = [(i, [float(x) for x in np.array(v) / np.abs(v).max()]) for i, v in rows]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute_links(scaled) and got[40][0] == 3
+
+
+def test_dense_groups_leave_no_pair_rows(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    pick = np.random.default_rng(3)
+    base = pick.normal(size=16)
+    rows = [(i, [float(x) for x in base + pick.normal(size=16) * 0.01]) for i in range(400)] + [(400 + i, [float(x) for x in pick.normal(size=16)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df, audited=0).collect()}
+    assert got == brute_links(rows)
+    links = embeddings.near_links(embeddings.representatives(df, "vec_id", "embedding"))
+    assert links.count() < 400 * 40  # of 79,800 pairs
+
+
+def test_embeddings_audit_widens_the_search(spark, monkeypatch):
+    seen = []
+    named = embeddings._named
+    monkeypatch.setattr(embeddings, "_named", lambda *a: seen.append(a[-1]) or named(*a))
+    monkeypatch.setattr(embeddings, "audit_recall", lambda *a: 0.5 if len(seen) < 3 else 0.99)
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<double>")
+    assert [r.n_links for r in embeddings.near_duplicates(df).collect()] == [1, 1] and seen == [1, 2, 4]
+
+
 def test_embeddings_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [None, 1.0]), (8, [float("inf"), 0.0]), (9, [2.0, 0.1]), (10, [1.0, 0.0, 0.0]), (11, [-0.0, 1.0])]
