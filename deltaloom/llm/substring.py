@@ -1,17 +1,20 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-The reference of a document is what the documents with smaller ids say first. Every distinct window of WINDOW words is indexed
-where it stands first (least id, then least position); a reference block is a stretch of first windows that follow each other. A
-document is parsed greedily against all blocks: a factor (source, position there, length) begins at the first window that a
-block holds and goes on as long as the same block spells the next word. Since a window stands in one block only, that
-is the longest factor there is. Where it ends, the factor boundary is checked: the windows that begin before the boundary and
-end beyond it are looked up as well, and the next factor begins with the first of them that another block holds, so factors
-may overlap and no repeated window is lost between two of them. Words under factors go; shorter matches are no factors.
-
-The identity of a window is a 128-bit cryptographic digest of its words as text, so equal digests are equal words; no hash
-that texts could be built to defeat decides. A block is found by its anchor, the least hash of the GRAM-word groups in a
-window, which depends on nothing but the window's words: anchors that one document alone holds are left out by
-a bitmap before windows are digested. Texts are read again in each step rather than shuffled.
+A document is parsed against what the documents with smaller ids hold. A reference block is named by its anchor, the least
+hash of the GRAM-word groups in a window of WINDOW words, which depends on nothing but the window's words: the windows
+that follow each other with one anchor are one block, and so are all words under them. Blocks are indexed where they stand first
+(least id). Blocks of a document that the index has as a whole are parsed at once. Around the ends of passages blocks differ,
+so there every window is looked up by itself, which is indexed where it stands first as well.
+
+A factor (source, position there, length) begins at the first window that was found and goes on, greedily, as long as the next
+window stands next in the same source. Where it ends, the factor boundary is checked: the windows that begin before the
+boundary and end beyond it were looked up too, and the next factor begins with the first of them that another source holds. So
+factors may overlap and no repeated window is lost between two of them. Words under factors go; shorter matches
+are no factors.
+
+Blocks and windows are identified by 128-bit cryptographic digests of their words as text, so equal digests are equal words; no hash
+that texts could be built to defeat decides. Anchors that one document alone holds, and blocks parsed already, are left out by
+bitmaps; what the second lets through or holds back by chance is looked up apart. Texts are read again in each step rather than shuffled.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from deltaloom.llm.bitmap import holds, shared_bitmap
 
 WINDOW = 50
 GRAM = 16
+#: Ids with blocks held back by chance are broadcast up to this number (16 MB), and joined by shuffle beyond it.
+BROADCAST_IDS = 2_000_000
 _MULTIPLIER = 0xA0761D6478BD642F
 
 
@@ -60,12 +65,18 @@ class Windows:
         begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(per_doc)))
         return owner[self.first], self.first - begin[owner[self.first]], anchor
 
-    def digests(self, which: np.ndarray) -> np.ndarray:
-        """Digests of some windows of the last texts, two longs each: of the words joined by one space."""
+    def runs(self, data: np.ndarray, bounds: np.ndarray):
+        """(owner, position, windows, anchor, number of the first window) of every run of windows with one anchor."""
+        owner, position, anchor = self(data, bounds)
+        heads = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))[: len(owner)])
+        return owner[heads], position[heads], np.diff(np.append(heads, len(owner))), anchor[heads], heads
+
+    def digests(self, which: np.ndarray, windows: np.ndarray | int = 1) -> np.ndarray:
+        """Digests of some runs of the last texts, two longs each: of the words joined by one space."""
         text, bounds = self.data.tobytes(), self.bounds.tolist()
         plain = memoryview(b" ".join([b" ".join(words) for a, b in zip(bounds[:-1], bounds[1:]) if (words := text[a:b].split())]))
         ends = np.cumsum(self.sizes + 1) - 1
-        begins, stops = (ends - self.sizes)[self.first[which]], ends[self.first[which] + self.window - 1]
+        begins, stops = (ends - self.sizes)[self.first[which]], ends[self.first[which] + windows + self.window - 2]
         digest = hashlib.blake2b
         found = b"".join([digest(plain[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), stops.tolist())])
         return np.frombuffer(found, dtype="<i8").reshape(-1, 2)
@@ -82,15 +93,19 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def factors(position: np.ndarray, source: np.ndarray, at: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+def factors(found: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
     """Greedy factors (start, source, position in the source, words) of one document.
 
-    ``position`` holds the first words of the windows that the reference has, ``source`` and ``at`` where it has them. A factor
-    grows while the next window is the next one of the same block; the windows over its end are then tried one by one.
+    ``found`` has rows (first word of a run of windows, windows, source, position there). A factor grows while the next window
+    stands next in the same source; the windows over its end are then tried one by one.
     """
-    order = np.argsort(position, kind="stable")
+    windows = found[:, 1]
+    step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    found = np.repeat(found, windows, axis=0)
+    position, source, at = found[:, 0] + step, found[:, 2], found[:, 3] + step
+    order = np.lexsort((at, source, position))
     position, source, at = position[order], source[order], at[order]
-    fresh = np.append(True, np.diff(position) > 0)[: len(position)]  # repeated rows of one id bring each window twice
+    fresh = np.append(True, np.diff(position) > 0)[: len(position)]  # a window may be found twice: in repeated rows of one id
     position, source, at = position[fresh], source[fresh], at[fresh]
     goes_on = (np.diff(position) == 1) & (np.diff(at) == 1) & (np.diff(source) == 0)
     heads = np.flatnonzero(np.append(True, ~goes_on)[: len(position)])
@@ -113,40 +128,108 @@ def _kept(text: bytes, found: list[tuple[int, int, int, int]]) -> tuple[int, int
     return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), spans
 
 
-def reference_windows(source: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows (id, found array<struct<position, source, at>>) of rows (id, text_): windows that stand in a smaller id too, and where first."""
+def _parsed_key(high: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return mix(high.view(np.uint64) ^ mix(ids.astype(np.int64).view(np.uint64)))
+
+
+def _texts(batches, find: Windows, bits: np.ndarray):
+    """(numbers of the texts in their batch, ids, runs whose anchor is shared) of some rows (id, text_, ...)."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for first, _, data, bounds in text_chunks(batch.column(1)):
+            owner, *rest = find.runs(data, bounds)
+            hit = np.flatnonzero(holds(bits, rest[2]))
+            if len(hit):
+                position, windows, _, heads = (x[hit] for x in rest)
+                yield batch, first + owner[hit], ids[first + owner[hit]], position, windows, heads
+
+
+def _first_places(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows (key, source, at) of what stands in several ids: where it stands first. As a table, so that both sides of joins with
+    it are plain exchanges, whose hot keys AQE splits."""
+    firsts = rows.where("fresh").groupBy(*key).agg(F.min("id").alias("source"), F.min_by("position", "id").alias("at"), F.max("id").alias("last")).where("source < last")
+    return write_out(firsts.drop("last"), "reference")[0]
+
+
+def _fresh(digest: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which rows are the first of their digest in their text (rows stand in order)."""
+    key = mix(digest[:, 0].view(np.uint64) ^ mix(text.astype(np.uint64)))
+    out = np.zeros(len(digest), dtype=bool)
+    out[np.unique(key, return_index=True)[1]] = True
+    return out
+
+
+def reference_runs(source: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows (id, position, windows, source, at) of rows (id, text_): runs of windows that stand in a smaller id too."""
 
     def anchors(batches):
         find = Windows(window)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, _, data, bounds in text_chunks(batch.column(1)):
-                owner, _, anchor = find(data, bounds)
+                owner, _, _, anchor, _ = find.runs(data, bounds)
                 if len(owner):
-                    new = np.append(True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(ids[first + owner[new]])], names=["anchor", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ids[first + owner])], names=["anchor", "id"])
 
-    blocks = source.mapInArrow(anchors, "anchor bigint, id bigint").groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-    shared = shared_bitmap(blocks.where("a < b").select("anchor"))
+    shares = source.mapInArrow(anchors, "anchor bigint, id bigint").groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    shared = shared_bitmap(shares.where("a < b").select("anchor"))
+    names, schema = ["high", "low", "id", "position", "windows", "fresh"], "high bigint, low bigint, id bigint, position int, windows int, fresh boolean"
 
-    def occurrences(batches):
-        find, bits = Windows(window), view_bits(shared)
+    def rows(digest, ids, position, windows, text):
+        arrays = [digest[:, 0], digest[:, 1], ids, position.astype(np.int32), windows.astype(np.int32), _fresh(digest, text)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
+
+    def blocks(batches):
+        find = Windows(window)
+        for _, text, ids, position, windows, heads in _texts(batches, find, view_bits(shared)):
+            yield rows(find.digests(heads, windows), ids, position, windows, text)
+
+    held, _ = write_out(source.mapInArrow(blocks, schema), "blocks")
+    places = _first_places(held, "high", "low", "windows")
+    whole, _ = write_out(held.join(places, ["high", "low", "windows"]).where("id > source").select("high", "low", "id", "position", "windows", "source", "at"), "parsed-blocks")
+
+    def keys(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for first, _, data, bounds in text_chunks(batch.column(1)):
-                owner, position, anchor = find(data, bounds)
-                hit = np.flatnonzero(holds(bits, anchor))
-                for k in range(0, len(hit), 1 << 16):
-                    part = hit[k : k + (1 << 16)]
-                    digest = find.digests(part)
-                    arrays = [digest[:, 0], digest[:, 1], ids[first + owner[part]], position[part].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["high", "low", "id", "position"])
+            yield pa.RecordBatch.from_arrays([pa.array(_parsed_key(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.int64))], names=["key"])
+
+    parsed = shared_bitmap(whole.select("high", "id").mapInArrow(keys, "key bigint"))
+
+    def single(find, text, ids, position, windows, heads):
+        step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        text, ids, position, heads = (np.repeat(x, windows) for x in (text, ids, position, heads))
+        position, heads = position + step, heads + step
+        for k in range(0, len(heads), 1 << 16):
+            part = slice(k, k + (1 << 16))
+            yield rows(find.digests(heads[part]), ids[part], position[part], np.ones(len(heads[part])), text[part])
+
+    def open_windows(batches):
+        find, bits = Windows(window), view_bits(parsed)
+        for _, text, ids, position, windows, heads in _texts(batches, find, view_bits(shared)):
+            left = np.flatnonzero(~holds(bits, _parsed_key(np.ascontiguousarray(find.digests(heads, windows)[:, 0]), ids)))
+            yield from single(find, text[left], ids[left], position[left], windows[left], heads[left])
+
+    def chance(batches):  # blocks that are not parsed though the bitmap says so
+        bits = view_bits(parsed)
+        for batch in batches:
+            yield batch.filter(pa.array(holds(bits, _parsed_key(batch.column(0).to_numpy(), batch.column(2).to_numpy()))))
 
-    found = source.mapInArrow(occurrences, "high bigint, low bigint, id bigint, position int")
-    index = found.groupBy("high", "low").agg(F.min(F.struct("id", "position")).alias("first"), F.max("id").alias("last")).where("first.id < last")
-    index, _ = write_out(index.select("high", "low", F.col("first.id").alias("source"), F.col("first.position").alias("at")), "reference")  # as a table, both sides of the join are plain exchanges, whose hot windows AQE splits
-    repeated = found.join(index, ["high", "low"]).where("id > source")
-    return repeated.groupBy("id").agg(F.collect_list(F.struct("position", "source", "at")).alias("found"))
+    def missed_windows(batches):
+        find = Windows(window)
+        for batch, text, ids, position, windows, heads in _texts(batches, find, view_bits(shared)):
+            wanted = [set(x.as_py()) for x in batch.column(2)]
+            left = np.flatnonzero([p in wanted[t] for t, p in zip(text.tolist(), position.tolist())])
+            yield from single(find, text[left], ids[left], position[left], windows[left], heads[left])
+
+    found = source.mapInArrow(open_windows, schema)
+    missed = held.mapInArrow(chance, schema).join(whole.select("high", "low", "windows", "id"), ["high", "low", "windows", "id"], "left_anti")
+    missed, _ = write_out(missed.groupBy("id").agg(F.collect_set("position").alias("positions")), "missed-blocks")
+    listed = missed.count()
+    if listed:
+        hint = F.broadcast if listed <= BROADCAST_IDS else (lambda df: df)
+        found = found.unionByName(source.join(hint(missed), "id").select("id", "text_", "positions").mapInArrow(missed_windows, schema))
+    met = found.select("high", "low", "id", "position", "windows").join(_first_places(found, "high", "low"), ["high", "low"]).where("id > source")
+    columns = ["id", "position", "windows", "source", "at"]
+    return whole.select(columns).unionByName(met.select(columns))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -157,17 +240,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     * Nulls: a null text has no words. Rows with a null id lose nothing and are no reference.
     * Empty and short texts have no window and keep all words. Very long texts are parsed whole.
-    * Ties: windows are judged on the input, and a factor's source is the smallest id, then the first position there.
+    * Ties: windows are judged on the input. A block's or window's source is the smallest id that holds it.
     * Repeated rows: rows of one id are one document that they all get the result of; they do not remove each other.
     * An empty table gives an empty result. Other columns are not carried, so their names cannot clash.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text_"))
-    lists, _ = write_out(reference_windows(named, window), "repeats")
+    runs = reference_runs(named, window).groupBy("id").agg(F.collect_list(F.struct("position", "windows", "source", "at")).alias("found"))
+    lists, _ = write_out(runs, "repeats")
     marked = shared_bitmap(lists.select(F.xxhash64("id")))
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text_"), F.xxhash64(F.col(id_col).cast("long")).alias("slot_"))
     schema = f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<start:int,end:int>>, factors array<struct<start:int,source:bigint,at:int,words:int>>"
-    hit = pa.list_(pa.struct([("position", pa.int32()), ("source", pa.int64()), ("at", pa.int32())]))
+    hit = pa.list_(pa.struct([("position", pa.int32()), ("windows", pa.int32()), ("source", pa.int64()), ("at", pa.int32())]))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     factor = pa.list_(pa.struct([("start", pa.int32()), ("source", pa.int64()), ("at", pa.int32()), ("words", pa.int32())]))
 
@@ -187,7 +271,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             texts, lists, rows = batch.column(1).fill_null("").cast(pa.large_binary()), batch.column(2), []
             for i in range(batch.num_rows):
                 own = lists[i].values
-                parsed = factors(*(own.field(k).to_numpy().astype(np.int64) for k in range(3)), window) if own is not None and len(own) else []
+                parsed = factors(np.stack([own.field(k).to_numpy().astype(np.int64) for k in range(4)], axis=1), window) if own is not None and len(own) else []
                 rows.append((*_kept(texts[i].as_py(), parsed), parsed))
             columns = list(zip(*rows)) or [[]] * 5
             spans = pa.array([[{"start": a, "end": b} for a, b in s] for s in columns[3]], span)

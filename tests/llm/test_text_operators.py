@@ -349,30 +349,44 @@ def test_substring_planted(spark, edge_docs, edge_rows, no_docs):
     assert substring.remove_repeats(no_docs).count() == 0
 
 
-def test_substring_factors(spark):
+def check_factors(found, rows):
+    """Every factor spells words of its source, none could be joined to the next, and they cover what brute force removes."""
+    texts = {i: (t or "").split() for i, t in rows}
+    for i, r in found.items():
+        parse = [tuple(x) for x in r.factors]
+        for start, source, at, n in parse:
+            assert source < i and n >= 50 and texts[i][start : start + n] == texts[source][at : at + n]
+        for (a, s, x, n), (b, t, y, _) in zip(parse, parse[1:]):
+            assert a < b and not (s == t and y - x == b - a and b <= a + n - 49)
+    assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in found.items()} == brute_repeats(rows)
+
+
+def test_substring_factors(spark, monkeypatch):
     pick = random.Random(9)
     words = [f"w{k}" for k in pick.sample(range(10**6), 400)]
     a, b = words[:150], words[130:300]
-    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join([*"xy", *a[20:], *b[20:120], *"zz"])), (4, " ".join(words[60:140])), (5, " ".join(words[100:250]))]
-    found = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join([*"xy", *a[20:], *b[20:120], *"zz"])), (4, " ".join(words[60:140])), (5, " ".join(words[100:250])), (6, "  ".join(a)), (7, " ".join(b)), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r for r in substring.remove_repeats(docs).collect()}
+    check_factors(found, rows)
     got = {i: [tuple(x) for x in r.factors] for i, r in found.items()}
-    texts = {i: t.split() for i, t in rows}
-    for i, parse in got.items():
-        for start, source, at, n in parse:
-            assert source < i and n >= 50 and texts[i][start : start + n] == texts[source][at : at + n]
-    first, wanted = {}, {}
-    for i, ws in texts.items():  # word by word: the longest factor that a block of first windows spells, and the windows over its end
-        p, wanted[i] = 0, []
-        while p + 50 <= len(ws):
-            held = first.setdefault(tuple(ws[p : p + 50]), (i, p))
-            n = 50
-            if held[0] < i:
-                while p + n < len(ws) and first.get(tuple(ws[p + n - 49 : p + n + 1])) == (held[0], held[1] + n - 49):
-                    n += 1
-                wanted[i].append((p, *held, n))
-            p += n - 49
-    assert got == wanted and got[4] == [(0, 1, 60, 80)] and got[5] == [(0, 1, 100, 50), (1, 3, 83, 78), (30, 2, 0, 120)]
-    assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in found.items()} == brute_repeats(rows)
+    assert got[1] == [] and got[4] == [(0, 1, 60, 80)] and got[6] == [(0, 1, 0, 150)] and got[7] == [(0, 2, 0, 170)]
+    assert got[3][0] == (2, 1, 20, 130) and [(r.start, r.end) for r in found[3].spans] == [(2, 232)]
+    # a bitmap that holds back every block: all is looked up apart, with the same result
+    monkeypatch.setattr(substring, "_parsed_key", lambda high, ids: np.zeros(len(ids), np.uint64))
+    check_factors({r.doc_id: r for r in substring.remove_repeats(docs).collect()}, rows)
+
+
+def test_substring_factors_of_mixed_passages(spark):
+    pick = random.Random(14)
+    pool = [f"v{k}" for k in range(40)]
+    passages = [[pick.choice(pool) for _ in range(pick.randint(40, 160))] for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [pick.choice(passages)[pick.randint(0, 30) :] if pick.random() < 0.7 else [f"u{pick.randrange(10**6)}" for _ in range(pick.randint(1, 60))] for _ in range(pick.randint(1, 4))]
+        rows.append((i, " ".join(w for p in parts for w in p)))
+    rows += [(100 + k, rows[k][1]) for k in range(0, 60, 4)] + [(200, "x " * 200), (201, "x " * 90)]
+    check_factors({r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}, rows)
 
 
 def colliding_words():
