@@ -62,3 +62,14 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         remove(spark, old)
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def least_of_component(nodes: DataFrame, components: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows of ``nodes`` (node, column, ...) with the least ``column`` of their component as ``name``; a node without a component is its own.
+
+    Only nodes with a component meet their like, in tables, so that AQE may split a hot component.
+    """
+    held, _ = write_out(nodes.select("node", column).join(components, "node"), "component-members")
+    least, _ = write_out(held.groupBy("component").agg(F.min(column).alias(name)), "component-least")
+    named = held.select("node", "component").join(least, "component").select("node", name)
+    return nodes.join(named, "node", "left").withColumn(name, F.coalesce(name, column))

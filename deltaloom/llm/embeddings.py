@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deltaloom.llm._shared import mix, small_batches, write_out
-from deltaloom.llm.components import connected_components
+from deltaloom.llm.components import connected_components, least_of_component
 
 THRESHOLD = 0.95
 #: Bounds of the sample of a shard on which its centroids are fitted, in vectors and bytes; every vector is indexed.
@@ -32,6 +32,8 @@ DEAL_BYTES = 4 << 20
 #: Share of pairs at the threshold that are to meet in a shard, and vectors of the sample on which it is measured.
 TOGETHER, PROBED = 0.99, 2_000
 NEAR, FAR, POOL, ALPHA, BEAM, WIDTH = 24, 8, 96, 1.2, 48, 4
+#: A query with more than this part of a block in its range is compared with all of the block, which is less work than the walk.
+DENSE = 16
 #: Queries of the audit, and the recall below which the search is widened.
 AUDITED, LEAST_RECALL = 64, 0.95
 
@@ -125,7 +127,10 @@ def medoids(vectors: np.ndarray) -> np.ndarray:
 
 
 def range_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) numbers of the pairs in range that the walk meets; ``links``: neighbours, -1 for none."""
+    """(query, node) numbers of the pairs in range that the walk meets; ``links``: neighbours, -1 for none.
+
+    A query in a dense group ends its walk early, for it is compared with every node.
+    """
     n, found = len(vectors), ([], [])
     start = medoids(vectors)
     for first in range(0, len(queries), 256):
@@ -134,7 +139,7 @@ def range_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ra
         score[:, start] = q @ vectors[start].T
         todo = np.full((len(q), n), -3.0, dtype=np.float32)  # scores of met nodes that were not expanded
         todo[:, start] = score[:, start]
-        live = np.arange(len(q))
+        live, near_by = np.arange(len(q)), (score >= radius).sum(1)
         while len(live):
             width, beam = min(WIDTH, n), min(BEAM, n)
             best = np.argpartition(-todo[live], width - 1, axis=1)[:, :width]
@@ -150,8 +155,12 @@ def range_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ra
             a, b = pair // n, pair % n
             new = score[a, b] < -2
             a, b = a[new], b[new]
-            score[a, b] = todo[a, b] = np.einsum("ij,ij->i", q[a], vectors[b])
+            score[a, b] = todo[a, b] = likeness = np.einsum("ij,ij->i", q[a], vectors[b])
+            near_by += np.bincount(a[likeness >= radius], minlength=len(q))
             live = np.unique(who)
+            dense = live[near_by[live] * DENSE > n]
+            score[dense] = q[dense] @ vectors.T
+            live = live[near_by[live] * DENSE <= n]
         row, column = np.nonzero(score >= radius)
         found[0].append(row + first), found[1].append(column)
     return np.concatenate(found[0]) if found[0] else np.zeros(0, np.int64), np.concatenate(found[1]) if found[1] else np.zeros(0, np.int64)
@@ -335,9 +344,7 @@ def _named(vectors: DataFrame, nodes: DataFrame, id_col: str, vector_col: str, t
     links, _ = write_out(near_links(nodes.select(F.col("node").alias("rep"), "copies", "vector"), threshold, wide), "vector-links")
     near = links.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n"))
     joined = connected_components(links.where("rep <> other").select("rep", "other"), "vector-components")
-    named = nodes.join(near, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    named = least_of_component(nodes, joined, "rep", "component_id").join(near, "node", "left").select("vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id_"), F.expr(f"if({_valid(f'`{vector_col}`')}, `{vector_col}`, null)").alias("vector"))
     linked = rows.where("vector is not null").join(named, "vector").select("id_", "n_links", "component_id")
     alone = rows.where("vector is null").select("id_", F.lit(0).cast("long").alias("n_links"), F.col("id_").alias("component_id"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deltaloom.llm._shared import documents, fold_case, mix, small_batches, text_chunks, write_out
-from deltaloom.llm.components import connected_components
+from deltaloom.llm.components import connected_components, least_of_component
 
 DISTANCE = 3
 SHINGLE = 3
@@ -252,9 +252,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits: in
     classes = marked.groupBy("fingerprint").agg(F.min(id_col).alias("rep"))
     classes, _ = write_out(classes.withColumn("node", F.monotonically_increasing_id()), "simhash-classes")  # numbers are fixed once written
     joined = connected_components(link(classes), "simhash-components")
-    named = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return marked.join(named.join(least, "component").select("fingerprint", "component_id"), "fingerprint").select(id_col, "fingerprint", "component_id", *carry)
+    named = least_of_component(classes, joined, "rep", "component_id")
+    return marked.join(named.select("fingerprint", "component_id"), "fingerprint").select(id_col, "fingerprint", "component_id", *carry)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, carry: tuple[str, ...] = ()) -> DataFrame:
