@@ -51,12 +51,15 @@ def share(spark: SparkSession, value):
 
 
 def share_bits(spark: SparkSession, bits: np.ndarray):
-    """Broadcast a bitmap as raw bytes, which workers view without a copy."""
-    return spark.sparkContext.broadcast(bits.tobytes())
+    """Broadcast a bitmap; the driver, which never reads it, keeps no copy once it is written out."""
+    shared = spark.sparkContext.broadcast(bits)
+    if hasattr(shared, "_value"):
+        del shared._value  # loaded again from its file if asked for
+    return shared
 
 
 def view_bits(shared) -> np.ndarray:
-    return np.frombuffer(shared.value, dtype=np.uint8)
+    return shared.value
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -243,9 +243,14 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     """Score every whole text of ``docs`` by what the texts of ``training`` hold.
 
     Returns id_col, n_tokens, n_known, train_tokens (long), base_score (add-one unigrams on exact counts) and score
-    (the model's log10 probability), a row for each input row, repeated rows included. Tokens are words with A-Z
-    folded and one end; null texts count as empty. Without training rows every token is unknown. Other
-    columns are not carried.
+    (the model's log10 probability). Tokens are words with A-Z folded and one end.
+
+    * Nulls: a null text counts as empty, a null id stays. An empty text has one token, its end.
+    * Very long texts are scored whole.
+    * Ties: of equally frequent words the smaller hash is broadcast, which changes no result.
+    * Repeated rows: a row for each input row; training counts each. Without training rows every token is
+      unknown; an empty table gives an empty result.
+    * Other columns are not carried, so their names cannot clash.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     texts = training.select(F.col(text_col).cast("string").alias("t"))
@@ -254,16 +259,15 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     total, kinds = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     end = mix(np.array([_END]) ^ _WORD_SALT).view(np.int64)[0]
     trained = words.where(F.col("hash") == int(end)).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    top = words.orderBy(F.desc("count"), "hash").limit(HOT).collect()
-    order = np.argsort(np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64))
-    hot = np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64)[order]
-    hot_logs = np.log10(np.array([r["count"] for r in top], dtype=np.float64)[order] + 1)
+    top = words.orderBy(F.desc("count"), "hash").limit(HOT).toArrow()
+    hot = top.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hot)
+    hot, hot_logs = hot[order], np.log10(top.column("count").to_numpy()[order].astype(np.float64) + 1)
     segments, path, size = filter_segments(counts)
     whole = SEGMENTS + size <= BROADCAST_BITS
     shared, shared_bits = share(spark, (hot, hot_logs)), share_bits(spark, gathered(segments, size)) if whole else None  # HOT words, and 128 MB
     if whole:
         remove(spark, path)
-    del top
     room = float(total + kinds + 1)
 
     def logs(find: CountFilter, unique: np.ndarray, word: np.ndarray, tokens: np.ndarray, before: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:

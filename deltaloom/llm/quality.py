@@ -13,10 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltaloom.llm._shared import SpanHasher, documents, fold_case, share, text_chunks, training_part, word_spans
+from deltaloom.llm._shared import SpanHasher, documents, fold_case, share, small_batches, text_chunks, training_part, word_spans
 
-#: Bound of the training sample: labelled rows, those with the smallest crc32 of the id.
-SAMPLE_DOCS = 4000
+#: Bounds of the training sample: labelled rows, those with the smallest crc32 of the id, and whole texts until so many
+#: characters are reached.
+SAMPLE_DOCS, SAMPLE_CHARS = 4000, 32_000_000
 BITS = 17
 RANK = 8
 BUCKETS = 8
@@ -140,14 +141,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("y_"))
     top = min(2**32, int(1.2 * (bound + 50) / max(known.count(), 1) * 2**32))
     rows = docs.where(order < top).select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t_")).join(known.where(order < top), id_col)
-    found = sorted(rows.select(order.alias("o"), F.col(id_col).alias("i"), "t_", "y_").collect(), key=lambda r: (r.o, r.i, r.y_))[:bound]
+    rows = rows.select(order.alias("o"), F.col(id_col).alias("i"), "t_", "y_", F.length("t_").alias("n"))
+    by_rank = lambda r: (r.o, r.i, r.n, r.y_)
+    few = sorted(rows.drop("t_").collect(), key=by_rank)[:bound]
+    keep = max(1, int(np.searchsorted(np.cumsum([r.n for r in few]), SAMPLE_CHARS, side="right"))) if few else 0
+    found = sorted(rows.where(F.col("o") <= few[keep - 1].o).collect(), key=by_rank)[:keep] if keep else []
     return fit_texts([r.t_ for r in found], [r.y_ for r in found])
 
 
 def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_col, score double): likelihood of label 1 of every whole text, null and empty texts included.
+    """Rows (id_col, score double): likelihood of label 1 of every whole text.
 
-    A row for each input row; other columns are not carried.
+    * Nulls and empty texts are scored like any other, a null text as an empty one; a null id stays.
+    * Very long texts are scored whole. Ties: equal texts have equal scores, and a score of the threshold counts as label 1.
+    * Repeated rows: a row for each input row. An empty table gives an empty result.
+    * Other columns are not carried, so their names cannot clash.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = share(docs.sparkSession, machine)  # of fixed size
@@ -163,6 +171,7 @@ def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; those whose crc32 modulo 5 is 0 are held out."""
+    small_batches(spark)
     held = training_part(F.col("doc_id"), 5) == 0
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(~held)
     found = classify(documents(spark, sf_dir), train(documents(spark, sf_dir), labels))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltaloom.llm._shared import SpanHasher, documents, fold_case, keyed_texts, text_chunks, word_spans
+from deltaloom.llm._shared import SpanHasher, documents, fold_case, keyed_texts, small_batches, text_chunks, word_spans
 
 #: The patterns, in the order in which spans of equal start are listed.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -24,8 +24,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "crf")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Bound of the training sample: so many documents at most, those with the smallest crc32 of the id.
-SAMPLE_DOCS = 2000
+#: Bounds of the training sample: so many documents at most, those with the smallest crc32 of the id, and whole documents
+#: until so many characters are reached.
+SAMPLE_DOCS, SAMPLE_CHARS = 2000, 16_000_000
 #: Features met less often in training carry no weight.
 LEAST_SEEN = 5
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
@@ -257,15 +258,17 @@ def train(texts: list[str]) -> Field:
     return field
 
 
-def sample_texts(docs: DataFrame, id_col: str, text_col: str, bound: int = SAMPLE_DOCS) -> list[str]:
-    """Whole texts of at most ``bound`` documents, those with the smallest crc32 of the id (ties by id)."""
+def sample_texts(docs: DataFrame, id_col: str, text_col: str, bound: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[str]:
+    """Whole texts of at most ``bound`` documents, those with the smallest crc32 of the id (ties by id), until ``chars`` are reached."""
     order = F.crc32(F.col(id_col).cast("string").cast("binary"))
-    few = docs.where(F.col(text_col).isNotNull()).select(order.alias("o"), F.col(id_col).alias("i")).orderBy("o", "i").limit(bound)
-    top = few.agg(F.max("o")).first()[0]
-    if top is None:
+    texts = docs.where(F.col(text_col).isNotNull())
+    few = texts.select(order.alias("o"), F.col(id_col).alias("i"), F.length(F.col(text_col).cast("string")).alias("n")).orderBy("o", "i", "n").limit(bound).collect()
+    held = np.cumsum([row.n for row in few])
+    keep = max(1, int(np.searchsorted(held, chars, side="right"))) if few else 0
+    if not keep:
         return []
-    rows = docs.where(F.col(text_col).isNotNull() & (order <= top)).select(order.alias("o"), F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
-    return [row.t for row in rows.orderBy("o", "i").limit(bound).select("t").collect()]
+    rows = texts.where(order <= few[keep - 1].o).select(order.alias("o"), F.col(id_col).alias("i"), F.length(F.col(text_col).cast("string")).alias("n"), F.col(text_col).cast("string").alias("t"))
+    return [row.t for row in rows.orderBy("o", "i", "n").limit(keep).select("t").collect()]
 
 
 def _joined(spans: list) -> str:
@@ -276,10 +279,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
     """Secrets of every whole text.
 
     Returns id_col, n_assign, n_access, n_hex, n_crf (long), base_spans and spans (string: kind:start:end by start, then
-    kind; code points, end exclusive), a row for each input row. ``spans`` holds every base span and those
-    of the field that touch none. Null and empty texts have no spans. Other columns are not carried; with
+    kind; code points, end exclusive). ``spans`` holds every base span and those of the field that touch none. With
     ``carry`` the first column is not the id but ``row``, a struct of the whole input row. Without ``field`` one is
-    trained on a sample of ``docs`` (SAMPLE_DOCS documents at most).
+    trained on a sample of ``docs`` (SAMPLE_DOCS documents and SAMPLE_CHARS characters at most).
+
+    * Nulls and empty texts have no spans; a null id stays. Very long texts and lines are scanned whole.
+    * Ties: of equally good taggings Viterbi takes the one with more tokens outside; spans of one start are listed by kind.
+    * Repeated rows: a row for each input row. An empty table gives an empty result.
+    * Other columns are not carried but in ``row``, so their names cannot clash.
     """
     field = field or train(sample_texts(docs, id_col, text_col))
     source, head = keyed_texts(docs, id_col, text_col, carry)
@@ -341,5 +348,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fiel
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, with the digest of the base spans."""
+    small_batches(spark)
     found = scan(documents(spark, sf_dir))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_crf")

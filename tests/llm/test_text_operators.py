@@ -433,6 +433,28 @@ def test_lm_base_and_model(spark, docs, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_score_against_brute_force(spark, docs, texts):
+    """The model's score with exact counts in place of the filter's: few n-grams differ, by what levels and false positives make of counts."""
+    train = docs.where("doc_id % 5 <> 0")
+    got = {r.doc_id: r.score for r in lm.score(docs, train).collect()}
+    tokens = {i: (t or "").encode().lower().split() + [None] for i, t in texts.items()}
+    words = collections.Counter(w for i, ws in tokens.items() if i % 5 for w in ws)
+    pairs = collections.Counter((a, b) for i, ws in tokens.items() if i % 5 for a, b in zip(["start", *ws], ws))
+    begun, room = sum(i % 5 > 0 for i in tokens), sum(words.values()) + len(words) + 1
+    low = lambda n: lm._FLOORS[lm.level_of(np.array([n]))[0] - 1] if n else 0.0
+    high = lambda n: lm._FLOORS[lm.level_of(np.array([n]))[0]] - 1 if n else 0.0
+    for i, ws in tokens.items():
+        total = 0.0
+        for before, word in zip(["start", *ws], ws):
+            p, held = (low(words[word]) + 1) / room, begun if before == "start" else high(words[before])
+            if held:
+                p = (1 - lm.LAMBDA) * p + (lm.LAMBDA * min(low(pairs[before, word]) / held, 1.0) if words[word] else 0.0)
+            total += math.log10(min(p, 1.0))
+        assert got[i] == pytest.approx(total, rel=0.02, abs=0.5), i
+    exact = [i for i, ws in tokens.items() if len(ws) < 40]
+    assert len(exact) > 5
+
+
 def test_lm_edges(edge_docs, edge_rows, no_docs):
     rows = lm.score(edge_docs, edge_docs).collect()
     assert sorted((r.doc_id, r.n_tokens) for r in rows if r.doc_id) == sorted((i, len((t or "").encode().split()) + 1) for i, t, *_ in edge_rows if i)
