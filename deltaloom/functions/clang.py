@@ -6,6 +6,7 @@ numbers are those of the original. Arrow UDFs return arrays of structs that quer
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pandas as pd
@@ -16,6 +17,7 @@ _TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n]
 _DIRECTIVE = re.compile(r"^[ \t]*#(?:\\\n|[^\n])*", re.M)
 _HEAD = re.compile(r"([A-Za-z_][\w\s\*]*?[\s\*])([A-Za-z_]\w*)\s*\(([^;{}]*)\)\s*\{")
 _CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
+#: Words of the C language.
 _NOT_CALLS = frozenset("if for while switch return sizeof do else case".split())
 _ASSIGN = re.compile(r"(?P<left>\**[A-Za-z_][\w\.\[\]>\-\*]*)\s*(?P<op>\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<=|>>=|=(?!=))\s*(?P<right>[^;]+);")
 _DECLARE = re.compile(r"^\s*(?:const\s+|static\s+|volatile\s+|register\s+|unsigned\s+|signed\s+|struct\s+)*[A-Za-z_]\w*(?:\s*\*+\s*|\s+)([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\s*(?:=\s*([^;]*))?;", re.M)
@@ -52,15 +54,76 @@ def mask_dead(code: str) -> str:
 
 def closing(code: str, at: int, pair: str = "{}") -> int:
     """Offset of the bracket that closes the one at ``at``; -1 without one."""
-    depth = 0
-    for k in range(at, len(code)):
-        if code[k] == pair[0]:
-            depth += 1
-        elif code[k] == pair[1]:
-            depth -= 1
-            if not depth:
-                return k
-    return -1
+    depth, k, (opens, shuts) = 1, at + 1, pair
+    while depth:  # from one closing bracket to the next, counting those that open between
+        end = code.find(shuts, k)
+        if end < 0:
+            return -1
+        depth += code.count(opens, k, end) - 1
+        k = end + 1
+    return k - 1
+
+
+def joined_lines(code: str) -> str:
+    """Lines that end in a backslash joined with the next one; as many empty lines follow, so later lines keep their numbers."""
+    return re.sub(r"(?:[^\n]*\\\n)+[^\n]*", lambda m: re.sub(r"\\\n", " ", m[0]) + "\n" * m[0].count("\\\n"), code or "")
+
+
+def comments(code: str) -> list[dict]:
+    """Comments by line: runs with only blanks between them are one; what they say, their last line, the next line of code (-1: none).
+
+    Comments beside code on their line belong to that line and are left out.
+    """
+    plain, found = mask(code), []
+    starts = [0, *(m.end() for m in re.finditer("\n", plain))]
+    filled = [n for n, row in enumerate(plain.split("\n"), 1) if row.strip()]
+    for m in _TOKEN.finditer(code or ""):
+        if m[0][0] != "/":
+            continue
+        first, last = (bisect.bisect_right(starts, at) for at in (m.start(), m.end() - 1))
+        if plain[starts[first - 1] : m.start()].strip() or plain[m.end() :].split("\n", 1)[0].strip():
+            continue
+        body = re.sub(r"(?m)^/[/*]+[ \t]?|^[ \t]*\*(?!/)[ \t]?|[ \t]*\*+/$", "", m[0]).strip()
+        after = bisect.bisect_right(filled, last)
+        nearest = filled[after] if after < len(filled) else -1
+        if found and found[-1]["next_line"] == nearest:
+            found[-1] |= {"end_line": last, "text": f"{found[-1]['text']}\n{body}"}
+        else:
+            found.append({"end_line": last, "text": body, "next_line": nearest})
+    return found
+
+
+def header_symbols(code: str) -> list[dict]:
+    """What a header names: macros with their values, enumerators, typedefs with what they stand for, variables, prototypes."""
+    whole = joined_lines(code)
+    plain, rows = mask(whole), []
+
+    def add(ident, kind, value, at):
+        rows.append({"ord": len(rows), "ident": ident, "kind": kind, "value": " ".join(value.split()), "line": plain.count("\n", 0, at) + 1})
+
+    for m in re.finditer(r"^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*)(\([^)\n]*\))?[ \t]*([^\n]*)", plain, re.M):
+        add(m[1], "macro_function" if m[2] else "macro", m[3], m.start(1))
+    bare = _DIRECTIVE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), plain)
+    for m in re.finditer(r"\benum\b[^;{]*\{", bare):
+        end = closing(bare, m.end() - 1)
+        at = m.end()
+        for part in bare[m.end() : max(end, m.end())].split(","):
+            if name := re.match(r"\s*([A-Za-z_]\w*)\s*(?:=\s*(.*))?", part, re.S):
+                add(name[1], "enumerator", name[2] or "", at + name.start(1))
+            at += len(part) + 1
+    for m in re.finditer(r"\btypedef\b([^;{}]*?)\b([A-Za-z_]\w*)\s*;", bare):
+        add(m[2], "typedef", m[1], m.start(2))
+    for m in re.finditer(r"\b(?:typedef\s+)?(struct|union|enum)\b[^;{(]*\{", bare):
+        end = closing(bare, m.end() - 1)
+        alias = re.compile(r"\s*([A-Za-z_]\w*)\s*;").match(bare, end + 1) if end >= 0 and m[0].startswith("typedef") else None
+        if alias:
+            add(alias[1], "typedef", m[1], alias.start(1))
+    for m in re.finditer(r"^[ \t]*extern\b([^;(){}]*?)\b([A-Za-z_]\w*)\s*((?:\[[^\]]*\])*)\s*;", bare, re.M):
+        add(m[2], "variable", m[1].strip() + m[3], m.start(2))
+    for m in re.finditer(r"^[ \t]*((?:[A-Za-z_]\w*[\s\*]+)+)([A-Za-z_]\w*)\s*\(([^;{}]*)\)\s*;", bare, re.M):
+        if m[1].split()[0] not in _KEYWORDS:
+            add(m[2], "prototype", f"{m[1]}({m[3]})", m.start(2))
+    return rows
 
 
 def split_top(text: str, at: str = ",") -> list[str]:
@@ -283,6 +346,8 @@ locals_udf = _udf(local_variables, _rows(ord=int, name=str, value=str, line=int)
 blocks_udf = _udf(control_blocks, _rows(ord=int, kind=str, condition=str, parent=int, depth=int, line_start=int, line_end=int))
 includes_udf = _udf(includes, T.ArrayType(T.StringType()))
 members_udf = _udf(struct_members, _rows(ord=int, struct=str, member=str, type=str))
+comments_udf = _udf(comments, _rows(end_line=int, text=str, next_line=int))
+symbols_udf = _udf(header_symbols, _rows(ord=int, ident=str, kind=str, value=str, line=int))
 nodes_udf = _udf(expression_nodes, _rows(node=int, parent=int, position=int, kind=str, text=str))
 
 

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from deltaloom.functions import similarity, text
+from deltaloom.operators.code import function_table
+from deltaloom.plans.session import materialise
 
 ADDED, DELETED, MODIFIED = "added", "deleted", "modified"
 
@@ -112,20 +114,21 @@ def function_changes(old: DataFrame, new: DataFrame, most_rows: int = 100_000) -
     return old.groupBy("rel_path").cogroup(new.groupBy("rel_path")).applyInPandas(align, schema)
 
 
-def code_changes(old_files: DataFrame, new_files: DataFrame, old_functions: DataFrame, new_functions: DataFrame) -> DataFrame:
-    """Change rows (rel_path, change_kind, function_name, old_text, new_text) of two source trees.
+def code_changes(old_files: DataFrame, new_files: DataFrame) -> DataFrame:
+    """Change rows (rel_path, change_kind, function_name, old_text, new_text) of two source trees (rel_path, content).
 
     C files that exist on both sides give their functions' changes, or one file_global_changed if the functions agree; a
-    changed header is one header_changed; files on one side are new_file or deleted_file.
+    changed header is one header_changed; files on one side are new_file or deleted_file. Only files that
+    differ on both sides are parsed.
     """
-    files = file_changes(old_files, new_files)
+    files = materialise(file_changes(old_files, new_files), "file-changes")
     header = F.lower("rel_path").rlike(r"\.(h|hpp)$")
     by_file = F.when(F.col("change") == ADDED, "new_file").when(F.col("change") == DELETED, "deleted_file").when(header, "header_changed")
     whole = files.withColumn("change_kind", by_file)
     plain = whole.where("change_kind is not null").select("rel_path", "change_kind", F.lit("").alias("function_name"), "old_text", "new_text")
     both = whole.where("change_kind is null").select("rel_path", "old_text", "new_text")
-    keep = both.select("rel_path")
-    inner = function_changes(old_functions.join(keep, "rel_path", "left_semi"), new_functions.join(keep, "rel_path", "left_semi"))
+    sides = (function_table(both.select("rel_path", F.col(text_col).alias("content"))) for text_col in ("old_text", "new_text"))
+    inner = materialise(function_changes(*sides), "function-changes")
     rows = inner.select("rel_path", "change_kind", F.coalesce("new_name", "old_name").alias("function_name"), F.col("old_body").alias("old_text"), F.col("new_body").alias("new_text"))
     rest = both.join(rows.select("rel_path"), "rel_path", "left_anti").select("rel_path", F.lit("file_global_changed").alias("change_kind"), F.lit("").alias("function_name"), "old_text", "new_text")
     return plain.unionByName(rows).unionByName(rest)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deltaloom.functions import clang
+from deltaloom.plans.session import materialise
 
 
 def function_table(files: DataFrame, dead_code: bool = False) -> DataFrame:
@@ -99,14 +100,30 @@ def symbol_comments(files: DataFrame) -> DataFrame:
     return named.select("rel_path", (F.col("line") + 1).alias("line"), ident.alias("ident"), "comment", F.when(macro != "", "macro").otherwise("symbol").alias("kind")).where("ident <> '' and comment <> ''")
 
 
-def preceding_comments(functions: DataFrame, comments: DataFrame, most_lines: int = 120) -> DataFrame:
-    """The nearest comment that ends before each function with nothing but blanks and comments between.
+def header_symbols(files: DataFrame) -> DataFrame:
+    """What files name (rel_path, ord, ident, kind, value, line): macros, enumerators, typedefs, variables, prototypes."""
+    return files.select("rel_path", F.inline(clang.symbols_udf("content")))
 
-    ``comments``: (rel_path, end_line, text, gap_code boolean: whether code follows before the next function).
-    """
-    met = functions.select("rel_path", "name", "ord", "line_start").join(comments, "rel_path")
-    near = met.where((F.col("end_line") < F.col("line_start")) & (F.col("line_start") - F.col("end_line") <= most_lines) & ~F.col("gap_code"))
-    return near.groupBy("rel_path", "name", "ord").agg(F.max_by("text", "end_line").alias("comment"))
+
+def typedef_bases(typedefs: DataFrame, most_steps: int = 16) -> DataFrame:
+    """Rows (ident, base) of typedefs (ident, value): the type at the end of each chain; a chain that runs in a circle ends at its start."""
+    step = typedefs.groupBy(F.col("ident").alias("from_")).agg(F.min("value").alias("to_"))
+    out = step.select(F.col("from_").alias("ident"), F.col("to_").alias("base"))
+    for _ in range(most_steps.bit_length()):  # a step follows twice as many links as the one before
+        jump = out.select(F.col("ident").alias("from_"), F.col("base").alias("to_"))
+        out = materialise(out.join(jump, (out.base == jump.from_) & (out.base != out.ident), "left").select("ident", F.coalesce("to_", "base").alias("base")), "typedefs")
+    return out.join(step, F.col("base") == F.col("from_"), "left").select("ident", F.when(F.col("from_").isNotNull(), F.col("ident")).otherwise(F.col("base")).alias("base"))
+
+
+def comment_table(files: DataFrame) -> DataFrame:
+    """Comments of files (rel_path, end_line, text, next_line): runs with only blanks between are one; next_line is where code follows."""
+    return files.select("rel_path", F.inline(clang.comments_udf("content")))
+
+
+def preceding_comments(functions: DataFrame, comments: DataFrame) -> DataFrame:
+    """The comment of comment_table that stands before each function with nothing but blanks between: an equi-join on the line."""
+    met = functions.select("rel_path", "name", "ord", F.col("line_start").alias("next_line")).join(comments, ["rel_path", "next_line"])
+    return met.select("rel_path", "name", "ord", F.col("text").alias("comment"))
 
 
 def comment_fields(comments: DataFrame, key: str = "name", body: str = "text") -> DataFrame:

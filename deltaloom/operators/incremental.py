@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deltaloom.functions import text
@@ -86,27 +88,46 @@ def update_state(state: DataFrame, current: DataFrame, keys: list[str]) -> DataF
     return both.select(*keys, *[F.col(f"c.{v}").alias(v) for v in values], F.when(F.col("before").isNull(), 1).when(same, F.col("version")).otherwise(F.col("version") + 1).cast("int").alias("version"))
 
 
-def write_state(state: DataFrame, folder: str) -> str:
-    """Write a new version of the state beside the old ones and return its path; readers take the largest number."""
-    spark = state.sparkSession
+#: Hours after which what an interrupted write left behind is deleted.
+STALE_HOURS = 24
+
+
+def _folder(spark, folder: str):
+    """(path factory, file system, names below ``folder`` with their age in hours)."""
     jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(base)
-    done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(base) if s.getPath().getName().startswith("v=")]
-    path = f"{folder}/v={max(done, default=0) + 1}"
-    state.write.parquet(f"{path}.tmp")
-    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{path}.tmp"), jvm.org.apache.hadoop.fs.Path(path))
-    return path
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    now = jvm.java.lang.System.currentTimeMillis()
+    held = {s.getPath().getName(): (now - s.getModificationTime()) / 3_600_000 for s in fs.listStatus(path(folder))} if fs.exists(path(folder)) else {}
+    return path, fs, held
+
+
+def _versions(names) -> list[int]:
+    return [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()]
+
+
+def write_state(state: DataFrame, folder: str) -> str:
+    """Write a new version of the state beside the old ones and return its path; readers take the largest number.
+
+    A version appears by one rename, so an interrupted write leaves only a folder that no reader looks at, and later writes
+    delete it when it is STALE_HOURS old. If another writer took the number meanwhile, the next one is taken.
+    """
+    path, fs, held = _folder(state.sparkSession, folder)
+    fs.mkdirs(path(folder))
+    for name, age in held.items():
+        if name.startswith("_tmp-") and age > STALE_HOURS:
+            fs.delete(path(f"{folder}/{name}"), True)
+    made = f"{folder}/_tmp-{uuid.uuid4().hex}"
+    state.write.parquet(made)
+    while True:
+        target = f"{folder}/v={max(_versions(_folder(state.sparkSession, folder)[2]), default=0) + 1}"
+        if not fs.exists(path(target)) and fs.rename(path(made), path(target)):
+            return target
 
 
 def read_state(spark, folder: str) -> DataFrame | None:
     """The latest version written by write_state; None if there is none."""
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(base):
-        return None
-    done = [int(n[2:]) for n in (s.getPath().getName() for s in fs.listStatus(base)) if n.startswith("v=") and n[2:].isdigit()]
+    done = _versions(_folder(spark, folder)[2])
     return spark.read.parquet(f"{folder}/v={max(done)}") if done else None
 
 

@@ -9,23 +9,30 @@ from deltaloom.plans.code import project
 from deltaloom.plans.registry import query, table
 from deltaloom.sources import readers
 
-_OLD = "WHERE p_partkey % 17 <> 5"
 
-
-@query(f"SELECT kind, sum(k)::bigint AS n FROM part, (VALUES ('assignment', 4), ('if', 1), ('else', 1), ('call', 1), ('end_block', 2), ('return', 1)) t(kind, k) {_OLD} GROUP BY kind")
+@query("SELECT kind, sum(k)::bigint AS n FROM part, (VALUES ('assignment', 4), ('if', 1), ('else', 1), ('call', 1), ('end_block', 2), ('return', 1)) t(kind, k) GROUP BY kind")
 def logic_steps(spark, sf_dir):
     return facts.step_table(code_ops.function_table(project(spark, sf_dir))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT 'local_value' AS symbol, pattern, count(*) AS n FROM part, (VALUES ('pointer_write'), ('return_flow')) t(pattern) {_OLD} GROUP BY pattern")
+@query("SELECT 'local_value' AS symbol, pattern, count(*) AS n FROM part, (VALUES ('pointer_write'), ('return_flow')) t(pattern) GROUP BY pattern")
 def symbol_sinks(spark, sf_dir):
     functions = code_ops.function_table(project(spark, sf_dir))
-    lines = functions.select(F.col("rel_path").alias("key"), F.posexplode(F.split("body", "\n")).alias("ord", "text"))
+    steps = facts.step_table(functions).withColumnRenamed("rel_path", "key")
     symbols = functions.select(F.col("rel_path").alias("key"), F.lit("local_value").alias("symbol"))
-    return facts.sink_patterns(lines, symbols).groupBy("symbol", "pattern").agg(F.count("*").alias("n"))
+    return facts.sink_patterns(steps, symbols).groupBy("symbol", "pattern").agg(F.count("*").alias("n"))
+
+
+@query("SELECT symbol, role, count(*) AS n FROM part, (VALUES ('local_value', 'output_value'), ('local_value', 'return_value'), ('local_value', 'counter_value'), ('g_total', 'counter_value')) t(symbol, role) GROUP BY ALL")
+def symbol_roles(spark, sf_dir):
+    """Data-flow roles of two integers of every function."""
+    functions = code_ops.function_table(project(spark, sf_dir))
+    steps = facts.step_table(functions).withColumnRenamed("rel_path", "key")
+    symbols = functions.select(F.col("rel_path").alias("key"), F.explode(F.array(F.lit("local_value"), F.lit("g_total"))).alias("symbol"), F.lit("int").alias("type"))
+    return facts.dataflow_roles(facts.symbol_evidence(steps, symbols)).groupBy("symbol", "role").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT concat('u', p_partkey, '.c') AS file_path, CASE WHEN p_partkey % 3 = 0 THEN concat('F', p_partkey) WHEN p_partkey % 3 = 1 THEN concat('f', p_partkey) ELSE 'nowhere' END AS func_name, CASE p_partkey % 3 WHEN 0 THEN 'case' WHEN 1 THEN 'exact' ELSE 'missing' END AS match FROM part {_OLD}")
+@query("SELECT concat('u', p_partkey, '.c') AS file_path, CASE WHEN p_partkey % 3 = 0 THEN concat('F', p_partkey) WHEN p_partkey % 3 = 1 THEN concat('f', p_partkey) ELSE 'nowhere' END AS func_name, CASE p_partkey % 3 WHEN 0 THEN 'case' WHEN 1 THEN 'exact' ELSE 'missing' END AS match FROM part")
 def retry_tasks(spark, sf_dir):
     functions = code_ops.function_table(project(spark, sf_dir)).select("rel_path", "name", "ord")
     k = F.regexp_extract("rel_path", r"(\d+)", 1)
@@ -44,13 +51,13 @@ def fallback_lookup(spark, sf_dir):
     return facts.lookup(rows.select("ask_id", "cust", "prio"), records, [["cust", "prio"], ["cust"]])
 
 
-@query("""WITH f AS (SELECT n_regionkey AS module, concat('n', n_nationkey) AS name, n_name AS summary FROM nation WHERE n_nationkey % 4 <> 1), c AS (SELECT r_regionkey AS module, concat('n', n_nationkey) AS callee, n_nationkey AS ord FROM region, nation),
+@query("""WITH f AS (SELECT n_regionkey AS module, concat('n', n_nationkey) AS name, n_name AS summary FROM nation WHERE length(n_name) % 3 <> 1), c AS (SELECT r_regionkey AS module, concat('n', n_nationkey) AS callee, n_nationkey AS ord FROM region, nation),
 k AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY ord, callee) AS rank FROM c), o AS (SELECT module, name AS callee, min(summary) AS own FROM f GROUP BY 1, 2), u AS (SELECT name AS callee, min(summary) AS only_ FROM f GROUP BY 1 HAVING count(*) = 1)
 SELECT module, callee, coalesce(own, only_, concat('calls ', callee)) AS summary, CASE WHEN own IS NOT NULL THEN 'module' WHEN only_ IS NOT NULL THEN 'project' ELSE 'stub' END AS source FROM k LEFT JOIN o USING (module, callee) LEFT JOIN u USING (callee) WHERE rank <= 6""")
 def callee_summaries(spark, sf_dir):
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     name = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
-    known = nation.where("n_nationkey % 4 <> 1").select(F.col("n_regionkey").alias("module"), name.alias("name"), F.col("n_name").alias("summary"))
+    known = nation.where("length(n_name) % 3 <> 1").select(F.col("n_regionkey").alias("module"), name.alias("name"), F.col("n_name").alias("summary"))
     calls = nation.select(name.alias("callee"), F.col("n_nationkey").alias("ord"), F.explode(F.array(*[F.lit(k) for k in range(5)])).alias("module")).join(region.select(F.col("r_regionkey").alias("module")), "module").withColumn("caller", F.lit("main"))
     return facts.callee_summaries(known, calls).select("module", "callee", "summary", "source")
 
@@ -125,11 +132,11 @@ def merged_impacts(spark, sf_dir):
     return planner.merge_impacts(rows).select("rel_path", F.array_join("headers", ",").alias("headers"), "status")
 
 
-@query("""WITH o AS (SELECT c_mktsegment AS ident, concat('n', c_nationkey) AS cn, 0.75::double AS confidence FROM customer WHERE c_custkey < 20), n AS (SELECT c_mktsegment, concat('c', c_custkey), c_acctbal / 10000 FROM customer WHERE c_acctbal / 10000 >= 0.72 AND c_nationkey % 5 >= 2),
+@query("""WITH o AS (SELECT c_mktsegment AS ident, concat('n', c_nationkey) AS cn, 0.75::double AS confidence FROM customer WHERE c_acctbal < 0), n AS (SELECT c_mktsegment, concat('c', c_custkey), c_acctbal / 10000 FROM customer WHERE c_acctbal / 10000 >= 0.72 AND c_nationkey % 5 >= 2),
 b AS (SELECT *, 0 AS k FROM o UNION ALL SELECT *, 1 FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY ident ORDER BY confidence DESC, k, cn) AS rank FROM b) SELECT ident, cn, confidence FROM r WHERE rank = 1""")
 def memory_admission(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
-    old = customer.where("c_custkey < 20").select(F.col("c_mktsegment").alias("ident"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("cn"), F.lit(0.75).alias("confidence"), F.lit(2).alias("n_kinds"))
+    old = customer.where("c_acctbal < 0").select(F.col("c_mktsegment").alias("ident"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("cn"), F.lit(0.75).alias("confidence"), F.lit(2).alias("n_kinds"))
     new = customer.select(F.col("c_mktsegment").alias("ident"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("cn"), (F.col("c_acctbal") / 10000).alias("confidence"), (F.col("c_nationkey") % 5).alias("n_kinds"))
     return terms.admit(old, new).select("ident", "cn", "confidence")
 

@@ -76,15 +76,15 @@ def include_closure(spark, sf_dir):
     return graph.reach(nodes, steps).select("root", "node")
 
 
-@query("""WITH e AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey), k AS (SELECT c FROM (SELECT DISTINCT c FROM e) ORDER BY c LIMIT 100)
-SELECT concat('c', c) AS source, concat('p', p) AS target FROM e WHERE c IN (SELECT c FROM k)""")
+@query(f"""WITH {_EDGES}, n AS (SELECT node, min(rank) AS rank FROM (SELECT caller AS node, CASE left(caller, 1) WHEN 'r' THEN 0 WHEN 'n' THEN 1 ELSE 2 END AS rank FROM edges UNION ALL SELECT callee, CASE left(callee, 1) WHEN 'n' THEN 1 WHEN 'c' THEN 2 ELSE 3 END FROM edges) GROUP BY node),
+k AS (SELECT node FROM n ORDER BY rank, node LIMIT 200) SELECT DISTINCT caller AS source, callee AS target FROM edges WHERE caller IN (SELECT node FROM k) AND callee IN (SELECT node FROM k)""")
 def graph_overview(spark, sf_dir):
-    """Edges of the first 100 customers to the parts they bought (a capped overview)."""
-    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    bought = orders.select("o_orderkey", "o_custkey").join(items.select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").distinct()
-    nodes = bought.select("o_custkey").distinct().orderBy("o_custkey").limit(100)
-    kept = bought.join(nodes, "o_custkey", "left_semi")
-    return kept.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"))
+    """The first 200 nodes of the hierarchy, from the top, and the edges among them (a capped overview)."""
+    edges = hierarchy(spark, sf_dir)
+    level = F.instr(F.lit("rnco"), F.substring("node", 1, 1)) - 1
+    nodes = edges.select(F.col("caller").alias("node")).union(edges.select("callee")).select("node", level.alias("ord"))
+    _, inner = graph.overview(nodes, edges.select(F.col("caller").alias("source"), F.col("callee").alias("target"), F.lit("calls").alias("kind")), 200)
+    return inner.select("source", "target")
 
 
 @query("SELECT concat('n', n_nationkey) AS name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal < 0)")

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def shared_folder(spark) -> str:
-    """spark.checkpoint.dir; a folder of our own is set only where it is unset (tests, one machine)."""
+    """spark.checkpoint.dir; where it is unset, a folder of our own, on one machine only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="deltaloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

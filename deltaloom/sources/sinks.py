@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Characters of old and new text that a change list shows.
@@ -14,17 +16,38 @@ def preview(changes: DataFrame, old: str = "old_body", new: str = "new_body", mo
     return changes.withColumn("old_preview", cut(old)).withColumn("new_preview", cut(new)).drop(old, new)
 
 
+def _replace(df: DataFrame, path: str, write) -> None:
+    """Write to a folder beside ``path`` and put it in its place when it is whole; the old one stays as ``.bak``.
+
+    A job that fails leaves the old files as they were.
+    """
+    spark = df.sparkSession
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    path = path.rstrip("/")
+    fs = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    made, old = f"{path}._tmp-{uuid.uuid4().hex}", f"{path}.bak"
+    try:
+        write(df.write, made)
+    except Exception:
+        fs.delete(of(made), True)
+        raise
+    if fs.exists(of(path)):
+        fs.delete(of(old), True)
+        fs.rename(of(path), of(old))
+    fs.rename(of(made), of(path))
+
+
 def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines; the committer renames finished files only."""
-    df.write.mode("overwrite").json(path)
+    """JSON lines."""
+    _replace(df, path, lambda writer, to: writer.json(to))
 
 
 def write_parquet(df: DataFrame, path: str, *partitions: str) -> None:
-    df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
+    _replace(df, path, lambda writer, to: writer.partitionBy(*partitions).parquet(to))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    _replace(df, path, lambda writer, to: writer.option("header", True).csv(to))
 
 
 def ticket_template(spark: SparkSession, count: int, prefix: str = "") -> DataFrame:

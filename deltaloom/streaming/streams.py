@@ -34,16 +34,17 @@ def distinct_events(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def track_fingerprints(docs: DataFrame, folder: str, checkpoint: str, keys: list[str], body: str):
+def track_fingerprints(docs: DataFrame, folder: str, checkpoint: str, keys: list[str], body: str, order: str | None = None):
     """A query that keeps the latest fingerprint and a version of each key; unchanged keys keep their version.
 
     Each micro-batch reads the latest state, merges its rows and writes the next version; a batch that runs again writes
-    the same rows.
+    the same rows. Of a key that comes twice in a batch the row with the largest ``order`` counts, then the largest hash.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        now = batch.dropDuplicates(keys).select(*keys, text.short_hash(body).alias("hash"))
+        rank = F.struct(*([F.col(order)] if order else []), text.short_hash(body).alias("hash"))
+        now = batch.groupBy(*keys).agg(F.max(rank).alias("last")).select(*keys, "last.hash")
         state = incremental.read_state(spark, folder)
         if state is None:
             state = now.limit(0).withColumn("version", F.lit(0))

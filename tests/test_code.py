@@ -43,12 +43,52 @@ def test_alignment(spark):
     files = lambda text: spark.createDataFrame([("x.c", text)], "rel_path string, content string")
     old = files("int a(void) {\n  one();\n}\nint b(void) {\n  two();\n}\n")
     new = files("int a(void) {\n  one();\n}\nint b(void) {\n  three();\n}\nint c(void) {\n  four();\n}\n")
-    found = changes.code_changes(old, new, code.function_table(old), code.function_table(new))
+    found = changes.code_changes(old, new)
     assert sorted((r.change_kind, r.function_name) for r in found.collect()) == [("modified_function", "b"), ("new_function", "c")]
-    same = changes.code_changes(old, old, code.function_table(old), code.function_table(old))
+    same = changes.code_changes(old, old)
     assert same.count() == 0
     note = files("// note\nint a(void) {\n  one();\n}\nint b(void) {\n  two();\n}\n")
-    assert [r.change_kind for r in changes.code_changes(old, note, code.function_table(old), code.function_table(note)).collect()] == ["file_global_changed"]
+    assert [r.change_kind for r in changes.code_changes(old, note).collect()] == ["file_global_changed"]
+
+
+HEADER = """// top of file
+
+/* Speed
+ * of the motor */
+// in rpm
+#define SPEED(x) ((x) * \\
+    2)
+#define LIMIT 30 // most
+enum mode { OFF, ON = 2, LAST };
+typedef unsigned short u16_t;
+typedef struct { int a; } pair_t;
+extern u16_t g_speed[4];
+int run(int mode,
+        u16_t *out);
+"""
+
+
+def test_headers_and_comments(spark):
+    files = spark.createDataFrame([("a.h", HEADER), ("b.h", ""), ("c.h", None)], "rel_path string, content string")
+    got = {(r.ident, r.kind): (r.value, r.line) for r in code.header_symbols(files).collect()}
+    assert got == {
+        ("SPEED", "macro_function"): ("((x) * 2)", 6), ("LIMIT", "macro"): ("30", 8), ("OFF", "enumerator"): ("", 9), ("ON", "enumerator"): ("2", 9), ("LAST", "enumerator"): ("", 9),
+        ("u16_t", "typedef"): ("unsigned short", 10), ("pair_t", "typedef"): ("struct", 11), ("g_speed", "variable"): ("u16_t[4]", 12), ("run", "prototype"): ("int (int mode, u16_t *out)", 13),
+    }
+    notes = clang.comments(HEADER)
+    assert [(n["end_line"], n["next_line"]) for n in notes] == [(5, 6)] and notes[0]["text"] == "top of file\nSpeed\nof the motor\nin rpm"
+    assert clang.joined_lines("a \\\n b\nc") == "a   b\n\nc" and clang.comments("") == [] and clang.header_symbols(None) == []
+    chain = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "unsigned int"), ("X", "Y"), ("Y", "X")], "ident string, value string")
+    assert {r.ident: r.base for r in code.typedef_bases(chain).collect()} == {"A": "unsigned int", "B": "unsigned int", "C": "unsigned int", "X": "X", "Y": "Y"}
+
+
+def test_functions_by_comment_and_key(spark):
+    text = "/* one */\nint f(void) {\n}\n/* far */\nint g;\nint h(void) {\n}\nint f(void) {\n  x();\n}\n"
+    files = spark.createDataFrame([("a.c", text)], "rel_path string, content string")
+    functions = code.function_table(files)
+    assert {(r.name, r.ord): r.comment for r in code.preceding_comments(functions, code.comment_table(files)).collect()} == {("f", 0): "one"}
+    assert sorted(r.name_key for r in code.duplicate_names(functions).collect()) == ["f", "f#2", "h"]
+    assert spark.range(1).select(code.core_text(F.lit("int f() {\n a;\n}"))).first()[0] == " a;\n}"
 
 
 def test_comments_and_patterns(spark):

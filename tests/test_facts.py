@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from deltaloom.functions import steps
-from deltaloom.operators import facts
+from deltaloom.operators import code, facts
 
 BODY = """int f(int a, int *out) {
     int r = a + 1;
@@ -25,12 +25,22 @@ def test_steps():
 
 def test_flows(spark):
     lines = spark.createDataFrame([("f", k, t) for k, t in enumerate(BODY.split("\n"))], "key string, ord int, text string")
-    symbols = spark.createDataFrame([("f", "r"), ("f", "a")], "key string, symbol string")
-    sinks = facts.sink_patterns(lines, symbols)
-    assert {(r.symbol, r.pattern) for r in sinks.collect()} >= {("r", "pointer_write"), ("r", "member_write"), ("r", "state_member_write"), ("r", "return_flow"), ("r", "argument")}
+    symbols = spark.createDataFrame([("f", "r", "int"), ("f", "a", "int")], "key string, symbol string, type string")
+    functions = spark.createDataFrame([("f", "f", BODY)], "rel_path string, name string, body string")
+    made = facts.step_table(functions).withColumnRenamed("rel_path", "key")
+    sinks = facts.sink_patterns(made, symbols)
+    assert {(r.symbol, r.pattern) for r in sinks.collect()} == {("r", "pointer_write"), ("r", "member_write"), ("r", "state_member_write"), ("r", "return_flow"), ("r", "argument")}
     assert {r.symbol: r.role for r in facts.roles(sinks).collect()}["r"] == "output"
-    bodies = spark.createDataFrame([("f", BODY)], "key string, body string")
-    assert [r.symbol for r in facts.clamped(bodies, symbols).collect()] == ["r"]
+    blocks = code.block_table(functions).withColumnRenamed("rel_path", "key")
+    clamps = facts.clamped(blocks, made)
+    assert [r.symbol for r in clamps.collect()] == ["r"]
+    evidence = facts.symbol_evidence(made, symbols).unionByName(clamps.withColumn("evidence", F.lit("clamped")))
+    assert {(r.symbol, r.role) for r in facts.dataflow_roles(evidence).collect()} == {("r", "output_value"), ("r", "state_output"), ("r", "return_value"), ("r", "clamp_result"), ("r", "counter_value")}
+    flow = "void g(void) {\n  s_old = p->state_now;\n  if (s_old != p->state_now) { n = 0; }\n  n++;\n  if (n > 3) { brk_limit = read_it(n); }\n  ctl.outmax = brk_limit;\n}"
+    made = facts.step_table(spark.createDataFrame([("g", "g", flow)], "rel_path string, name string, body string")).withColumnRenamed("rel_path", "key")
+    named = spark.createDataFrame([("g", "s_old", "uint16"), ("g", "n", "int"), ("g", "brk_limit", "float")], "key string, symbol string, type string")
+    got = {(r.symbol, r.role) for r in facts.dataflow_roles(facts.symbol_evidence(made, named)).collect()}
+    assert got == {("s_old", x) for x in ("member_snapshot", "snapshot", "previous_snapshot", "change_baseline", "state_snapshot", "state_value")} | {("n", "counter_value"), ("n", "resettable_counter")} | {("brk_limit", x) for x in ("call_result", "output_limit", "limited_value", "brake_limit")}
     made = spark.createDataFrame([("f", "r = (int) read_it(a);")], "key string, text string")
     assert [(r.symbol, r.producer) for r in facts.producers(made, symbols).collect()] == [("r", "read_it")]
     assert [r.snippet for r in facts.usage_snippets(lines, symbols.where("symbol = 'a'"), 1).collect()] == ["int f(int a, int *out) {"]
