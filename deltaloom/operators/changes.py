@@ -149,6 +149,63 @@ def table_rows_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str]
     return per_key.where("gone > 0 or come > 0").select(key, kind.alias("change"), "gone", "come")
 
 
+def sequence_rows_diff(old: DataFrame, new: DataFrame, columns: list[str], doc: str = "doc", ord_col: str = "ord") -> DataFrame:
+    """Changed runs of rows of tables without a key: rows (doc, tag, at, old_rows, new_rows) by an edit script over the rows in order.
+
+    A table is one value here, as it stands in one document.
+    """
+    row = F.concat_ws("\t", *[F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) for c in columns])
+    side = lambda df, name: df.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ord_col).alias("o"), row.alias("v")))), lambda x: x["v"]).alias(name))
+    none = F.array().cast("array<string>")
+    both = side(old, "a").join(side(new, "b"), doc, "full_outer").select(doc, F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b")).where("a <> b")
+    ops = both.select(doc, "a", "b", F.posexplode(similarity.opcodes_udf("a", "b")).alias("at", "op")).where("op.tag <> 'equal'")
+    cut = lambda c, i, j: F.slice(c, F.col(i) + 1, F.col(j) - F.col(i))
+    return ops.select(doc, F.col("op.tag").alias("tag"), F.col("op.i1").alias("at"), cut("a", "op.i1", "op.i2").alias("old_rows"), cut("b", "op.j1", "op.j2").alias("new_rows"))
+
+
+def table_changes(old: DataFrame, new: DataFrame, columns: list[str], doc: str = "doc", ord_col: str = "ord") -> DataFrame:
+    """Changed rows of tables (doc, ord, columns) by the first way that fits each: rows (doc, way, change, row_key, old_row, new_row).
+
+    ``key``: the first column whose values are distinct and not blank on both sides pairs the rows; ``sequence``: without such a
+    column an edit script over the rows in order tells what went and came; ``all``: a table on one side keeps all its rows.
+    """
+    value = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    row = F.concat_ws("\t", *[value(c) for c in columns])
+
+    def fits(df: DataFrame, name: str) -> DataFrame:
+        stats = df.groupBy(doc).agg(*[((F.count_distinct(value(c)) == F.count("*")) & (F.count_if(value(c) == "") == 0)).alias(c) for c in columns])
+        return stats.select(doc, F.array(*columns).alias(name))
+
+    ways = fits(old, "x").join(fits(new, "y"), doc, "full_outer")
+    both = F.array_position(F.transform(F.arrays_zip("x", "y"), lambda z: z["x"] & z["y"]), True)
+    ways = ways.select(doc, F.when(F.col("x").isNull() | F.col("y").isNull(), "all").when(both > 0, "key").otherwise("sequence").alias("way"), both.alias("which"))
+    ways = materialise(ways, "table-ways")
+    side = lambda df, name: df.join(ways, doc).withColumn(name, row)
+    keyed = lambda df, name: side(df, name).where("way = 'key'").select(doc, F.element_at(F.array(*[value(c) for c in columns]), F.col("which").cast("int")).alias("row_key"), name)
+    met = keyed(old, "old_row").join(keyed(new, "new_row"), [doc, "row_key"], "full_outer")
+    kind = F.when(F.col("old_row").isNull(), ADDED).when(F.col("new_row").isNull(), DELETED).when(F.col("old_row") != F.col("new_row"), MODIFIED)
+    paired = met.withColumn("change", kind).where("change is not null").select(doc, F.lit("key").alias("way"), "change", "row_key", "old_row", "new_row")
+    only = lambda df: df.join(ways.where("way = 'sequence'"), doc, "left_semi")
+    runs = sequence_rows_diff(only(old), only(new), columns, doc, ord_col)
+    null = F.lit(None).cast("string")
+    gone = runs.select(doc, F.lit("sequence").alias("way"), F.lit(DELETED).alias("change"), null.alias("row_key"), F.explode("old_rows").alias("old_row"), null.alias("new_row"))
+    come = runs.select(doc, F.lit("sequence").alias("way"), F.lit(ADDED).alias("change"), null.alias("row_key"), null.alias("old_row"), F.explode("new_rows").alias("new_row"))
+    whole = lambda df, change, name: side(df, name).where("way = 'all'").select(doc, "way", F.lit(change).alias("change"), null.alias("row_key"), *[F.col(c) if c == name else null.alias(c) for c in ("old_row", "new_row")])
+    return paired.unionByName(gone).unionByName(come).unionByName(whole(old, DELETED, "old_row")).unionByName(whole(new, ADDED, "new_row"))
+
+
+def change_snippets(rows: DataFrame, key: str, old: str = "old_text", new: str = "new_text", context: int = 3) -> DataFrame:
+    """Changed runs of lines with ``context`` lines around them: rows (key, tag, line, old_snippet, new_snippet)."""
+    lines = lambda c: F.split(F.coalesce(c, F.lit("")), "\r\n|\r|\n")
+    ops = rows.select(key, lines(old).alias("a"), lines(new).alias("b")).withColumn("op", F.explode(similarity.opcodes_udf("a", "b"))).where("op.tag <> 'equal'")
+
+    def cut(c: str, i: str, j: str) -> Column:
+        first = F.greatest(F.col(i) - context, F.lit(0))
+        return F.array_join(F.slice(c, first + 1, F.least(F.col(j) + context, F.size(c)) - first), "\n")
+
+    return ops.select(key, F.col("op.tag").alias("tag"), (F.col("op.j1") + 1).alias("line"), cut("a", "op.i1", "op.i2").alias("old_snippet"), cut("b", "op.j1", "op.j2").alias("new_snippet"))
+
+
 def key_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
     """How well each column identifies rows: distinct and blank values; a key column has as many distinct as rows."""
     stats = rows.agg(F.count("*").alias("n"), *[F.count_distinct(c).alias(f"d_{c}") for c in columns], *[F.count_if(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "").alias(f"b_{c}") for c in columns])

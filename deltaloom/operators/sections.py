@@ -69,6 +69,25 @@ def look_ahead(rows: DataFrame, hit: Column, value: Column, name: str, most: int
     return rows.withColumn(name, F.first(F.when(hit, value), ignorenulls=True).over(ahead))
 
 
+def module_units(headings: DataFrame, doc: str = "doc", ord_col: str = "ord", module_level: int = 1) -> DataFrame:
+    """Units (headings below ``module_level``) with the module heading above them and their position in it."""
+    filled = forward_fill(headings, F.when(F.col("level") <= module_level, F.col("text")), "module", doc, ord_col)
+    filled = forward_fill(filled, F.when(F.col("level") <= module_level, F.col(ord_col)), "module_ord", doc, ord_col)
+    units = filled.where((F.col("level") > module_level) & F.col("module").isNotNull())
+    return units.withColumn("position", F.row_number().over(Window.partitionBy(doc, "module_ord").orderBy(ord_col))).select(doc, "module", F.col("text").alias("unit"), "level", "position")
+
+
+def heading_functions(blocks: DataFrame, doc: str = "doc", ord_col: str = "ord", most: int = 11) -> DataFrame:
+    """Which headings with a stable number describe which function: rows (doc, function, ids).
+
+    A heading's function is the first one that is declared within the ``most`` blocks after it.
+    """
+    declared = F.regexp_extract("text", r"^\s*(?:[A-Za-z_]\w*[\s\*]+)+([A-Za-z_]\w*)\s*\([^()]*\)\s*;?\s*$", 1)
+    seen = look_ahead(blocks.withColumn("declared_", declared), F.col("declared_") != "", F.col("declared_"), "function", most, doc, ord_col)
+    named = seen.where(F.col("level").isNotNull() & F.col("function").isNotNull()).withColumn("id", text.document_id("text")).where("id is not null")
+    return named.groupBy(doc, "function").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ord_col).alias("o"), "id"))), lambda x: x["id"]).alias("ids"))
+
+
 def neighbours(rows: DataFrame, value: str, doc: str = "doc", ord_col: str = "ord") -> DataFrame:
     """Previous and next ``value`` in order."""
     order = Window.partitionBy(doc).orderBy(ord_col)

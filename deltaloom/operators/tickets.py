@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from deltaloom.functions import similarity, text
 from deltaloom.operators.assign import greedy
 from deltaloom.operators.ordering import block_join, number_rows
+from deltaloom.plans.session import materialise
 
 #: Least scores of the rules and of an external matcher.
 LEAST_RULES, LEAST_EXTERNAL = 0.42, 0.55
@@ -79,45 +80,51 @@ def features(rows: DataFrame, body: Column, seg: Column | None = None, most: int
 def rule_scores(tickets: DataFrame, changes: DataFrame, least: float = LEAST_RULES, with_text: bool = True) -> DataFrame:
     """Rows (change_id, seq, score, reason) of pairs that reach ``least`` by the best rule.
 
-    ``tickets``: (seq, title, ids, paths, idents); ``changes``: (change_id, key, seg, blob, ids, paths, idents). The stated set
-    of tickets is scored against all changes in blocks: every rule looks at both texts, so no equi-join covers them.
+    ``tickets``: (seq, title, ids, paths, idents); ``changes``: (change_id, key, seg, blob, ids, paths, idents). Numbers, paths, file
+    names and symbols meet in equi-joins. The rules on titles look into both texts: there the stated set of tickets is held against all
+    changes in blocks, by tests on columns that were made once for each row, and only pairs that pass go on. The text similarity (``with_text``)
+    sees pairs whose lengths allow it.
     """
-    t = tickets.select("seq", F.trim(F.coalesce("title", F.lit(""))).alias("title"), F.col("ids").alias("t_ids"), F.col("paths").alias("t_paths"), F.col("idents").alias("t_idents"))
-    c = changes.select("change_id", *[F.coalesce(x, F.lit("")).alias(x) for x in ("key", "seg", "blob")], "ids", "paths", "idents")
-    base = lambda ps: F.transform(ps, lambda p: F.element_at(F.split(p, "/"), -1))
-    key_path = F.lower(F.replace("key", F.lit("\\"), F.lit("/")))
-    paths = F.when(key_path.contains("/") | key_path.rlike(r"\.[ch]$"), F.array_append("paths", key_path)).otherwise(F.col("paths"))
-    idents = F.array_append("idents", F.lower("seg"))
-    hits = F.filter(F.array_intersect("t_idents", idents), lambda x: F.length(x) >= 4)
-    hit = F.array_min(F.transform(hits, lambda h: F.struct((-F.length(h)).alias("l"), h.alias("h"))))["h"]
-    leaf = F.trim(text.leaf_title("key"))
-    title = F.col("title")
-    core = F.trim(F.regexp_replace(title, "(需求变更|变更|修改|冗余|删除|新增|问题)$", ""))
-    long = F.length(title) >= 2
+    base = lambda p: F.element_at(F.split(p, "/"), -1)
     squeeze = lambda x: F.regexp_replace(F.lower(x), r"\s+", "")
-    short, body = squeeze(title), squeeze(F.substring("blob", 1, 500))
-    part = F.substring(body, F.lit(1), F.greatest(F.length(short) * 3, F.lit(80)))
-    ratio = F.when(similarity.length_bound(short, part) >= 0.55, similarity.ratio(short, part, junk=True)).otherwise(0.0) if with_text else F.lit(0.0)
-    rules = [
-        (F.arrays_overlap("t_ids", "ids"), F.lit(0.95), F.concat(F.lit("doc_id:"), F.array_min(F.array_intersect("t_ids", "ids")))),
-        (F.arrays_overlap("t_paths", "paths"), F.lit(0.88), F.concat(F.lit("path:"), F.array_min(F.array_intersect("t_paths", "paths")))),
-        (~F.arrays_overlap("t_paths", "paths") & F.arrays_overlap(base(F.col("t_paths")), base(F.col("paths"))), F.lit(0.80), F.concat(F.lit("file:"), F.array_min(F.array_intersect(base(F.col("t_paths")), base(F.col("paths")))))),
-        (F.col("hit").isNotNull(), F.when(F.length("hit") >= 6, 0.82).otherwise(0.72), F.concat(F.lit("symbol:"), "hit")),
-    ]
-    in_leaf = long & (leaf != "") & (leaf.contains(title) | title.contains(leaf))
-    in_key = long & ~in_leaf & F.col("key").contains(title)
-    word = long & ~in_leaf & ~in_key & (F.length(core) >= 2) & (F.col("key").contains(core) | F.col("blob").contains(core))
-    rules += [(in_leaf, F.lit(0.70), F.lit("title<leaf")), (in_key, F.lit(0.68), F.lit("title<key")), (word, F.lit(0.62), F.concat(F.lit("keyword:"), F.substring(core, 1, 20)))]
-    rules += [(F.col("ratio") >= 0.55, 0.45 + 0.25 * F.col("ratio"), F.concat(F.lit("sim:"), F.format_number("ratio", 2)))]
-    score = F.greatest(*[F.when(F.coalesce(test, F.lit(False)), value).otherwise(0.0) for test, value, _ in rules])
-    reasons = F.array_join(F.slice(F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), why) for test, _, why in rules])), 1, 3), "+")
+    title, key_path = F.trim(F.coalesce("title", F.lit(""))), F.lower(F.replace(F.coalesce("key", F.lit("")), F.lit("\\"), F.lit("/")))
+    core = F.trim(F.regexp_replace(title, "(需求变更|变更|修改|冗余|删除|新增|问题)$", ""))
+    t = tickets.select("seq", title.alias("title"), core.alias("core"), squeeze(title).alias("short"), "ids", "paths", "idents")
+    paths = F.when(key_path.contains("/") | key_path.rlike(r"\.[ch]$"), F.array_append("paths", key_path)).otherwise(F.col("paths"))
+    c = changes.select("change_id", *[F.coalesce(x, F.lit("")).alias(x) for x in ("key", "blob")], F.trim(text.leaf_title("key")).alias("leaf"), squeeze(F.substring(F.coalesce("blob", F.lit("")), 1, 500)).alias("body"), "ids", paths.alias("paths"), F.array_append("idents", F.lower(F.coalesce("seg", F.lit("")))).alias("idents"))
+    t, c = materialise(t, "tickets"), materialise(c, "ticket-changes")
 
+    def shared(column: str, kind: str, score: Callable[[Column], Column], values: Callable[[Column], Column] = lambda v: v, good: Callable[[Column], Column] = lambda v: F.lit(True)) -> DataFrame:
+        side = lambda df, key: df.select(key, F.explode(F.array_distinct(F.transform(column, values))).alias("value"))
+        met = side(t, "seq").join(side(c, "change_id"), "value").where(good(F.col("value")))
+        best = met.groupBy("change_id", "seq").agg(F.min(F.struct((-score(F.col("value"))).alias("s"), (-F.length("value")).alias("l"), "value")).alias("m"))
+        return best.select("change_id", "seq", F.lit(kind).alias("kind"), (-F.col("m.s")).alias("score"), F.concat(F.lit(f"{kind}:"), "m.value").alias("why"))
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.withColumn("paths", paths).withColumn("hit", hit).withColumn("ratio", ratio)
-        return pairs.select("change_id", "seq", F.least(F.lit(1.0), score).alias("score"), reasons.alias("reason")).where(F.col("score") >= least)
+    found = shared("ids", "doc_id", lambda v: F.lit(0.95))
+    whole = materialise(shared("paths", "path", lambda v: F.lit(0.88)), "ticket-paths")
+    found = found.unionByName(whole).unionByName(shared("paths", "file", lambda v: F.lit(0.80), base).join(whole, ["change_id", "seq"], "left_anti"))
+    found = found.unionByName(shared("idents", "symbol", lambda v: F.when(F.length(v) >= 6, 0.82).otherwise(0.72), good=lambda v: F.length(v) >= 4))
+
+    name, key, leaf, word = (F.col(x) for x in ("title", "key", "leaf", "core"))
+    in_leaf = (leaf != "") & (leaf.contains(name) | name.contains(leaf))
+    titled = F.when(in_leaf, "leaf").when(key.contains(name), "key").when((F.length(word) >= 2) & (key.contains(word) | F.col("blob").contains(word)), "keyword")
 
-    return block_join(c, t, "seq", F.lit(True), scored)
+    def scored(pairs: DataFrame) -> DataFrame:
+        kind = F.col("kind")
+        score = F.when(kind == "leaf", 0.70).when(kind == "key", 0.68).otherwise(0.62)
+        why = F.when(kind == "keyword", F.concat(F.lit("keyword:"), F.substring("core", 1, 20))).otherwise(F.concat(F.lit("title<"), kind))
+        return pairs.withColumn("kind", titled).where("kind is not null").select("change_id", "seq", "kind", score.alias("score"), why.alias("why"))
+
+    named, plain = t.where("length(title) >= 2").select("seq", "title", "core"), c.select("change_id", "key", "leaf", "blob")
+    found = found.unionByName(block_join(plain, named, "seq", titled.isNotNull(), scored))
+    if with_text:
+        part = F.substring("body", F.lit(1), F.greatest(F.length("short") * 3, F.lit(80)))
+        near = block_join(c.select("change_id", "body"), t.select("seq", "short"), "seq", similarity.length_bound(F.col("short"), part) >= 0.55, lambda df: df.withColumn("ratio", similarity.ratio(F.col("short"), part, junk=True)).where("ratio >= 0.55"))
+        found = found.unionByName(near.select("change_id", "seq", F.lit("sim").alias("kind"), (0.45 + 0.25 * F.col("ratio")).alias("score"), F.concat(F.lit("sim:"), F.format_number("ratio", 2)).alias("why")))
+    rank = F.array_position(F.array(*map(F.lit, ("doc_id", "path", "file", "symbol", "leaf", "key", "keyword", "sim"))), F.col("kind"))
+    reasons = F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "why"))), lambda x: x["why"])
+    best = found.groupBy("change_id", "seq").agg(F.least(F.lit(1.0), F.max("score")).alias("score"), F.array_join(F.slice(reasons, 1, 3), "+").alias("reason"))
+    return best.where(F.col("score") >= least)
 
 
 def assign(scores: DataFrame) -> DataFrame:

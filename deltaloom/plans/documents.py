@@ -219,19 +219,76 @@ def golden_audit(spark, sf_dir):
 
 @query("""WITH b AS (SELECT item_id, trim(text) AS title FROM benchmark), d AS (SELECT doc_id, text FROM documents)
 SELECT doc_id, item_id AS seq, 0.62::double AS score FROM d JOIN b ON contains(coalesce(text, ''), title) AND length(title) >= 2""")
-def ticket_match_rules(spark, sf_dir):
-    """Benchmark items as tickets against documents as changes: the keyword rule (whole item in the change's text)."""
+def ticket_match_texts(spark, sf_dir):
+    """Benchmark items as tickets against documents as changes without numbers, paths and symbols: the rules on titles."""
     blank = F.array().cast("array<string>")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq"), F.col("text").alias("title"), blank.alias("ids"), blank.alias("paths"), blank.alias("idents"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("change_id"), F.lit("").alias("key"), F.lit("").alias("seg"), F.col("text").alias("blob"), blank.alias("ids"), blank.alias("paths"), blank.alias("idents"))
     return tickets.rule_scores(items, docs, with_text=False).select(F.col("change_id").alias("doc_id"), "seq", "score")
 
 
+def ticket_sides(spark, sf_dir):
+    """Nations as tickets whose titles name a number, a path, a file, a symbol, a title, a key or a word; parts as changes."""
+    k, words = F.col("n_nationkey").cast("string"), F.array(*[F.lit(x) for x in ("check (SDD-part-", "crash in src/u", "build of lib/u", "fix func_", "module ", "area ", "text of ")])
+    ends = F.array(*[F.lit(x) for x in (")", ".c", ".c", " now", "", "", "")])
+    kind = (F.col("n_nationkey") % 7).cast("int")
+    name = F.when(kind == 6, F.concat(F.lower(F.substring("n_name", 1, 1)), F.lit("问题"))).otherwise(k)
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("seq"), F.concat(F.get(words, kind), name, F.get(ends, kind)).alias("title"))
+    p, text_of = F.col("p_partkey"), lambda x: x.cast("string")
+    key = F.concat(F.lit("area "), text_of(F.col("p_size") % 5), F.lit(" > module "), text_of(p % 50))
+    blob = F.concat(F.lit("text of "), "p_name", F.lit(" in src/u"), text_of(p % 70), F.lit(".c see SDD-part-"), text_of(p % 80))
+    made = table(spark, sf_dir, "part").select(p.alias("change_id"), key.alias("key"), F.concat(F.lit("func_"), text_of(p % 60)).alias("seg"), blob.alias("blob"))
+    return tickets.features(nations, F.col("title")), tickets.features(made, F.concat_ws("\n", "key", "seg", "blob"), F.col("seg"))
+
+
+def _sql_features(body: str) -> str:
+    ids = rf"list_distinct(list_transform(list_concat(regexp_extract_all({body}, '{text.ID_SLASH}'), list_filter(regexp_extract_all({body}, '{text.ID_PARTS}'), lambda x: regexp_matches(x, '\d'))), lambda x: upper(x)))"
+    paths = rf"list_distinct(list_transform(regexp_extract_all({body}, '{tickets.PATH}', 0), lambda x: lower(x)))"
+    idents = f"list_distinct(list_transform(regexp_extract_all({body}, '{tickets.IDENT}'), lambda x: lower(x)))"
+    stop = ", ".join(f"'{w}'" for w in tickets.STOP_WORDS)
+    return f"{ids} AS ids, {paths} AS paths, list_filter({idents}, lambda x: length(x) >= 4 AND NOT list_contains([{stop}], x)) AS idents"
+
+
+_TICKETS = f"""t0 AS (SELECT n_nationkey::bigint AS seq, CASE n_nationkey % 7 WHEN 0 THEN concat('check (SDD-part-', n_nationkey, ')') WHEN 1 THEN concat('crash in src/u', n_nationkey, '.c') WHEN 2 THEN concat('build of lib/u', n_nationkey, '.c')
+ WHEN 3 THEN concat('fix func_', n_nationkey, ' now') WHEN 4 THEN concat('module ', n_nationkey) WHEN 5 THEN concat('area ', n_nationkey) ELSE concat('text of ', lower(substr(n_name, 1, 1)), '问题') END AS title FROM nation),
+t AS (SELECT *, trim(regexp_replace(title, '问题$', '')) AS core, {_sql_features('title')} FROM t0),
+c0 AS (SELECT p_partkey AS change_id, concat('area ', p_size % 5, ' > module ', p_partkey % 50) AS key, concat('func_', p_partkey % 60) AS seg, concat('text of ', p_name, ' in src/u', p_partkey % 70, '.c see SDD-part-', p_partkey % 80) AS blob FROM part),
+c AS (SELECT *, concat('module ', change_id % 50) AS leaf, {_sql_features("concat_ws(chr(10), key, seg, blob)")} FROM c0),
+base AS (SELECT change_id, seq, CASE WHEN list_has_any(t.ids, c.ids) THEN 0.95 ELSE 0 END AS a, CASE WHEN list_has_any(t.paths, c.paths) THEN 0.88 WHEN list_has_any(list_transform(t.paths, lambda x: regexp_replace(x, '^.*/', '')), list_transform(c.paths, lambda x: regexp_replace(x, '^.*/', ''))) THEN 0.80 ELSE 0 END AS b,
+ coalesce(list_max(list_transform(list_intersect(t.idents, c.idents), lambda x: CASE WHEN length(x) >= 6 THEN 0.82 ELSE 0.72 END)), 0) AS s,
+ CASE WHEN contains(leaf, title) OR contains(title, leaf) THEN 0.70 WHEN contains(key, title) THEN 0.68 WHEN length(core) >= 2 AND (contains(key, core) OR contains(blob, core)) THEN 0.62 ELSE 0 END AS w FROM t, c),
+scores AS (SELECT change_id, seq, greatest(a, b, s, w)::double AS score FROM base WHERE greatest(a, b, s, w) >= 0.42)"""
+
+
+@query(f"WITH {_TICKETS} SELECT * FROM scores")
+def ticket_match_rules(spark, sf_dir):
+    """All rules but the text similarity, which no SQL has: numbers, paths, file names, symbols, titles, keys, words."""
+    return tickets.rule_scores(*ticket_sides(spark, sf_dir), with_text=False).select("change_id", "seq", "score")
+
+
 @query()
+def ticket_match_similar(spark, sf_dir):
+    """All eight rules, the text similarity included."""
+    return tickets.rule_scores(*ticket_sides(spark, sf_dir)).select("change_id", "seq", "score", "reason")
+
+
+@query(f"""WITH RECURSIVE {_TICKETS}, e AS (SELECT *, row_number() OVER (ORDER BY score DESC, change_id, seq) AS k FROM scores),
+g AS (SELECT 0::bigint AS k, []::bigint[] AS cs, []::bigint[] AS ts, NULL::bigint AS change_id, NULL::bigint AS seq
+ UNION ALL SELECT e.k, list_append(y.cs, e.change_id), list_append(y.ts, e.seq), e.change_id, e.seq FROM (SELECT g.cs, g.ts, min(e.k) AS k FROM g, e WHERE e.k > g.k AND NOT list_contains(g.cs, e.change_id) AND NOT list_contains(g.ts, e.seq) GROUP BY g.cs, g.ts) y JOIN e ON e.k = y.k)
+SELECT change_id, seq FROM g WHERE seq IS NOT NULL""")
 def ticket_assignment(spark, sf_dir):
-    """One document for each benchmark item, and one item for each document."""
-    scores = ticket_match_rules(spark, sf_dir).withColumnRenamed("doc_id", "change_id")
-    return tickets.assign(scores).withColumnRenamed("change_id", "doc_id")
+    """One change for each ticket, and one ticket for each change, by falling score."""
+    return tickets.assign(ticket_match_rules(spark, sf_dir)).select("change_id", "seq")
+
+
+@query(f"""WITH RECURSIVE {_TICKETS}, e AS (SELECT *, row_number() OVER (ORDER BY score DESC, change_id, seq) AS k FROM scores),
+g AS (SELECT 0::bigint AS k, []::bigint[] AS cs, []::bigint[] AS ts, NULL::double AS score
+ UNION ALL SELECT e.k, list_append(y.cs, e.change_id), list_append(y.ts, e.seq), e.score FROM (SELECT g.cs, g.ts, min(e.k) AS k FROM g, e WHERE e.k > g.k AND NOT list_contains(g.cs, e.change_id) AND NOT list_contains(g.ts, e.seq) GROUP BY g.cs, g.ts) y JOIN e ON e.k = y.k)
+SELECT count(score) AS matched, round(avg(score), 4) AS mean_score, (SELECT count(*) FROM part) - count(score) AS unmatched_changes, (SELECT count(*) FROM nation) - count(score) AS unmatched_tickets FROM g""")
+def ticket_match_report(spark, sf_dir):
+    """How many tickets and changes were matched."""
+    asked, made = ticket_sides(spark, sf_dir)
+    return tickets.match_report(made, asked, tickets.assign(ticket_match_rules(spark, sf_dir)))
 
 
 @query("""WITH u AS (SELECT text, doc_id, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents WHERE text IS NOT NULL AND text <> '') SELECT doc_id FROM u WHERE n = 1""")

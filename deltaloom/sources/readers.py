@@ -115,6 +115,23 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return inner.unionByName(flat).select(F.trim("ident").alias("ident"), F.trim("cn").alias("cn"), "section").where("ident <> '' and cn <> ''")
 
 
+def read_index(spark: SparkSession, path: str, box: str | None = None) -> DataFrame:
+    """A side-car index (key, fields map<string,string>): a JSON object of objects, of strings, or a list of objects with a key.
+
+    With ``box`` the index lies under that name. A plain value becomes the field ``value``; of a list's objects the first of
+    key, id, ident, symbol and name is the key. Entries without a key are left out.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
+    if box:
+        raw = raw.select(F.from_json("v", "map<string,string>")[F.lit(box)].alias("v"))
+    body = F.trim("v")
+    listed = raw.where(body.startswith("[")).select(F.explode(F.from_json("v", "array<map<string,string>>")).alias("fields"))
+    keys = F.coalesce(*[F.nullif(F.trim(F.col("fields")[F.lit(name)]), F.lit("")) for name in ("key", "id", "ident", "symbol", "name")])
+    named = raw.where(body.startswith("{")).select(F.explode(F.from_json("v", "map<string,string>")).alias("key", "entry"))
+    fields = F.when(F.trim("entry").startswith("{"), F.from_json("entry", "map<string,string>")).otherwise(F.create_map(F.lit("value"), "entry"))
+    return listed.select(keys.alias("key"), "fields").unionByName(named.select(F.trim("key").alias("key"), fields.alias("fields"))).where("key <> ''")
+
+
 def read_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = (".c", ".h"), excluded: tuple[str, ...] = EXCLUDED_DIRS) -> DataFrame:
     """Files below ``root`` (rel_path, content, mtime, size) by extension, without dot-files and excluded folders."""
     glob = "*{" + ",".join(extensions) + "}"
@@ -180,6 +197,29 @@ def graph_tables(spark: SparkSession, nodes: str, edges: str) -> tuple[DataFrame
     return n, spark.read.parquet(edges).select("source", "target", "kind", "line")
 
 
+def graph_database(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a code graph in an SQLite file, read page by page by the driver and handed on as Arrow batches.
+
+    A database file is one machine's; larger graphs come as Parquet (``graph_tables``).
+    """
+    import sqlite3
+
+    import pyarrow as pa
+
+    wanted = {"nodes": "id, name, kind, qualified_name, file_path, start_line, end_line, signature", "edges": "source, target, kind, line"}
+    tables = []
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+        for name, columns in wanted.items():
+            names = columns.split(", ")
+            parts, cursor = [], con.execute(f"select {columns} from {name}")
+            while rows := cursor.fetchmany(100_000):
+                parts.append(pa.table({c: [row[k] for row in rows] for k, c in enumerate(names)}))
+            numbers = ("id", "source", "target", "start_line", "end_line", "line")
+            shape = pa.schema([(c, pa.int64() if c in numbers else pa.string()) for c in names])
+            tables.append(spark.createDataFrame(pa.concat_tables([p.cast(shape) for p in parts]) if parts else shape.empty_table()))
+    return tables[0], tables[1]
+
+
 def pick_nodes(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     """The node of each wanted (name, file_path): one of the same path first, then the least path and line."""
     met = wanted.select("name", F.col("file_path").alias("asked")).join(nodes, "name")
