@@ -73,9 +73,9 @@ def section_pairs(spark, sf_dir):
 
 @query()
 def fuzzy_pairs(spark, sf_dir):
-    """Similarity pairing of what exact keys leave. Bodies are compared by their first lines' digest of structure: titles and keys decide."""
+    """All phases of pairing, the similarity of what exact keys leave included, within a parent and across parents."""
     old, new = versions(spark, sf_dir)
-    return pairing.pair_sections(old, new, across_parents=False)
+    return pairing.pair_sections(old, new)
 
 
 @query(f"SELECT doc_id, title, did AS document_id FROM (SELECT doc_id, {TITLE} AS title, concat('SDD-', source, '-', {NUMBER}) AS did FROM documents)")

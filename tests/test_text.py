@@ -71,3 +71,21 @@ def test_opcodes(spark):
     df = spark.createDataFrame([(["a", "b", "c"], ["a", "x", "c", "d"])], "a array<string>, b array<string>")
     ops = df.select(similarity.opcodes_udf("a", "b").alias("o")).first().o
     assert [(o.tag, o.i1, o.i2, o.j1, o.j2) for o in ops] == [("equal", 0, 1, 0, 1), ("replace", 1, 2, 1, 2), ("equal", 2, 3, 2, 3), ("insert", 3, 3, 3, 4)]
+
+
+def test_matching_blocks_and_bounds(monkeypatch):
+    import difflib
+    import random
+
+    from deltaloom.functions import similarity
+
+    pick = random.Random(6)
+    for small in (0, 40, 250_000):
+        monkeypatch.setattr(similarity, "_SMALL", small)
+        for _ in range(60):
+            a, b = ("".join(pick.choices("abc \n中", k=pick.randint(0, 60))) for _ in range(2))
+            wanted = difflib.SequenceMatcher(None, a, b, autojunk=False)
+            assert similarity._ratio(a, b, False) == (1.0 if a == b else wanted.ratio())
+            assert similarity.common_subsequence(a, b) >= similarity.matched(a, b) == sum(x.size for x in wanted.get_matching_blocks())
+            exact = similarity._ratio(a, b, False)
+            assert all(similarity._ratio(a, b, False, least) == exact for least in (0.1, 0.5, exact) if least <= exact)
