@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from deltaloom.functions import similarity, text
-from deltaloom.operators.code import function_table
+from deltaloom.operators.code import core_text, function_table
 from deltaloom.plans.session import materialise
 
 ADDED, DELETED, MODIFIED = "added", "deleted", "modified"
@@ -75,43 +74,25 @@ def file_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("change", kind).where("change is not null")
 
 
-def function_changes(old: DataFrame, new: DataFrame, most_rows: int = 100_000) -> DataFrame:
+def function_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Aligned functions of two versions of each file.
 
     Rows (rel_path, ord, name, signature, body). The sequences of function cores (body without its first line) are
     aligned by an edit script; equal cores have no row, a replaced run pairs its members in order, what is left is new
-    or deleted. Returns rel_path, change_kind, old_name, new_name, old_signature, new_signature, old_body, new_body.
+    or deleted. Returns rel_path, change_kind, old_name, new_name, old_signature, new_signature, old_body, new_body. Only the script itself
+    is made in Python; a file's functions are one row.
     """
-    import difflib
-
-    schema = "rel_path string, change_kind string, old_name string, new_name string, old_signature string, new_signature string, old_body string, new_body string"
-
-    def align(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if max(len(a), len(b)) > most_rows:
-            raise ValueError("a file with that many functions is not one file")
-        sides = [df.sort_values("ord").to_dict("records") for df in (a, b)]
-        core = lambda f: (f["body"] or "").split("\n", 1)[-1] if "\n" in (f["body"] or "") else f["body"] or ""
-        rows = []
-
-        def add(kind, x, y):
-            path = (x or y)["rel_path"]
-            rows.append((path, kind, *(side and side[c] for c in ("name", "signature", "body") for side in (x, y))))
-
-        for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, *[[core(f) for f in s] for s in sides], autojunk=False).get_opcodes():
-            if tag == "equal":
-                continue
-            shared = min(i2 - i1, j2 - j1)
-            for k in range(shared):
-                add("modified_function", sides[0][i1 + k], sides[1][j1 + k])
-            for k in range(i1 + shared, i2):
-                add("deleted_function", sides[0][k], None)
-            for k in range(j1 + shared, j2):
-                add("new_function", None, sides[1][k])
-        names = ["rel_path", "change_kind", "old_name", "new_name", "old_signature", "new_signature", "old_body", "new_body"]
-        return pd.DataFrame(rows, columns=names)
-
-    old, new = (df.toDF(*df.columns) for df in (old, new))  # names of their own, even if both are one table
-    return old.groupBy("rel_path").cogroup(new.groupBy("rel_path")).applyInPandas(align, schema)
+    one = F.struct("ord", "name", "signature", F.coalesce("body", F.lit("")).alias("body"))
+    side = lambda df, name: df.groupBy("rel_path").agg(F.array_sort(F.collect_list(one)).alias(name))
+    both = side(old, "a").join(side(new, "b"), "rel_path", "full_outer")
+    none = F.array().cast("array<string>")
+    cores = lambda c: F.coalesce(F.transform(c, lambda f: core_text(f["body"])), none)
+    ops = both.select("rel_path", "a", "b", cores(F.col("a")).alias("x"), cores(F.col("b")).alias("y")).where("x <> y")
+    ops = ops.select("rel_path", "a", "b", F.explode(similarity.opcodes_udf("x", "y")).alias("op")).where("op.tag <> 'equal'")
+    rows = ops.withColumn("gone", F.col("op.i2") - F.col("op.i1")).withColumn("come", F.col("op.j2") - F.col("op.j1")).withColumn("k", F.explode(F.expr("sequence(0, greatest(gone, come) - 1)")))
+    rows = rows.select("rel_path", F.when(F.col("k") < F.col("gone"), F.get("a", F.col("op.i1") + F.col("k"))).alias("old"), F.when(F.col("k") < F.col("come"), F.get("b", F.col("op.j1") + F.col("k"))).alias("new"))
+    kind = F.when(F.col("old").isNull(), "new_function").when(F.col("new").isNull(), "deleted_function").otherwise("modified_function")
+    return rows.select("rel_path", kind.alias("change_kind"), *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in ("name", "signature", "body") for side in ("old", "new")])
 
 
 def code_changes(old_files: DataFrame, new_files: DataFrame) -> DataFrame:
