@@ -62,6 +62,16 @@ def view_bits(shared) -> np.ndarray:
     return shared.value
 
 
+def save_model(spark: SparkSession, model, path: str) -> None:
+    """Keep a trained model (a field, a language model, a machine) in a folder that the driver can read again."""
+    spark.createDataFrame([(bytearray(cloudpickle.dumps(model)),)], "model binary").coalesce(1).write.parquet(path)
+
+
+def load_model(spark: SparkSession, path: str):
+    """A model of save_model, to be passed to the operator that would train one."""
+    return cloudpickle.loads(bytes(spark.read.parquet(path).first().model))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset, a folder of our own, on one machine only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from deltaloom.llm import bpe, langid, lm, quality, secrets, simhash, substring
-from deltaloom.llm._shared import SpanHasher, WordHasher, text_chunks, word_spans
+from deltaloom.llm._shared import SpanHasher, WordHasher, load_model, save_model, text_chunks, word_spans
 from deltaloom.llm.components import connected_components
 
 
@@ -593,6 +593,19 @@ def test_quality(spark, sf_dir, docs, edge_docs, edge_rows, no_docs):
     assert quality.classify(edge_docs, untaught).count() == len(edge_rows)
 
 
+def test_models_are_kept(spark, docs, texts, tmp_path):
+    few = docs.limit(60)
+    cases = [
+        (secrets.train(list(texts.values())[:40]), lambda m: secrets.scan(few, field=m)),
+        (langid.train(few, "doc_id", "text", "lang"), lambda m: langid.identify(few, m)),
+        (quality.train(few, few.select("doc_id", (F.col("doc_id") % 2).alias("quality"))), lambda m: quality.classify(few, m)),
+    ]
+    for k, (model, apply) in enumerate(cases):
+        save_model(spark, model, str(tmp_path / f"m{k}"))
+        again = load_model(spark, str(tmp_path / f"m{k}"))
+        assert sorted(map(str, apply(again).collect())) == sorted(map(str, apply(model).collect()))
+
+
 def test_crc_of_the_id(docs):
     rows = docs.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary"))).alias("c")).limit(20).collect()
     assert all(r.c == zlib.crc32(str(r.doc_id).encode()) for r in rows)
