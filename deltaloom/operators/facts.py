@@ -137,6 +137,33 @@ def dataflow_roles(evidence: DataFrame) -> DataFrame:
     return first.unionByName(more).distinct()
 
 
+def signatures(steps: DataFrame) -> DataFrame:
+    """Rows (key, kind, item, ord) of what logic steps (key, ord, kind, text, target, value) hold: each condition, member access,
+    returned value and callee once, where it first stands."""
+    tests = steps.where("kind in ('if', 'else_if', 'while', 'for', 'switch')").select("key", F.lit("condition").alias("kind"), F.col("text").alias("item"), "ord")
+    given = steps.where("kind = 'return'").select("key", F.lit("return").alias("kind"), F.col("value").alias("item"), "ord")
+    called = steps.where("kind = 'call'").select("key", F.lit("callee").alias("kind"), F.col("target").alias("item"), "ord")
+    member = F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*(?:\s*\[[^\]]*\])*(?:\s*(?:\.|->)\s*[A-Za-z_]\w*(?:\s*\[[^\]]*\])*)+"), F.lit(0))
+    held = steps.select("key", F.lit("member").alias("kind"), F.explode(F.transform(member, lambda m: F.regexp_replace(m, r"\s+", ""))).alias("item"), "ord")
+    rows = tests.unionByName(given).unionByName(called).unionByName(held).where("trim(item) <> ''")
+    return rows.groupBy("key", "kind", "item").agg(F.min("ord").alias("ord"))
+
+
+def function_records(steps: DataFrame, parameters: DataFrame) -> DataFrame:
+    """One record for each function: its conditions, members, returned values and callees in order, its parameters with their directions.
+
+    ``parameters``: (key, pos, param, direction); a function of either table has a record.
+    """
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("ord", "item")))), lambda x: x["item"]).alias(f"{kind}s")
+    kinds = ("condition", "member", "return", "callee")
+    held = signatures(steps).groupBy("key").agg(*map(listed, kinds))
+    named = parameters.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "param", "direction"))), lambda p: F.struct(p["param"].alias("param"), p["direction"].alias("direction"))).alias("parameters"))
+    keys = steps.select("key").union(parameters.select("key")).distinct()
+    both = keys.join(held, "key", "left").join(named, "key", "left")
+    none = F.array().cast("array<string>")
+    return both.select("key", *[F.coalesce(f"{k}s", none).alias(f"{k}s") for k in kinds], F.coalesce("parameters", F.array().cast("array<struct<param:string,direction:string>>")).alias("parameters"))
+
+
 def producers(calls_in_lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """The call whose result is assigned to each symbol: (key, symbol, producer)."""
     pattern = F.concat(F.lit(r"\b"), F.col("symbol"), F.lit(r"\s*=\s*(?:\([^()]*\)\s*)?([A-Za-z_]\w*)\s*\("))

@@ -32,6 +32,16 @@ def symbol_roles(spark, sf_dir):
     return facts.dataflow_roles(facts.symbol_evidence(steps, symbols)).groupBy("symbol", "role").agg(F.count("*").alias("n"))
 
 
+@query("SELECT concat('u', p_partkey, '.c') AS key, concat('a > LIMIT_', p_partkey) AS conditions, '' AS members, 'local_value' AS returns, concat('f', p_partkey + 1) AS callees, 'a=input,out=input_output' AS parameters FROM part")
+def function_records(spark, sf_dir):
+    """Every function with its conditions, members, results, callees and parameters."""
+    functions = code_ops.function_table(project(spark, sf_dir))
+    steps = facts.step_table(functions).withColumnRenamed("rel_path", "key")
+    found = facts.function_records(steps, code_ops.parameter_table(functions).withColumnRenamed("rel_path", "key"))
+    joined = F.array_join(F.transform("parameters", lambda p: F.concat(p["param"], F.lit("="), p["direction"])), ",")
+    return found.select("key", *[F.array_join(c, ",").alias(c) for c in ("conditions", "members", "returns", "callees")], joined.alias("parameters"))
+
+
 @query("SELECT concat('u', p_partkey, '.c') AS file_path, CASE WHEN p_partkey % 3 = 0 THEN concat('F', p_partkey) WHEN p_partkey % 3 = 1 THEN concat('f', p_partkey) ELSE 'nowhere' END AS func_name, CASE p_partkey % 3 WHEN 0 THEN 'case' WHEN 1 THEN 'exact' ELSE 'missing' END AS match FROM part")
 def retry_tasks(spark, sf_dir):
     functions = code_ops.function_table(project(spark, sf_dir)).select("rel_path", "name", "ord")

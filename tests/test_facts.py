@@ -46,6 +46,17 @@ def test_flows(spark):
     assert [r.snippet for r in facts.usage_snippets(lines, symbols.where("symbol = 'a'"), 1).collect()] == ["int f(int a, int *out) {"]
 
 
+def test_records(spark):
+    body = "int f(int a, int *out) {\n  if (s->x > a) { s->x = t . y[2].z; go(a); }\n  while (a) { go(a); }\n  return a;\n}"
+    functions = spark.createDataFrame([("f", "f", body, ["int a", "int *out"]), ("g", "g", "void g(void) { }", [])], "rel_path string, name string, body string, params array<string>")
+    steps = facts.step_table(functions).withColumnRenamed("rel_path", "key")
+    found = {r.key: r for r in facts.function_records(steps, code.parameter_table(functions).withColumnRenamed("rel_path", "key")).collect()}
+    r = found["f"]
+    assert (r.conditions, r.returns, r.callees) == (["s->x > a", "a"], ["a"], ["go"]) and r.members[0] == "s->x" and "t.y[2].z" in r.members
+    assert [tuple(p) for p in r.parameters] == [("a", "input"), ("out", "input")]
+    assert facts.function_records(steps.limit(0), code.parameter_table(functions.limit(0)).withColumnRenamed("rel_path", "key")).count() == 0
+
+
 def test_confidence_and_choice(spark):
     no, yes = F.lit(False), F.lit(True)
     row = spark.range(1).select(facts.inferred_confidence(F.lit("x"), no, no, yes, no, no, no, no, no, F.lit(1)), facts.inferred_confidence(F.lit(""), no, yes, yes, no, no, no, no, no, F.lit(5)), facts.persist_scope(F.lit(0.84), F.lit(2), no), facts.persist_scope(F.lit(0.84), F.lit(2), yes), facts.payload_quality(F.lit(1), F.lit(0), F.lit(2), F.lit(0))).first()
