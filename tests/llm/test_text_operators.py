@@ -160,9 +160,26 @@ def test_near_duplicates_end_to_end(spark, docs, texts):
     assert got == {i: (prints[i], component[i]) for i in ids}
 
 
-def jaccard(a, b):
-    one, other = ({tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b))
-    return len(one & other) / len(one | other)
+def shingle_sets(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_similar(rows, similarity=0.8):
+    """The smallest id reachable by links of exact similarity."""
+    sets = [(i, shingle_sets(t)) for i, t in rows]
+    up = {i: i for i, _ in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for k, (i, one) in enumerate(sets):
+        for j, other in sets[:k]:
+            if one == other or len(one & other) >= similarity * len(one | other) - 1e-9:
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return {i: root(i) for i in up}
 
 
 def test_similar_documents(spark, monkeypatch):
@@ -174,21 +191,21 @@ def test_similar_documents(spark, monkeypatch):
         for _ in range(max(1, round(len(words) * pick.choice((0.005, 0.01, 0.02, 0.05, 0.1))))):
             changed[pick.randrange(len(words))] = "zz"
         rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(changed).upper())]
-        truth.append(jaccard(rows[-2][1], rows[-1][1]))
+        one, other = shingle_sets(rows[-2][1]), shingle_sets(rows[-1][1])
+        truth.append(len(one & other) / len(one | other))
+    base = [f"v{k}" for k in range(100)]
+    rows += [(1000 + k, " ".join(base[:k] + ["x"] + base[k + 1 :])) for k in range(100)]  # a dense group
+    rows += [(2000 + k, " ".join(["spam"] * 3000 + [f"y{k}_{n}" for n in range(40)])) for k in range(6)]  # one shingle fills them
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (1024, 16):
+    wanted = brute_similar(rows)
+    near, far = [g for g, s in enumerate(truth) if s >= 0.8], [g for g, s in enumerate(truth) if s < 0.8]
+    assert len(near) > 50 and sum(0.6 < truth[g] for g in far) > 5
+    for block, row in ((1024, 2048), (16, 64)):  # the second cuts groups into blocks
         monkeypatch.setattr(simhash, "BLOCK", block)
-        got = {r.doc_id: r for r in simhash.similar_documents(table).collect()}
-        prints = {i: int.from_bytes(r.fingerprint, "little") for i, r in got.items()}
-        limit = simhash.threshold(0.8, 512)
-        links = [(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= limit]
-        assert all(j == i + 1 and i % 2 == 0 for i, j in links)  # documents of different origin never link
-        joined = {g for g in range(120) if got[2 * g + 1].component_id == 2 * g}
-        wanted = {i // 2 for i, _ in links}
-        assert joined <= wanted and len(joined) >= 0.98 * len(wanted)
-        assert all(g in joined for g, s in enumerate(truth) if s >= 0.9) and not any(truth[g] < 0.6 for g in joined)
-        near = [g for g, s in enumerate(truth) if s >= 0.8]
-        assert sum(g in joined for g in near) >= 0.9 * len(near)
+        monkeypatch.setattr(simhash, "ROW_SHINGLES", row)
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(table).collect()}
+        assert all(got[2 * g + 1] == 2 * g + 1 for g in far)  # no pair below the similarity links
+        assert sum(got[i] == wanted[i] for i in wanted) >= 0.99 * len(wanted) and all(got[i] == wanted[i] for i in wanted if i >= 1000)
 
 
 def test_similar_documents_edges(spark, edge_docs, no_docs):
