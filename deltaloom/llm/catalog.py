@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deltaloom.llm import bpe, decontaminate, embeddings, langid, licenses, lm, quality, secrets, simhash, substring
+from deltaloom.llm import bpe, collocations, decontaminate, embeddings, langid, licenses, lm, quality, secrets, simhash, substring
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_quality": quality.op9_quality,
     "op10_substring": substring.op10_substring,
+    "op11_collocations": collocations.op11_collocations,
 }
 
 #: The others hold trained models, seeded 64-bit hashes, tokenizers or look-behind patterns; tests/llm has their brute force.
@@ -37,4 +38,21 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM p JOIN f USI
 words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
 kept AS (SELECT words.doc_id, count(*) AS n, sha256(string_agg(word, ' ' ORDER BY words.k)) AS digest FROM words ANTI JOIN gone ON gone.doc_id = words.doc_id AND gone.k = words.k GROUP BY 1)
 SELECT w.doc_id, len(ws)::bigint AS n_words, len(ws) - coalesce(n, 0) AS n_removed, coalesce(digest, sha256('')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+    "op11_collocations": r"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts),
+split AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+grams AS (SELECT lang, m, array_to_string(list_slice(ws, i, i + m - 1), ' ') AS g FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM split, (VALUES (1), (2), (3), (4)) v(m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, g, count(*) AS c FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(c)::bigint AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT lang, m, g, string_split(g, ' ') AS ws, c AS a FROM f WHERE m >= 2 AND c >= 30),
+part AS MATERIALIZED (SELECT struct_pack(lang := lang, g := g) AS key, c FROM f WHERE c >= 30),
+cut AS MATERIALIZED (SELECT *, array_to_string(list_slice(ws, 1, k), ' ') AS left, array_to_string(list_slice(ws, k + 1, m), ' ') AS right FROM (SELECT *, unnest(range(1, m)) AS k FROM cand)),
+cuts AS (SELECT cand.lang, cand.g, a, k, x.c AS l, y.c AS r, (2000000::hugeint * a) // (x.c::hugeint + y.c) AS score
+         FROM cut cand JOIN part x ON x.key = struct_pack(lang := cand.lang, g := cand.left) JOIN part y ON y.key = struct_pack(lang := cand.lang, g := cand.right)),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+longer AS (SELECT lang, array_to_string(list_slice(ws, i, i + s - 1), ' ') AS g, max(a) AS most FROM (SELECT lang, ws, a, m, s, unnest(range(1, m - s + 2)) AS i FROM cand, (VALUES (2), (3)) v(s) WHERE s < m) GROUP BY ALL),
+kept AS (SELECT best.lang, best.g AS phrase, a, l, r, score FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.g = best.g WHERE NOT coalesce(100::hugeint * most >= 80::hugeint * a, false))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::bigint AS score FROM kept JOIN totals USING (lang)
+QUALIFY rank <= 2000""",
 }
