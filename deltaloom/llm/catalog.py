@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deltaloom.llm import bpe, collocations, decontaminate, embeddings, langid, licenses, lm, quality, secrets, simhash, substring
+from deltaloom.llm import bpe, collocations, conversations, conversations_sql, decontaminate, embeddings, langid, licenses, lm, quality, secrets, simhash, substring
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_substring": substring.op10_substring,
     "op11_collocations": collocations.op11_collocations,
+    "op12_conversations": conversations.op12_conversations,
 }
 
 #: The others hold trained models, seeded 64-bit hashes, tokenizers or look-behind patterns; tests/llm has their brute force.
@@ -55,4 +56,5 @@ longer AS (SELECT lang, array_to_string(list_slice(ws, i, i + s - 1), ' ') AS g,
 kept AS (SELECT best.lang, best.g AS phrase, a, l, r, score FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.g = best.g WHERE NOT coalesce(100::hugeint * most >= 80::hugeint * a, false))
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::bigint AS score FROM kept JOIN totals USING (lang)
 QUALIFY rank <= 2000""",
+    "op12_conversations": conversations_sql.sql(),
 }
