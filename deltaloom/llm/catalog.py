@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deltaloom.llm import bpe, collocations, conversations, conversations_sql, decontaminate, embeddings, langid, licenses, lm, quality, secrets, simhash, substring
+from deltaloom.llm import bpe, collocations, conversations, conversations_sql, decontaminate, embeddings, langid, licenses, lm, pii, quality, secrets, simhash, substring
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_substring": substring.op10_substring,
     "op11_collocations": collocations.op11_collocations,
     "op12_conversations": conversations.op12_conversations,
+    "op13_pii": pii.op13_pii,
 }
 
 #: The others hold trained models, seeded 64-bit hashes, tokenizers or look-behind patterns; tests/llm has their brute force.
