@@ -13,7 +13,7 @@ def test_query(spark, sf_dir, name):
     df = catalog.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     rows = sorted(tuple(str(row[c]) for c in columns) for row in df.collect())
-    if name not in ("op5_licenses", "op6_decontaminate", "op2_embeddings"):
+    if name not in ("op5_licenses", "op6_decontaminate", "op2_embeddings", "op11_collocations", "op12_conversations"):
         assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     if name in catalog.ORACLE_SQL:
         con = duckdb.connect()
