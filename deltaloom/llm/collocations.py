@@ -4,7 +4,7 @@ Texts become blocks: the words of some texts of one language, coded by the block
 ends. Adding up the dictionaries counts the words; frequent ones get a dense number, and a join of the dictionaries with
 them (never of single words) gives each block its numbers. All other words become breaks, for no phrase that holds one can be
 frequent. Within a block the phrases of one length are packed, sorted and run-length counted, so that what is shuffled is
-one row for each different phrase of a block: its key, five bytes a word, big-endian. Keys are range-partitioned, sorted by
+one row for each different phrase of a block: its key, four bytes a word, big-endian (so Spark's sort needs nothing but the prefix of a pair). Keys are range-partitioned, sorted by
 their prefix and run-length counted again, which adds up the blocks.
 
 Lengths are taken in turn. A phrase is only packed if both its parts one word shorter may be frequent, which a bitmap of fixed
@@ -25,9 +25,11 @@ LONGEST, LEAST = 4, 30
 #: A phrase is dropped for a longer one that has this share (in hundredths) of its count; so many are returned of a language.
 SHARE, TOP = 80, 2000
 #: Words of one language in a block, and of all languages that one task holds before it writes them.
-BLOCK_WORDS, HELD_WORDS = 2_000_000, 4_000_000
-#: Bytes of a word's number in a key (10**12 frequent words).
-WIDTH = 5
+BLOCK_WORDS, HELD_WORDS = 1_000_000, 2_000_000
+#: Bytes of a word's number in a key, and from how many frequent words on it takes WIDE bytes.
+NARROW, WIDE, MANY = 4, 8, 1 << 32
+#: Rows that a task hands on at once.
+_ROWS = 200_000
 _SPLITS = np.zeros(256, dtype=bool)
 _SPLITS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _GAPS = np.zeros(256, dtype=bool)
@@ -114,19 +116,19 @@ def blocks(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, "block bigint, lang string, own bigint, tokens bigint, codes binary, words array<string>, counts array<bigint>")
 
 
-def numbered(words: DataFrame) -> tuple[DataFrame, str]:
-    """The rows with a dense ``id`` from 1, and the folder of the table that fixes it. The driver sees a count for each partition."""
-    table, path = write_out(words.withColumn("at", F.monotonically_increasing_id()), "frequent")
+def numbered(words: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with a dense ``id`` from 1, and the bytes that an id takes. The driver sees a count for each partition."""
+    table, _ = write_out(words.withColumn("at", F.monotonically_increasing_id()), "frequent")
     part, at = F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1)
     sizes = sorted((row.part, row["count"]) for row in table.groupBy(part).count().collect())
     before = np.concatenate(([0], np.cumsum([n for _, n in sizes])))
     lead = words.sparkSession.createDataFrame([(p, int(b)) for (p, _), b in zip(sizes, before)], "part bigint, lead bigint")
     placed = table.withColumn("part", part).join(F.broadcast(lead), "part")
-    return placed.select(*words.columns, (F.col("lead") + at + 1).alias("id")), path
+    return placed.select(*words.columns, (F.col("lead") + at + 1).alias("id")), NARROW if before[-1] < MANY else WIDE
 
 
-def _key(number: Column) -> Column:
-    return F.unhex(F.lpad(F.hex(number), 2 * WIDTH, "0"))
+def _key(number: Column, width: int) -> Column:
+    return F.unhex(F.lpad(F.hex(number), 2 * width, "0"))
 
 
 def encode(coded: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -158,22 +160,33 @@ def phrase_hashes(numbers: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _packed(columns: list[np.ndarray], top: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position of one phrase of each kind, its count): the columns packed to one number, sorted, runs counted."""
-    bits, key, width = max(1, int(top).bit_length()), columns[0].astype(np.uint64), max(1, int(top).bit_length())
+def _packed(columns: list[np.ndarray], top: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the different phrases, column by column, and their counts): packed to one number each, sorted, runs counted."""
+    bits = max(1, int(top).bit_length())
+    if bits * len(columns) <= 64:
+        key = columns[0].astype(np.uint64)
+        for x in columns[1:]:
+            key <<= np.uint64(bits)
+            key |= x.astype(np.uint64)
+        key.sort()
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        kinds, count = key[starts], np.diff(np.append(starts, len(key)))
+        mask = np.uint64((1 << bits) - 1)
+        return [((kinds >> np.uint64(bits * k)) & mask).astype(np.int64) for k in range(len(columns) - 1, -1, -1)], count
+    key, width = columns[0].astype(np.uint64), bits
     for x in columns[1:]:
         if width + bits > 64:  # ranks in place of what is packed so far
             kinds, key = np.unique(key, return_inverse=True)
             key, width = key.astype(np.uint64), max(1, len(kinds).bit_length())
         key, width = (key << np.uint64(bits)) | x.astype(np.uint64), width + bits
     _, at, count = np.unique(key, return_index=True, return_counts=True)
-    return at, count
+    return [x[at].astype(np.int64) for x in columns], count
 
 
-def _bytes_of(numbers: list[np.ndarray]) -> np.ndarray:
-    """Keys of phrases: WIDTH big-endian bytes a word."""
+def _bytes_of(numbers: list[np.ndarray], width: int) -> np.ndarray:
+    """Keys of phrases: ``width`` big-endian bytes a word."""
     wide = np.stack(numbers, axis=1).astype(">u8").view(np.uint8).reshape(len(numbers[0]), len(numbers), 8)
-    return np.ascontiguousarray(wide[:, :, 8 - WIDTH :]).reshape(len(numbers[0]), -1)
+    return np.ascontiguousarray(wide[:, :, 8 - width :]).reshape(len(numbers[0]), -1)
 
 
 def _keyed(keys: np.ndarray, *columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
@@ -183,34 +196,39 @@ def _keyed(keys: np.ndarray, *columns: np.ndarray, names: list[str]) -> pa.Recor
     return pa.RecordBatch.from_arrays([array, *[pa.array(c, pa.int64()) for c in columns]], names=["key", *names])
 
 
-def runs(encoded: DataFrame, n: int, shared=None) -> DataFrame:
+def runs(encoded: DataFrame, n: int, width: int, shared=None) -> DataFrame:
     """(key, seen): how often each phrase of ``n`` words starts in each block, if both its parts of n - 1 words may be frequent."""
 
+    def starts(codes, own, ids, bits):
+        """Where phrases start, found in slices."""
+        m, known = len(codes) - n + 1, codes > 0
+        for a in range(0, min(m, own), _ROWS):
+            b = min(m, own, a + _ROWS)
+            good = known[a:b].copy()
+            for j in range(1, n):
+                good &= known[a + j : b + j]
+            at = a + np.flatnonzero(good)
+            if bits is not None and len(at):
+                part = [ids[codes[at + j] - 1] for j in range(n)]
+                at = at[holds(bits, phrase_hashes(part[:-1])) & holds(bits, phrase_hashes(part[1:]))]
+            yield at
+
     def run(batches):
         bits = None if shared is None else view_bits(shared)
         for batch in batches:
             for k in range(batch.num_rows):
                 codes, ids = np.frombuffer(batch.column(0)[k].as_buffer(), dtype=np.uint32), np.frombuffer(batch.column(2)[k].as_buffer(), dtype=np.int64)
-                m = len(codes) - n + 1
-                if m < 1:
-                    continue
-                good = np.ones(m, dtype=bool)
-                good[batch.column(1)[k].as_py() :] = False
-                for j in range(n):
-                    good &= codes[j : j + m] > 0
-                at = np.flatnonzero(good)
-                if bits is not None and len(at):
-                    part = [ids[codes[at + j] - 1] for j in range(n)]
-                    at = at[holds(bits, phrase_hashes(part[:-1])) & holds(bits, phrase_hashes(part[1:]))]
+                at = np.concatenate([np.zeros(0, np.int64), *starts(codes, batch.column(1)[k].as_py(), ids, bits)])
                 if not len(at):
                     continue
-                first, count = _packed([codes[at + j] for j in range(n)], len(ids))
-                yield _keyed(_bytes_of([ids[codes[at[first] + j] - 1] for j in range(n)]), count, names=["seen"])
+                kinds, count = _packed([codes[at + j] for j in range(n)], len(ids))
+                for a in range(0, len(count), _ROWS):
+                    yield _keyed(_bytes_of([ids[x[a : a + _ROWS] - 1] for x in kinds], width), count[a : a + _ROWS], names=["seen"])
 
     return encoded.mapInArrow(run, "key binary, seen bigint")
 
 
-def counted(found: DataFrame, least: int) -> DataFrame:
+def counted(found: DataFrame, least: int, width: int) -> DataFrame:
     """(key, a, hash) of the keys with a sum of ``least`` and more: range-partitioned, sorted, run-length counted."""
     dealt = found.repartitionByRange("key").sortWithinPartitions("key")
 
@@ -220,8 +238,8 @@ def counted(found: DataFrame, least: int) -> DataFrame:
         def kept(keys, sums):
             keep = sums >= least
             if keep.any():
-                wide = np.zeros((int(keep.sum()), keys.shape[1] // WIDTH, 8), dtype=np.uint8)
-                wide[:, :, 8 - WIDTH :] = keys[keep].reshape(len(wide), -1, WIDTH)
+                wide = np.zeros((int(keep.sum()), keys.shape[1] // width, 8), dtype=np.uint8)
+                wide[:, :, 8 - width :] = keys[keep].reshape(len(wide), -1, width)
                 numbers = wide.reshape(len(wide), -1).view(">u8").astype(np.uint64)
                 yield _keyed(keys[keep], sums[keep], phrase_hashes(list(numbers.T)).view(np.int64), names=["a", "hash"])
 
@@ -229,9 +247,9 @@ def counted(found: DataFrame, least: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             column = batch.column(0)
-            width = len(column[0].as_buffer())
-            start = column.offset * width
-            keys = np.frombuffer(column.buffers()[2], dtype=np.uint8)[start : start + len(column) * width].reshape(-1, width)
+            size = len(column[0].as_buffer())
+            start = column.offset * size
+            keys = np.frombuffer(column.buffers()[2], dtype=np.uint8)[start : start + len(column) * size].reshape(-1, size)
             seen = batch.column(1).to_numpy()
             if last is not None:
                 keys, seen = np.vstack((last, keys)), np.append(total, seen)
@@ -246,25 +264,24 @@ def counted(found: DataFrame, least: int) -> DataFrame:
     return dealt.mapInArrow(run, "key binary, a bigint, hash bigint")
 
 
-def _piece(first, words) -> Column:
-    return F.substring(F.col("key"), first * WIDTH + 1, words * WIDTH)
-
-
-def scored(phrases: DataFrame, frequent: DataFrame) -> DataFrame:
+def scored(phrases: DataFrame, frequent: DataFrame, width: int) -> DataFrame:
     """(key, a, l, r, score) of every candidate at its lowest-scoring cut, ties to the earliest."""
-    parts = frequent.select(_key(F.col("id")).alias("part"), F.col("f").alias("of")).unionByName(phrases.select(F.col("key").alias("part"), F.col("a").alias("of")))
-    size = (F.length("key") / WIDTH).cast("int")
-    cuts = phrases.select("key", "a", F.explode(F.sequence(F.lit(1), size - 1)).alias("k")).select("key", "a", "k", _piece(F.lit(0), F.col("k")).alias("left"), F.expr(f"substring(key, k * {WIDTH} + 1)").alias("right"))
+    parts = frequent.select(_key(F.col("id"), width).alias("part"), F.col("f").alias("of")).unionByName(phrases.select(F.col("key").alias("part"), F.col("a").alias("of")))
+    cuts = phrases.select("key", "a", F.explode(F.sequence(F.lit(1), _size(width) - 1)).alias("k")).select("key", "a", "k", F.expr(f"substring(key, 1, k * {width})").alias("left"), F.expr(f"substring(key, k * {width} + 1)").alias("right"))
     cuts = cuts.join(parts.select(F.col("part").alias("left"), F.col("of").alias("l")), "left").join(parts.select(F.col("part").alias("right"), F.col("of").alias("r")), "right")
     score = F.expr("(cast(2000000 as decimal(8, 0)) * cast(a as decimal(20, 0))) div cast(cast(l as decimal(20, 0)) + r as decimal(21, 0))")
     best = cuts.withColumn("score", score).groupBy("key").agg(F.first("a").alias("a"), F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     return best.select("key", "a", "cut.l", "cut.r", "cut.score")
 
 
-def outside_longer(phrases: DataFrame, share: int) -> DataFrame:
+def _size(width: int) -> Column:
+    return (F.length("key") / width).cast("int")
+
+
+def outside_longer(phrases: DataFrame, share: int, width: int) -> DataFrame:
     """The candidates that no longer candidate with ``share`` hundredths of their count holds."""
-    size = (F.length("key") / WIDTH).cast("int")
-    inner = phrases.where(size > 2).select("a", F.explode(F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda n: F.transform(F.sequence(F.lit(0), size - n), lambda i: F.substring(F.col("key"), i * WIDTH + 1, n * WIDTH))))).alias("key"))
+    size = _size(width)
+    inner = phrases.where(size > 2).select("a", F.explode(F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda n: F.transform(F.sequence(F.lit(0), size - n), lambda i: F.substring(F.col("key"), i * width + 1, n * width))))).alias("key"))
     most = inner.groupBy("key").agg(F.max("a").alias("most"))
     held = F.expr(f"100 * cast(most as decimal(20, 0)) >= {share} * cast(a as decimal(20, 0))")
     return phrases.join(most, "key", "left").where(~F.coalesce(held, F.lit(False))).select("key", "a")
@@ -288,13 +305,13 @@ def phrases_of(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     totals = coded.groupBy("lang").agg(F.sum("tokens").alias("n"))
     one = F.explode(F.arrays_zip("words", "counts")).alias("one")
     words = coded.select("lang", one).groupBy("lang", F.col("one.words").alias("word")).agg(F.sum("one.counts").alias("f")).where(F.col("f") >= least)
-    frequent, _ = numbered(words)
+    frequent, width = numbered(words)
     encoded, path = write_out(encode(coded, frequent), "encoded")
     totals, _ = write_out(totals, "totals")
     remove(spark, raw)
     levels, shared = [], None
     for n in range(2, longest + 1):
-        level, _ = write_out(counted(runs(encoded, n, shared), least), f"phrases-{n}")
+        level, _ = write_out(counted(runs(encoded, n, width, shared), least, width), f"phrases-{n}")
         levels.append(level)
         if n < longest:
             shared = shared_bitmap(level.select("hash"))
@@ -302,10 +319,9 @@ def phrases_of(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)
-    best = scored(found, frequent).join(outside_longer(found, share).select("key"), "key")
-    size = (F.length("key") / WIDTH).cast("int")
-    spelled = best.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(F.col("key"), i * WIDTH + 1, F.lit(WIDTH)))).alias("at", "word_key"))
-    spelled = spelled.join(frequent.select(_key(F.col("id")).alias("word_key"), "word", "lang"), "word_key").groupBy("key").agg(F.first("lang").alias("lang"), F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"])).alias("phrase"))
+    best = scored(found, frequent, width).join(outside_longer(found, share, width).select("key"), "key")
+    spelled = best.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), _size(width) - 1), lambda i: F.substring(F.col("key"), i * width + 1, F.lit(width)))).alias("at", "word_key"))
+    spelled = spelled.join(frequent.select(_key(F.col("id"), width).alias("word_key"), "word", "lang"), "word_key").groupBy("key").agg(F.first("lang").alias("lang"), F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"])).alias("phrase"))
     named = best.join(spelled, "key").join(totals, "lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     return named.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))

@@ -52,6 +52,7 @@ def test_phrases_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(collocations, "BLOCK_WORDS", 37)
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     assert phrases(df, least=9) == sorted(brute_phrases(rows, 9))
+    monkeypatch.setattr(collocations, "MANY", 1)  # eight bytes a word
     assert phrases(df, least=9, top=3) == sorted(brute_phrases(rows, 9, top=3))
     assert phrases(df, least=9, share=40, longest=4) == sorted(brute_phrases(rows, 9, share=40))
 
@@ -64,8 +65,8 @@ def test_phrases_of_real_texts(spark, docs):
 def test_packing_beyond_64_bits():
     columns = [np.array([5, 5, 1, 5], dtype=np.uint32), np.array([7, 7, 2, 7], dtype=np.uint32), np.array([9, 9, 3, 8], dtype=np.uint32), np.array([1, 1, 4, 1], dtype=np.uint32)]
     for top in (9, 1 << 30):
-        at, count = collocations._packed(columns, top)
-        assert sorted(zip(at.tolist(), count.tolist())) == [(0, 2), (2, 1), (3, 1)]
+        kinds, count = collocations._packed(columns, top)
+        assert sorted(zip(zip(*(x.tolist() for x in kinds)), count.tolist())) == [((1, 2, 3, 4), 1), ((5, 7, 8, 1), 1), ((5, 7, 9, 1), 2)]
 
 
 def test_phrases_edges(spark, edge_docs, no_docs):
