@@ -52,6 +52,65 @@ def reach(starts: DataFrame, edges: DataFrame, depth: int | None = None, node: s
     return seen
 
 
+def _spread(labels: DataFrame, step: DataFrame, better) -> DataFrame:
+    """Labels (node, label) after they have gone along edges (node, next_) as far as they improve; ``better`` is F.max or F.min."""
+    moved = labels
+    while not moved.isEmpty():
+        met = moved.join(step, "node").groupBy(F.col("next_").alias("node")).agg(better("label").alias("new_"))
+        best = labels.join(met, "node", "left").withColumn("old_", F.col("label"))
+        pick = F.greatest if better is F.max else F.least
+        best = materialise(best.select("node", pick("label", "new_").alias("label"), "old_"), "labels")
+        moved, labels = best.where("label <> old_").select("node", "label"), best.select("node", "label")
+    return labels
+
+
+def strong_components(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """(node, component): nodes that reach each other share a component, named by its largest node; every end of an edge has one.
+
+    Nodes without edges in or out among those left are components of their own and go at once. Each other node gets
+    the largest node that reaches it; what reaches such a node back within its label is that node's component. Nodes left go
+    on. Each round is a written table; rounds grow with the graph's longest shortest path, not with its size.
+    """
+    step = materialise(edges.select(F.col(source).alias("node"), F.col(target).alias("next_")).where("node IS NOT NULL AND next_ IS NOT NULL AND node <> next_").distinct(), "edges")
+    ends = edges.select(F.explode(F.array(source, target)).alias("node")).where("node IS NOT NULL").distinct()
+    left, out = materialise(ends, "nodes"), None
+    while not left.isEmpty():
+        inner = left.join(step.select("node").distinct(), "node", "left_semi").join(step.select(F.col("next_").alias("node")).distinct(), "node", "left_semi")
+        alone = left.join(inner, "node", "left_anti").select("node", F.col("node").alias("component"))
+        if alone.isEmpty():
+            labels = _spread(left.select("node", F.col("node").alias("label")), step, F.max)
+            same = step.join(labels, "node").join(labels.select(F.col("node").alias("next_"), F.col("label").alias("to_")), "next_").where("label = to_")
+            back = materialise(same.select(F.col("next_").alias("node"), F.col("node").alias("next_")), "edges")
+            found = level = materialise(labels.where("node = label").select("node", F.col("label").alias("component")), "component")
+            while not level.isEmpty():
+                level = materialise(level.join(back, "node").select(F.col("next_").alias("node"), "component").distinct().join(found, "node", "left_anti"), "component")
+                found = found.unionByName(level)
+            alone = found
+        alone = materialise(alone, "component")
+        out = alone if out is None else out.unionByName(alone)
+        left = materialise(left.join(alone, "node", "left_anti"), "nodes")
+        step = materialise(step.join(left, "node", "left_semi").join(left.select(F.col("node").alias("next_")), "next_", "left_semi").select("node", "next_"), "edges")
+    return out if out is not None else ends.select("node", F.col("node").alias("component"))
+
+
+def component_closure(edges: DataFrame, source: str = "source", target: str = "target") -> tuple[DataFrame, DataFrame]:
+    """((node, component), (component, reached)): what each component reaches, itself included. Cycles are gone, so pairs are few."""
+    parts = materialise(strong_components(edges, source, target), "components")
+    ends = edges.select(F.col(source).alias("node"), F.col(target).alias("next_")).join(parts, "node").join(parts.select(F.col("node").alias("next_"), F.col("component").alias("to_")), "next_")
+    between = ends.where("component <> to_").select(F.col("component").alias("source"), F.col("to_").alias("target")).distinct()
+    reached = reach(parts.select(F.col("component").alias("node")).distinct(), materialise(between, "between"))
+    return parts, reached.select(F.col("root").alias("component"), F.col("node").alias("reached"))
+
+
+def reachable(starts: DataFrame, edges: DataFrame, node: str = "node", source: str = "source", target: str = "target") -> DataFrame:
+    """(root, node): everything reachable from each start, itself included; pairs of nodes are made from component sets at the end only."""
+    parts, closure = component_closure(edges, source, target)
+    roots = starts.select(F.col(node).alias("root")).where("root IS NOT NULL").distinct()
+    met = roots.join(parts.select(F.col("node").alias("root"), "component"), "root").join(closure, "component").join(parts.select("node", F.col("component").alias("reached")), "reached")
+    alone = roots.join(parts.select(F.col("node").alias("root")), "root", "left_anti").select("root", F.col("root").alias("node"))
+    return met.select("root", "node").unionByName(alone)
+
+
 def impact(changed: DataFrame, edges: DataFrame, depth: int = 2, node: str = "node") -> DataFrame:
     """What depends on changed nodes: reach over reversed edges that are not of kind ``contains``."""
     reverse = edges.where(F.col("kind") != "contains").select(F.col("target").alias("source"), F.col("source").alias("target"))

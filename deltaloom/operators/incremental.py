@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deltaloom.functions import text
@@ -102,6 +103,22 @@ def _folder(spark, folder: str):
     return path, fs, held
 
 
+def rename_new(spark, made: str, target: str) -> bool:
+    """Move a finished file or folder to a name that nobody has; False if it exists, also if another writer made it meanwhile."""
+    jvm = spark.sparkContext._jvm
+    never = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    never[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    path, fs, _ = _folder(spark, target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(path(target)).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(path(made)), fs.makeQualified(path(target)), never)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.toString():
+            return False
+        raise
+    return True
+
+
 def _versions(names) -> list[int]:
     return [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()]
 
@@ -110,7 +127,8 @@ def write_state(state: DataFrame, folder: str) -> str:
     """Write a new version of the state beside the old ones and return its path; readers take the largest number.
 
     A version appears by one rename, so an interrupted write leaves only a folder that no reader looks at, and later writes
-    delete it when it is STALE_HOURS old. If another writer took the number meanwhile, the next one is taken.
+    delete it when it is STALE_HOURS old. The rename replaces and enters nothing that exists: if another writer took the number
+    meanwhile, the next one is taken.
     """
     path, fs, held = _folder(state.sparkSession, folder)
     fs.mkdirs(path(folder))
@@ -121,13 +139,18 @@ def write_state(state: DataFrame, folder: str) -> str:
     state.write.parquet(made)
     while True:
         target = f"{folder}/v={max(_versions(_folder(state.sparkSession, folder)[2]), default=0) + 1}"
-        if not fs.exists(path(target)) and fs.rename(path(made), path(target)):
+        if rename_new(state.sparkSession, made, target):
             return target
 
 
 def read_state(spark, folder: str) -> DataFrame | None:
-    """The latest version written by write_state; None if there is none."""
-    done = _versions(_folder(spark, folder)[2])
+    """The latest version written by write_state, or the state of a log that statelog.merge_batch wrote; None if there is none."""
+    names = _folder(spark, folder)[2]
+    if "log" in names:
+        from deltaloom.operators import statelog
+
+        return statelog.read_log(spark, folder)
+    done = _versions(names)
     return spark.read.parquet(f"{folder}/v={max(done)}") if done else None
 
 

@@ -110,9 +110,23 @@ def next_id(ids: DataFrame, column: str) -> DataFrame:
 
 
 def unique_titles(rows: DataFrame, title: str, identity: str) -> DataFrame:
-    """Titles with duplicates told apart: the first by identity keeps its title, the n-th gets ``_n``."""
+    """Titles with duplicates told apart: the first by identity keeps its title, the others get ``_n``, n from 2, past names that exist.
+
+    The numbers that existing titles take from a family (``a_2`` from ``a``) leave gaps; the k-th duplicate gets the k-th number that is
+    free. Both are merged in one order: before the j-th taken number t there are t - 1 - j free ones.
+    """
     nth = F.row_number().over(Window.partitionBy(title).orderBy(identity))
-    return rows.withColumn("unique_title", F.when(nth == 1, F.col(title)).otherwise(F.concat(F.col(title), F.lit("_"), nth.cast("string"))))
+    numbered = rows.withColumn("nth_", nth)
+    taken = rows.select(F.regexp_extract(title, r"(?s)^(.*)_([1-9]\d{0,17})$", 1).alias("base_"), F.regexp_extract(title, r"(?s)^(.*)_([1-9]\d{0,17})$", 2).alias("n_")).where("n_ <> ''")
+    taken = taken.select("base_", F.col("n_").cast("long").alias("n_")).where("n_ >= 2").distinct()
+    order = Window.partitionBy("base_").orderBy("n_")
+    gaps = taken.select(F.col("base_").alias(title), (F.col("n_") - F.row_number().over(order)).alias("at_"), F.lit(1).alias("taken_"))  # reached from the at_-th duplicate on
+    again = numbered.where("nth_ > 1").select(title, (F.col("nth_") - 1).cast("long").alias("at_"), F.lit(0).alias("taken_")).distinct()
+    merged = Window.partitionBy(title).orderBy("at_", F.desc("taken_")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = gaps.unionByName(again).withColumn("shift_", F.sum("taken_").over(merged)).where("taken_ = 0").select(title, (F.col("at_") + 1).alias("nth_"), "shift_")
+    both = numbered.join(placed, [title, "nth_"], "left")
+    name = F.when(F.col("shift_").isNull(), F.col(title)).otherwise(F.concat(F.col(title), F.lit("_"), (F.col("nth_") + F.col("shift_")).cast("string")))
+    return both.select(*[c for c in rows.columns if c != "unique_title"], name.alias("unique_title"))
 
 
 def nesting(lines: DataFrame, doc: str = "doc", ord_col: str = "ord", body: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deltaloom.functions import text
 from deltaloom.operators.ordering import number_rows
+from deltaloom.plans.session import materialise
 
 #: Trust in where a term comes from.
 SOURCE_RANK = {
@@ -125,17 +126,52 @@ def upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def retrieve(queries: DataFrame, items: DataFrame, weights: dict[str, int], most: int = 6) -> DataFrame:
+#: Postings of one (feature, value) beyond which it is hot: it is read for surviving candidates only, where bounds allow that.
+HOT_POSTINGS = 10_000
+
+
+def _feature_scores(shared: DataFrame, weight: Column) -> DataFrame:
+    by_feature = shared.groupBy("query_id", "item_id", "feature").agg(F.count("*").alias("n"))
+    return by_feature.withColumn("points", F.coalesce(weight, F.lit(0)) + F.least(F.lit(2), F.col("n") - 1))
+
+
+def retrieval_candidates(queries: DataFrame, items: DataFrame, weights: dict[str, int], most: int = 6, hot: int = HOT_POSTINGS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates (query_id, item_id), queries that must read hot postings whole (query_id), distinct item features), written tables.
+
+    Hot values can add at most a known bound to an item of a query. Items found by other values have scores from those; if the
+    ``most``-th of them beats the bound, no item that only hot values share can come in, and of those found only the ones within
+    the bound of the ``most``-th survive.
+    """
+    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("feature")]
+    asked, held = materialise(queries.distinct(), "asked"), materialise(items.distinct(), "held")
+    postings = held.groupBy("feature", "value").agg((F.count("*") > hot).alias("hot"))
+    asked = materialise(asked.join(postings, ["feature", "value"]), "asked")  # values that no item has add nothing
+    bound = asked.where("hot").groupBy("query_id", "feature").agg(F.count("*").alias("h"))
+    bound = bound.groupBy("query_id").agg(F.sum(F.greatest(F.lit(0), F.coalesce(weight, F.lit(0)) + F.least(F.lit(2), F.col("h")))).alias("most_more"))
+    rare = asked.where("NOT hot").select("query_id", "feature", "value").join(held, ["feature", "value"])
+    partial = materialise(_feature_scores(rare, weight).groupBy("query_id", "item_id").agg(F.sum("points").alias("so_far")), "partial")
+    order = Window.partitionBy("query_id").orderBy(F.desc("so_far"), "item_id")
+    last = partial.withColumn("r", F.row_number().over(order)).where(F.col("r") == most).select("query_id", F.col("so_far").alias("bar"))
+    limits = materialise(asked.select("query_id").distinct().join(bound, "query_id", "left").join(last, "query_id", "left").select("query_id", F.coalesce("most_more", F.lit(0)).alias("most_more"), "bar"), "limits")
+    whole = limits.where("most_more > 0 AND (bar IS NULL OR bar <= most_more)").select("query_id")
+    kept = partial.join(limits, "query_id").where("bar IS NULL OR so_far + most_more >= bar").join(whole, "query_id", "left_anti").select("query_id", "item_id")
+    return materialise(kept, "candidates"), whole, held
+
+
+def retrieve(queries: DataFrame, items: DataFrame, weights: dict[str, int], most: int = 6, hot: int = HOT_POSTINGS) -> DataFrame:
     """Top ``most`` items for each query by weighted shared features.
 
     ``queries``/``items``: rows (query_id / item_id, feature, value). Each shared distinct (feature, value) adds the
-    feature's weight; further shared values of a feature add 1 each, at most 2 more. The features meet in an equi-join on the
-    inverted index. Ties go to the smaller item.
+    feature's weight (0 or more); further shared values of a feature add 1 each, at most 2 more. The features meet in an equi-join on the
+    inverted index; values with more than ``hot`` postings only meet candidates that can still come in, which are joined on
+    the item. Queries whose bounds do not allow that read all their postings. Ties go to the smaller item.
     """
-    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    shared = queries.distinct().join(items.distinct(), ["feature", "value"])
-    scored = shared.groupBy("query_id", "item_id", "feature").agg(F.count("*").alias("n"))
-    scored = scored.groupBy("query_id", "item_id").agg(F.sum(F.coalesce(weight[F.col("feature")], F.lit(0)) + F.least(F.lit(2), F.col("n") - 1)).alias("score"))
+    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("feature")]
+    kept, whole, held = retrieval_candidates(queries, items, weights, most, hot)
+    asked = queries.distinct()
+    near = kept.join(held, "item_id").join(asked, ["query_id", "feature", "value"]).select("query_id", "item_id", "feature", "value")
+    far = asked.join(whole, "query_id", "left_semi").join(held, ["feature", "value"]).select("query_id", "item_id", "feature", "value")
+    scored = _feature_scores(near.unionByName(far), weight).groupBy("query_id", "item_id").agg(F.sum("points").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
@@ -165,6 +201,34 @@ def concept_confidence(n: Column, same_module: Column, local_hits: Column, same_
     return F.round(F.least(F.lit(0.98), total), 3)
 
 
+def scoped_concepts(evidence: DataFrame, asks: DataFrame, scopes: tuple[str, ...] = ("file", "module", "family"), least: int = 1) -> DataFrame:
+    """(ask, token, concept, level, support, n_evidence, confidence): what a token means where it is asked, from the nearest scope that tells.
+
+    ``evidence``: (token, text, one column for each scope, nearest first, each within the next); ``asks``: (ask, token, the same columns).
+    All scopes are counted in one pass over grouping sets. The nearest scope with ``least`` rows of evidence decides, else
+    the whole table; there the most frequent text wins (ties: the longest, then the least). ``level`` is the scope's number. Null scopes are no
+    scope, null and empty texts no evidence; asks without any evidence are not returned.
+    """
+    known = evidence.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("token", F.trim("text").alias("text"), *scopes)
+    sets = [["token", "text", s] for s in scopes] + [["token", "text"]]
+    level = F.lit(len(scopes))
+    for k, s in reversed(list(enumerate(scopes))):
+        level = F.when(F.grouping(s) == 0, k).otherwise(level)
+    counted = known.groupingSets(sets, "token", "text", *scopes).agg(F.count("*").alias("n"), level.alias("level"), *[F.grouping(s).alias(f"g_{s}") for s in scopes])
+    place = F.when(F.col("level") == len(scopes), F.lit("")).otherwise(F.coalesce(*[F.when(F.col(f"g_{s}") == 0, F.col(s).cast("string")) for s in scopes]))
+    counted = counted.withColumn("place", place).where("place IS NOT NULL")
+    rank = F.struct(-F.col("n"), -F.length("text"), F.col("text"))
+    told = counted.groupBy("token", "level", "place").agg(F.sum("n").alias("support"), F.min_by("text", rank).alias("concept"))
+    places = F.array(*[F.struct(F.lit(k).alias("level"), F.col(s).cast("string").alias("place")) for k, s in enumerate(scopes)], F.struct(F.lit(len(scopes)).alias("level"), F.lit("").alias("place")))
+    met = asks.select("ask", "token", F.explode(places).alias("p")).select("ask", "token", "p.level", "p.place").join(told, ["token", "level", "place"])
+    at = lambda k: F.coalesce(F.max(F.when(F.col("level") == k, F.col("support"))), F.lit(0))
+    good = (F.col("support") >= least) | (F.col("level") == len(scopes))
+    best = met.groupBy("ask", "token").agg(F.min_by(F.struct("concept", "level", "support"), F.when(good, F.col("level"))).alias("best"), *[at(k).alias(f"s{k}") for k in range(len(scopes) + 1)])
+    inner = [F.col("s0"), *[F.greatest(F.lit(0), F.col(f"s{k}") - F.col(f"s{k - 1}")) for k in range(1, len(scopes))]] + [F.lit(0)] * 3
+    total = F.col(f"s{len(scopes)}")
+    return best.select("ask", "token", "best.concept", "best.level", "best.support", total.alias("n_evidence"), concept_confidence(total, inner[1], inner[0], inner[2]).alias("confidence"))
+
+
 def batches(symbols: DataFrame, column: str, size: int = 50) -> DataFrame:
     """Symbols in batches of ``size`` in order of their first token and name."""
     prefix = F.lower(F.regexp_extract(column, r"^([A-Za-z0-9]+)", 1))

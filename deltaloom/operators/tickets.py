@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deltaloom.functions import similarity, text
 from deltaloom.operators.assign import greedy
-from deltaloom.operators.ordering import block_join, number_rows
+from deltaloom.operators.candidates import containment_pairs, length_pairs
+from deltaloom.operators.ordering import number_rows
 from deltaloom.plans.session import materialise
 
 #: Least scores of the rules and of an external matcher.
 LEAST_RULES, LEAST_EXTERNAL = 0.42, 0.55
+#: Fixed value: least text similarity.
+LEAST_RATIO = 0.55
 #: Words of code that identify nothing.
 STOP_WORDS = "int void char return if else for while switch case const static struct uint16 uint32 uint8 true false null".split()
 PATH = r"[A-Za-z0-9_./\\-]+\.(?:c|h|cpp|hpp|py|java)\b"
@@ -81,9 +84,8 @@ def rule_scores(tickets: DataFrame, changes: DataFrame, least: float = LEAST_RUL
     """Rows (change_id, seq, score, reason) of pairs that reach ``least`` by the best rule.
 
     ``tickets``: (seq, title, ids, paths, idents); ``changes``: (change_id, key, seg, blob, ids, paths, idents). Numbers, paths, file
-    names and symbols meet in equi-joins. The rules on titles look into both texts: there the stated set of tickets is held against all
-    changes in blocks, by tests on columns that were made once for each row, and only pairs that pass go on. The text similarity (``with_text``)
-    sees pairs whose lengths allow it.
+    names and symbols meet in equi-joins. The rules on titles look into both texts: candidates come from an index of grams, on either side,
+    and are tested then. The text similarity (``with_text``) sees pairs whose lengths allow it, met by bands of lengths.
     """
     base = lambda p: F.element_at(F.split(p, "/"), -1)
     squeeze = lambda x: F.regexp_replace(F.lower(x), r"\s+", "")
@@ -116,10 +118,20 @@ def rule_scores(tickets: DataFrame, changes: DataFrame, least: float = LEAST_RUL
         return pairs.withColumn("kind", titled).where("kind is not null").select("change_id", "seq", "kind", score.alias("score"), why.alias("why"))
 
     named, plain = t.where("length(title) >= 2").select("seq", "title", "core"), c.select("change_id", "key", "leaf", "blob")
-    found = found.unionByName(block_join(plain, named, "seq", titled.isNotNull(), scored))
+    # what holds the title holds its core, so one look-up finds both
+    sought = named.select("seq", F.when(F.length("core") >= 2, F.col("core")).otherwise(F.col("title")).alias("needle"))
+    texts = plain.select("change_id", F.concat_ws("\n", "leaf", "key", "blob").alias("hay"))
+    met = containment_pairs(sought, texts, "seq", "needle", "change_id", "hay")
+    inner = containment_pairs(plain.where("leaf <> ''").select("leaf").distinct(), named, "leaf", "leaf", "seq", "title")
+    inner = inner.join(named.select("seq", "title"), "seq").where(F.col("title").contains(F.col("leaf"))).join(plain.select("change_id", "leaf"), "leaf").select("seq", "change_id")
+    pairs = met.unionByName(inner).distinct().join(named, "seq").join(plain, "change_id")
+    found = found.unionByName(scored(pairs))
     if with_text:
         part = F.substring("body", F.lit(1), F.greatest(F.length("short") * 3, F.lit(80)))
-        near = block_join(c.select("change_id", "body"), t.select("seq", "short"), "seq", similarity.length_bound(F.col("short"), part) >= 0.55, lambda df: df.withColumn("ratio", similarity.ratio(F.col("short"), part, junk=True)).where("ratio >= 0.55"))
+        asked, told = t.where("short <> ''").select("seq", "short"), c.where("body <> ''").select("change_id", "body")
+        # a body cut to three titles, or to 80 characters, is too long for the ratio; so whole bodies are compared
+        met = length_pairs(told, asked, F.length("body"), F.length("short"), LEAST_RATIO)
+        near = met.withColumn("ratio", similarity.ratio(F.col("short"), part, junk=True)).where(F.col("ratio") >= LEAST_RATIO)
         found = found.unionByName(near.select("change_id", "seq", F.lit("sim").alias("kind"), (0.45 + 0.25 * F.col("ratio")).alias("score"), F.concat(F.lit("sim:"), F.format_number("ratio", 2)).alias("why")))
     rank = F.array_position(F.array(*map(F.lit, ("doc_id", "path", "file", "symbol", "leaf", "key", "keyword", "sim"))), F.col("kind"))
     reasons = F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "why"))), lambda x: x["why"])

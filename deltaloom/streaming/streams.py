@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deltaloom.functions import text
-from deltaloom.operators import incremental
+from deltaloom.operators import statelog
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -37,18 +37,14 @@ def distinct_events(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 def track_fingerprints(docs: DataFrame, folder: str, checkpoint: str, keys: list[str], body: str, order: str | None = None):
     """A query that keeps the latest fingerprint and a version of each key; unchanged keys keep their version.
 
-    Each micro-batch reads the latest state, merges its rows and writes the next version; a batch that runs again writes
-    the same rows. Of a key that comes twice in a batch the row with the largest ``order`` counts, then the largest hash.
+    Each micro-batch appends the rows that it changed to a log of deltas (operators.statelog; read it by ``statelog.read_log``), so what it
+    writes grows with the batch and not with the state; a batch that runs again is recognised by its number. Of a key that
+    comes twice in a batch the row with the largest ``order`` counts, then the largest hash.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         rank = F.struct(*([F.col(order)] if order else []), text.short_hash(body).alias("hash"))
         now = batch.groupBy(*keys).agg(F.max(rank).alias("last")).select(*keys, "last.hash")
-        state = incremental.read_state(spark, folder)
-        if state is None:
-            state = now.limit(0).withColumn("version", F.lit(0))
-        kept = state.join(now.select(keys), keys, "left_anti").select(*keys, "hash", "version")
-        incremental.write_state(kept.unionByName(incremental.update_state(state, now, keys)), folder)
+        statelog.merge_batch(now, folder, keys, number)
 
     return docs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
