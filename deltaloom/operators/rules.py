@@ -22,10 +22,12 @@ RETURNS = {
     "timeout": "E_TIMEOUT",
     "passed": "PASS",
 }
+#: Rules up to this number are broadcast, and joined by shuffle beyond it.
+BROADCAST_RULES = 10_000
 CONDITION = r"^\s*([^<>=!&|]+?)\s*(==|!=|<=|>=|<|>)\s*([^<>=!&|]+?)\s*;?\s*$"
 MEMSET = r"^\s*memset\s*\(\s*(?:\([^)]*\)\s*)?&?\s*([^,()]+?)\s*,\s*([^,()]+?)\s*,"
 MEMCPY = r"^\s*(?:memcpy|memmove)\s*\(\s*([^,()]+?)\s*,\s*([^,()]+?)\s*,"
-ASSIGN = r"^\s*([^=<>!]+?)\s*=\s*([^=]+?)\s*;?\s*$"
+ASSIGN = r"^\s*([^=<>!]*[^=<>!+*/%&|^\s-])\s*=\s*([^=]+?)\s*;?\s*$"
 RETURN = r"^\s*return\b\s*([A-Za-z_0-9]*)\s*;?\s*$"
 ZERO, CONSTANT = r"^(0[UuLl]*|0x0[UuLl]*)$", r"^([0-9][0-9A-Za-z]*|[A-Z_][A-Z0-9_]*)$"
 
@@ -47,15 +49,16 @@ def forward_chain(facts: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     the latest after as many as there are rules. Null facts match nothing; an empty table gives an empty one.
     """
     columns = [key, "property", "value"]
+    small = F.broadcast if rules.count() <= BROADCAST_RULES else (lambda rows: rows)
     fresh = seen = materialise(facts.select(columns).where("property IS NOT NULL").distinct(), "facts")
     conditions = rules.select("rule", "n", "at", "property", F.col("value").alias("wanted"))
     heads, met = rules.select("rule", F.col("to_property").alias("property"), F.col("to_value").alias("value")).distinct(), None
     while not fresh.isEmpty():
-        hits = fresh.join(conditions, "property").where(F.col("wanted").isNull() | (F.col("wanted") == F.col("value"))).select(key, "rule", "n", "at").distinct()
+        hits = fresh.join(small(conditions), "property").where(F.col("wanted").isNull() | (F.col("wanted") == F.col("value"))).select(key, "rule", "n", "at").distinct()
         now = materialise(hits if met is None else hits.join(met, [key, "rule", "at"], "left_anti").select(key, "rule", "n", "at"), "met")
         met = now if met is None else met.unionByName(now)
         fired = met.join(now.select(key, "rule").distinct(), [key, "rule"], "left_semi").groupBy(key, "rule", "n").agg(F.count("*").alias("held")).where("held = n")
-        made = fired.join(heads, "rule").select(columns).distinct()
+        made = fired.join(small(heads), "rule").select(columns).distinct()
         fresh = materialise(made.join(seen, columns, "left_anti"), "facts")
         seen = seen.unionByName(fresh)
     return seen
@@ -69,7 +72,8 @@ def first_match(rows: DataFrame, key: str, words: Column, rules: DataFrame) -> D
     """
     each = rows.select(F.col(key), F.size(words).alias("n_"), F.posexplode(words).alias("at_", "word"))
     fits = (F.col("place") == "any") | ((F.col("place") == "first") & (F.col("at_") == 0)) | ((F.col("place") == "last") & (F.col("at_") == F.col("n_") - 1))
-    best = each.join(rules, "word").where(fits).groupBy(key).agg(F.min(F.struct("priority", "label")).alias("best"))
+    small = F.broadcast if rules.count() <= BROADCAST_RULES else (lambda rows: rows)
+    best = each.join(small(rules), "word").where(fits).groupBy(key).agg(F.min(F.struct("priority", "label")).alias("best"))
     return best.select(key, "best.label", "best.priority")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deltaloom.operators import alignment, graph, retry, rules, sections, terms
+from deltaloom.operators.ordering import number_rows
 from deltaloom.plans.registry import query, table
 
 #: Statements made of a part's key and size; residues of 14 tell the shape.
@@ -68,7 +69,7 @@ def ordered_rules(spark, sf_dir):
     """The first of an ordered list of rules, one for each word of the part names, that holds for a part."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("words"))
     words = parts.select(F.explode("words").alias("word")).distinct()
-    numbered = sections.number_rows(words, [F.reverse("word"), F.col("word")], "priority")
+    numbered = number_rows(words, [F.reverse("word"), F.col("word")], "priority")
     place = F.get(F.array(F.lit("any"), F.lit("first"), F.lit("last")), F.length("word") % 3)
     return rules.first_match(parts, "id", F.col("words"), numbered.select("priority", place.alias("place"), "word", F.upper("word").alias("label")))
 
