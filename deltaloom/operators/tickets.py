@@ -128,7 +128,7 @@ def rule_scores(tickets: DataFrame, changes: DataFrame, least: float = LEAST_RUL
     found = found.unionByName(scored(pairs))
     if with_text:
         part = F.substring("body", F.lit(1), F.greatest(F.length("short") * 3, F.lit(80)))
-        asked, told = t.where("short <> ''").select("seq", "short"), c.where("body <> ''").select("change_id", "body")
+        asked, told = t.select("seq", "short"), c.select("change_id", "body")
         # a body cut to three titles, or to 80 characters, is too long for the ratio; so whole bodies are compared
         met = length_pairs(told, asked, F.length("body"), F.length("short"), LEAST_RATIO)
         near = met.withColumn("ratio", similarity.ratio(F.col("short"), part, junk=True)).where(F.col("ratio") >= LEAST_RATIO)
