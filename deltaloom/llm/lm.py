@@ -15,6 +15,7 @@ broadcast, since they would make hot keys.
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 
 import numpy as np
@@ -32,7 +33,9 @@ LAMBDA = 0.3
 HOT = 65_536
 #: Tokens that a counting task holds before it adds up equal n-grams, and bytes of text that one scoring step takes.
 HELD, STEP = 3 << 19, 1 << 20
-_END, _START = np.uint64(0x0123456789ABCDEE), np.uint64(0xFEDCBA9876543210)
+_LENGTH = np.uint64(56)
+#: The end of a text and what stands before its first token, as words of lengths that no word has.
+_END, _START = mix(np.array([0, 255], dtype=np.uint64) << _LENGTH)
 _LEVEL = np.uint64(0x2545F4914F6CDD1D)
 _WORD_SALT, _PAIR_SALT = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 #: Least count of each level, the last one beyond all 64-bit counts.
@@ -84,10 +87,29 @@ class CountFilter:
         return out
 
 
-def sequences(data: np.ndarray, bounds: np.ndarray, hasher: WordHasher):
+class TokenHasher(WordHasher):
+    """64-bit names of words: up to 7 bytes by a bijection of their bytes and length, so no two of them share one, whatever texts
+    are built to do; longer words, those of 8 bytes too, by a cryptographic digest."""
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        size = ends - starts
+        long, short = np.flatnonzero(size > 7), np.minimum(size, 7)
+        out = mix((eight[starts] & self.masks[short]) | (short.astype(np.uint64) << _LENGTH))
+        if len(long):
+            text, digest = memoryview(data), hashlib.blake2b
+            found = b"".join([digest(text[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist())])
+            out[long] = np.frombuffer(found, dtype="<u8")
+        return out
+
+
+def sequences(data: np.ndarray, bounds: np.ndarray, hasher: TokenHasher):
     """Tokens of some texts, an end after each: (token hashes, hashes of what stands before, owner).
 
-    Hashes of words are even and those of pairs odd.
+    Words and pairs are told apart by the salts with which they go into the filter.
     """
     folded = fold_case(data)
     starts, ends, per_doc = word_spans(folded, bounds)
@@ -97,7 +119,7 @@ def sequences(data: np.ndarray, bounds: np.ndarray, hasher: WordHasher):
     tokens = np.full(len(owner), _END, dtype=np.uint64)
     inner = np.ones(len(owner), dtype=bool)
     inner[stops] = False
-    tokens[inner] = hasher(folded, starts, ends) & ~np.uint64(1)
+    tokens[inner] = hasher(folded, starts, ends)
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[stops[:-1] + 1] = _START
@@ -117,7 +139,7 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        hasher, found, held = WordHasher(), ([], []), 0
+        hasher, found, held = TokenHasher(), ([], []), 0
         for batch in batches:
             for _, _, data, bounds in text_chunks(batch.column(0)):
                 tokens, before, _ = sequences(data, bounds, hasher)
@@ -285,7 +307,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
 
     def run(batches):
         hot, hot_logs = pickle.loads(shared.value)
-        find, hasher = CountFilter(view_bits(shared_bits)) if whole else None, WordHasher()
+        find, hasher = CountFilter(view_bits(shared_bits)) if whole else None, TokenHasher()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, last, data, bounds in text_chunks(batch.column(1), STEP):

@@ -435,6 +435,17 @@ def test_word_hashes_tell_words_apart():
 # language model
 
 
+def test_lm_words_are_told_apart(spark):
+    """Words built to share all but one bit of a hash, words of one spelling in several lengths, and the marks of ends are different tokens."""
+    words = [b"xxrrs15x", b".#(.oz=.", b"a", b"a\0", b"a\0\0", b"1234567", b"12345678", b"123456789"] + [f"w{k}".encode() for k in range(5000)]
+    data, ends = np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum([len(w) for w in words])
+    hashes = lm.TokenHasher()(data, ends - [len(w) for w in words], ends).tolist()
+    assert len({*hashes, int(lm._END), int(lm._START)}) == len(words) + 2
+    train = spark.createDataFrame([(1, "xxrrs15x")], "doc_id long, text string")
+    got = lm.score(spark.createDataFrame([(2, ".#(.oz=.")], "doc_id long, text string"), train).first()
+    assert (got.n_known, got.train_tokens) == (1, 2) and got.base_score == pytest.approx(math.log10(1 / 5) + math.log10(2 / 5))
+
+
 def test_lm_base_and_model(spark, docs, texts):
     train = docs.where("doc_id % 5 <> 0")
     got = {r.doc_id: r for r in lm.score(docs, train).collect()}
