@@ -33,6 +33,8 @@ LONGEST = 32
 _CELLS, _TOGETHER, _TINY = 1 << 16, 8192, 2.0**-600
 #: Distinct words whose scores one task remembers.
 CACHE_WORDS = 300_000
+#: Longer words are scored each time they come.
+CACHE_BYTES = 256
 _STEP_CHARS = 1 << 20
 _UNKNOWN = 1e-7
 _BITS = 22
@@ -50,19 +52,34 @@ class Pieces:
             codes = np.frombuffer(piece.lstrip("▁").encode("utf-32-le"), dtype=np.uint32)
             if len(codes):
                 h = self.hasher(codes, np.array([0]), np.array([len(codes)]))[0]
-                keys.append((h ^ _START if head else h, len(codes)))
-        self.keys, index = np.unique(np.array([k for k, _ in keys], dtype=np.uint64), return_index=True)
-        self.longest = max((n for _, n in keys), default=1)
+                keys.append((h ^ _START if head else h, head, codes))
+        self.keys, index = np.unique(np.array([k for k, _, _ in keys], dtype=np.uint64), return_index=True)
+        self.longest = max((len(codes) for _, _, codes in keys), default=1)
+        self.heads, self.sizes = np.array([keys[k][1] for k in index], dtype=bool), np.array([len(keys[k][2]) for k in index])
+        self.letters = np.zeros((len(index), self.longest), dtype=np.uint32)
+        for row, k in enumerate(index):
+            self.letters[row, : len(keys[k][2])] = keys[k][2]
         self.there = np.zeros(1 << _BITS, dtype=bool)
         self.there[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of the pieces with these hashes; len(keys) for none."""
+    def find(self, hashes: np.ndarray, heads: np.ndarray | bool = False, starts: np.ndarray | None = None, length: int = 0) -> np.ndarray:
+        """Numbers of the pieces with these hashes; len(keys) for none.
+
+        With ``starts`` the code points loaded in the hasher decide, and which spans begin a word: spans of ``length`` code points that
+        were built to collide with a piece are none.
+        """
         out = np.full(len(hashes), len(self.keys), dtype=np.int32)
         maybe = np.flatnonzero(self.there[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.keys, hashes[maybe]), len(self.keys) - 1)
-        hit = self.keys[at] == hashes[maybe]
-        out[maybe[hit]] = at[hit]
+        hit = np.flatnonzero(self.keys[at] == hashes[maybe])
+        maybe, at = maybe[hit], at[hit]
+        if starts is None:
+            out[maybe] = at
+            return out
+        same = (self.sizes[at] == length) & (self.heads[at] == (heads if isinstance(heads, bool) else heads[maybe]))
+        for k in range(length if len(at) else 0):
+            same &= self.letters[at, k] == self.hasher.codes[starts[maybe] + k]
+        out[maybe[same]] = at[same]
         return out
 
 
@@ -76,9 +93,8 @@ class Lattice:
         self.pieces, size = pieces, ends - starts
         self.order = np.argsort(-size, kind="stable")
         self.starts, self.size = starts[self.order], size[self.order]
-        head = np.full(len(size), _START, dtype=np.uint64)
-        if inner is not None:
-            head[inner[self.order]] = 0
+        begins = np.ones(len(size), dtype=bool) if inner is None else ~inner[self.order]
+        head = np.where(begins, _START, np.uint64(0))
         self.most = int(self.size[0]) if len(size) else 0
         self.reach = np.searchsorted(-self.size, -np.arange(1, self.most + 1), side="right")
         self.arcs = []
@@ -86,7 +102,7 @@ class Lattice:
             n = self.reach[j - 1]
             for i in range(max(0, j - pieces.longest), j):
                 h = pieces.hasher.again(self.starts[:n] + i, self.starts[:n] + j)
-                found = pieces.find(h ^ head[:n] if i == 0 else h)
+                found = pieces.find(h ^ head[:n] if i == 0 else h, begins[:n] if i == 0 else False, self.starts[:n] + i, j - i)
                 rows = np.flatnonzero(found < len(pieces.keys)) if j - i > 1 else np.arange(n)
                 if len(rows):
                     self.arcs.append((i, j, rows, found[rows]))
@@ -155,7 +171,7 @@ def _forward(pieces: Pieces, starts: np.ndarray, size: np.ndarray, p: np.ndarray
             some = slice(None) if length <= first else np.flatnonzero(end >= length)
             w, e = word[some], end[some]
             h = pieces.hasher.again(starts[w] + e - length, starts[w] + e)
-            found = pieces.find(np.where(e == length, h ^ _START, h) if first <= length else h)
+            found = pieces.find(np.where(e == length, h ^ _START, h) if first <= length else h, e == length, starts[w] + e - length, length)
             kept = slice(None) if length == 1 else np.flatnonzero(found < len(pieces.keys))
             hits.append((e[kept], w[kept], np.full(len(w[kept]), length), found[kept]))
         e, w, length, found = (np.concatenate(x) for x in zip(*hits))
@@ -183,6 +199,7 @@ class _CodeHasher(SpanHasher):
 
     def load(self, codes: np.ndarray) -> None:
         self(codes, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.codes = codes
         self.prefix = np.zeros(len(codes) + 1, dtype=np.uint64)
         np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.up[: len(codes)], out=self.prefix[1:])
 
@@ -201,6 +218,28 @@ def letter_runs(texts: list[str], table: np.ndarray):
     return codes, starts, ends, owner
 
 
+def named(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(number of each run's word, where each word stands first among the runs, the words as bytes): equal numbers mean equal words."""
+    inside = np.zeros(len(codes) + 1, dtype=np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    letters = codes[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64) * 4
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters.tobytes())]).dictionary_encode()
+    number = words.indices.to_numpy()
+    first = np.empty(len(words.dictionary), dtype=np.int64)
+    first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+    return number, first, words.dictionary.to_pylist()
+
+
+def named_parts(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of spans that may touch: equal numbers mean equal spans."""
+    at = np.repeat(starts - np.concatenate(([0], np.cumsum(ends - starts)[:-1])), ends - starts) + np.arange((ends - starts).sum())
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64) * 4
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(codes[at].tobytes())])
+    return spans.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def short_parts(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray):
     """Runs in parts of LONGEST letters at most: (starts, ends, owner, which begin inside a run)."""
     parts = (ends - starts + LONGEST - 1) // LONGEST
@@ -229,8 +268,7 @@ class Model:
             return
         starts, ends, owner, inner = short_parts(starts, ends, owner)
         self.pieces.hasher.load(codes)
-        hashes = self.pieces.hasher.again(starts, ends) ^ np.where(inner, _START, np.uint64(0))
-        _, first, word = np.unique(hashes, return_index=True, return_inverse=True)
+        _, first, word = np.unique(named_parts(codes, starts, ends) * 2 + inner, return_index=True, return_inverse=True)
         language = np.array([k for k, _ in flat])[owner]
         counts = np.zeros((len(first), len(self.languages)))
         np.add.at(counts, (word, language), 1.0)
@@ -255,26 +293,25 @@ class Scorer:
         self._clear()
 
     def _clear(self):
-        self.known, self.values = np.zeros(0, np.uint64), np.zeros((0, len(self.model.languages)))
+        self.known, self.values = {}, np.zeros((0, len(self.model.languages)))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(sum of the words' log probabilities, words) of each text."""
+        """(sum of the words' log probabilities, words) of each text, which depend on the text alone."""
         pieces = self.model.pieces
         codes, starts, ends, owner = letter_runs(texts, self.table)
         total = np.zeros((len(texts), len(self.model.languages)))
         if len(starts):
             pieces.hasher.load(codes)
-            hashes, first, word = np.unique(pieces.hasher.again(starts, ends), return_index=True, return_inverse=True)
-            if len(self.known) > CACHE_WORDS:
+            word, first, words = named(codes, starts, ends)
+            if len(self.values) > CACHE_WORDS:
                 self._clear()
-            at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
-            new = np.flatnonzero(self.known[at] != hashes) if len(self.known) else np.arange(len(hashes))
+            at = np.array([self.known.get(w, -1) for w in words], dtype=np.int64)
+            new = np.flatnonzero(at < 0)
             if len(new):
                 fresh = log_totals(pieces, starts[first[new]], ends[first[new]], self.model.p)
-                known = np.concatenate((self.known, hashes[new]))
-                order = np.argsort(known, kind="stable")
-                self.known, self.values = known[order], np.concatenate((self.values, fresh))[order]
-                at = np.searchsorted(self.known, hashes)
+                at[new] = np.arange(len(self.values), len(self.values) + len(new))
+                self.known.update((words[k], row) for k, row in zip(new.tolist(), at[new].tolist()) if len(words[k]) <= CACHE_BYTES)
+                self.values = np.concatenate((self.values, fresh))
             scores = self.values[at][word]
             for k in range(total.shape[1]):
                 total[:, k] = np.bincount(owner, weights=scores[:, k], minlength=len(texts))

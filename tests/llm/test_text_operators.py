@@ -576,6 +576,31 @@ def test_unspaced_text_is_scored_whole(spark, docs, texts):
     assert words.tolist() == [1] and total[0] == pytest.approx(wanted, rel=1e-9)
 
 
+def test_scores_depend_on_the_text_alone(spark, docs):
+    """Two runs of equal span hash, scored alone and together; and any batch of documents gives each its own score."""
+    model = langid.train(docs, "doc_id", "text", "lang")
+    model.pieces.hasher = langid._CodeHasher()
+    bits = [bin(k).count("1") % 2 for k in range(4096)]
+    pair = ["".join("en"[b] for b in bits), "".join("ne"[b] for b in bits)]
+    data = np.frombuffer("".join(pair).encode("utf-32-le"), dtype=np.uint32)
+    assert len(set(SpanHasher()(data, np.array([0, 4096]), np.array([4096, 8192])).tolist())) == 1  # they do collide
+    alone = [langid.Scorer(model)([t])[0][0].tolist() for t in pair]
+    assert alone[0] != alone[1] and langid.Scorer(model)(pair)[0].tolist() == alone and langid.Scorer(model)(pair[::-1])[0].tolist() == alone[::-1]
+    some = [r.text or "" for r in docs.limit(60).collect()]
+    scorer = langid.Scorer(model)
+    assert scorer(some)[0].tolist() == [langid.Scorer(model)([t])[0][0].tolist() for t in some] == scorer(some)[0].tolist()
+
+
+def test_pieces_are_told_by_their_letters(spark):
+    """A span whose hash is made to be a piece's is none."""
+    pieces = langid.Pieces(["▁ab", "ab", "a", "b"])
+    pieces.hasher = langid._CodeHasher()
+    pieces.hasher.load(np.frombuffer("abba".encode("utf-32-le"), dtype=np.uint32))
+    h = pieces.hasher.again(np.array([0]), np.array([2]))
+    assert pieces.find(h, False, np.array([0]), 2)[0] < 4 and pieces.find(h, False, np.array([2]), 2)[0] == 4 and pieces.find(h ^ langid._START, True, np.array([0]), 2)[0] < 4
+    assert pieces.find(h ^ langid._START, False, np.array([0]), 2)[0] == 4
+
+
 def test_language_id(spark, docs, edge_docs, edge_rows, no_docs):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     model = langid.train(docs.where(~held), "doc_id", "text", "lang")
