@@ -33,7 +33,7 @@ LAMBDA = 0.3
 HOT = 65_536
 #: Tokens that a counting task holds before it adds up equal n-grams, and bytes of text that one scoring step takes.
 HELD, STEP = 3 << 19, 1 << 20
-_LENGTH = np.uint64(56)
+_LENGTH, _FULL_SALTS = np.uint64(56), (np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1))
 #: The end of a text and what stands before its first token, as words of lengths that no word has.
 _END, _START = mix(np.array([0, 255], dtype=np.uint64) << _LENGTH)
 _LEVEL = np.uint64(0x2545F4914F6CDD1D)
@@ -89,7 +89,8 @@ class CountFilter:
 
 class TokenHasher(WordHasher):
     """64-bit names of words: up to 7 bytes by a bijection of their bytes and length, so no two of them share one, whatever texts
-    are built to do; longer words, those of 8 bytes too, by a cryptographic digest."""
+    are built to do. Words of 8 bytes get the sum of two bijections, which cannot be solved for a word to match a given name as a bijection can;
+    longer ones a cryptographic digest."""
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if not len(starts):
@@ -97,8 +98,12 @@ class TokenHasher(WordHasher):
         padded = np.concatenate((data, np.zeros(8, np.uint8)))
         eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
         size = ends - starts
-        long, short = np.flatnonzero(size > 7), np.minimum(size, 7)
+        short = np.minimum(size, 7)
         out = mix((eight[starts] & self.masks[short]) | (short.astype(np.uint64) << _LENGTH))
+        full, long = np.flatnonzero(size == 8), np.flatnonzero(size > 8)
+        if len(full):
+            word = eight[starts[full]]
+            out[full] = mix(word ^ _FULL_SALTS[0]) + mix(mix(word) ^ _FULL_SALTS[1])
         if len(long):
             text, digest = memoryview(data), hashlib.blake2b
             found = b"".join([digest(text[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist())])
