@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deltaloom.llm._shared import WordHasher, documents, fold_case, mix, remove, share, share_bits, small_batches, text_chunks, training_part, view_bits, word_spans, write_out
 
-#: 2**SEGMENTS segments of 2**LEAST_BITS bits (64 MB) or more; up to 2**BROADCAST_BITS bits (128 MB) are broadcast.
-SEGMENTS, LEAST_BITS, BROADCAST_BITS = 12, 17, 30
+#: 2**SEGMENTS segments of 2**LEAST_BITS bits (4 MB) or more; up to 2**BROADCAST_BITS bits (128 MB) are broadcast.
+SEGMENTS, LEAST_BITS, BROADCAST_BITS = 12, 13, 30
 PROBES = 6
 BASE = 1.5
 LAMBDA = 0.3
