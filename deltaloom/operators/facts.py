@@ -171,6 +171,56 @@ def producers(calls_in_lines: DataFrame, symbols: DataFrame) -> DataFrame:
     return met.select("key", "symbol", "producer").distinct()
 
 
+#: What a word in an argument, and in the name of the called function, tells of the result.
+ARGUMENT_TAGS = (
+    ("RESULTS_BIT32", "results_bit32"), ("RESULTS", "results"), ("FLEVEL", "fault_level"), ("FAULT_LEVEL", "fault_level"), ("STATE", "state"), ("STATUS", "state"), ("RIU", "riu"), ("CCDL", "ccdl"), ("KZZZ", "kzzz"),
+    ("LEFT", "left"), ("_L_", "left"), ("RIGHT", "right"), ("_R_", "right"), ("IFBIT", "ifbit"), ("MBIT", "mbit"), ("PUBIT", "pubit"),
+)
+CALL_TAGS = (("STATEGET", "state"), ("STATUSGET", "state"), ("RESULTGET", "results"))
+#: Prefixes of locals and statics that a pair of symbols may differ by, and how many partners count.
+STORAGE_PREFIX, MOST_PAIRS = "^(?:l_s_|l_|s_)", 4
+
+
+def producing_calls(lines: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(key, symbol, callee, arguments) of the calls whose results are assigned: the first line that has one, arguments at top-level commas."""
+    head = F.concat(F.lit(r"\b"), F.col("symbol"), F.lit(r"\b\s*=(?!=)\s*([A-Za-z_]\w*)\s*\((.*?)\)\s*;?\s*$"))
+    grab = lambda k: F.call_function("regexp_extract", F.col("text"), head, F.lit(k))
+    met = lines.join(symbols, "key").withColumn("callee", grab(1)).where("callee <> ''")
+    first = met.withColumn("inner_", grab(2)).groupBy("key", "symbol").agg(F.min_by(F.struct("callee", "inner_"), "ord").alias("c"))
+    parts = F.filter(F.transform(F.split("c.inner_", r",(?![^()]*\))"), lambda x: F.trim(x)), lambda x: x != "")
+    return first.select("key", "symbol", F.col("c.callee").alias("callee"), parts.alias("arguments"))
+
+
+def bind_arguments(calls: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(key, symbol, callee, position, argument, parameter, direction): each argument of a call site joined to the callee's parameter.
+
+    ``calls``: rows of producing_calls; ``parameters``: (callee, position from 0, parameter, direction). Arguments beyond the
+    parameters, and those of functions that are not known, stay with a null parameter; functions defined twice give each of their parameters.
+    """
+    sites = calls.select("key", "symbol", "callee", F.posexplode("arguments").alias("position", "argument"))
+    return sites.join(parameters.select("callee", "position", "parameter", "direction"), ["callee", "position"], "left").select("key", "symbol", "callee", "position", "argument", "parameter", "direction")
+
+
+def argument_tags(bound: DataFrame) -> DataFrame:
+    """(key, symbol, tag): tags by words in the arguments, in the parameters they are bound to, and in the callee's name."""
+    listed = lambda tags: F.array(*[F.struct(F.lit(w).alias("word"), F.lit(t).alias("tag")) for w, t in tags])
+    held = lambda text, tags: F.transform(F.filter(listed(tags), lambda x: F.contains(F.upper(F.coalesce(F.col(text), F.lit(""))), x["word"])), lambda x: x["tag"])
+    tags = F.array_distinct(F.concat(held("argument", ARGUMENT_TAGS), held("parameter", ARGUMENT_TAGS), held("callee", CALL_TAGS)))
+    return bound.select("key", "symbol", F.explode(tags).alias("tag")).distinct()
+
+
+def paired_symbols(symbols: DataFrame, ord_col: str = "ord") -> DataFrame:
+    """(key, symbol, pairs): the first MOST_PAIRS symbols of the same key that differ by a storage prefix only; none: no row.
+
+    Of each stem one more than that is kept, so a symbol can be left out of its own list and no group is gathered whole.
+    """
+    stems = symbols.withColumn("stem", F.regexp_replace("symbol", STORAGE_PREFIX, "")).where("stem <> ''").groupBy("key", "stem", "symbol").agg(F.min(ord_col).alias("o"))
+    nth = F.row_number().over(Window.partitionBy("key", "stem").orderBy("o", "symbol"))
+    few = stems.withColumn("nth", nth).where(F.col("nth") <= MOST_PAIRS + 1).groupBy("key", "stem").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "symbol"))), lambda x: x["symbol"]).alias("known"))
+    both = stems.join(few, ["key", "stem"]).withColumn("pairs", F.slice(F.filter("known", lambda x: x != F.col("symbol")), 1, MOST_PAIRS))
+    return both.where(F.size("pairs") > 0).select("key", "symbol", "pairs")
+
+
 def roles(patterns: DataFrame) -> DataFrame:
     """One role for each symbol by its patterns: the first that fits of output, state, result, index, limit, input, local."""
     held = patterns.groupBy("key", "symbol").agg(F.collect_set("pattern").alias("p"))

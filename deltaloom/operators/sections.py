@@ -129,6 +129,19 @@ def unique_titles(rows: DataFrame, title: str, identity: str) -> DataFrame:
     return both.select(*[c for c in rows.columns if c != "unique_title"], name.alias("unique_title"))
 
 
+def diagnostic(rows: DataFrame, title: str = "title", key: str = "key", doc: str | None = None) -> DataFrame:
+    """Rows with document_id, duplicate_key and duplicate_id: whether their key or document number stands in other rows too.
+
+    Counts are made in each ``doc``, or over all rows. Empty and null keys and numbers are no duplicates.
+    """
+    within = [doc] if doc else []
+    known = rows.withColumn("document_id", text.document_id(title))
+    held = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
+    counts = lambda c, name: known.where(held(c)).groupBy(*within, c).agg((F.count("*") > 1).alias(name))
+    out = known.join(counts(key, "duplicate_key"), [*within, key], "left").join(counts("document_id", "duplicate_id"), [*within, "document_id"], "left")
+    return out.select(*rows.columns, "document_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("duplicate_key", "duplicate_id")])
+
+
 def nesting(lines: DataFrame, doc: str = "doc", ord_col: str = "ord", body: str = "text") -> DataFrame:
     """Brace depth before and after each line, as prefix sums."""
     delta = F.length(F.regexp_replace(F.coalesce(body, F.lit("")), r"[^{]", "")) - F.length(F.regexp_replace(F.coalesce(body, F.lit("")), r"[^}]", ""))

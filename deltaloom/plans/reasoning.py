@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from deltaloom.operators import alignment, graph, retry, rules, sections, terms
+from deltaloom.operators import alignment, changes, facts, graph, retry, rules, sections, terms
 from deltaloom.operators.ordering import number_rows
 from deltaloom.plans.registry import query, table
+from deltaloom.plans.sqltext import TITLE, VERSIONS, fold_title
+from deltaloom.plans.versions import versions
 
 #: Statements made of a part's key and size; residues of 14 tell the shape.
 STATEMENTS = (
@@ -135,3 +137,78 @@ def long_alignment(spark, sf_dir):
     value = F.concat(F.lit("line "), F.col("ord").cast("string"))
     old, new = lines.where("ord % 11 <> 3").withColumn("value", value), lines.where("ord % 11 <> 7").withColumn("value", value).withColumn("ord", F.col("ord") + 1)
     return alignment.align(old, new, "seq", "ord", "value")
+
+
+_TAGS = ", ".join(f"('{w}', '{t}')" for w, t in facts.ARGUMENT_TAGS)
+_CALLS = ("x_@ = StateGet(LEFT_@, level_@);", "x_@ = ResultGet(riu_@);", "x_@ = Other(a_@, b_@, c_@);", "x_@ == Other(LEFT_1);")
+_PARAMETERS = (("StateGet", 0, "side", "input"), ("StateGet", 1, "fault_level", "input"), ("Other", 0, "plain", "input"), ("Other", 1, "_r_side", "input_output"))
+
+
+@query(rf"""WITH l AS (SELECT p_partkey AS key, concat('x_', p_size) AS symbol, replace([{', '.join(_quoted(c) for c in _CALLS)}][1 + p_partkey % 4], '@', p_size::varchar) AS text FROM part),
+c AS (SELECT key, symbol, regexp_extract(text, '= ([A-Za-z]+)\(', 1) AS callee, string_split(regexp_extract(text, '\((.*)\)', 1), ', ') AS args FROM l WHERE NOT contains(text, '==')),
+b AS (SELECT key, symbol, callee, unnest(range(len(args))) AS position, unnest(args) AS argument FROM c),
+p(callee, position, parameter, direction) AS (VALUES {', '.join(f"('{c}', {k}, '{n}', '{d}')" for c, k, n, d in _PARAMETERS)}),
+t(word, tag) AS (VALUES {_TAGS}), u(word, tag) AS (VALUES {', '.join(f"('{w}', '{t}')" for w, t in facts.CALL_TAGS)}),
+j AS (SELECT b.*, parameter FROM b LEFT JOIN p ON p.callee = b.callee AND p.position = b.position)
+SELECT DISTINCT key, symbol, tag FROM (SELECT key, symbol, tag FROM j, t WHERE contains(upper(argument), word) OR contains(upper(coalesce(parameter, '')), word) UNION ALL SELECT key, symbol, tag FROM j, u WHERE contains(upper(callee), word))""")
+def argument_tags(spark, sf_dir):
+    """Tags of symbols by the calls that produce them: arguments bound to the parameters of the called functions."""
+    shape = F.get(F.array(*map(F.lit, _CALLS)), (F.col("p_partkey") % 4).cast("int"))
+    lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.lit(1).alias("ord"), F.replace(shape, F.lit("@"), F.col("p_size").cast("string")).alias("text"), F.concat(F.lit("x_"), F.col("p_size").cast("string")).alias("symbol"))
+    calls = facts.producing_calls(lines.drop("symbol"), lines.select("key", "symbol"))
+    known = spark.createDataFrame(list(_PARAMETERS), "callee string, position int, parameter string, direction string")
+    return facts.argument_tags(facts.bind_arguments(calls, known))
+
+
+@query("""WITH s AS (SELECT o_custkey AS key, min(o_orderkey) AS ord, concat(['', 'l_', 's_', 'l_s_'][1 + o_orderkey % 4], 'v', o_orderkey % 3) AS symbol FROM orders GROUP BY 1, 3),
+m AS (SELECT a.key, a.symbol, b.symbol AS other, row_number() OVER (PARTITION BY a.key, a.symbol ORDER BY b.ord, b.symbol) AS r FROM s a JOIN s b ON a.key = b.key AND a.symbol <> b.symbol AND regexp_replace(a.symbol, '^(?:l_s_|l_|s_)', '') = regexp_replace(b.symbol, '^(?:l_s_|l_|s_)', ''))
+SELECT key, symbol, string_agg(other, ',' ORDER BY r) AS pairs FROM m WHERE r <= 4 GROUP BY 1, 2""")
+def paired_symbols(spark, sf_dir):
+    """Symbols of a customer's orders that differ by a storage prefix only."""
+    prefix = F.get(F.array(*map(F.lit, ("", "l_", "s_", "l_s_"))), (F.col("o_orderkey") % 4).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("ord"), F.concat(prefix, F.lit("v"), (F.col("o_orderkey") % 3).cast("string")).alias("symbol"))
+    return facts.paired_symbols(rows).select("key", "symbol", F.array_join("pairs", ",").alias("pairs"))
+
+
+@query(f"WITH {VERSIONS}, k AS (SELECT ord, did, concat(title, ' ', ord % 500) AS key FROM old) SELECT ord, did AS document_id, count(*) OVER (PARTITION BY key) > 1 AS duplicate_key, count(*) OVER (PARTITION BY did) > 1 AS duplicate_id FROM k")
+def section_diagnostic(spark, sf_dir):
+    """Sections of the old version whose key or document number is not their own."""
+    old, _ = versions(spark, sf_dir)
+    rows = old.select("ord", "title", F.concat("title", F.lit(" "), (F.col("ord") % 500).cast("string")).alias("key"))
+    return sections.diagnostic(rows).select("ord", "document_id", "duplicate_key", "duplicate_id")
+
+
+_RENAMED = f"CASE doc_id % 11 WHEN 4 THEN concat({TITLE}, ' bis') WHEN 5 THEN concat({TITLE}, '12') WHEN 6 THEN replace({TITLE}, ' ', '  ') WHEN 7 THEN NULL ELSE {TITLE} END"
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {TITLE} AS a, {_RENAMED} AS b FROM documents) WHERE coalesce(a, '') <> coalesce(b, '') AND {fold_title('a')} <> {fold_title('b')}")
+def title_rewrites(spark, sf_dir):
+    """Titles that really change, among titles that get a foot-note mark, more white space, or nothing."""
+    docs = table(spark, sf_dir, "documents")
+    number = F.when(F.col("doc_id") % 19 == 7, F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    docs = docs.withColumn("a", F.concat(F.lit("Doc "), "lang", F.lit(" (SDD-"), "source", F.lit("-"), number.cast("string"), F.lit(")")))
+    kind = F.col("doc_id") % 11
+    renamed = F.when(kind == 4, F.concat("a", F.lit(" bis"))).when(kind == 5, F.concat("a", F.lit("12"))).when(kind == 6, F.replace("a", F.lit(" "), F.lit("  "))).when(kind == 7, None).otherwise(F.col("a"))
+    return changes.title_changes(docs.withColumn("b", renamed), "a", "b").select("doc_id")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS n, min(l_quantity)::int AS q FROM lineitem GROUP BY 1, 2),
+o AS (SELECT doc, CASE WHEN doc % 3 = 0 THEN '' ELSE n::varchar END AS a, CASE WHEN doc % 3 = 0 THEN 'same' ELSE q::varchar END AS b FROM l WHERE doc % 7 <> 1 AND n <> 3),
+m0 AS (SELECT doc, CASE WHEN doc % 3 = 0 THEN '' ELSE n::varchar END AS a, CASE WHEN doc % 3 = 0 THEN 'same' WHEN n = 2 THEN (q + 1)::varchar ELSE q::varchar END AS b FROM l WHERE doc % 7 <> 2 AND n <> CASE WHEN doc % 3 = 0 THEN 3 ELSE 4 END),
+m AS (SELECT * FROM m0 UNION ALL SELECT DISTINCT doc, '', 'more' FROM m0 WHERE doc % 3 = 0),
+d AS (SELECT doc FROM o INTERSECT SELECT doc FROM m),
+k AS (SELECT coalesce(x.doc, y.doc) AS doc, coalesce(x.a, y.a) AS row_key, concat(x.a, chr(9), x.b) AS old_row, concat(y.a, chr(9), y.b) AS new_row, x.doc IS NULL AS came, y.doc IS NULL AS went FROM (SELECT * FROM o WHERE doc % 3 <> 0 AND doc IN (FROM d)) x FULL JOIN (SELECT * FROM m WHERE doc % 3 <> 0 AND doc IN (FROM d)) y ON x.doc = y.doc AND x.a = y.a)
+SELECT doc, 'key' AS way, CASE WHEN came THEN 'added' WHEN went THEN 'deleted' ELSE 'modified' END AS change, row_key, CASE WHEN NOT came THEN old_row END AS old_row, CASE WHEN NOT went THEN new_row END AS new_row FROM k WHERE came OR went OR old_row <> new_row
+UNION ALL SELECT doc, CASE WHEN count(*) = 1 THEN 'key' ELSE 'sequence' END, 'added', CASE WHEN count(*) = 1 THEN 'more' END, NULL, concat('', chr(9), 'more') FROM o WHERE doc % 3 = 0 AND doc IN (FROM d) GROUP BY doc
+UNION ALL SELECT doc, 'all', 'deleted', NULL, concat(a, chr(9), b), NULL FROM o WHERE doc NOT IN (FROM d)
+UNION ALL SELECT doc, 'all', 'added', NULL, NULL, concat(a, chr(9), b) FROM m WHERE doc NOT IN (FROM d)""")
+def table_ladder(spark, sf_dir):
+    """Changed rows of every order's table of lines: by its key, by sequence where no column is a key, or whole where one side lacks it."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ord")).agg(F.min("l_quantity").cast("int").alias("q"))
+    plain = F.col("doc") % 3 == 0
+    shaped = lambda rows: rows.select("doc", "ord", F.when(plain, "").otherwise(F.col("ord").cast("string")).alias("n"), F.when(plain, "same").otherwise(F.col("q").cast("string")).alias("q"))
+    old = shaped(lines.where("doc % 7 <> 1 AND ord <> 3"))
+    new = lines.where("doc % 7 <> 2").where(F.when(plain, F.col("ord") != 3).otherwise(F.col("ord") != 4))
+    new = shaped(new.withColumn("q", F.when(F.col("ord") == 2, F.col("q") + 1).otherwise(F.col("q"))))
+    more = new.where(plain).select("doc").distinct().select("doc", F.lit(99).alias("ord"), F.lit("").alias("n"), F.lit("more").alias("q"))
+    return changes.table_changes(old, new.unionByName(more), ["n", "q"])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltaloom.functions import similarity
-from deltaloom.operators import alignment, candidates, graph, incremental, pairing, retry, rules, sections, statelog, terms, tickets
+from deltaloom.operators import alignment, candidates, facts, graph, incremental, pairing, retry, rules, sections, statelog, terms, tickets
 
 
 def test_matching_blocks_with_a_bound():
@@ -297,3 +297,22 @@ def test_two_writers_of_versions(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(incremental, "rename_new", late)
     assert incremental.write_state(rows(2), folder).endswith("v=2")
     assert spark.read.parquet(f"{folder}/v=1").first().v == 1 and incremental.read_state(spark, folder).first().v == 2
+
+
+def test_arguments_and_pairs(spark):
+    lines = spark.createDataFrame([("f", 1, "x = Get(a, g(b, c), LEFT);"), ("f", 2, "x = Late(q);"), ("f", 3, "y == Get(a);"), ("f", 4, "l_y = StateGet();"), ("g", 1, None)], "key string, ord int, text string")
+    symbols = spark.createDataFrame([("f", "x"), ("f", "y"), ("f", "l_y"), ("g", "x")], "key string, symbol string")
+    calls = facts.producing_calls(lines, symbols)
+    assert {(r.key, r.symbol, r.callee, tuple(r.arguments)) for r in calls.collect()} == {("f", "x", "Get", ("a", "g(b, c)", "LEFT")), ("f", "l_y", "StateGet", ())}
+    known = spark.createDataFrame([("Get", 0, "fault_level", "input")], "callee string, position int, parameter string, direction string")
+    bound = facts.bind_arguments(calls, known)
+    assert {(r.position, r.argument, r.parameter) for r in bound.collect()} == {(0, "a", "fault_level"), (1, "g(b, c)", None), (2, "LEFT", None)}
+    assert {(r.symbol, r.tag) for r in facts.argument_tags(bound).collect()} == {("x", "fault_level"), ("x", "left")}
+    rows = spark.createDataFrame([("k", 3, "v"), ("k", 1, "l_v"), ("k", 2, "s_v"), ("k", 2, "s_v"), ("k", 5, "l_"), ("k", 6, "w")], "key string, ord int, symbol string")
+    assert {r.symbol: r.pairs for r in facts.paired_symbols(rows).collect()} == {"v": ["l_v", "s_v"], "l_v": ["s_v", "v"], "s_v": ["l_v", "v"]}
+
+
+def test_diagnostic(spark):
+    rows = spark.createDataFrame([(1, "A (SDD-x-1)", "k"), (2, "B (SDD-x-1)", "j"), (3, "C", "k"), (4, None, None), (5, "", ""), (6, "", "")], "ord int, title string, key string")
+    got = {r.ord: (r.duplicate_key, r.duplicate_id) for r in sections.diagnostic(rows).collect()}
+    assert got == {1: (True, True), 2: (False, True), 3: (True, False), 4: (False, False), 5: (False, False), 6: (False, False)}
