@@ -36,7 +36,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 2000, 8_000_000
 #: Rounds of messages over the skip links.
 ROUNDS = 4
 LEAST_SEEN = 3
-_WORDS = 1 << 12
+_WORDS = 1 << 16
 _SHAPES = 6 * 6 * 2 * 2 * 5 * 3 * 2 * 3
 _FILES = 4 * 4
 _LABELS = 1 + 2 * len(KINDS)  # 0 outside, then begin and inside of each kind
@@ -125,7 +125,7 @@ class Candidates:
             a, b = starts[k], ends[k].copy()
             for _ in range(2):
                 b -= (b - a > 1) & _TRIM[data[b - 1]]
-            words = (self.hasher(folded, a, b) >> np.uint64(64 - 12)).astype(np.int64)
+            words = (self.hasher(folded, a, b) >> np.uint64(64 - 16)).astype(np.int64)
             words[code], words[~inside] = _WORDS + 1, _WORDS
             around[name] = words
         told = [_described(data[a:b].tobytes()) for a, b in zip(starts[here].tolist(), ends[here].tolist())]
