@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from deltaloom.operators.incremental import _folder, rename_new
+
 #: Characters of old and new text that a change list shows.
 PREVIEW = 200
 
@@ -16,25 +18,43 @@ def preview(changes: DataFrame, old: str = "old_body", new: str = "new_body", mo
     return changes.withColumn("old_preview", cut(old)).withColumn("new_preview", cut(new)).drop(old, new)
 
 
+def recover(spark: SparkSession, path: str) -> bool:
+    """Put back what a writer killed between its two renames had moved aside; True if something was put back. Every writer does so first."""
+    path = path.rstrip("/")
+    folder, _, name = path.rpartition("/")
+    of, fs, held = _folder(spark, folder or ".")
+    aside = sorted((age, n) for n, age in held.items() if n.startswith(f"{name}._old-"))
+    return bool(aside) and name not in held and rename_new(spark, f"{folder}/{aside[0][1]}" if folder else aside[0][1], path)
+
+
 def _replace(df: DataFrame, path: str, write) -> None:
     """Write to a folder beside ``path`` and put it in its place when it is whole; the old one stays as ``.bak``.
 
-    A job that fails leaves the old files as they were.
+    A job that fails leaves the old files as they were. The old folder is moved aside, the new one into its place, and both renames are
+    checked: if the second fails the old one goes back. A writer killed between them leaves both folders whole under other names, and
+    ``recover`` or the next writer puts the old one back.
     """
-    spark = df.sparkSession
-    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    path = path.rstrip("/")
-    fs = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    made, old = f"{path}._tmp-{uuid.uuid4().hex}", f"{path}.bak"
+    spark, path = df.sparkSession, path.rstrip("/")
+    recover(spark, path)
+    mark = uuid.uuid4().hex
+    made, aside, bak = f"{path}._tmp-{mark}", f"{path}._old-{mark}", f"{path}.bak"
+    of, fs, _ = _folder(spark, path)
     try:
         write(df.write, made)
     except Exception:
         fs.delete(of(made), True)
         raise
-    if fs.exists(of(path)):
-        fs.delete(of(old), True)
-        fs.rename(of(path), of(old))
-    fs.rename(of(made), of(path))
+    had = fs.exists(of(path))
+    if had and not rename_new(spark, path, aside):
+        raise OSError(f"{path} could not be moved aside")
+    if not rename_new(spark, made, path):
+        if had:
+            rename_new(spark, aside, path)
+        fs.delete(of(made), True)
+        raise OSError(f"another writer has put files at {path}")
+    if had:
+        fs.delete(of(bak), True)
+        rename_new(spark, aside, bak)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from deltaloom.sources import readers, sinks
@@ -75,3 +76,38 @@ def test_fingerprint_stream(spark, tmp_path):
         query = streams.track_fingerprints(stream, state, str(tmp_path / "cp"), ["k"], "body").trigger(availableNow=True).start()
         query.awaitTermination()
     assert {r.k: r.version for r in read_state(spark, state).collect()} == {1: 2, 2: 1, 3: 1}
+
+
+def test_writer_killed_between_its_renames(spark, tmp_path, monkeypatch):
+    """The old files are put back by the next writer or by recover; a second rename that is refused leaves them in place."""
+    from deltaloom.sources import sinks
+
+    path, rows = str(tmp_path / "out"), lambda x: spark.createDataFrame([(x,)], "t string")
+    read = lambda p=path: [r.t for r in spark.read.parquet(p).collect()]
+    sinks.write_parquet(rows("a"), path)
+    real, calls = sinks.rename_new, []
+
+    def second(outcome):
+        def rename(spark_, made, target):
+            calls.append(target)
+            if len(calls) == 2:
+                if outcome is False:
+                    return False
+                raise outcome
+            return real(spark_, made, target)
+
+        return rename
+
+    monkeypatch.setattr(sinks, "rename_new", second(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        sinks.write_parquet(rows("b"), path)
+    monkeypatch.setattr(sinks, "rename_new", real)
+    assert sinks.recover(spark, path) and read() == ["a"] and not sinks.recover(spark, path)
+    calls.clear()
+    monkeypatch.setattr(sinks, "rename_new", second(False))
+    with pytest.raises(OSError):
+        sinks.write_parquet(rows("c"), path)
+    monkeypatch.setattr(sinks, "rename_new", real)
+    assert read() == ["a"]
+    sinks.write_parquet(rows("d"), path)
+    assert read() == ["d"] and read(f"{path}.bak") == ["a"]
