@@ -64,6 +64,16 @@ def _spread(labels: DataFrame, step: DataFrame, better) -> DataFrame:
     return labels
 
 
+#: Times that ends of paths are cut off before what is left is written.
+TRIMS = 3
+
+
+def _inner(nodes: DataFrame, step: DataFrame) -> DataFrame:
+    """Nodes with edges in and out among the nodes."""
+    kept = step.join(nodes, "node", "left_semi").join(nodes.select(F.col("node").alias("next_")), "next_", "left_semi")
+    return kept.select("node").distinct().join(kept.select(F.col("next_").alias("node")).distinct(), "node", "left_semi")
+
+
 def strong_components(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """(node, component): nodes that reach each other share a component, named by its largest node; every end of an edge has one.
 
@@ -72,25 +82,27 @@ def strong_components(edges: DataFrame, source: str = "source", target: str = "t
     on. Each round is a written table; rounds grow with the graph's longest shortest path, not with its size.
     """
     step = materialise(edges.select(F.col(source).alias("node"), F.col(target).alias("next_")).where("node IS NOT NULL AND next_ IS NOT NULL AND node <> next_").distinct(), "edges")
-    ends = edges.select(F.explode(F.array(source, target)).alias("node")).where("node IS NOT NULL").distinct()
-    left, out = materialise(ends, "nodes"), None
+    left = materialise(edges.select(F.explode(F.array(source, target)).alias("node")).where("node IS NOT NULL").distinct(), "nodes")
+    among = lambda nodes: materialise(step.join(nodes, "node", "left_semi").join(nodes.select(F.col("node").alias("next_")), "next_", "left_semi").select("node", "next_"), "edges")
+    out = left.select("node", F.col("node").alias("component")).limit(0)
     while not left.isEmpty():
-        inner = left.join(step.select("node").distinct(), "node", "left_semi").join(step.select(F.col("next_").alias("node")).distinct(), "node", "left_semi")
-        alone = left.join(inner, "node", "left_anti").select("node", F.col("node").alias("component"))
-        if alone.isEmpty():
-            labels = _spread(left.select("node", F.col("node").alias("label")), step, F.max)
-            same = step.join(labels, "node").join(labels.select(F.col("node").alias("next_"), F.col("label").alias("to_")), "next_").where("label = to_")
-            back = materialise(same.select(F.col("next_").alias("node"), F.col("node").alias("next_")), "edges")
-            found = level = materialise(labels.where("node = label").select("node", F.col("label").alias("component")), "component")
-            while not level.isEmpty():
-                level = materialise(level.join(back, "node").select(F.col("next_").alias("node"), "component").distinct().join(found, "node", "left_anti"), "component")
-                found = found.unionByName(level)
-            alone = found
-        alone = materialise(alone, "component")
-        out = alone if out is None else out.unionByName(alone)
-        left = materialise(left.join(alone, "node", "left_anti"), "nodes")
-        step = materialise(step.join(left, "node", "left_semi").join(left.select(F.col("node").alias("next_")), "next_", "left_semi").select("node", "next_"), "edges")
-    return out if out is not None else ends.select("node", F.col("node").alias("component"))
+        core = left
+        for _ in range(TRIMS):
+            core = _inner(core, step)
+        core = materialise(core, "core")
+        out = out.unionByName(materialise(left.join(core, "node", "left_anti").select("node", F.col("node").alias("component")), "component"))
+        step = among(core)
+        labels = _spread(core.select("node", F.col("node").alias("label")), step, F.max)
+        same = step.join(labels, "node").join(labels.select(F.col("node").alias("next_"), F.col("label").alias("to_")), "next_").where("label = to_")
+        back = materialise(same.select(F.col("next_").alias("node"), F.col("node").alias("next_")), "edges")
+        found = level = materialise(labels.where("node = label").select("node", F.col("label").alias("component")), "component")
+        while not level.isEmpty():
+            level = materialise(level.join(back, "node").select(F.col("next_").alias("node"), "component").distinct().join(found, "node", "left_anti"), "component")
+            found = found.unionByName(level)
+        out = out.unionByName(found)
+        left = materialise(core.join(found, "node", "left_anti"), "nodes")
+        step = among(left)
+    return out
 
 
 def component_closure(edges: DataFrame, source: str = "source", target: str = "target") -> tuple[DataFrame, DataFrame]:
