@@ -8,10 +8,13 @@ from deltaloom.functions import similarity, text
 from deltaloom.operators.assign import greedy
 from deltaloom.operators.graph import reach
 from deltaloom.operators.ordering import block_join
+from deltaloom.plans.session import materialise
 
 #: Bars of a rename and of an alignment.
 RENAME_SCORE, RENAME_LENGTH = 0.78, 20
 SURE, LIKELY = 0.98, 0.92
+#: Changed symbols that are broadcast.
+FEW_WORDS = 100_000
 #: Words of declarations that never carry an impact.
 DECLARATION_WORDS = "const extern static struct typedef union enum unsigned signed volatile void char short int long float double return include define ifdef ifndef endif pragma true false null".split()
 
@@ -52,7 +55,7 @@ def renames(deleted: DataFrame, added: DataFrame, least: float = RENAME_SCORE) -
     """
     a = deleted.select("rel_path", F.col("idx").alias("old_idx"), F.col("name").alias("old_name"), F.col("body").alias("old_body"))
     b = added.select("rel_path", F.col("idx").alias("new_idx"), F.col("name").alias("new_name"), F.col("body").alias("new_body"))
-    met = a.join(b, "rel_path").withColumn("x", _core(F.col("old_body"), F.col("old_name"), F.col("new_name"))).withColumn("y", _core(F.col("new_body"), F.col("old_name"), F.col("new_name")))
+    met = a.join(b.hint("merge"), "rel_path").withColumn("x", _core(F.col("old_body"), F.col("old_name"), F.col("new_name"))).withColumn("y", _core(F.col("new_body"), F.col("old_name"), F.col("new_name")))
     met = met.where((F.length("x") >= RENAME_LENGTH) & (F.length("y") >= RENAME_LENGTH) & (similarity.length_bound(F.col("x"), F.col("y")) >= least))
     scored = met.withColumn("score", similarity.ratio(F.col("x"), F.col("y"), junk=True)).where(F.col("score") >= least)
     kept = greedy(scored.select("rel_path", "old_idx", "new_idx", "old_name", "new_name", "score"), "old_idx", "new_idx", "score", descending_ids=True)
@@ -76,8 +79,13 @@ def header_impact(headers: DataFrame, includes: DataFrame, functions: DataFrame,
     edges = includes.select(F.col("header").alias("source"), F.col("rel_path").alias("target"))
     is_header = F.lower("target").rlike(r"\.(h|hpp)$")
     closure = reach(headers.select(F.col("header").alias("node")), edges.where(is_header)).select(F.col("root").alias("changed"), F.col("node").alias("header"))
-    touched = closure.join(includes, "header").select("changed", "rel_path").distinct()
-    using = touched.join(functions, "rel_path").join(headers.select(F.col("header").alias("changed"), "symbols"), "changed").where(F.arrays_overlap("tokens", "symbols"))
+    touched = closure.join(includes.hint("merge"), "header").select("changed", "rel_path").distinct()
+    symbols = materialise(headers.select(F.col("header").alias("changed"), F.explode("symbols").alias("symbol")).where("symbol IS NOT NULL").distinct(), "symbols")
+    words = symbols.select("symbol").distinct()
+    words = F.broadcast(words) if words.count() <= FEW_WORDS else words.hint("merge")
+    # only the changed symbols of a function are shuffled, not all its tokens
+    used = functions.select("rel_path", "name", F.explode(F.array_distinct("tokens")).alias("symbol")).join(words, "symbol")
+    using = touched.join(used.hint("merge"), "rel_path").join(symbols, ["changed", "symbol"])
     kept = using.join(direct.select("rel_path", "name").distinct(), ["rel_path", "name"], "left_anti")
     return kept.groupBy("rel_path", "name").agg(F.array_sort(F.collect_set("changed")).alias("headers"))
 

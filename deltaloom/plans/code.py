@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deltaloom.operators import changes, code, graph, incremental, planner, sections
 from deltaloom.plans.registry import query, table
+from deltaloom.plans.session import materialise, spread
 
 
 def project(spark: SparkSession, sf_dir: str, version: str = "") -> DataFrame:
@@ -18,6 +19,7 @@ def project(spark: SparkSession, sf_dir: str, version: str = "") -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")
     key, k, new = F.col("p_partkey").cast("string"), F.col("p_partkey"), F.lit(version == "new")
     part = part.where({"new": "p_partkey % 13 <> 4", "old": "p_partkey % 17 <> 5"}.get(version, "true"))
+    part = spread(part, "p_partkey")
     constant = F.when(new & (k % 7 == 0), F.col("p_size") + 1).otherwise(F.col("p_size")).cast("string")
     name = F.when(new & (k % 11 == 0), F.concat(F.lit("renamed_f"), key)).otherwise(F.concat(F.lit("f"), key))
     text = F.concat(
@@ -88,7 +90,7 @@ def code_changes(spark, sf_dir):
 
 @query("SELECT concat('f', p_partkey) AS old_name, concat('renamed_f', p_partkey) AS new_name FROM part WHERE p_partkey % 17 <> 5 AND p_partkey % 13 <> 4 AND p_partkey % 11 = 0")
 def code_renames(spark, sf_dir):
-    old, new = code.function_table(project(spark, sf_dir, "old")), code.function_table(project(spark, sf_dir, "new"))
+    old, new = (materialise(code.function_table(project(spark, sf_dir, version)).select("rel_path", "name", "body"), "functions") for version in ("old", "new"))
     idx = F.xxhash64("rel_path", "name")
     keep = old.select("rel_path").intersect(new.select("rel_path"))
     gone = old.join(new, ["rel_path", "name"], "left_anti").join(keep, "rel_path").select("rel_path", idx.alias("idx"), "name", "body")

@@ -101,3 +101,11 @@ def test_comments_and_patterns(spark):
     second = spark.createDataFrame([("a.c", "f", 2), ("a.c", "g", 9), ("a.c", "h", 1)], "rel_path string, name string, line int")
     assert {r.name: r.status for r in code.cross_check(first, second).collect()} == {"f": "both", "g": "moved", "k": "only_first", "h": "only_second"}
     assert spark.range(1).select(code.classify(F.lit("set_speed"), [("^get_", "getter"), ("^set_", "setter")])).first()[0] == "setter"
+
+
+def test_a_small_file_is_parsed_by_all_tasks(spark, sf_dir):
+    from deltaloom.plans.code import project
+
+    files = project(spark, sf_dir)
+    assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sum(1 for n in files.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n) > 1
