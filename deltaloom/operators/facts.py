@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deltaloom.functions.steps import steps_udf
+from deltaloom.plans.session import materialise
 
 #: What opens the names of state members; members that hold an output's limits.
 STATE_MEMBERS, LIMIT_MEMBERS = ("state", "status", "flag", "bit_"), ("outmax", "outmin")
@@ -70,7 +71,7 @@ def sink_patterns(steps: DataFrame, symbols: DataFrame) -> DataFrame:
         "return_flow": F.col("kind") == "return",
         "argument": F.col("kind") == "call",
     }
-    used = steps.withColumn("symbol", F.explode(_words("value"))).join(symbols.select("key", "symbol").distinct(), ["key", "symbol"])
+    used = steps.withColumn("symbol", F.explode(_words("value"))).join(symbols.select("key", "symbol").distinct().hint("merge"), ["key", "symbol"])
     return used.select("key", "symbol", F.explode(F.array_compact(F.array(*[F.when(test, F.lit(kind)) for kind, test in tests.items()]))).alias("pattern")).distinct()
 
 
@@ -86,8 +87,12 @@ def clamped(blocks: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def symbol_evidence(steps: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Rows (key, symbol, evidence) of symbols (key, symbol, type) by steps: sinks, steps, sources, comparisons, type and name."""
-    named = symbols.select("key", "symbol").distinct()
+    """Rows (key, symbol, evidence) of symbols (key, symbol, type) by steps: sinks, steps, sources, comparisons, type and name.
+
+    Steps are written once, for five tests read them. Both sides grow with the code, so none is broadcast, however small its file looks.
+    """
+    steps = materialise(steps, "steps")
+    named = symbols.select("key", "symbol").distinct().hint("merge")
     target = F.regexp_extract(F.trim("target"), r"^([A-Za-z_]\w*)$", 1)
     sets = steps.where("kind = 'assignment'").withColumn("symbol", target).join(named, ["key", "symbol"])
     value = F.trim(F.coalesce("value", F.lit("")))
@@ -103,7 +108,7 @@ def symbol_evidence(steps: DataFrame, symbols: DataFrame) -> DataFrame:
     tests = steps.where("kind in ('if', 'else_if', 'while', 'for')").select("key", F.col("text").alias("condition"), F.explode(_words("text")).alias("symbol")).join(named, ["key", "symbol"])
     near = lambda tail: F.regexp_like("condition", F.concat(F.lit(r"\b"), "symbol", F.lit(tail)))
     members = sets.where(source).select("key", "symbol", F.regexp_replace(value, r"\s+", "").alias("member"))
-    met = members.join(tests, ["key", "symbol"]).withColumn("plain", F.regexp_replace("condition", r"\s+", ""))
+    met = members.join(tests.hint("merge"), ["key", "symbol"]).withColumn("plain", F.regexp_replace("condition", r"\s+", ""))
     either = lambda op: F.contains("plain", F.concat("symbol", F.lit(op), "member")) | F.contains("plain", F.concat("member", F.lit(op), "symbol"))
     kind, name = F.lower(F.coalesce("type", F.lit(""))), F.lower("symbol")
     declared = {
@@ -132,7 +137,8 @@ def dataflow_roles(evidence: DataFrame) -> DataFrame:
         met = held.join(F.broadcast(table), "evidence")  # a fixed list of rules
         return met.groupBy("key", "symbol", "rule", "role", "needs").agg(F.count_distinct("evidence").alias("n")).where("n = needs").select("key", "symbol", "role").distinct()
 
-    first = step(evidence, ROLE_RULES)
+    evidence = materialise(evidence, "evidence")
+    first = materialise(step(evidence, ROLE_RULES), "roles")
     more = step(evidence.unionByName(first.select("key", "symbol", F.concat(F.lit("role:"), "role").alias("evidence"))), DERIVED_RULES)
     return first.unionByName(more).distinct()
 
@@ -156,10 +162,11 @@ def function_records(steps: DataFrame, parameters: DataFrame) -> DataFrame:
     """
     listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("ord", "item")))), lambda x: x["item"]).alias(f"{kind}s")
     kinds = ("condition", "member", "return", "callee")
+    steps, parameters = materialise(steps.select("key", "ord", "kind", "text", "target", "value"), "steps"), materialise(parameters.select("key", "pos", "param", "direction"), "parameters")
     held = signatures(steps).groupBy("key").agg(*map(listed, kinds))
     named = parameters.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "param", "direction"))), lambda p: F.struct(p["param"].alias("param"), p["direction"].alias("direction"))).alias("parameters"))
     keys = steps.select("key").union(parameters.select("key")).distinct()
-    both = keys.join(held, "key", "left").join(named, "key", "left")
+    both = keys.join(held.hint("merge"), "key", "left").join(named.hint("merge"), "key", "left")
     none = F.array().cast("array<string>")
     return both.select("key", *[F.coalesce(f"{k}s", none).alias(f"{k}s") for k in kinds], F.coalesce("parameters", F.array().cast("array<struct<param:string,direction:string>>")).alias("parameters"))
 
@@ -279,11 +286,11 @@ def lookup(asked: DataFrame, records: DataFrame, ladder: list[list[str]], unique
 
 def retry_tasks(failures: DataFrame, functions: DataFrame) -> DataFrame:
     """Failed functions (file_path, func_name, ...) with their parsed function: the exact name, else one that differs in case only."""
-    named = functions.select(F.col("rel_path").alias("file_path"), "name", "ord")
+    named = functions.select(F.col("rel_path").alias("file_path"), "name", "ord").hint("merge")
     exact = failures.join(named, (failures.file_path == named.file_path) & (failures.func_name == named.name)).select(failures["*"], "name", F.lit("exact").alias("match"))
-    rest = failures.join(exact.select("file_path", "func_name"), ["file_path", "func_name"], "left_anti")
+    rest = failures.join(exact.select("file_path", "func_name").hint("merge"), ["file_path", "func_name"], "left_anti")
     first = named.groupBy("file_path", F.lower("name").alias("low")).agg(F.min_by("name", "ord").alias("name"))
-    folded = rest.withColumn("low", F.lower("func_name")).join(first, ["file_path", "low"], "left").drop("low")
+    folded = rest.withColumn("low", F.lower("func_name")).join(first.hint("merge"), ["file_path", "low"], "left").drop("low")
     folded = folded.withColumn("match", F.when(F.col("name").isNull(), "missing").otherwise("case"))
     return exact.unionByName(folded.select(exact.columns))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from deltaloom.operators import code as code_ops, facts, incremental, planner, quality, terms, tickets
 from deltaloom.plans.code import project
 from deltaloom.plans.registry import query, table
+from deltaloom.plans.session import materialise
 from deltaloom.sources import readers
 
 
@@ -26,7 +27,7 @@ def symbol_sinks(spark, sf_dir):
 @query("SELECT symbol, role, count(*) AS n FROM part, (VALUES ('local_value', 'output_value'), ('local_value', 'return_value'), ('local_value', 'counter_value'), ('g_total', 'counter_value')) t(symbol, role) GROUP BY ALL")
 def symbol_roles(spark, sf_dir):
     """Data-flow roles of two integers of every function."""
-    functions = code_ops.function_table(project(spark, sf_dir))
+    functions = materialise(code_ops.function_table(project(spark, sf_dir)), "functions")
     steps = facts.step_table(functions).withColumnRenamed("rel_path", "key")
     symbols = functions.select(F.col("rel_path").alias("key"), F.explode(F.array(F.lit("local_value"), F.lit("g_total"))).alias("symbol"), F.lit("int").alias("type"))
     return facts.dataflow_roles(facts.symbol_evidence(steps, symbols)).groupBy("symbol", "role").agg(F.count("*").alias("n"))
@@ -35,7 +36,7 @@ def symbol_roles(spark, sf_dir):
 @query("SELECT concat('u', p_partkey, '.c') AS key, concat('a > LIMIT_', p_partkey) AS conditions, '' AS members, 'local_value' AS returns, concat('f', p_partkey + 1) AS callees, 'a=input,out=input_output' AS parameters FROM part")
 def function_records(spark, sf_dir):
     """Every function with its conditions, members, results, callees and parameters."""
-    functions = code_ops.function_table(project(spark, sf_dir))
+    functions = materialise(code_ops.function_table(project(spark, sf_dir)), "functions")
     steps = facts.step_table(functions).withColumnRenamed("rel_path", "key")
     found = facts.function_records(steps, code_ops.parameter_table(functions).withColumnRenamed("rel_path", "key"))
     joined = F.array_join(F.transform("parameters", lambda p: F.concat(p["param"], F.lit("="), p["direction"])), ",")
@@ -44,7 +45,7 @@ def function_records(spark, sf_dir):
 
 @query("SELECT concat('u', p_partkey, '.c') AS file_path, CASE WHEN p_partkey % 3 = 0 THEN concat('F', p_partkey) WHEN p_partkey % 3 = 1 THEN concat('f', p_partkey) ELSE 'nowhere' END AS func_name, CASE p_partkey % 3 WHEN 0 THEN 'case' WHEN 1 THEN 'exact' ELSE 'missing' END AS match FROM part")
 def retry_tasks(spark, sf_dir):
-    functions = code_ops.function_table(project(spark, sf_dir)).select("rel_path", "name", "ord")
+    functions = materialise(code_ops.function_table(project(spark, sf_dir)).select("rel_path", "name", "ord"), "functions")
     k = F.regexp_extract("rel_path", r"(\d+)", 1)
     name = F.when(k.cast("long") % 3 == 0, F.concat(F.lit("F"), k)).when(k.cast("long") % 3 == 1, F.concat(F.lit("f"), k)).otherwise("nowhere")
     failures = functions.select(F.col("rel_path").alias("file_path"), name.alias("func_name"))

@@ -94,3 +94,17 @@ def test_output_text(spark):
     lines = spark.createDataFrame([("d", 0, "| a | 1 |"), ("d", 1, "text")], "doc string, ord int, text string")
     patches = spark.createDataFrame([("d", "a", "| a | 2 |")], "doc string, name string, row string")
     assert [r.text for r in facts.patch_markdown_rows(lines, patches).orderBy("ord").collect()] == ["| a | 2 |", "text"]
+
+
+def test_sides_that_grow_are_not_broadcast(spark):
+    """A parquet file of generated code looks small to the planner; its tables are joined by shuffles."""
+    files = spark.createDataFrame([(f"{k}.c", BODY) for k in range(3)], "rel_path string, content string")
+    functions = code.function_table(files)
+    rows = facts.step_table(functions).withColumnRenamed("rel_path", "key")
+    symbols = functions.select(F.col("rel_path").alias("key"), F.lit("r").alias("symbol"), F.lit("int").alias("type"))
+    evidence = facts.symbol_evidence(rows, symbols)
+    plan = evidence._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    assert plan.count("steps_udf") == 0  # steps were written once, so no branch parses again
+    failures = functions.select(F.col("rel_path").alias("file_path"), F.col("name").alias("func_name"))
+    assert "BroadcastHashJoin" not in facts.retry_tasks(failures, functions)._jdf.queryExecution().executedPlan().toString()
