@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from deltaloom.operators import assign, changes, graph, incremental, pairing, planner, quality, revise, sections, terms, tickets
+from deltaloom.operators import assign, candidates, changes, graph, incremental, pairing, planner, quality, revise, sections, terms, tickets
 
 
 def rows(df, *columns):
@@ -182,3 +182,36 @@ def test_global_numbers_and_blocks(spark):
     decisions = spark.createDataFrame([(1, "safe", None, None), (2, None, "a.c", "f"), (3, None, None, None)], "decision_id int, action string, rel_path string, function_name string")
     items = spark.createDataFrame([(7, "safe", "a.c", "f"), (8, "edit", "b.c", "g")], "idx int, action string, rel_path string, function_name string")
     assert rows(planner.match_decisions(decisions, items), "decision_id", "idx") == [(1, 7), (2, 7)]
+
+
+@pytest.mark.parametrize("few", [1_000, 0])
+def test_greedy_of_few_ends_cuts_no_edge_that_counts(spark, monkeypatch, few):
+    """Four tickets and many changes: the rounds see as many edges of a ticket as there are tickets, with the same result."""
+    monkeypatch.setattr(assign, "FEW_ENDS", few)
+    pick = random.Random(5)
+    rows = [(i, j, pick.randrange(4) / 4) for i in range(60) for j in range(4)] + [(i, 3, 2.0) for i in (1, 1, 2)] + [(1, 3, 0.1)]
+    edges = spark.createDataFrame(rows, "a long, b long, s double")
+    want, left, right = [], set(), set()
+    for s, i, j in sorted((-s, i, j) for i, j, s in rows):
+        if i not in left and j not in right:
+            want.append((i, j, -s))
+            left.add(i)
+            right.add(j)
+    assert sorted(tuple(r) for r in assign.greedy(edges, "a", "b", "s").collect()) == sorted(want)
+    order = [F.desc("s"), F.asc("a"), F.asc("b")]
+    if few:
+        assert assign._hopeful(edges, "b", order).count() == 16
+
+
+def test_an_index_holds_only_the_grams_that_are_sought(spark, monkeypatch):
+    written = {}
+    plain = candidates.materialise
+    monkeypatch.setattr(candidates, "materialise", lambda df, label: written.setdefault(label, plain(df, label)))
+    texts = spark.createDataFrame([(k, f"text of number {k} " * 40) for k in range(20)] + [(99, None), (100, "")], "t long, text string")
+    needles = spark.createDataFrame([(1, "number 7 text"), (2, ""), (3, None), (4, "absent words"), (5, "7")], "s long, needle string")
+    found = {(r.s, r.t) for r in candidates.containment_pairs(needles, texts, "s", "needle", "t", "text").collect()}
+    assert {(1, 7), (5, 7), (5, 17)} <= found
+    assert written["grams"].count() <= 20 * 4  # before: over a thousand grams of every kind
+    written.clear()
+    monkeypatch.setattr(candidates, "FEW_GRAMS", 0)
+    assert found <= {(r.s, r.t) for r in candidates.containment_pairs(needles, texts, "s", "needle", "t", "text").collect()}
