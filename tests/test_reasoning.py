@@ -316,3 +316,13 @@ def test_diagnostic(spark):
     rows = spark.createDataFrame([(1, "A (SDD-x-1)", "k"), (2, "B (SDD-x-1)", "j"), (3, "C", "k"), (4, None, None), (5, "", ""), (6, "", "")], "ord int, title string, key string")
     got = {r.ord: (r.duplicate_key, r.duplicate_id) for r in sections.diagnostic(rows).collect()}
     assert got == {1: (True, True), 2: (False, True), 3: (True, False), 4: (False, False), 5: (False, False), 6: (False, False)}
+
+
+def test_fuzzy_candidates_are_not_shuffled_as_pairs(spark):
+    """Texts are dealt to cells before the join; no exchange stands above it."""
+    rows = spark.createDataFrame([(k, f"t{k}", f"a > t{k}", "body " * (k + 1)) for k in range(6)], "ord long, title string, key string, body string")
+    x, y = pairing._sides(*(pairing.prepare(side) for side in (rows, rows)))
+    met = candidates.length_pairs(x, y, F.length("old_body"), F.length("new_body"), 0.3, least_cells=4)
+    plan = pairing.pair_scores(met, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan.split("Join Inner")[0]
+    assert met.count() == sum(2 * min(a, b) >= 0.3 * (a + b) for a in range(5, 31, 5) for b in range(5, 31, 5))
