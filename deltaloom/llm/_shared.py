@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -83,11 +84,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def write_out(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to a table in the shared folder and read it again: later steps survive lost executors."""
+def write_out(df: DataFrame, label: str, **options: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to a table in the shared folder and read it again: later steps survive lost executors. ``options`` are the writer's."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -98,6 +99,12 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the driver notice which tables nothing refers to any more, so that their shuffle files go before the next large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_chunks(column: pa.Array, step: int = STEP_BYTES):
     """Yield (first, last, data, bounds): documents first..last-1 as one uint8 array, bounds their offsets in it.
 

@@ -3,8 +3,9 @@
 Counts of words and word pairs are quantised on a logarithmic scale, and an n-gram enters the filter once for each
 level up to its own. Reading a count is probing level after level until one is missing. The filter grows with the
 levels that were counted, so every word and every pair is in it at every size; each n-gram's bits lie in one segment, so
-executors build the segments. A filter of 2**BROADCAST_BITS bits or less is broadcast; the n-grams of the texts are joined
-to the segments of a larger one.
+executors build the segments. A filter of 2**BROADCAST_BITS bits or less is broadcast. A larger one stays a table: pieces of text
+send each segment one packed request for their different n-grams, the answers (a byte for each, and the exact counts of words) meet the texts again,
+and no row is made for a pair.
 
 p(w | u) interpolates the pair's share with the add-one unigram. A quantised numerator is its level's least
 count and a denominator its level's largest, so quantisation alone never adds probability mass.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltaloom.llm._shared import WordHasher, documents, fold_case, mix, remove, share, share_bits, small_batches, text_chunks, training_part, view_bits, word_spans, write_out
+from deltaloom.llm._shared import WordHasher, documents, fold_case, forget, mix, remove, share, share_bits, small_batches, text_chunks, training_part, view_bits, word_spans, write_out
 
 #: 2**SEGMENTS segments of 2**LEAST_BITS bits (4 MB) or more; up to 2**BROADCAST_BITS bits (128 MB) are broadcast.
 SEGMENTS, LEAST_BITS, BROADCAST_BITS = 12, 13, 30
@@ -33,9 +34,13 @@ LAMBDA = 0.3
 HOT = 65_536
 #: Tokens that a counting task holds before it adds up equal n-grams, and bytes of text that one scoring step takes.
 HELD, STEP = 3 << 19, 1 << 20
+#: Bytes of text that ask a filter too large to be broadcast together, and the base-2 logarithm of the rows that are shuffled as one.
+PIECE, TOGETHER = 4 << 20, 10
 _LENGTH, _FULL_SALTS = np.uint64(56), (np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1))
 #: The end of a text and what stands before its first token, as words of lengths that no word has.
 _END, _START = mix(np.array([0, 255], dtype=np.uint64) << _LENGTH)
+_IN_SEGMENT = np.uint64(64 - SEGMENTS)
+_ASKED = ["words", "words_high", "pairs", "pairs_high"]
 _LEVEL = np.uint64(0x2545F4914F6CDD1D)
 _WORD_SALT, _PAIR_SALT = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 #: Least count of each level, the last one beyond all 64-bit counts.
@@ -251,19 +256,133 @@ def build_filter(counts: DataFrame):
     return bits, size
 
 
-def read_segments(keys: DataFrame, segments: DataFrame) -> DataFrame:
-    """Rows (key, low, high) of distinct ``keys``: least and largest count of each one's level, each read where its segment is."""
+def _blobs(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of ``values`` between each two edges."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
-    def read(asked: pa.Table, held: pa.Table) -> pa.Table:
-        keys = asked.column("key").to_numpy()
-        level = np.zeros(len(keys), dtype=np.int64)
-        if len(keys) and held.num_rows:
-            level = CountFilter(np.frombuffer(held.column("bits")[0].as_buffer(), dtype=np.uint8), 0).levels(keys.view(np.uint64))
-        low, high = np.where(level > 0, _FLOORS[level - 1], 0.0), np.where(level > 0, _FLOORS[level] - 1, 0.0)
-        return pa.table({"key": pa.array(keys), "low": pa.array(low), "high": pa.array(high)})
 
-    asked = keys.distinct().withColumn("segment", F.shiftrightunsigned("key", 64 - SEGMENTS).cast("int"))
-    return asked.groupBy("segment").cogroup(segments.groupBy("segment")).applyInArrow(read, "key bigint, low double, high double")
+def _runs(*columns: np.ndarray):
+    """(first, last) of the rows that agree in all columns."""
+    change = np.zeros(max(len(columns[0]) - 1, 0), dtype=bool)
+    for column in columns:
+        change |= column[1:] != column[:-1]
+    edges = np.concatenate(([0], np.flatnonzero(change) + 1, [len(columns[0])])).tolist()
+    return [x for x in zip(edges[:-1], edges[1:]) if x[0] < x[1]]
+
+
+def _steps(keys: np.ndarray) -> list[np.ndarray]:
+    """Ordered keys as what each exceeds the one before it in its segment: six low bytes of each, and the seventh, which compresses away."""
+    least = np.maximum(np.append(np.uint64(0), keys[:-1]), keys >> _IN_SEGMENT << _IN_SEGMENT)
+    steps = (keys - least).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return [np.ascontiguousarray(steps[:, :6]).view("V6")[:, 0], np.ascontiguousarray(steps[:, 6])]
+
+
+def _keys(segment: int, low: pa.Array, high: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the keys of some requests to a segment, their edges) from the bytes of ``_steps``."""
+    edges = np.append(0, np.cumsum([len(v) for v in high.to_pylist()])).astype(np.int64)
+    steps = np.zeros((edges[-1], 8), dtype=np.uint8)
+    steps[:, :6] = np.frombuffer(b"".join(low.to_pylist()), dtype=np.uint8).reshape(-1, 6)
+    steps[:, 6] = np.frombuffer(b"".join(high.to_pylist()), dtype=np.uint8)
+    total = np.append(np.uint64(0), np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64))
+    return (np.uint64(int(segment)) << _IN_SEGMENT) + total[1:] - np.repeat(total[edges[:-1]], np.diff(edges)), edges
+
+
+def requests(texts: DataFrame) -> DataFrame:
+    """Rows (row, segment, words, words_high, pairs, pairs_high) of a table (row, text_): the different n-grams of each piece of text that lie in a segment, in order.
+
+    ``row`` is the first one of the piece. A piece lies within 2**TOGETHER rows of one reader, however the table is split among tasks.
+    """
+
+    piece, together = PIECE, TOGETHER
+
+    def run(batches):
+        hasher, every = TokenHasher(), np.arange((1 << SEGMENTS) + 1, dtype=np.uint64)
+        for batch in batches:
+            row = batch.column(0).to_numpy()
+            for a, b in _runs(row >> together):
+                for first, _, data, bounds in text_chunks(batch.column(1).slice(a, b - a), piece):
+                    tokens, before, _ = sequences(data, bounds, hasher)
+                    keys = np.unique(mix(np.unique(tokens) ^ _WORD_SALT)), np.unique(pair_hash(before, tokens))
+                    edges = [np.searchsorted(x >> _IN_SEGMENT, every) for x in keys]
+                    asked = np.flatnonzero((edges[0][1:] > edges[0][:-1]) | (edges[1][1:] > edges[1][:-1]))
+                    sent = [_blobs(part, e[np.append(asked, asked[-1] + 1)]) for x, e in zip(keys, edges) for part in _steps(x)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), row[a + first])), pa.array(asked.astype(np.int32)), *sent], names=["row", "segment", *_ASKED])
+
+    return texts.select("row", "text_").mapInArrow(run, "row bigint, segment int, words binary, words_high binary, pairs binary, pairs_high binary")
+
+
+def answers(asked: DataFrame, segments: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows (row, segment, words, counts, pairs): the levels of the n-grams of each request as bytes, the exact counts of words as longs.
+
+    A segment's bits come first in its sorted partition, then its words, then its requests, which stream by.
+    """
+
+    def run(batches):
+        now, bits, keys, counts = None, None, [], []
+        for batch in batches:
+            segment, kind = (batch.column(k).to_numpy() for k in (0, 1))
+            for a, b in _runs(segment, kind):
+                if segment[a] != now:
+                    now, bits, keys, counts = segment[a], None, [], []
+                if kind[a] == 0:
+                    bits = np.frombuffer(batch.column(5)[a].as_py(), dtype=np.uint8)
+                elif kind[a] == 1:
+                    keys.append(batch.column(2).slice(a, b - a).to_numpy().view(np.uint64).copy())
+                    counts.append(batch.column(3).slice(a, b - a).to_numpy().copy())
+                else:
+                    yield told(now, bits, keys, counts, *(batch.column(k).slice(a, b - a) for k in range(4, 9)))
+
+    def told(segment, bits, keys, counts, row, *asked):
+        flat, edges = zip(_keys(segment, *asked[:2]), _keys(segment, *asked[2:]))
+        level = [(CountFilter(bits, 0).levels(x) if bits is not None else np.zeros(len(x))).astype(np.uint8) for x in flat]
+        count = np.zeros(len(flat[0]), dtype=np.int64)
+        if keys:
+            keys, counts = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+            at = np.minimum(np.searchsorted(keys, flat[0]), len(keys) - 1)
+            count = np.where(keys[at] == flat[0], counts[at], 0)
+        columns = [_blobs(level[0], edges[0]), _blobs(count, edges[0]), _blobs(level[1], edges[1])]
+        return pa.RecordBatch.from_arrays([row, pa.array(np.full(len(row), segment, dtype=np.int32)), *columns], names=["row", "segment", "words", "counts", "pairs"])
+
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    held = segments.select("segment", F.lit(0).alias("kind"), none("bigint", "key"), none("bigint", "count"), none("bigint", "row"), F.col("bits").alias("words"), *[none("binary", name) for name in _ASKED[1:]])
+    known = words.select(F.shiftrightunsigned("hash", 64 - SEGMENTS).cast("int").alias("segment"), F.lit(1).alias("kind"), F.col("hash").alias("key"), "count", none("bigint", "row"), *[none("binary", name) for name in _ASKED])
+    asking = asked.select("segment", F.lit(2).alias("kind"), none("bigint", "key"), none("bigint", "count"), "row", *_ASKED)
+    dealt = held.unionByName(known).unionByName(asking).repartition("segment").sortWithinPartitions("segment", "kind")
+    return dealt.mapInArrow(run, "row bigint, segment int, words binary, counts binary, pairs binary")
+
+
+def answered(texts: DataFrame, told: DataFrame, kind: str, judge) -> DataFrame:
+    """What ``judge`` makes of each piece of a table (row, id, text_) and the answers to it: rows (id, n_tokens, n_known, base, score)."""
+
+    def run(batches):
+        held, docs = [], []
+        for batch in batches:
+            sort = batch.column(1).to_numpy()
+            for a, b in _runs(sort):
+                part = batch.slice(a, b - a)
+                if sort[a] == 0 and docs:  # the next piece begins
+                    yield judged(held, docs)
+                    held, docs = [], []
+                (docs if sort[a] else held).append(part)
+        if docs:
+            yield judged(held, docs)
+
+    def judged(held, docs):
+        answer = pa.Table.from_batches(held)
+        level, count, pair = (np.frombuffer(b"".join(answer.column(name).to_pylist()), dtype=form) for name, form in (("words", np.uint8), ("counts", np.int64), ("pairs", np.uint8)))
+        table = pa.Table.from_batches(docs)
+        _, _, data, bounds = next(text_chunks(table.column("text_"), 1 << 60))
+        found = judge(data, bounds, level.astype(np.int64), count, pair.astype(np.int64))
+        return pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), *map(pa.array, found)], names=["id", "n_tokens", "n_known", "base", "score"])
+
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    blank = [none("binary", name) for name in ("words", "counts", "pairs")]
+    rows = texts.select("row", F.lit(1).alias("sort"), F.lit(0).alias("segment"), "id", "text_", *blank)
+    every = told.select("row", F.lit(0).alias("sort"), "segment", none(kind, "id"), none("string", "text_"), "words", "counts", "pairs").unionByName(rows)
+    dealt = every.repartition(F.shiftright("row", TOGETHER)).sortWithinPartitions("row", "sort", "segment")
+    return dealt.mapInArrow(run, f"id {kind}, n_tokens bigint, n_known bigint, base double, score double")
 
 
 def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,38 +400,58 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     texts = training.select(F.col(text_col).cast("string").alias("t"))
-    counts, _ = write_out(count_ngrams(texts), "ngrams")
+    counts, counted = write_out(count_ngrams(texts), "ngrams")
     words = counts.where("key is not null").select(F.col("key").alias("hash"), "count")
     total, kinds = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     end = mix(np.array([_END]) ^ _WORD_SALT).view(np.int64)[0]
     trained = words.where(F.col("hash") == int(end)).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    top = words.orderBy(F.desc("count"), "hash").limit(HOT).toArrow()
-    hot = top.column("hash").to_numpy().view(np.uint64)
-    order = np.argsort(hot)
-    hot, hot_logs = hot[order], np.log10(top.column("count").to_numpy()[order].astype(np.float64) + 1)
     segments, path, size = filter_segments(counts)
-    whole = SEGMENTS + size <= BROADCAST_BITS
-    shared, shared_bits = share(spark, (hot, hot_logs)), share_bits(spark, gathered(segments, size)) if whole else None  # HOT words, and 128 MB
-    if whole:
-        remove(spark, path)
-    room = float(total + kinds + 1)
+    whole, room = SEGMENTS + size <= BROADCAST_BITS, float(total + kinds + 1)
 
-    def logs(find: CountFilter, unique: np.ndarray, word: np.ndarray, tokens: np.ndarray, before: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
-        level = find.levels(unique)
+    def logs(level: np.ndarray, pairs, word: np.ndarray, before: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
         low, high = np.where(level > 0, _FLOORS[level - 1], 0.0), np.where(level > 0, _FLOORS[level] - 1, 0.0)
         context = np.append(0.0, high[word[:-1]])  # the count of what stands before
         context[before == _START] = trained
         p = (low[word] + 1) / room
         seen = np.flatnonzero((p > 1 / room) & (context > 0))
-        pair = find.levels(pair_hash(before[seen], tokens[seen]))
+        pair = pairs(seen)
         share_of = np.where(pair > 0, _FLOORS[pair - 1], 0.0) / context[seen]
         p[context > 0] *= 1 - LAMBDA
         p[seen] += LAMBDA * np.minimum(share_of, 1.0)
         return np.bincount(owner, weights=np.log10(np.minimum(p, 1.0)), minlength=docs)
 
+    def judge(data, bounds, level, count, pair):
+        """(n_tokens, n_known, base, score) of the texts of a piece, from what was answered for its words and pairs in order of their keys."""
+        tokens, before, owner = sequences(data, bounds, TokenHasher())
+        docs = len(bounds) - 1
+        unique, word = np.unique(tokens, return_inverse=True)
+        place = np.argsort(np.argsort(mix(unique ^ _WORD_SALT)))
+        level, count = level[place], count[place]
+        _, at = np.unique(pair_hash(before, tokens), return_inverse=True)
+        known, base = (np.bincount(owner, weights=x[word], minlength=docs) for x in ((count > 0).astype(float), np.log10(count + 1.0)))
+        return np.bincount(owner, minlength=docs), known.astype(np.int64), base, logs(level, lambda seen: pair[at[seen]], word, before, owner, docs)
+
+    final = lambda rows: rows.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.log10(F.lit(room))).alias("base_score"), "score")
+    if not whole:
+        words, _ = write_out(words, "lm-words")
+        remove(spark, counted)
+        source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text_"))
+        source, _ = write_out(source, "lm-texts", compression="zstd")  # numbers are fixed once written
+        forget(spark)
+        told, _ = write_out(answers(requests(source), segments, words), "lm-answers")
+        remove(spark, path)
+        forget(spark)
+        return final(answered(source, told, kind, judge))
+    top = words.orderBy(F.desc("count"), "hash").limit(HOT).toArrow()
+    hot = top.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hot)
+    hot, hot_logs = hot[order], np.log10(top.column("count").to_numpy()[order].astype(np.float64) + 1)
+    shared, shared_bits = share(spark, (hot, hot_logs)), share_bits(spark, gathered(segments, size))  # HOT words, and 128 MB
+    remove(spark, path)
+
     def run(batches):
         hot, hot_logs = pickle.loads(shared.value)
-        find, hasher = CountFilter(view_bits(shared_bits)) if whole else None, TokenHasher()
+        find, hasher = CountFilter(view_bits(shared_bits)), TokenHasher()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, last, data, bounds in text_chunks(batch.column(1), STEP):
@@ -326,46 +465,28 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
                 common = is_hot[word]
                 base, known = (np.bincount(owner, weights=x[word], minlength=docs) for x in (worth, is_hot.astype(float)))
                 known, size = known.astype(np.int64), np.bincount(owner, minlength=docs)
-                model = pa.array(logs(find, unique, word, tokens, before, owner, docs)) if whole else pa.nulls(docs, pa.float64())
+                model = pa.array(logs(find.levels(unique), lambda seen: find.levels(pair_hash(before[seen], tokens[seen])), word, before, owner, docs))
                 rows = row + np.arange(docs)
                 ids, empty = batch.column(0).slice(first, docs), pa.nulls(docs, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(rows), ids, pa.array(mix(rows.astype(np.uint64)).view(np.int64)), empty, pa.array(size), pa.array(known), pa.array(base), model, *(pa.nulls(docs, pa.int64()) for _ in range(2))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), ids, pa.array(mix(rows.astype(np.uint64)).view(np.int64)), empty, pa.array(size), pa.array(known), pa.array(base), model], names=names)
                 rare = np.flatnonzero(~common)
                 key, times = np.unique(owner[rare] * len(unique) + word[rare], return_counts=True)
                 n = len(key)
                 if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[key // len(unique)]), pa.nulls(n, ids.type), pa.array(unique[key % len(unique)].view(np.int64)), pa.array(times), *(pa.nulls(n, kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()))], names=names)
-                if not whole:  # a row for each different pair of a text; what stands before is null at its start
-                    prior = np.where(before == _START, len(unique), np.append(0, word[:-1]))
-                    _, at, times = np.unique((owner * (len(unique) + 1) + prior) * len(unique) + word, return_index=True, return_counts=True)
-                    n, pair = len(at), pair_hash(before[at], tokens[at])
-                    context = pa.array(np.append(unique, np.uint64(0))[prior[at]].view(np.int64), mask=before[at] == _START)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[owner[at]]), pa.nulls(n, ids.type), pa.array(unique[word[at]].view(np.int64)), pa.array(times), *(pa.nulls(n, kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), context, pa.array(pair.view(np.int64))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[key // len(unique)]), pa.nulls(n, ids.type), pa.array(unique[key % len(unique)].view(np.int64)), pa.array(times), *(pa.nulls(n, kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
                 row += docs
 
-    names = ["row", "id", "hash", "times", "n_tokens", "n_known", "base", "model", "context", "pair"]
-    found = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text_")).mapInArrow(run, f"row bigint, id {kind}, hash bigint, times bigint, n_tokens bigint, n_known bigint, base double, model double, context bigint, pair bigint")
-    if not whole:
-        found, _ = write_out(found, "lm-tokens")
-        told = found.where("pair is not null").select("row", "hash", "times", "context", "pair")
-        read, _ = write_out(read_segments(told.select(F.explode(F.array("hash", "pair")).alias("key")), segments), "lm-levels")
-        for name in ("hash", "context", "pair"):
-            told = told.join(read.select(F.col("key").alias(name), F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high")), name, "left")
-        told = told.withColumn("held", F.expr(f"if(context is null, {trained}D, coalesce(context_high, 0D))")).withColumn("p", (F.col("hash_low") + 1) / room)
-        told = told.withColumn("p", F.expr(f"if(held > 0, {1 - LAMBDA}D * p + if(hash_low > 0, {LAMBDA}D * least(pair_low / held, 1D), 0D), p)"))
-        modelled = told.groupBy(F.col("row").alias("row_")).agg(F.sum(F.col("times") * F.log10(F.least("p", F.lit(1.0)))).alias("score_"))
-        found = found.where("pair is null")
+    names = ["row", "id", "hash", "times", "n_tokens", "n_known", "base", "model"]
+    found = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text_")).mapInArrow(run, f"row bigint, id {kind}, hash bigint, times bigint, n_tokens bigint, n_known bigint, base double, model double")
     joined = found.join(words.withColumnRenamed("count", "c"), (found.hash == words.hash) & found.times.isNotNull(), "left")
     grouped = joined.groupBy("row").agg(
-        F.max("id").alias(id_col),
+        F.max("id").alias("id"),
         F.max("n_tokens").alias("n_tokens"),
         (F.max("n_known") + F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("times"))), F.lit(0))).alias("n_known"),
         (F.max("base") + F.coalesce(F.sum(F.col("times") * F.log10(F.col("c") + 1)), F.lit(0.0))).alias("base"),
         F.max("model").alias("score"),
     )
-    if not whole:
-        grouped = grouped.join(modelled, F.col("row") == F.col("row_")).withColumn("score", F.col("score_"))
-    return grouped.select(id_col, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.log10(F.lit(room))).alias("base_score"), "score")
+    return final(grouped)
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -525,6 +525,23 @@ def test_lm_pairs_seen_once_and_joined_segments(spark, docs, edge_docs, monkeypa
             assert wanted.setdefault(name, rows) == rows
 
 
+def test_large_filters_are_asked_by_pieces_of_text(spark, docs, edge_docs, monkeypatch):
+    """No row is written for a pair, and pieces of any size, in any place of a reader's rows, get the answers that are theirs."""
+    written, write = [], lm.write_out
+    told = lambda table: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(table, docs.where("doc_id % 5 <> 0")).collect())
+    wanted = [told(docs), told(edge_docs)]
+    monkeypatch.setattr(lm, "BROADCAST_BITS", 0)
+    monkeypatch.setattr(lm, "write_out", lambda df, label, **how: (written.append((label, out := write(df, label, **how))), out)[1])
+    assert told(docs) == wanted[0]
+    pairs = sum(len((r.text or "").split()) for r in docs.select("text").collect())
+    assert sum(table.count() for label, (table, _) in written if label in ("lm-tokens", "lm-levels", "lm-texts", "lm-answers")) < pairs / 2
+    for piece, together in ((1, 1), (3000, 3)):
+        monkeypatch.setattr(lm, "PIECE", piece)
+        monkeypatch.setattr(lm, "TOGETHER", together)
+        assert told(edge_docs) == wanted[1]
+    assert told(docs.repartition(3)) == wanted[0]
+
+
 # language ID
 
 
