@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import tempfile
@@ -105,6 +106,16 @@ def forget(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return to the system what training in the driver has freed; allocators keep it otherwise, beside all that the driver does later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def text_chunks(column: pa.Array, step: int = STEP_BYTES):
     """Yield (first, last, data, bounds): documents first..last-1 as one uint8 array, bounds their offsets in it.
 

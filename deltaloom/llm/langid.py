@@ -20,7 +20,7 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from deltaloom.llm._shared import SpanHasher, documents, keyed_texts, mix, share, small_batches, training_part
+from deltaloom.llm._shared import SpanHasher, documents, give_back, keyed_texts, mix, share, small_batches, training_part
 from deltaloom.llm.bpe import _LETTER, classes
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -232,11 +232,25 @@ def named(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return number, first, words.dictionary.to_pylist()
 
 
+def _packed(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where spans start and end once nothing lies between them."""
+    stop = np.cumsum(ends - starts)
+    return stop - (ends - starts), stop
+
+
+def _places(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places of all letters of some spans, span by span."""
+    size, most = ends - starts, int(ends.max(initial=0))
+    kind = np.int32 if max(most, int(size.sum())) < 1 << 31 else np.int64
+    at = np.arange(int(size.sum()), dtype=kind)
+    at += np.repeat((starts - _packed(starts, ends)[0]).astype(kind), size)
+    return at
+
+
 def named_parts(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Numbers of spans that may touch: equal numbers mean equal spans."""
-    at = np.repeat(starts - np.concatenate(([0], np.cumsum(ends - starts)[:-1])), ends - starts) + np.arange((ends - starts).sum())
     offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64) * 4
-    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(codes[at].tobytes())])
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(codes[_places(starts, ends)])])
     return spans.dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
@@ -267,12 +281,14 @@ class Model:
         if not len(starts):
             return
         starts, ends, owner, inner = short_parts(starts, ends, owner)
-        self.pieces.hasher.load(codes)
-        _, first, word = np.unique(named_parts(codes, starts, ends) * 2 + inner, return_index=True, return_inverse=True)
         language = np.array([k for k, _ in flat])[owner]
+        del flat, owner
+        _, first, word = np.unique(named_parts(codes, starts, ends) * 2 + inner, return_index=True, return_inverse=True)
+        codes, starts, ends, inner = codes[_places(starts[first], ends[first])], *_packed(starts[first], ends[first]), inner[first]  # each word once
+        self.pieces.hasher.load(codes)
         counts = np.zeros((len(first), len(self.languages)))
         np.add.at(counts, (word, language), 1.0)
-        lattices = list(split_lattices(self.pieces, codes, starts[first], ends[first], inner[first]))
+        lattices = list(split_lattices(self.pieces, codes, starts, ends, inner))
         for _ in range(rounds):
             uses = sum(lattice.expected(self.p, counts[own]) for own, lattice in lattices)
             pooled = uses.sum(1, keepdims=True)
@@ -336,7 +352,10 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, path: str
         for row in sorted(rows.collect(), key=lambda r: (r.o, str(r.i))):
             if len(texts[row.l]) < bound:
                 texts[row.l].append(row.t)
-    return Model(path, texts)
+    model = Model(path, texts)
+    del texts
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:

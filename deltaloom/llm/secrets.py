@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltaloom.llm._shared import SpanHasher, documents, fold_case, keyed_texts, small_batches, text_chunks, word_spans
+from deltaloom.llm._shared import SpanHasher, documents, fold_case, give_back, keyed_texts, small_batches, text_chunks, word_spans
 
 #: The patterns, in the order in which spans of equal start are listed.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -255,6 +255,8 @@ def train(texts: list[str]) -> Field:
             labels[hit], labels[hit[:1]] = I, B
     field = Field()
     field.fit(features, labels)
+    del features, labels, raw, whole, marks
+    give_back()
     return field
 
 

@@ -579,6 +579,15 @@ def test_forward_sums_all_segmentations():
         assert got == pytest.approx(np.array(wanted), rel=1e-9)
 
 
+def test_training_keeps_each_word_once():
+    """The driver holds the letters of different words while it trains, and not those of all texts."""
+    text = "alpha beta gamma delta " * 2000
+    model = langid.Model(None, {"en": [text] * 20, "xx": ["omega psi chi " * 50]})
+    once = langid.Model(None, {"en": ["alpha beta gamma delta"], "xx": ["omega psi chi"]})
+    assert len(model.pieces.hasher.codes) == len(once.pieces.hasher.codes) == len("alphabetagammadeltaomegapsichi")
+    assert len(model.pieces.hasher.prefix) < 100
+
+
 def test_unspaced_text_is_scored_whole(spark, docs, texts):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     model = langid.train(docs.where(~held), "doc_id", "text", "lang")
