@@ -326,3 +326,14 @@ def test_fuzzy_candidates_are_not_shuffled_as_pairs(spark):
     plan = pairing.pair_scores(met, 0.5)._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" not in plan.split("Join Inner")[0]
     assert met.count() == sum(2 * min(a, b) >= 0.3 * (a + b) for a in range(5, 31, 5) for b in range(5, 31, 5))
+
+
+def test_alignment_numbers_over_ranges(spark, monkeypatch):
+    """No window takes a whole sequence: what numbers positions, places and stretches are ranges of rows, whatever their number."""
+    plans, write = [], alignment.materialise
+    monkeypatch.setattr(alignment, "materialise", lambda df, label: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, label))[1])
+    values = [f"v{k}" for k in range(3_000)]
+    moved = values[1_500:1_600] + values[:700] + ["n"] + values[750:1_500] + values[1_600:]
+    assert check_alignment(spark, {"s": values, "t": values[:9]}, {"s": moved, "t": ["x", *values[2:9]]}) == {"s": 2_850, "t": 7}
+    windows = [line for plan in plans for line in plan.split("\n") if "Window [" in line and "differs" not in line and "_w" not in line and " k#" not in line and "AS k" not in line]
+    assert windows and all("part_" in line for line in windows)
