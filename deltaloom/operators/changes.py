@@ -154,7 +154,8 @@ def table_changes(old: DataFrame, new: DataFrame, columns: list[str], doc: str =
     row = F.concat_ws("\t", *[value(c) for c in columns])
 
     def fits(df: DataFrame, name: str) -> DataFrame:
-        stats = df.groupBy(doc).agg(*[((F.count_distinct(value(c)) == F.count("*")) & (F.count_if(value(c) == "") == 0)).alias(c) for c in columns])
+        # sets of a table's values: distinct counts of several columns would shuffle a row for each column and value, twice
+        stats = df.groupBy(doc).agg(*[((F.size(F.collect_set(value(c))) == F.count("*")) & (F.count_if(value(c) == "") == 0)).alias(c) for c in columns])
         return stats.select(doc, F.array(*columns).alias(name))
 
     ways = fits(old, "x").join(fits(new, "y"), doc, "full_outer")

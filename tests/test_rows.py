@@ -110,6 +110,14 @@ def test_table_ladder(spark):
     assert changes.table_changes(old, old, ["name", "size"]).count() == 0
 
 
+def test_table_ladder_shuffles_no_row_for_each_column(spark, monkeypatch):
+    plans, write = [], changes.materialise
+    monkeypatch.setattr(changes, "materialise", lambda df, label: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, label))[1])
+    old = spark.createDataFrame([("k", 0, "a", "1"), ("k", 1, "b", "1"), ("k", 2, None, "2")], "doc string, ord int, name string, size string")
+    assert changes.table_changes(old, old.where("ord < 2"), ["name", "size"]).select("way", "change").collect() == [("sequence", "deleted")]
+    assert plans and not any("Expand" in plan for plan in plans)
+
+
 def test_snippets(spark):
     old = "\n".join(f"line {k}" for k in range(12))
     made = spark.createDataFrame([("a", old, old.replace("line 5", "LINE 5")), ("b", old, old), ("c", None, "new")], "k string, old_text string, new_text string")
