@@ -74,24 +74,56 @@ def _inner(nodes: DataFrame, step: DataFrame) -> DataFrame:
     return kept.select("node").distinct().join(kept.select(F.col("next_").alias("node")).distinct(), "node", "left_semi")
 
 
+def _among(nodes: DataFrame, step: DataFrame) -> DataFrame:
+    """Edges with both ends among the nodes, written."""
+    return materialise(step.join(nodes, "node", "left_semi").join(nodes.select(F.col("node").alias("next_")), "next_", "left_semi").select("node", "next_"), "edges")
+
+
+def _contract(step: DataFrame, kept=None) -> tuple[list[DataFrame], DataFrame]:
+    """(levels, core): nodes with one edge in or out at most (not node ``kept``) are taken out of edges (node, next_), and edges put past them.
+
+    What the others reach stays the same, and edges do not grow in number. A level holds the edges of the nodes taken out
+    in a round: ``from_`` or ``to_`` tells which end was. No two of a level are neighbours: of such the one with fewer edges in, then out,
+    goes first, then the least by a hash. The core has two edges in and out at each node; a graph without cycles has none.
+    """
+    levels: list[DataFrame] = []
+    while True:
+        ends = step.select(F.explode(F.array(F.struct(F.col("node").alias("node"), F.lit(0).alias("in_"), F.lit(1).alias("out_")), F.struct(F.col("next_").alias("node"), F.lit(1).alias("in_"), F.lit(0).alias("out_")))).alias("e")).select("e.*")
+        few = F.when(F.col("in_") == 0, 0).when(F.col("out_") == 0, 1).when(F.col("in_") == 1, 2).when(F.col("out_") == 1, 3)
+        place = few.cast("long") * (1 << 60) + F.shiftrightunsigned(F.xxhash64("node", F.lit(len(levels))), 4)
+        sought = ends.groupBy("node").agg(F.sum("in_").alias("in_"), F.sum("out_").alias("out_")).select("node", (place if kept is None else F.when(F.col("node") != F.lit(kept), place)).alias("place"))
+        placed = materialise(step.join(sought, "node").join(sought.select(F.col("node").alias("next_"), F.col("place").alias("to_place")), "next_").select("node", "next_", F.col("place").alias("from_place"), "to_place"), "placed")
+        later = placed.select(F.explode(F.array(F.when(F.col("to_place") <= F.col("from_place"), F.col("node")), F.when(F.col("from_place") <= F.col("to_place"), F.col("next_")))).alias("node")).where("node IS NOT NULL").distinct()
+        marked = placed.join(later.withColumn("a", F.lit(True)), "node", "left").join(later.select(F.col("node").alias("next_"), F.lit(True).alias("b")), "next_", "left")
+        level = materialise(marked.select("node", "next_", (F.col("from_place").isNotNull() & F.col("a").isNull()).alias("from_"), (F.col("to_place").isNotNull() & F.col("b").isNull()).alias("to_"), (F.col("from_place").isNotNull() | F.col("to_place").isNotNull()).alias("open")), "level")
+        if level.where("open").isEmpty():
+            return levels, level.select("node", "next_")
+        levels.append(level)
+        past = level.where("to_").select(F.col("node").alias("first"), F.col("next_").alias("node")).join(level.where("from_").select("node", "next_"), "node").where("first <> next_")
+        step = level.where("NOT from_ AND NOT to_").select("node", "next_").union(past.select("first", "next_")).distinct()
+
+
+def _taken(level: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges in, edges out) of the nodes taken out in a level, as rows (node, other)."""
+    return level.where("to_").select(F.col("next_").alias("node"), F.col("node").alias("other")), level.where("from_").select("node", F.col("next_").alias("other"))
+
+
 def strong_components(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """(node, component): nodes that reach each other share a component, named by its largest node; every end of an edge has one.
 
-    Nodes without edges in or out among those left are components of their own and go at once. Each other node gets
-    the largest node that reaches it; what reaches such a node back within its label is that node's component. Nodes left go
-    on. Each round is a written table; rounds grow with the graph's longest shortest path, not with its size.
+    Ends of paths go first, then nodes with one edge in or out (``_contract``): rounds grow with the logarithm of a path's length. In a core
+    that is left each node gets the largest node that reaches it; what reaches such a node back within its label is that
+    node's component, and the others go on. At last, from the level taken out last, a node joins the component that it has an edge from and one to.
     """
     step = materialise(edges.select(F.col(source).alias("node"), F.col(target).alias("next_")).where("node IS NOT NULL AND next_ IS NOT NULL AND node <> next_").distinct(), "edges")
-    left = materialise(edges.select(F.explode(F.array(source, target)).alias("node")).where("node IS NOT NULL").distinct(), "nodes")
-    among = lambda nodes: materialise(step.join(nodes, "node", "left_semi").join(nodes.select(F.col("node").alias("next_")), "next_", "left_semi").select("node", "next_"), "edges")
-    out = left.select("node", F.col("node").alias("component")).limit(0)
-    while not left.isEmpty():
-        core = left
-        for _ in range(TRIMS):
-            core = _inner(core, step)
-        core = materialise(core, "core")
-        out = out.unionByName(materialise(left.join(core, "node", "left_anti").select("node", F.col("node").alias("component")), "component"))
-        step = among(core)
+    nodes = materialise(edges.select(F.explode(F.array(source, target)).alias("node")).where("node IS NOT NULL").distinct(), "nodes")
+    inner = nodes
+    for _ in range(TRIMS):
+        inner = _inner(inner, step)
+    levels, step = _contract(_among(materialise(inner, "core"), step))
+    shared = nodes.select("node", F.col("node").alias("component")).limit(0)
+    while not step.isEmpty():
+        core = step.select(F.explode(F.array("node", "next_")).alias("node")).distinct()
         labels = _spread(core.select("node", F.col("node").alias("label")), step, F.max)
         same = step.join(labels, "node").join(labels.select(F.col("node").alias("next_"), F.col("label").alias("to_")), "next_").where("label = to_")
         back = materialise(same.select(F.col("next_").alias("node"), F.col("node").alias("next_")), "edges")
@@ -99,19 +131,92 @@ def strong_components(edges: DataFrame, source: str = "source", target: str = "t
         while not level.isEmpty():
             level = materialise(level.join(back, "node").select(F.col("next_").alias("node"), "component").distinct().join(found, "node", "left_anti"), "component")
             found = found.unionByName(level)
-        out = out.unionByName(found)
-        left = materialise(core.join(found, "node", "left_anti"), "nodes")
-        step = among(left)
-    return out
+        shared = shared.unionByName(found)
+        more, step = _contract(_among(materialise(core.join(found, "node", "left_anti"), "nodes"), step))
+        levels += more
+    for level in reversed(levels):
+        of = shared.withColumnRenamed("node", "other")
+        before, after = (side.join(of, "other", "left").select("node", F.coalesce("component", "other").alias("component")) for side in _taken(level))
+        joined = materialise(before.join(after, ["node", "component"]).distinct(), "component")
+        if not joined.isEmpty():
+            shared = shared.unionByName(joined)
+    named = nodes.join(shared, "node", "left").select("node", F.coalesce("component", "node").alias("at"))
+    return named.join(named.groupBy("at").agg(F.max("node").alias("component")), "at").select("node", "component")
+
+
+def _between(edges: DataFrame, parts: DataFrame, source: str, target: str) -> DataFrame:
+    """Edges (node, next_) between different components."""
+    ends = edges.select(F.col(source).alias("from_"), F.col(target).alias("to_")).join(parts.select(F.col("node").alias("from_"), F.col("component").alias("node")), "from_").join(parts.select(F.col("node").alias("to_"), F.col("component").alias("next_")), "to_")
+    return materialise(ends.where("node <> next_").select("node", "next_").distinct(), "between")
+
+
+def _closure(sizes: DataFrame, step: DataFrame, hub=None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, flags) of a graph without cycles, of nodes (node, size) and edges (node, next_).
+
+    pairs (node, reached, up, down, size): what each node reaches, itself included. flags (node, up, down, size): whether it reaches ``hub``, and
+    whether the hub reaches it. Pairs of an ``up`` node and a ``down`` one are left out: whatever reaches the hub reaches all
+    that the hub reaches, and they are many where both are. Nodes come back by the levels of ``_contract``: each pair is made of pairs
+    of the node's neighbours, once for each of these.
+    """
+    levels, _ = _contract(step, hub)
+    at_hub = F.lit(False) if hub is None else F.col("node") == F.lit(hub)
+    top = sizes
+    if levels:
+        gone = levels[0].limit(0).select("node")
+        for level in levels:
+            gone = gone.union(level.where("from_").select("node")).union(level.where("to_").select("next_"))
+        top = sizes.join(gone.distinct(), "node", "left_anti")
+    kept = F.expr("NOT (up AND down)")
+    flags = materialise(top.select("node", at_hub.alias("up"), at_hub.alias("down"), "size"), "flags")
+    pairs = materialise(flags.select("node", F.col("node").alias("reached"), "up", "down", "size").where(kept), "pairs")
+    for level in reversed(levels):
+        before, after = _taken(level)
+        of = flags.withColumnRenamed("node", "other")
+        seen = after.join(of, "other").select("node", "up", F.lit(False).alias("down")).union(before.join(of, "other").select("node", F.lit(False), "down"))
+        new = materialise(seen.groupBy("node").agg(F.max("up").alias("up"), F.max("down").alias("down")).join(sizes, "node"), "flags")
+        ahead = after.join(new.select("node", "up"), "node").join(pairs.select(F.col("node").alias("other"), "reached", "down", "size"), "other")
+        out = ahead.select("node", "reached", "up", "down", "size").where(kept).distinct().union(new.select("node", F.col("node").alias("reached"), "up", "down", "size"))
+        pairs = pairs.union(materialise(out, "pairs"))
+        behind = before.withColumnRenamed("node", "reached").join(new.select(F.col("node").alias("reached"), "down", "size"), "reached").join(pairs.select("node", F.col("reached").alias("other"), "up"), "other")
+        pairs = pairs.union(materialise(behind.select("node", "reached", "up", "down", "size").where(kept).distinct(), "pairs"))
+        flags = flags.union(new)
+    return pairs, flags
 
 
 def component_closure(edges: DataFrame, source: str = "source", target: str = "target") -> tuple[DataFrame, DataFrame]:
-    """((node, component), (component, reached)): what each component reaches, itself included. Cycles are gone, so pairs are few."""
+    """((node, component), (component, reached)): what each component reaches, itself included. All pairs are rows: where counts will do, ``reach_sizes`` makes fewer."""
+    parts = materialise(strong_components(edges, source, target), "components")
+    pairs, _ = _closure(parts.select(F.col("component").alias("node")).distinct().withColumn("size", F.lit(1)), _between(edges, parts, source, target))
+    return parts, pairs.select(F.col("node").alias("component"), "reached")
+
+
+def reach_sizes(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """(node, component, n_reached): every node's component, and how many nodes it reaches, itself included.
+
+    Components that others lead to are paired with what they reach, save by way of the largest component: all that it reaches is counted once for
+    those that reach it. Others (most, in sparse graphs) take the count of the only component they lead to, or that of their successors' pairs together.
+    """
     parts = materialise(strong_components(edges, source, target), "components")
-    ends = edges.select(F.col(source).alias("node"), F.col(target).alias("next_")).join(parts, "node").join(parts.select(F.col("node").alias("next_"), F.col("component").alias("to_")), "next_")
-    between = ends.where("component <> to_").select(F.col("component").alias("source"), F.col("to_").alias("target")).distinct()
-    reached = reach(parts.select(F.col("component").alias("node")).distinct(), materialise(between, "between"))
-    return parts, reached.select(F.col("root").alias("component"), F.col("node").alias("reached"))
+    sizes = materialise(parts.groupBy(F.col("component").alias("node")).agg(F.count("*").alias("size")), "sizes")
+    step = _between(edges, parts, source, target)
+    inner = sizes.join(step.select(F.col("next_").alias("node")).distinct(), "node", "left_semi")
+    largest = inner.orderBy(F.desc("size"), "node").select("node").first()
+    pairs, flags = _closure(inner, step.join(inner, "node", "left_semi"), largest and largest["node"])
+    by_hub = flags.where("down").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("by_hub"))
+    n_reached = F.coalesce("apart", F.lit(0)) + F.when(F.col("up"), F.col("by_hub")).otherwise(0)
+    apart = pairs.groupBy("node").agg(F.sum("size").alias("apart"))
+    inside = materialise(flags.join(apart, "node", "left").crossJoin(F.broadcast(by_hub)).select("node", n_reached.alias("n_reached"), "up"), "reached")
+    first = step.join(inner, "node", "left_anti")
+    asked = materialise(first.groupBy("node").agg(F.count("*").alias("n"), F.min("next_").alias("only")).join(sizes, "node"), "asked")
+    one = asked.where("n = 1").join(inside.select(F.col("node").alias("only"), "n_reached"), "only").select("node", (F.col("size") + F.col("n_reached")).alias("n_reached"))
+    many = first.join(asked.where("n > 1").select("node"), "node", "left_semi").join(inside.select(F.col("node").alias("next_"), "up"), "next_")
+    reaching = many.groupBy("node").agg(F.max("up").alias("up"))
+    met = many.select("node", "next_").join(reaching, "node").join(pairs.select(F.col("node").alias("next_"), "reached", "down", "size"), "next_").where(F.expr("NOT (up AND down)"))
+    apart = met.groupBy("node", "reached").agg(F.max("size").alias("size")).groupBy("node").agg(F.sum("size").alias("apart"))
+    several = reaching.join(apart, "node", "left").join(sizes, "node").crossJoin(F.broadcast(by_hub)).select("node", (F.col("size") + n_reached).alias("n_reached"))
+    alone = sizes.join(inner, "node", "left_anti").join(asked, "node", "left_anti").select("node", F.col("size").alias("n_reached"))
+    counts = inside.select("node", "n_reached").union(one).union(several).union(alone)
+    return parts.join(counts.withColumnRenamed("node", "component"), "component").select("node", "component", "n_reached")
 
 
 def reachable(starts: DataFrame, edges: DataFrame, node: str = "node", source: str = "source", target: str = "target") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from deltaloom.functions import similarity
 from deltaloom.operators import alignment, candidates, facts, graph, incremental, pairing, retry, rules, sections, statelog, terms, tickets
+from deltaloom.plans.session import materialise
 
 
 def test_matching_blocks_with_a_bound():
@@ -172,6 +173,28 @@ def test_strong_components(spark):
     assert graph.component_closure(dense)[1].count() == 1  # 40,000 pairs of nodes, one of components
 
 
+def test_reach_sizes(spark, monkeypatch):
+    pick = random.Random(3)
+    edges = [(pick.randint(0, 40), pick.randint(0, 40)) for _ in range(48)] + [(None, 3), (5, None), (7, 7)]
+    reach = {x: {x} for e in edges for x in e if x is not None}
+    for _ in reach:
+        for a, b in (e for e in edges if None not in e):
+            for seen in reach.values():
+                if a in seen:
+                    seen.add(b)
+    want = {(v, max(u for u in r if v in reach[u]), len(r)) for v, r in reach.items()}
+    assert sorted(map(tuple, graph.reach_sizes(spark.createDataFrame(edges, "source int, target int")).collect())) == sorted(want)
+
+    written = []
+    monkeypatch.setattr(graph, "materialise", lambda df, label: written.append((label, made := materialise(df, label))) or made)
+    ring = [(k, (k + 1) % 90) for k in range(90)]  # 30 nodes lead to the ring in steps, and it leads to 30
+    tails = [(100 + k, 101 + k) for k in range(30)] + [(130, 0), (9, 200)] + [(200 + k, 201 + k) for k in range(30)]
+    got = {r.node: (r.component, r.n_reached) for r in graph.reach_sizes(spark.createDataFrame(ring + tails, "source int, target int")).collect()}
+    assert got == {k: (89, 121) for k in range(90)} | {100 + k: (100 + k, 152 - k) for k in range(31)} | {200 + k: (200 + k, 31 - k) for k in range(31)}
+    assert len(written) < 120  # rounds do not go along the ring, 90 each way, one edge at a time
+    assert sum(made.count() for label, made in written if label == "pairs") < 1000  # 961 within the tails; 930 more lead through the ring
+
+
 def check_alignment(spark, old, new):
     side = lambda rows: spark.createDataFrame([(s, k * 10, v) for s, values in rows.items() for k, v in enumerate(values)], "seq string, ord int, value string")
     rows = alignment.align(side(old), side(new), "seq", "ord", "value").collect()
