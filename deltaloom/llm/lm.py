@@ -21,6 +21,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -34,17 +35,20 @@ LAMBDA = 0.3
 HOT = 65_536
 #: Tokens that a counting task holds before it adds up equal n-grams, and bytes of text that one scoring step takes.
 HELD, STEP = 3 << 19, 1 << 20
+#: N-grams that are sent or added up at once (whole segments of them where they are added up), and that are read from the filter at once.
+PARCEL, READ = 1 << 18, 1 << 14
 #: Bytes of text that ask a filter too large to be broadcast together, and the base-2 logarithm of the rows that are shuffled as one.
 PIECE, TOGETHER = 4 << 20, 10
 _LENGTH, _FULL_SALTS = np.uint64(56), (np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1))
 #: The end of a text and what stands before its first token, as words of lengths that no word has.
 _END, _START = mix(np.array([0, 255], dtype=np.uint64) << _LENGTH)
 _IN_SEGMENT = np.uint64(64 - SEGMENTS)
+_PARCELS = "segment int, word boolean, low binary, high binary, count binary"
 _ASKED = ["words", "words_high", "pairs", "pairs_high"]
-_LEVEL = np.uint64(0x2545F4914F6CDD1D)
 _WORD_SALT, _PAIR_SALT = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 #: Least count of each level, the last one beyond all 64-bit counts.
 _FLOORS = np.array(sorted({int(np.ceil(BASE**k)) for k in range(110)}), dtype=np.float64)
+_LEVEL_SALTS = np.arange(len(_FLOORS) + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
@@ -60,9 +64,9 @@ def bit_positions(hashes: np.ndarray, level: int, bits: int):
     mask, x = np.uint64((1 << bits) - 1), hashes
     shifts = (0, 21, 42) if bits <= 21 else (0, 32)
     for _ in range(PROBES // len(shifts)):
-        x = mix(x ^ (np.uint64(level) * _LEVEL))
+        x = mix(x ^ _LEVEL_SALTS[level])
         for shift in shifts:
-            left = yield ((x >> np.uint64(shift)) & mask).astype(np.int64)
+            left = yield (x >> np.uint64(shift)) & mask
             if left is not None:
                 x = x[left]
                 yield x  # the answer to send(); the next position follows
@@ -75,21 +79,30 @@ class CountFilter:
         self.bits, self.segments, self.size = bits, segments, (8 * len(bits)).bit_length() - 1 - segments
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """Level of each n-gram, by probing from level 1 on; 0 if that one is missing."""
-        out = np.zeros(len(hashes), dtype=np.int64)
-        active = np.arange(len(hashes))
-        base = (hashes >> np.uint64(64 - self.segments)).astype(np.int64) << self.size if self.segments else np.zeros_like(out)
-        level = 1
-        while len(active) and level < len(_FLOORS):
-            alive, positions = active, bit_positions(hashes[active], level, self.size)
-            for at in positions:
-                at += base[alive]
-                left = np.flatnonzero((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-                alive = alive[left]
-                positions.send(left)
-            out[alive] = level
-            active, level = alive, level + 1
-        return out
+        """Level of each n-gram, by probing from level 1 on; 0 if that one is missing.
+
+        Most of the time goes into bits that are in no cache, so n-grams that repeat are read once, in order of their segments.
+        """
+        left, at = np.unique(hashes, return_inverse=True)
+        out, active, level = np.zeros(len(left), dtype=np.int64), np.arange(len(left)), 1
+        while len(left) and level < len(_FLOORS):
+            kept = np.concatenate([first + self.holds(left[first : first + READ], level) for first in range(0, len(left), READ)])
+            left, active = left[kept], active[kept]
+            out[active] = level
+            level += 1
+        return out[at]
+
+    def holds(self, hashes: np.ndarray, level: int) -> np.ndarray:
+        """The numbers of the n-grams that have all bits of a level."""
+        base = hashes >> np.uint64(64 - self.segments) << np.uint64(self.size) if self.segments else np.zeros_like(hashes)
+        alive, positions = np.arange(len(hashes)), bit_positions(hashes, level, self.size)
+        for at in positions:
+            at |= base
+            bit = self.bits.take((at >> np.uint64(3)).view(np.int64)) >> (at & np.uint64(7)).astype(np.uint8)
+            left = np.flatnonzero((bit & np.uint8(1)).view(bool))
+            alive, base = alive[left], base[left]
+            positions.send(left)
+        return alive
 
 
 class TokenHasher(WordHasher):
@@ -165,40 +178,55 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
         for word, parts in zip((True, False), found):
             if parts:
                 hashes, count = np.unique(np.concatenate(parts), return_counts=True)
-                hashes = mix(hashes ^ _WORD_SALT) if word else hashes
-                for first in range(0, len(hashes), 1 << 18):
-                    key, n = hashes[first : first + (1 << 18)].view(np.int64), count[first : first + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), word)), pa.array(n)], names=["key", "word", "count"])
+                if word:
+                    hashes = mix(hashes ^ _WORD_SALT)
+                    order = np.argsort(hashes)
+                    hashes, count = hashes[order], count[order]
+                yield from parcels(hashes, word, count)
+
+    return packed(texts.mapInArrow(run, _PARCELS))
+
 
-    return packed(texts.mapInArrow(run, "key bigint, word boolean, count bigint"))
+def parcels(keys: np.ndarray, word: bool, count: np.ndarray):
+    """Batches of rows (segment, word, low, high, count) for counted n-grams in order of their keys: a row for each segment, not for each n-gram."""
+    for first in range(0, len(keys), PARCEL):
+        key = keys[first : first + PARCEL]
+        segment = key >> _IN_SEGMENT
+        start = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
+        edges = np.append(start, len(key))
+        columns = [_blobs(part, edges) for part in (*_steps(key), count[first : first + PARCEL].astype("<i8"))]
+        yield pa.RecordBatch.from_arrays([pa.array(segment[start].astype(np.int32)), pa.array(np.full(len(start), word)), *columns], names=["segment", "word", "low", "high", "count"])
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """Rows (key, word, count), summed: a row (key, count) for each word; a row (segment, load, hashes, levels) for each segment.
+    """Rows of ``parcels``, summed: a row (key, count) for each word; a row (segment, load, hashes, levels) for each segment.
 
-    The segment is the first bits of the key, so rows sorted by key after the shuffle stream by segment after segment.
+    Rows sorted by segment after the shuffle stream by; the n-grams of some whole segments are sorted and added up together.
     """
 
     def run(batches):
-        rest = None
+        now, held, size = None, [], 0
         for batch in batches:
-            here = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            here = here if rest is None else [np.concatenate(x) for x in zip(rest, here)]
-            if len(here[0]):
-                first = int(np.searchsorted(here[0], here[0][-1] >> (64 - SEGMENTS) << (64 - SEGMENTS)))
-                yield from summed(*(x[:first] for x in here))
-                here = [x[first:] for x in here]
-            rest = here
-        if rest is not None:
-            yield from summed(*rest)
-
-    def summed(key, word, count):
-        if not len(key):
-            return
+            segment = batch.column(0).to_numpy()
+            for a, b in _runs(segment):
+                if segment[a] != now and size >= PARCEL:
+                    yield from summed(pa.Table.from_batches(held))
+                    held, size = [], 0
+                now, part = segment[a], batch.slice(a, b - a)
+                held.append(part)
+                size += pc.sum(pc.binary_length(part.column(3))).as_py()
+        if held:
+            yield from summed(pa.Table.from_batches(held))
+
+    def summed(rows):
+        key, edges = _keys(rows.column(0).to_numpy(), rows.column(2), rows.column(3))
+        word, count = np.repeat(rows.column(1).to_numpy(), np.diff(edges)), np.frombuffer(b"".join(rows.column(4).to_pylist()), dtype="<i8")
+        order = np.argsort(key)
+        key, word, count = key[order].view(np.int64), word[order], count[order]
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         key, word, count = key[start], word[start].astype(bool), np.add.reduceat(count, start)
         level = level_of(count).astype(np.uint8)
-        segment = key.view(np.uint64) >> np.uint64(64 - SEGMENTS)
+        segment = key.view(np.uint64) >> _IN_SEGMENT
         edges = np.concatenate(([0], np.flatnonzero(segment[1:] != segment[:-1]) + 1, [len(key)]))
         parts, n = list(zip(edges[:-1], edges[1:])), int(word.sum())
         yield pa.RecordBatch.from_arrays([pa.array(key[word]), pa.array(count[word]), *(pa.nulls(n, kind) for kind in (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=names)
@@ -207,7 +235,7 @@ def packed(rows: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array(segment[edges[:-1]].astype(np.int32)), pa.array(loads), hashes, levels], names=names)
 
     names = ["key", "count", "segment", "load", "hashes", "levels"]
-    dealt = rows.repartition(F.shiftrightunsigned("key", 64 - SEGMENTS)).sortWithinPartitions("key")
+    dealt = rows.repartition("segment").sortWithinPartitions("segment")
     return dealt.mapInArrow(run, "key bigint, count bigint, segment int, load bigint, hashes binary, levels binary")
 
 
@@ -223,7 +251,7 @@ def filter_segments(counts: DataFrame):
                 hashes, levels = np.frombuffer(hashes.as_buffer(), dtype=np.uint64), np.frombuffer(levels.as_buffer(), dtype=np.uint8)
                 for step in range(1, int(levels.max()) + 1):
                     for at in bit_positions(hashes[levels >= step], step, size):
-                        flags[at] = True
+                        flags[at.view(np.int64)] = True
                 yield pa.RecordBatch.from_arrays([pa.array([segment.as_py()], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
 
     rows = counts.where("segment is not null").select("segment", "hashes", "levels")
@@ -244,11 +272,14 @@ def build_filter(counts: DataFrame):
     def keyed(batches):
         for batch in batches:
             hashes, count = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            word = hashes & 1 == 0
-            key = np.where(word, mix(hashes.view(np.uint64) ^ _WORD_SALT), hashes.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(word), pa.array(count)], names=["key", "word", "count"])
-
-    table, path = write_out(packed(counts.select("hash", "count").mapInArrow(keyed, "key bigint, word boolean, count bigint")), "ngrams")
+            for word in (True, False):
+                here = np.flatnonzero((hashes & 1 == 0) == word)
+                key = hashes[here].view(np.uint64)
+                key = mix(key ^ _WORD_SALT) if word else key
+                order = np.argsort(key)
+                yield from parcels(key[order], word, count[here][order])
+
+    table, path = write_out(packed(counts.select("hash", "count").mapInArrow(keyed, _PARCELS)), "ngrams")
     segments, filled, size = filter_segments(table)
     bits = gathered(segments, size)
     remove(counts.sparkSession, path)
@@ -277,14 +308,14 @@ def _steps(keys: np.ndarray) -> list[np.ndarray]:
     return [np.ascontiguousarray(steps[:, :6]).view("V6")[:, 0], np.ascontiguousarray(steps[:, 6])]
 
 
-def _keys(segment: int, low: pa.Array, high: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(the keys of some requests to a segment, their edges) from the bytes of ``_steps``."""
+def _keys(segments: np.ndarray, low: pa.Array, high: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the keys of some rows, each with those of a segment, their edges) from the bytes of ``_steps``."""
     edges = np.append(0, np.cumsum([len(v) for v in high.to_pylist()])).astype(np.int64)
     steps = np.zeros((edges[-1], 8), dtype=np.uint8)
     steps[:, :6] = np.frombuffer(b"".join(low.to_pylist()), dtype=np.uint8).reshape(-1, 6)
     steps[:, 6] = np.frombuffer(b"".join(high.to_pylist()), dtype=np.uint8)
     total = np.append(np.uint64(0), np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64))
-    return (np.uint64(int(segment)) << _IN_SEGMENT) + total[1:] - np.repeat(total[edges[:-1]], np.diff(edges)), edges
+    return total[1:] + np.repeat((segments.astype(np.uint64) << _IN_SEGMENT) - total[edges[:-1]], np.diff(edges)), edges
 
 
 def requests(texts: DataFrame) -> DataFrame:
@@ -333,7 +364,8 @@ def answers(asked: DataFrame, segments: DataFrame, words: DataFrame) -> DataFram
                     yield told(now, bits, keys, counts, *(batch.column(k).slice(a, b - a) for k in range(4, 9)))
 
     def told(segment, bits, keys, counts, row, *asked):
-        flat, edges = zip(_keys(segment, *asked[:2]), _keys(segment, *asked[2:]))
+        segments = np.full(len(row), segment)
+        flat, edges = zip(_keys(segments, *asked[:2]), _keys(segments, *asked[2:]))
         level = [(CountFilter(bits, 0).levels(x) if bits is not None else np.zeros(len(x))).astype(np.uint8) for x in flat]
         count = np.zeros(len(flat[0]), dtype=np.int64)
         if keys:
@@ -446,11 +478,14 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     hot = top.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(hot)
     hot, hot_logs = hot[order], np.log10(top.column("count").to_numpy()[order].astype(np.float64) + 1)
-    shared, shared_bits = share(spark, (hot, hot_logs)), share_bits(spark, gathered(segments, size))  # HOT words, and 128 MB
+    bits = gathered(segments, size)
+    shared = share(spark, (hot, hot_logs, CountFilter(bits).levels(hot)))  # HOT words; their levels are the highest, and are read once
+    shared_bits = share_bits(spark, bits)  # 128 MB
+    del bits
     remove(spark, path)
 
     def run(batches):
-        hot, hot_logs = pickle.loads(shared.value)
+        hot, hot_logs, hot_levels = pickle.loads(shared.value)
         find, hasher = CountFilter(view_bits(shared_bits)), TokenHasher()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -462,10 +497,12 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
                 at = np.minimum(np.searchsorted(hot, unique), max(len(hot) - 1, 0))
                 is_hot = hot[at] == unique if len(hot) else np.zeros(len(unique), dtype=bool)
                 worth = np.where(is_hot, hot_logs[at], 0.0) if len(hot) else np.zeros(len(unique))
+                level = hot_levels[at] if len(hot) else np.zeros(len(unique), dtype=np.int64)
+                level[~is_hot] = find.levels(unique[~is_hot])
                 common = is_hot[word]
                 base, known = (np.bincount(owner, weights=x[word], minlength=docs) for x in (worth, is_hot.astype(float)))
                 known, size = known.astype(np.int64), np.bincount(owner, minlength=docs)
-                model = pa.array(logs(find.levels(unique), lambda seen: find.levels(pair_hash(before[seen], tokens[seen])), word, before, owner, docs))
+                model = pa.array(logs(level, lambda seen: find.levels(pair_hash(before[seen], tokens[seen])), word, before, owner, docs))
                 rows = row + np.arange(docs)
                 ids, empty = batch.column(0).slice(first, docs), pa.nulls(docs, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(rows), ids, pa.array(mix(rows.astype(np.uint64)).view(np.int64)), empty, pa.array(size), pa.array(known), pa.array(base), model], names=names)

@@ -525,6 +525,28 @@ def test_lm_pairs_seen_once_and_joined_segments(spark, docs, edge_docs, monkeypa
             assert wanted.setdefault(name, rows) == rows
 
 
+def test_ngrams_are_sent_by_segments_and_read_once(spark, monkeypatch):
+    """Counting sends a row for each segment, not for each n-gram, and n-grams that repeat are read from the filter once."""
+    sent, pack = [], lm.packed
+    monkeypatch.setattr(lm, "packed", lambda rows: (sent.append(rows), pack(rows))[1])
+    text = " ".join([*(f"w{k}" for k in range(60_000)), "w1 w2 w3"])
+    rows = lm.count_ngrams(spark.createDataFrame([(text,), (None,), (text,)], "t string").coalesce(1)).collect()
+    assert sent[0].count() <= 2 << lm.SEGMENTS
+    words = [r["count"] for r in rows if r.key is not None]
+    assert collections.Counter(words) == {2: 59_997, 4: 3, 3: 1}  # three words twice in each text; three ends
+    assert sum(len(r.levels) for r in rows if r.segment is not None) == len(words) + 60_003  # the pairs: a new one before the last words, an empty text's
+    hashes = np.random.default_rng(5).integers(0, 2**63, 3000).astype(np.uint64) | np.uint64(1)
+    bits, _ = lm.build_filter(spark.createDataFrame([(int(h), k % 50 + 1) for k, h in enumerate(hashes)], "hash long, count long"))
+    find, positions, read = lm.CountFilter(bits), lm.bit_positions, []
+    monkeypatch.setattr(lm, "bit_positions", lambda asked, *how: (read.append(asked), positions(asked, *how))[1])
+    levels = find.levels(hashes)
+    once = sum(map(len, read))
+    again = np.random.default_rng(6).permutation(np.repeat(np.arange(3000), 20))
+    read.clear()
+    assert (find.levels(hashes[again]) == levels[again]).all() and sum(map(len, read)) == once
+    assert (levels >= lm.level_of(np.arange(3000) % 50 + 1)).all() and not len(find.levels(hashes[:0]))
+
+
 def test_large_filters_are_asked_by_pieces_of_text(spark, docs, edge_docs, monkeypatch):
     """No row is written for a pair, and pieces of any size, in any place of a reader's rows, get the answers that are theirs."""
     written, write = [], lm.write_out
