@@ -3,10 +3,12 @@
 import difflib
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from deltaloom.functions import similarity
+from deltaloom.functions import blocks, similarity
 from deltaloom.operators import alignment, candidates, facts, graph, incremental, pairing, retry, rules, sections, statelog, terms, tickets
 from deltaloom.plans.session import materialise
 
@@ -53,6 +55,41 @@ def test_length_candidates_lose_nothing(spark, monkeypatch, cell):
         assert got == sorted((i, j) for i, n, p in a for j, m, q in b if p == q and close(n, m))
 
 
+def test_bounds_of_many_pairs_lose_none():
+    """Pairs that reach what they need stay, whatever the letters; of those that do not some go."""
+    pick = random.Random(5)
+    blocks_of = lambda x, y: sum(z.size for z in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+    lost = gone = 0
+    for letters in ("ab", "abcde ", "abcdefghijklmnop \n", "日本語abc é😀x"):
+        for kinds in (3, 12, 60):
+            words = ["".join(pick.choices(letters, k=pick.randint(1, 9))) for _ in range(kinds)]
+            a = ["".join(pick.choice(words) for _ in range(n)) for n in (0, 1, 3, 20, 60, 90)]
+            b = ["".join(pick.choice(words) for _ in range(n)) for n in (0, 2, 20, 60, 80)] + [a[4], a[3][::-1], a[3] + "zz" + a[4]]
+            held = np.array([[blocks_of(x, y) for y in b] for x in a], dtype=float)
+            for more in (0, 1):
+                alive = np.ones(held.shape, dtype=bool)
+                blocks.drop_hopeless(a, b, alive, held + more - 1e-6)
+                lost, gone = lost + (0 if more else int((~alive).sum())), gone + int((~alive).sum())
+            titles = ["".join(pick.choice(words) for _ in range(n))[:80] for n in (0, 1, 4, 5, 20)]
+            ratio = lambda x, y: difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+            assert (blocks.title_bounds(titles, titles[::-1]) >= np.array([[ratio(x, y) for y in titles[::-1]] for x in titles]) - 1e-12).all()
+    assert lost == 0 and gone > 100
+
+
+def test_fuzzy_pairs_compare_few_pairs_one_by_one(spark, monkeypatch):
+    """Texts of one language and one length, all unlike: no pair is compared letter by letter, the one that is alike is found."""
+    pick = random.Random(8)
+    words = ["".join(pick.choices("etaoinshrdlu", k=pick.randint(2, 8))) for _ in range(400)]
+    text = lambda: " ".join(pick.choice(words) for _ in range(150))
+    sides = [[("en > src > Doc en (%d)" % (k + s), "Doc en (%d)" % (k + s), text()) for k in range(30)] for s in (100, 500)]
+    sides[1][7] = (*sides[1][7][:2], sides[0][3][2][:500] + text()[:400])
+    old, new = (pd.DataFrame([(i, t, t, k, "en > src", body) for i, (k, t, body) in enumerate(side)], columns=["ord", "f_title", "f_leaf", "f_key", "parent", "body"]) for side in sides)
+    asked = []
+    monkeypatch.setattr(pairing, "text_ratio", lambda a, b, least=0.0: asked.append(a) or similarity.text_ratio(a, b, least))
+    found = pairing._cell_scores(old, new, pairing.LEAST_SCORE, (0.24, 0.38))
+    assert [(i, j) for i, j, _ in found] == [(3, 7)] and sum(len(t) > 100 for t in asked) < 0.1 * 30 * 30  # bodies, without titles
+
+
 def test_fuzzy_pairs_equal_brute_force(spark, sf_dir):
     """All phases over the two simulated versions, the similarity phases computed pair by pair in plain Python."""
     from deltaloom.plans.versions import versions
